@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, exact_dedup, simhash_dedup
+from lorekeep.llm import chat_format, decontaminate, exact_dedup, lm_scoring, mixing, quality, simhash_dedup, substring_dedup, token_counts, toxicity
 from lorekeep.llm.common import table
 
 
+#: Where the public vocabularies are installed.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted; every result is read back from the output."""
     records = chat_format.conversation_records(table(spark, sf_dir, "conversations"))
@@ -65,17 +73,73 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that are labelled as good. Background: all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
+  FROM documents WHERE text IS NOT NULL
+), placed AS (
+  SELECT doc_id, unit, line,
+    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start"
+  FROM lines
+), units AS (
+  SELECT doc_id, unit, "start", "start" + length(line) AS "end", regexp_extract_all(lower(line), '\\S+') AS words FROM placed
+), kept AS (
+  SELECT *, array_to_string(words, ' ') AS said FROM units WHERE len(words) >= {substring_dedup.MIN_WORDS}
+), ranked AS (
+  SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit,
+    count(*) OVER (PARTITION BY said) AS copies
+  FROM kept WINDOW w AS (PARTITION BY said ORDER BY doc_id, unit)
+)
+SELECT doc_id, unit, "start", "end", len(words) AS n_words, keep_doc_id, keep_unit, copies FROM ranked WHERE nth > 1
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = quality.ratings_from_labels(table(spark, sf_dir, "labels"))
+    return quality.grade(table(spark, sf_dir, "documents"), ratings)
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import join_counted
 from lorekeep.session import materialize
 
 BITS = 64
@@ -343,20 +344,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids = member.join(lowest, "root").select(F.col("node").alias("fp"), "low")
         named = distinct.join(ids, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "copies")
     named = materialize(named, "named")
-    # fingerprints with many copies are at most 1/BLOCK of all rows in number: they are joined by
-    # broadcast while this bound is small, and by salt beyond it
-    return _join_by_copies(fps, named).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _join_by_copies(fps: DataFrame, named: DataFrame, many: int = 1000, most: int = 100_000) -> DataFrame:
-    """``fps`` with the component of each fingerprint, without one task for a fingerprint of many rows."""
-    heavy = named.where(F.col("copies") > many)
-    floor = many
-    if (found := heavy.count()) > most:  # the largest ``most`` of them fit a broadcast; their floor is exact
-        floor = named.agg(F.expr(f"cast(percentile(copies, {1 - most / max(1, named.count())}) as bigint)")).first()[0]
-        heavy = named.where(F.col("copies") > floor)
-    if not found:
-        return fps.join(named.drop("copies"), "fp")
-    heavy = F.broadcast(heavy.drop("copies"))
-    light = named.where(F.col("copies") <= floor).drop("copies")
-    return fps.join(heavy, "fp").unionByName(fps.join(heavy, "fp", "left_anti").join(light, "fp"))
+    met = join_counted(fps, named, "fp", "copies")
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` that name their group, with all their columns: one document of each group.
+
+    Rows without an id can't be told apart afterwards and all stay; rows that repeat an id have the
+    same fate.
+    """
+    groups = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, distance)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return named.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
