@@ -31,7 +31,7 @@ TOP = 10  # the highest threshold of a distance, in bytes
 #: Bytes of a text that are cut into windows at once.
 CHUNK = 1 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_WINDOW = re.compile(rb" \S.{0,%d}\S* " % (WINDOW - 2))
+_WINDOW = re.compile(rb" \S(?:.{0,%d}\S)?\S* " % (WINDOW - 3))
 
 
 def words_of(text: bytes) -> list[bytes]:
