@@ -218,7 +218,8 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append((src, index, offset, b" ".join(some).decode("utf-8", "replace")))
                     at += len(some)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["src", "block", "offset", "piece"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["src", "block", "offset", "piece"])
 
     pieces = met.select("src", "text", "start").mapInArrow(cut, "src int, block bigint, offset bigint, piece string")
     whole = pieces.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("offset", "piece"))).alias("p"))
