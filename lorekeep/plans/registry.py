@@ -64,7 +64,7 @@ degree AS (
   FROM (SELECT target_id AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source_id, 0, 1 FROM edges) GROUP BY id)"""
 
 _GROUPS = """collection_members AS (SELECT source AS collection_id, id AS memory_id FROM memories),
-agents AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey FROM supplier WHERE s_suppkey <= 20),
+agents AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey FROM supplier),
 agent_grants AS (SELECT id AS agent_id, 'src' || k AS collection_id FROM agents, (SELECT unnest(range(20)) AS k) WHERE (k + s_suppkey) % 5 = 0),
 contexts AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations),
 n_conv AS (SELECT count(DISTINCT conv_id) AS n FROM conversations),
@@ -292,7 +292,7 @@ _add(
     _sql("mr", "SELECT id, (SELECT count(*) FROM context_members WHERE context_id = id) AS memories, (SELECT count(*) FROM context_agents WHERE context_id = id) AS agents FROM contexts"),
 )
 _add("grant_counts", lambda c: groups.grant_counts(c.agents, c.agent_grants), _sql("mr", "SELECT id, (SELECT count(*) FROM agent_grants WHERE agent_id = id) AS collections FROM agents"))
-_add("agents_able", lambda c: _ids(groups.has_capability(c.agents, "nation3")), "SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_suppkey <= 20 AND s_nationkey = 3")
+_add("agents_able", lambda c: _ids(groups.has_capability(c.agents, "nation3")), "SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey = 3")
 _add(
     "context_summary",
     lambda c: groups.context_summary(c.context_members, c.memories).select("context_id", "memories", F.round("mean_confidence", 9).alias("mean_confidence"), F.array_join(F.transform(F.map_entries("topics"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("topics")),
@@ -350,8 +350,8 @@ _add(
 )
 _add(
     "k_hop_events",
-    lambda c: traverse.k_hop_nodes(c.event_links, c.event_memories.where("CAST(id AS BIGINT) % 20 = 0").select("id"), 2).groupBy("hop").agg(F.count(F.lit(1)).alias("nodes")),
-    _sql("e", f", {_hops('event_links', 2, '(SELECT list(id) FROM event_memories WHERE event_id % 20 = 0)')} SELECT hop, count(*) AS nodes FROM near GROUP BY hop", True),
+    lambda c: traverse.k_hop_nodes(c.event_links, c.event_memories.where("CAST(id AS BIGINT) % 100 = 0").select("id"), 2).groupBy("hop").agg(F.count(F.lit(1)).alias("nodes")),
+    _sql("e", f", {_hops('event_links', 2, '(SELECT list(id) FROM event_memories WHERE event_id % 100 = 0)')} SELECT hop, count(*) AS nodes FROM near GROUP BY hop", True),
 )
 _add(
     "shortest_path",
@@ -406,8 +406,8 @@ _add(
 )
 _add(
     "normalize",
-    lambda c: c.vectors.select("memory_id", F.posexplode(V.normalize(F.transform("vector", lambda x: x * 3))).alias("at", "x")).where("at < 4").select("memory_id", "at", F.round("x", 6).alias("x")),
-    f"WITH {_VECTORS}, n AS (SELECT id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS size FROM v) SELECT id AS memory_id, i AS at, round(x[i + 1] / size, 6) AS x FROM n, unnest(range(4)) AS t(i)",
+    lambda c: c.vectors.select("memory_id", F.posexplode(V.normalize(F.transform("vector", lambda x: x * 3))).alias("at", "x")).select("memory_id", "at", F.round("x", 6).alias("x")),
+    f"WITH {_VECTORS}, n AS (SELECT id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS size FROM v) SELECT id AS memory_id, i AS at, round(x[i + 1] / size, 6) AS x FROM n, unnest(range(len(x))) AS t(i)",
 )
 _add(
     "truncate_dims",

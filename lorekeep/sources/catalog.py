@@ -139,7 +139,7 @@ class CorpusCatalog:
 
     @cached_property
     def agents(self) -> DataFrame:
-        return self.table("supplier").where("s_suppkey <= 20").selectExpr(
+        return self.table("supplier").selectExpr(
             "CAST(s_suppkey AS STRING) AS id", "s_name AS name", "'' AS description", "array('read', concat('nation', s_nationkey)) AS capabilities", "CAST(NULL AS STRING) AS metadata"
         )
 
@@ -147,7 +147,7 @@ class CorpusCatalog:
     def agent_grants(self) -> DataFrame:
         sources = F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")
         return (
-            self.table("supplier").where("s_suppkey <= 20").select("s_suppkey", sources).where("(k + s_suppkey) % 5 = 0")
+            self.table("supplier").select("s_suppkey", sources).where("(k + s_suppkey) % 5 = 0")
             .selectExpr("CAST(s_suppkey AS STRING) AS agent_id", "concat('src', k) AS collection_id")
         )
 
@@ -167,7 +167,7 @@ class CorpusCatalog:
 
     @cached_property
     def context_agents(self) -> DataFrame:
-        return self._by_context(self.table("supplier").where("s_suppkey <= 20").select("s_suppkey"), "s_suppkey", "agent_id")
+        return self._by_context(self.table("supplier").select("s_suppkey"), "s_suppkey", "agent_id")
 
     @cached_property
     def vectors(self) -> DataFrame:
