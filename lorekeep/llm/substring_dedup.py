@@ -2,7 +2,10 @@
 
 Documents are cut into lines, lines are normalised and hashed, and the digests are grouped over the
 whole corpus. The earliest occurrence (smallest id, then smallest line number) of each digest stays; the
-others are removed, and their offsets in the original text are kept. Digests are counted with map-side
+others are removed, and their offsets in the original text are kept. A line of several sentences is
+hashed whole and by sentence, so that a passage is found where its lines were joined or broken anew; the
+sentences count if the line stays. The earliest occurrence of a sentence never stands in a line that
+goes, so nothing is lost from the corpus. Digests are counted with map-side
 combination, so that a line that a third of all documents share is no large group, and occurrences of
 very frequent lines meet their winner by broadcast.
 """
@@ -10,10 +13,11 @@ very frequent lines meet their winner by broadcast.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import join_counted
@@ -21,53 +25,72 @@ from lorekeep.session import materialize
 
 #: Shorter lines ("Yes.") repeat by chance and are part of ordinary text.
 MIN_WORDS = 8
+#: The space after the end of a sentence.
+BREAK = re.compile(r"(?<=[.!?]) ")
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines of at least ``min_words`` words: doc_id, unit, start, end, n_words, digest (16 bytes).
+    """Lines and sentences of at least ``min_words`` words: doc_id, unit, part, start, end, n_words, digest (16 bytes).
 
-    unit is the line's number, start and end are code points of the text. A line is normalised by
+    unit is the line's number and part that of the sentence from 1 on, 0 for the whole line; lines of
+    one sentence have no parts. start and end are code points of the text. A unit is normalised by
     lower case and single spaces.
     """
+    names = ["doc_id", "unit", "part", "start", "end", "n_words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "unit", "start", "end", "n_words", "digest"]
         for batch in batches:
             rows, of = [], []
+
+            def add(i: int, unit: int, part: int, at: int, said: str, rows: list = rows, of: list = of) -> int:
+                words = said.lower().split()
+                if len(words) >= min_words:
+                    of.append(i)
+                    rows.append((unit, part, at, at + len(said), len(words), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
+                return len(words)
+
             for i, text in enumerate(batch.column(1).to_pylist()):
                 at = 0
                 for unit, line in enumerate((text or "").split("\n")):
-                    words = line.lower().split()
-                    if len(words) >= min_words:
-                        of.append(i)
-                        rows.append((unit, at, at + len(line), len(words), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
+                    if add(i, unit, 0, at, line) > min_words:
+                        inner, sentences = at, BREAK.split(line)
+                        for part, sentence in enumerate(sentences if len(sentences) > 1 else (), 1):
+                            add(i, unit, part, inner, sentence)
+                            inner += len(sentence) + 1
                     at += len(line) + 1
-            *longs, digests = zip(*rows, strict=True) if rows else ([],) * 5
+            *longs, digests = zip(*rows, strict=True) if rows else ([],) * 6
             ids = batch.column(0).take(pa.array(of, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in longs], pa.array(digests, pa.binary())], names=names)
 
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, digest binary")
+    return picked.mapInArrow(run, "doc_id bigint, unit bigint, part bigint, start bigint, end bigint, n_words bigint, digest binary")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line that goes: doc_id, unit, start, end, n_words, keep_doc_id, keep_unit, copies.
+    """One row for each line or sentence that goes: doc_id, unit, part, start, end, n_words, keep_doc_id, keep_unit, keep_part, copies.
 
-    copies counts all occurrences, the one that stays included. Repeats inside a document count too.
-    A null id ranks behind all others. Where rows repeat an id, their equal lines at equal places
-    are told apart by nothing, and all but the first place go. Null and empty texts have no lines.
+    part is 0 for a line; sentences of a line that goes aren't listed. copies counts all occurrences,
+    the one that stays included. Repeats inside a document count too. A null id ranks behind all
+    others. Where rows repeat an id, equal units at equal places are told apart by nothing and share
+    their fate. Null and empty texts have no lines.
     """
     found = materialize(units(docs, id_col, text_col, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("keep_doc_id"), F.col("unit").alias("keep_unit"))
+    place = ("doc_id", "unit", "part")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), *[F.col(c).alias(f"keep_{c}") for c in place])
     groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    groups = materialize(groups.select("digest", "first.keep_doc_id", "first.keep_unit", "copies"), "groups")
+    groups = materialize(groups.select("digest", *[f"first.keep_{c}" for c in place], "copies"), "groups")
     met = join_counted(found, groups, "digest", "copies")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("unit") == F.col("keep_unit"))
-    return met.where(~stays).select("doc_id", "unit", "start", "end", "n_words", "keep_doc_id", "keep_unit", "copies")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("unit") == F.col("keep_unit")) & (F.col("part") == F.col("keep_part"))
+    whole = F.min("part").over(Window.partitionBy("doc_id", "unit"))
+    goes = met.where(~stays).withColumn("_first", whole).where("part = 0 OR _first > 0")
+    return goes.select(*place, "start", "end", "n_words", *[f"keep_{c}" for c in place], "copies")
 
 
 def remove_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines of :func:`repeated_lines` cut out, and ``removed`` (array of start, end, in order)."""
+    """``docs`` with what :func:`repeated_lines` lists cut out, and ``removed`` (array of start, end, in order).
+
+    The break or space behind a removed stretch goes with it.
+    """
     spans = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     met = docs.drop("removed").join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("removed", F.coalesce("_spans", none)).drop("_id", "_spans")
