@@ -1,12 +1,15 @@
 """A store of graph tables as versioned Parquet folders.
 
-``<root>/v<n>/<table>`` holds version n of each table, and the file ``<root>/CURRENT`` names the version
-that readers see. A batch stages puts and deletes, writes the next version and then swaps the pointer, so
-readers see all of a commit or none of it. All files go through Spark's file systems.
+``<root>/v<n>/<table>`` holds a table as version n wrote it, ``<root>/manifest-<n>`` says for each table
+which version wrote it last, and the file ``<root>/CURRENT`` names the version that readers see. A batch
+stages puts and deletes, writes the tables that it changes and then swaps the pointer, so readers see all
+of a commit or none of it, and a commit costs as much as the tables it touches. All files go through
+Spark's file systems.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +30,34 @@ class GraphStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
-        """The current version, 0 for a store that nothing was committed to."""
-        fs, path = self._path("CURRENT")
+    def _get(self, name: str) -> str | None:
+        fs, path = self._path(name)
         if not fs.exists(path):
-            return 0
+            return None
         stream = fs.open(path)
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
-    def _point_to(self, version: int) -> None:
-        fs, new = self._path(f"CURRENT.{version}")
-        stream = fs.create(new, True)
-        stream.write(bytearray(str(version).encode()))
+    def _set(self, name: str, text: str) -> None:
+        fs, path = self._path(name)
+        stream = fs.create(path, True)
+        stream.write(bytearray(text.encode()))
         stream.close()
+
+    def version(self) -> int:
+        """The current version, 0 for a store that nothing was committed to."""
+        return int(self._get("CURRENT") or 0)
+
+    def manifest(self, version: int) -> dict[str, int]:
+        """For each table the version that wrote it last."""
+        return json.loads(self._get(f"manifest-{version}") or "{}")
+
+    def _point_to(self, version: int, manifest: dict[str, int]) -> None:
+        self._set(f"manifest-{version}", json.dumps(manifest))
+        self._set(f"CURRENT.{version}", str(version))
+        fs, new = self._path(f"CURRENT.{version}")
         _, path = self._path("CURRENT")
         fs.delete(path, False)
         fs.rename(new, path)
@@ -51,11 +66,10 @@ class GraphStore:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table of the current or a given version; empty if it was never written."""
-        version = self.version() if version is None else version
-        fs, path = self._path(f"v{version}/{name}")
-        if version and fs.exists(path):
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/v{version}/{name}")
-        return self.spark.createDataFrame([], SCHEMAS[name])
+        wrote = self.manifest(self.version() if version is None else version).get(name)
+        if wrote is None:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/v{wrote}/{name}")
 
     def tables(self) -> Tables:
         return Tables({name: self.read(name) for name in SCHEMAS})
@@ -99,12 +113,18 @@ class GraphStore:
         batch.commit()
 
     def vacuum(self) -> None:
-        """Delete all versions but the current one."""
+        """Delete all that the current version doesn't read."""
         now = self.version()
+        kept = self.manifest(now)
         fs, _ = self._path("")
-        for version in range(1, now):
-            _, path = self._path(f"v{version}")
-            fs.delete(path, True)
+        for version in range(1, now + 1):
+            for name in SCHEMAS:
+                if kept.get(name) != version:
+                    fs.delete(self._path(f"v{version}/{name}")[1], True)
+            if version != now:
+                fs.delete(self._path(f"manifest-{version}")[1], False)
+            if version not in kept.values():
+                fs.delete(self._path(f"v{version}")[1], True)
 
 
 class Batch:
@@ -162,12 +182,14 @@ class Batch:
         if not self.open:
             raise InvalidOperation("the batch has ended")
         store, now = self.store, self.store.version()
-        for name in SCHEMAS:
-            rows = self._apply(name) if name in self.touched else store.read(name, now)
+        manifest = store.manifest(now)
+        for name in sorted(self.touched):
+            rows = self._apply(name)
             if self.files:
                 rows = rows.coalesce(self.files)
             rows.write.mode("overwrite").parquet(f"{store.root}/v{now + 1}/{name}")
-        store._point_to(now + 1)
+            manifest[name] = now + 1
+        store._point_to(now + 1, manifest)
         self.open = False
         return now + 1
 
