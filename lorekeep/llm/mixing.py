@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lorekeep.session import materialize
 
 BLOCK = 128
-#: Rows of a source that one running sum covers; further rows go to further running sums.
-RUN = 20_000
+#: Rows that one running sum covers at most, about; further rows of a source go to further sums.
+RUN = 2_000
 SHARDS = 4096
 
 
@@ -86,23 +86,22 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """The places of ``x`` in a pseudorandom permutation of range(n)."""
-    if n < 2:
-        return x.copy()
-    half = np.uint64(max(1, math.ceil((n - 1).bit_length() / 2)))
+def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np.ndarray:
+    """The places of ``x`` in pseudorandom permutations of range(n); n and key may differ by place."""
+    n = np.broadcast_to(np.asarray(n, np.int64), x.shape)
+    key = np.broadcast_to(np.asarray(key).astype(np.uint64), x.shape)
+    half = np.maximum(1, (np.frexp((n - 1).astype(np.float64))[1] + 1) // 2).astype(np.uint64)
     low = (np.uint64(1) << half) - np.uint64(1)
     out = x.astype(np.uint64)
-    todo = np.ones(len(out), bool)
+    todo = np.arange(len(out))
     with np.errstate(over="ignore"):
-        while todo.any():
-            now = out[todo]
-            left, right = now >> half, now & low
+        while len(todo):
+            h, m, k = half[todo], low[todo], key[todo]
+            left, right = out[todo] >> h, out[todo] & m
             for r in range(4):
-                k = np.uint64((key * 4 + r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                left, right = right, left ^ (_mix64(right + k) & low)
-            out[todo] = left << half | right
-            todo[todo] = out[todo] >= n
+                left, right = right, left ^ (_mix64(right + (k * np.uint64(4) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)) & m)
+            out[todo] = left << h | right
+            todo = todo[out[todo] >= n[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
 
@@ -133,23 +132,35 @@ def plan(words: DataFrame, block: int = BLOCK, seed: int = 1, weights: tuple[flo
 
 def mixed_slots(shares: DataFrame, seed: int = 1, step: int = 1 << 16) -> DataFrame:
     """Every slot of the mix: src, shard, slot (number within its source), block."""
+    names = ["src", "shard", "slot", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[int, int, int, int, int]] = []  # src, shard, first slot, slots, blocks
+
+        def out() -> pa.RecordBatch:
+            src, shard, first, n, blocks = np.array(parts, np.int64).T
+            ends = np.cumsum(n)
+            slot = np.arange(ends[-1]) - np.repeat(ends - n - first, n)
+            src, shard, blocks = (np.repeat(c, n) for c in (src, shard, blocks))
+            index = permute(slot % blocks, blocks, (seed << 40) ^ (src << 8) ^ (slot // blocks))
+            return pa.RecordBatch.from_arrays([pa.array(src.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(slot), pa.array(index)], names=names)
+
+        held = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                for at in range(row["first_slot"], row["first_slot"] + row["slots"], step):
-                    slot = np.arange(at, min(at + step, row["first_slot"] + row["slots"]))
-                    turn = slot // row["blocks"]
-                    index = np.empty(len(slot), np.int64)
-                    for t in np.unique(turn):
-                        mine = turn == t
-                        index[mine] = permute(slot[mine] % row["blocks"], row["blocks"], (seed << 40) ^ (row["src"] << 8) ^ int(t))
-                    same = lambda x, kind, n=len(slot): pa.array(np.full(n, x), kind)
-                    yield pa.RecordBatch.from_arrays(
-                        [same(row["src"], pa.int32()), same(row["shard"], pa.int32()), pa.array(slot), pa.array(index)], names=["src", "shard", "slot", "block"]
-                    )
-
-    return shares.repartition("src", "shard").mapInArrow(run, "src int, shard int, slot bigint, block bigint")
+            for src, shard, first, slots, blocks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for at in range(first, first + slots, step):
+                    n = min(step, first + slots - at)
+                    if held + n > step and parts:
+                        yield out()
+                        parts, held = [], 0
+                    parts.append((src, shard, at, n, blocks))
+                    held += n
+        if parts:
+            yield out()
+
+    # a given number of partitions: a few rows stand for many slots, and few bytes would be joined to one task
+    wide = shares.repartition(int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "shard")
+    return wide.mapInArrow(run, "src int, shard int, slot bigint, block bigint")
 
 
 def placed(words: DataFrame, sources: DataFrame) -> DataFrame:
