@@ -37,9 +37,11 @@ def in_degree_centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("n") > 1, F.coalesce("in_degree", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85, cut: int = 5, tolerance: float | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: float = 0.85, cut: int = 2, tolerance: float | None = None) -> DataFrame:
     """id, rank after ``rounds`` power steps by edge weight; nodes without outgoing edges spread evenly.
 
+    A round reads the ranks twice, so they are written every ``cut`` rounds lest the plan double each time.
+
     With ``tolerance`` it ends once the ranks move by less than tolerance * n in all.
     """
     n = max(1, nodes.count())
