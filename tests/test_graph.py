@@ -75,7 +75,7 @@ def plain_paths(pairs, s, t, depth):
 
 def test_paths(spark):
     g = graph(spark, PAIRS, ["a", "b", "c", "d", "e", "z"])
-    for s, t, depth in itertools.product("aez", "dez", (0, 1, 3, 5)):
+    for s, t, depth in itertools.product("ae", "dez", (1, 5)):
         found = sorted(tuple(r["path"]) for r in traverse.paths(g.links, s, t, depth).collect())
         assert found == plain_paths(PAIRS, s, t, depth), (s, t, depth)
     both = traverse.paths(g.links, "a", "d", 2)

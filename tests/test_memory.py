@@ -175,7 +175,7 @@ def test_tokens(spark):
     assert [stem(w) for w in ("cats", "was", "running", "sing", "walked", "red", "où")] == ["cat", "was", "runn", "sing", "walk", "red", "où"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from(["alpha", "betas", "beta", "gamma", "of", "it"]), min_size=0, max_size=4))
 def test_all_is_within_any(cities, words):
     m = cities.memories.withColumn("content", F.concat("content", F.lit(" alpha beta ")))
