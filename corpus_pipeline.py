@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import decontaminate, exact_dedup, mixing, quality, simhash_dedup
+from lorekeep.llm import decontaminate, exact_dedup, mixing, near_copies, quality
 from lorekeep.llm.common import table
 from lorekeep.session import materialize
 
@@ -24,8 +24,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_dedup.drop_near_copies(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_copies.drop_similar(docs)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,167 @@
+"""Documents whose sets of word shingles have a Jaccard similarity of a bound or more.
+
+Minima of 216 permutations of a document's shingle hashes make 36 keys of six minima each; a pair of
+similarity 0.8 shares none of them with a chance of (1 - 0.8^6)^36, about 2 in 100,000. Documents that
+share a key are candidates and nothing more: each component of candidates is compared on its whole
+shingle sets, so that what is linked has the similarity. Equal sets are one node, buckets give star
+edges, and components over a number of shingles are compared in blocks.
+
+SimHash bits can't find such pairs at this similarity: they differ in 10 of 64 bits on average.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lorekeep.llm.common import join_counted
+from lorekeep.llm.simhash_dedup import components
+from lorekeep.session import materialize
+
+BANDS, ROWS = 36, 6
+#: Shingles that are permuted at once.
+CHUNK = 4096
+#: A candidate component with more shingles is compared in blocks of about this many.
+BLOCK = 1_000_000
+_RNG = np.random.default_rng(42)
+_FACTORS = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDENDS = _RNG.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Distinct shingle hashes of a UTF-8 text, in order; words as those of simhash_dedup."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, digest, k = b" ".join(words), xxhash.xxh64_intdigest, min(size, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends.tolist()]
+    hashes = (digest(line[a : b - 1], 42) for a, b in zip(starts[: len(words) - k + 1], starts[k:], strict=True))
+    return np.unique(np.fromiter(hashes, np.uint64, len(words) - k + 1))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), 7)
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each band; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        np.minimum(low, (_FACTORS * hashes[at : at + CHUNK] + _ADDENDS).min(axis=1), out=low)
+    said = low.astype("<u8").tobytes()
+    return np.array([xxhash.xxh64_intdigest(said[8 * ROWS * i : 8 * ROWS * (i + 1)], i) for i in range(BANDS)], np.uint64)
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, node, n (shingles), keys of ``docs`` (doc_id, text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), size)
+                nodes.append(node_of(hashes))
+                sizes.append(len(hashes))
+                found.append(keys(hashes))
+            offsets = pa.array(np.r_[0, np.cumsum([len(k) for k in found])].astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, keys array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """node, shingles of ``docs`` (text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text.as_py(), size) for text in batch.column(0)]
+            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(offsets, flat)], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links among sets, each set linked once: a search that removes what it reaches."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(ids.max(initial=0) + 1, np.int32)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            mine = ids[starts[x] : starts[x + 1]]
+            fit = np.minimum(sizes[left], sizes[x]) >= similarity * np.maximum(sizes[left], sizes[x])
+            some = left[fit]
+            if not len(some):
+                continue
+            mark[mine] = 1
+            common = np.array([mark[ids[starts[y] : starts[y + 1]]].sum() for y in some])
+            mark[mine] = 0
+            near = common >= similarity * (sizes[some] + sizes[x] - common) - 1e-9
+            out += [(x, int(y)) for y in some[near]]
+            front += some[near].tolist()
+            left = np.setdiff1d(left, some[near], assume_unique=True)
+    return out
+
+
+def linked(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): links of the given similarity inside the candidate components (node, root, n)."""
+    sizes = candidates.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("many"))
+    mine = F.pmod(F.xxhash64("node"), F.col("many")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.least(mine, j) * F.col("many") + F.greatest(mine, j))
+    dealt = candidates.join(sizes, "root").withColumn("pair", F.explode(pairs)).select("root", "pair", "node").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        rows = [np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64) for s in table.column("shingles").combine_chunks()]
+        found = similar_pairs(rows, similarity)
+        a, b = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.table({"node": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("root", "pair").applyInArrow(run, "node bigint, root bigint")
+
+
+def with_roots(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("root").alias("node"), "root").distinct())
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, with all their columns.
+
+    Documents with the given similarity of their sets of ``size``-word shingles are linked, and links
+    make groups. A text of fewer words is one shingle; null and blank texts are one group. Rows
+    without an id all stay; rows that repeat an id have the same fate.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    texts = named.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    found = materialize(sketches(texts, size), "sketches")
+    distinct = materialize(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    buckets = distinct.select("node", F.explode("keys").alias("key"))
+    groups = materialize(buckets.groupBy("key").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    stars = join_counted(buckets, groups, "key", "rows").where("node <> root").select("node", "root")
+    loose = materialize(with_roots(components(stars)).join(distinct.select("node", "rep", "n"), "node"), "candidates")
+    wanted = loose.select(F.col("rep").alias("doc_id")).distinct()
+    sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["node"])
+    near = with_roots(components(linked(loose.select("node", "root", "n"), sets, similarity)))
+    member = near.join(distinct.select("node", "rep"), "node")
+    lowest = member.groupBy("root").agg(F.min("rep").alias("low"))
+    ids = member.join(lowest, "root").select("node", "low")
+    first = materialize(distinct.join(ids, "node", "left").select("node", F.coalesce("low", "rep").alias("low"), "copies"), "named")
+    kept = join_counted(found.select("doc_id", "node"), first, "node", "copies").where("doc_id = low").select(F.col("doc_id").alias("_kept")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
