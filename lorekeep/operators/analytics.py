@@ -471,12 +471,12 @@ def abstraction_nodes(groups: DataFrame, memories: DataFrame, now) -> DataFrame:
     )
 
 
-def optimized(memories: DataFrame, links: DataFrame, context_members: DataFrame, now, share: float = 0.1, most: int = 5, with_betweenness: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def optimized(memories: DataFrame, links: DataFrame, context_members: DataFrame, now, share: float = 0.1, most: int = 5, with_betweenness: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, links, context_members) without the most forgettable share, with a few abstractions.
 
     The best topic clusters (quality over 0.7) become abstraction memories that link to their members.
     """
-    scores = forgetting_scores(memories, links, context_members, now, with_betweenness=with_betweenness, rounds=10)
+    scores = forgetting_scores(memories, links, context_members, now, with_betweenness=with_betweenness)
     n = int(memories.count() * share)
     gone = materialize(scores.orderBy(F.desc("score"), "id").limit(n).select("id"), "gone")
     kept = materialize(memories.join(gone, "id", "left_anti"), "kept")
