@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. On pure ASCII text ``lower`` does the same and is faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -8,6 +8,11 @@ all fingerprints, picks the cheapest allocation; a threshold of -1 skips a part.
 put into its own bucket of each part and probes the buckets within t_i bits. Candidates are verified
 on all 64 bits. Buckets give star edges, never all pairs, and the components are found by large-star /
 small-star rounds (Kiveris et al. 2014).
+
+Pairs of a given shingle similarity differ in too many of 64 bits for any such bound: at a Jaccard
+similarity of 0.8 in 15 of 100. For them the fingerprint has several words of 64 bits. In each word the
+search runs as before, with the bound and the number of words at which the predicted share of missed
+pairs is small at the least cost; candidates are verified on two words and then on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import join_counted
+from lorekeep.llm.common import fresh_name, join_counted
+from lorekeep.llm.shingle_check import linked, node_of, shingle_sets, shingles
 from lorekeep.session import materialize
 
 BITS = 64
@@ -30,7 +36,10 @@ BITS = 64
 CHUNK = 1 << 16
 #: A bucket with more rows is compared in blocks of about this many.
 BLOCK = 20_000
-TRACKED = 1024
+#: Heavy buckets that are broadcast at most; more are joined by a shuffle.
+MOST_HEAVY = 50_000
+#: Words of the fingerprint for similarity search, and the share of pairs at the bound that may be missed.
+WORDS, MISS = 16, 0.002
 #: Costs of a row that is dealt to a bucket and of a comparison, in microseconds.
 ROW_COST, PAIR_COST = 2.0, 0.004
 
@@ -76,25 +85,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints, and for each pair of bits how many have both set (64 x 64)."""
+def bit_statistics(distinct: DataFrame, words: int = 1) -> tuple[int, np.ndarray]:
+    """The number of fingerprints, and for each pair of bits of a word how many have both set (words x 64 x 64).
+
+    The first column of ``distinct`` is a word or an array of words.
+    """
+    cells = words * BITS * BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS))
+        total = np.zeros((words, BITS, BITS))
         n = 0
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += bits.T @ bits
+            column = batch.column(0)
+            flat = column.flatten() if pa.types.is_list(column.type) else column
+            fps = flat.to_numpy(zero_copy_only=False).astype("<i8").reshape(batch.num_rows, words)
+            for k in range(words):
+                bits = np.unpackbits(np.ascontiguousarray(fps[:, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                total[k] += bits.T @ bits
             n += len(fps)
         both = np.append(total.reshape(-1), n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both), dtype=np.int32)), pa.array(both)], names=["cell", "n"])
 
-    got = distinct.select("fp").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(BITS * BITS + 1, np.int64)
+    got = distinct.select(distinct.columns[0]).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(cells + 1, np.int64)
     for row in got:
         flat[row["cell"]] = row["n"]
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
+    return int(flat[-1]), flat[:-1].reshape(words, BITS, BITS)
 
 
 def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
@@ -156,20 +172,24 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
 
 
-def _probes(part: int, base: Column, flips: Column) -> Column:
-    return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), base.bitwiseXOR(f).alias("key"), (f == 0).alias("own")))
+def bucket_rows(parts: list[tuple[list[int], int]], word: str = "fp", first: int = 0, more: tuple[str, ...] = ()) -> Column:
+    """The buckets (part, key, own, word, more) that a fingerprint stands in (own) and those that it probes, as an array.
 
-
-def bucket_rows(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, own, fp): the buckets a fingerprint stands in (own) and those that it probes."""
+    Parts are numbered from ``first`` on.
+    """
     arrays = []
-    for k, (bits, t) in enumerate(parts):
+    for k, (bits, t) in enumerate(parts, first):
         mask = _signed(sum(1 << b for b in bits))
         flips = [sum(1 << b for b in some) for j in range(t + 1) for some in itertools.combinations(bits, j)]
-        base = F.col("fp").bitwiseAND(F.lit(mask).cast("bigint"))
+        base = F.expr(word).bitwiseAND(F.lit(mask).cast("bigint"))
         flip = F.array(*[F.lit(_signed(x)).cast("bigint") for x in flips])
-        arrays.append(_probes(k, base, flip))
-    return distinct.select("fp", F.explode(F.concat(*arrays)).alias("b")).select("b.part", "b.key", "b.own", "fp")
+        arrays.append(_probes(k, base, flip, word, more))
+    return F.concat(*arrays)
+
+
+def _probes(part: int, base: Column, flips: Column, word: str, more: tuple[str, ...]) -> Column:
+    codes = [F.expr(x).alias(name) for x, name in zip((word, *more), "ab", strict=False)]
+    return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), base.bitwiseXOR(f).alias("key"), (f == 0).alias("own"), *codes))
 
 
 def _minima(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,30 +212,31 @@ def _minima(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _large_bucket(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links of one bucket, each fingerprint linked once: a search that removes what it reaches."""
-    left, a, b = fps, [], []
+def _large_bucket(ids: np.ndarray, codes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of one bucket, each node linked once: a search that removes what it reaches."""
+    _, first = np.unique(ids, return_index=True)
+    left, a, b = first, [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            near = np.bitwise_count(codes[left] ^ codes[x]).sum(axis=1) <= distance
             if near.any():
                 hit = left[near]
                 left = left[~near]
                 front.extend(hit)
-                a.append(np.full(len(hit), x))
-                b.append(hit)
+                a.append(np.full(len(hit), ids[x]))
+                b.append(ids[hit])
     return a, b
 
 
-def _links(group: np.ndarray, fps: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows of the same group; ``group`` is sorted."""
+def _links(group: np.ndarray, ids: np.ndarray, codes: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows of the same group; ``group`` is sorted, ``codes`` has a row of words for each id."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        x, y = _large_bucket(np.unique(fps[s : s + n]), distance)
+        x, y = _large_bucket(ids[s : s + n], codes[s : s + n], distance)
         a += x
         b += y
     rest = np.repeat(sizes <= small, sizes)
@@ -224,28 +245,30 @@ def _links(group: np.ndarray, fps: np.ndarray, distance: int, small: int = 48) -
         at = np.flatnonzero(rest & (left_in > step))
         if not len(at):
             break
-        x, y = fps[at], fps[at + step]
-        near = (np.bitwise_count(x ^ y) <= distance) & (x != y)
-        a.append(x[near])
-        b.append(y[near])
+        near = (np.bitwise_count(codes[at] ^ codes[at + step]).sum(axis=1) <= distance) & (ids[at] != ids[at + step])
+        a.append(ids[at][near])
+        b.append(ids[at + step][near])
     return np.concatenate(a), np.concatenate(b)
 
 
-def star_edges(buckets: DataFrame, distance: int) -> DataFrame:
-    """(node, root): in each bucket, every linked fingerprint with the smallest that it reaches there.
+def star_edges(buckets: DataFrame, codes: list[str], distance: int) -> DataFrame:
+    """(node, root): in each bucket, every linked node with the smallest that it reaches there.
 
-    Buckets stream through the tasks in sorted order, so a task holds one batch and the bucket at its
-    end. Rows of the same bucket are compared on all bits; a link is a link whichever of its buckets
-    shows it, so own and probing rows needn't be told apart but for buckets that no fingerprint owns.
+    ``buckets`` has part, key, own, node and the words ``codes``. Buckets stream through the tasks in
+    sorted order, so a task holds one batch and the bucket at its end. Rows of the same bucket are
+    compared on all words; a link is a link whichever of its buckets shows it, so own and probing rows
+    needn't be told apart but for buckets that no node owns. A bucket of over ``BLOCK`` rows is dealt
+    into blocks, each pair of which is a bucket of its own.
     """
     heavy = heavy_buckets(buckets)
+    near = F.broadcast(heavy) if heavy.count() <= MOST_HEAVY else heavy
     many = F.coalesce(F.col("_blocks"), F.lit(1))
-    mine = F.pmod(F.xxhash64("fp"), many).cast("int")
+    mine = F.pmod(F.xxhash64("node"), many).cast("int")
     others = F.transform(F.sequence(F.lit(0), many - 1), lambda j: F.least(mine, j) * many + F.greatest(mine, j))
     keyed = (
-        buckets.join(F.broadcast(heavy), ["part", "key"], "left")
+        buckets.join(near, ["part", "key"], "left")
         .withColumn("pair", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(others)))
-        .select("part", "key", "pair", "own", "fp")
+        .select("part", "key", "pair", "own", "node", *codes)
     )
     dealt = keyed.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
 
@@ -254,23 +277,23 @@ def star_edges(buckets: DataFrame, distance: int) -> DataFrame:
         serial = 0  # of the last row's group
         last = None
 
-        def done(group: np.ndarray, own: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        def done(group: np.ndarray, own: np.ndarray, ids: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
             _, at = np.unique(group, return_inverse=True)
             real = (np.bincount(at, own) > 0) & (np.bincount(at) > 1)
             use = real[at]
-            node, root = _minima(*_links(group[use], fps[use], distance))
+            node, root = _minima(*_links(group[use], ids[use], np.stack(words, axis=1)[use], distance))
             return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(root.view(np.int64))], names=["node", "root"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, key, pair, own, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part, key, pair, own, *longs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             new = np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]
             new[0] = (part[0], key[0], pair[0]) != last
             last = (part[-1], key[-1], pair[-1])
             group = serial + np.cumsum(new)
             serial = int(group[-1])
-            now = [group, own.astype(np.float64), fp.astype(np.int64).view(np.uint64)]
+            now = [group, own.astype(np.float64), *[x.astype(np.int64).view(np.uint64) for x in longs]]
             rest = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest else now
             whole = rest[0] < serial
             if whole.sum() >= 50_000:
@@ -283,15 +306,9 @@ def star_edges(buckets: DataFrame, distance: int) -> DataFrame:
 
 
 def heavy_buckets(buckets: DataFrame) -> DataFrame:
-    """(part, key, _blocks) of buckets with over ``BLOCK`` rows; at most ``TRACKED`` rows."""
-    owned = buckets.select(F.concat_ws(":", "part", "key").alias("bucket"))
-    top = owned.agg(F.expr(f"approx_top_k(bucket, {TRACKED}, {TRACKED})").alias("t")).select(F.explode("t").alias("t"))
-    found = top.where(F.col("t.count") > BLOCK).select(
-        F.split("t.item", ":")[0].cast("int").alias("part"),
-        F.split("t.item", ":")[1].cast("bigint").alias("key"),
-        F.ceil(F.col("t.count") / BLOCK).cast("int").alias("_blocks"),
-    )
-    return materialize(found, "heavy_buckets")
+    """(part, key, _blocks) of all buckets with over ``BLOCK`` rows, by an exact count."""
+    counted = buckets.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    return materialize(counted.select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")), "heavy_buckets")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -332,30 +349,146 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "distinct")
     n, both = bit_statistics(distinct)
-    if n < 2:
+    if n < 2:  # no other fingerprint to be near to
         named = distinct.select("fp", F.col("rep").alias("component_id"), "copies")
     else:
-        _, parts = allocate(both, n, distance)
-        linked = components(star_edges(bucket_rows(distinct, parts), distance))
-        # linked fingerprints, roots included, with the smallest id of their component
-        roots = linked.select(F.col("root").alias("node"), "root").distinct()
-        member = linked.unionByName(roots).join(distinct.select(F.col("fp").alias("node"), "rep"), "node")
-        lowest = member.groupBy("root").agg(F.min("rep").alias("low"))
-        ids = member.join(lowest, "root").select(F.col("node").alias("fp"), "low")
-        named = distinct.join(ids, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "copies")
+        _, parts = allocate(both[0], n, distance)
+        buckets = distinct.select(F.col("fp").alias("node"), F.explode(bucket_rows(parts)).alias("b")).select("node", "b.*")
+        ids = _lowest(components(star_edges(buckets, ["a"], distance)), distinct.select(F.col("fp").alias("node"), "rep"))
+        named = distinct.join(ids.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "copies")
     named = materialize(named, "named")
     met = join_counted(fps, named, "fp", "copies")
     return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` that name their group, with all their columns: one document of each group.
+def _lowest(linked_: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, low): every node of some components (node, root), roots included, with the smallest ``rep`` of its component."""
+    roots = linked_.select(F.col("root").alias("node"), "root").distinct()
+    member = linked_.unionByName(roots).join(reps, "node")
+    return member.join(member.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", "low")
+
+
+# pairs of a shingle similarity
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_simhash(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The words of the fingerprint of a set of shingle hashes; a bit is 1 if set in over half of them."""
+    counts = np.zeros(words * BITS, np.int64)
+    for at in range(0, len(hashes), 255):  # the counts of so many fit a byte
+        mixed = _mix64(hashes[at : at + 255, None] + _STEPS[:words])
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, node (of the shingle set), n (its size), fp (the words) of ``docs`` (doc_id, text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text.as_py(), size) for text in batch.column(1)]
+            nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            words = np.concatenate([np.zeros(0, np.uint64), *map(wide_simhash, sets)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * WORDS, pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "node", "n", "fp"])
+
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, fp array<bigint>")
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which two sets of equal size and a Jaccard similarity differ: their angle over pi."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def missed(parts: list[tuple[list[int], int]], share: float) -> float:
+    """The chance that a word shows a pair that differs in ``share`` of its bits in none of its parts."""
+    out = 1.0
+    for bits, t in parts:
+        w = len(bits)
+        out *= 1 - sum(math.comb(w, j) * share**j * (1 - share) ** (w - j) for j in range(t + 1))
+    return out
+
+
+def plan_search(both: np.ndarray, n: int, similarity: float, miss: float = MISS) -> list[list[tuple[list[int], int]]]:
+    """The parts and thresholds of each word that is searched, cheapest for a predicted share of ``miss``.
+
+    The bound of a word and the number of words go together: a low bound has few candidates and needs
+    more words. Each word has the parts that its own bits ask for.
+    """
+    share, best = differing(similarity), (math.inf, 0, 1)
+    for distance in range(2, 9):
+        cost, parts = allocate(both[0], n, distance)
+        words = math.ceil(math.log(miss) / math.log(missed(parts, share)))
+        if words <= len(both):
+            best = min(best, (cost * words, distance, words))
+    _, distance, words = best
+    return [allocate(both[k], n, distance)[1] for k in range(words)]
+
+
+def close_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): candidates among ``distinct`` (node, fp), as star edges of the buckets of all words."""
+    n, both = bit_statistics(distinct.select("fp"), WORDS)
+    if n < 2:
+        return distinct.select("node", F.col("node").alias("root")).where("false")
+    arrays, first = [], 0
+    for k, parts in enumerate(plan_search(both, n, similarity)):
+        arrays.append(bucket_rows(parts, f"fp[{k}]", first, (f"fp[{(k + 1) % WORDS}]",)))
+        first += len(parts)
+    buckets = distinct.select("node", F.explode(F.concat(*arrays)).alias("b")).select("node", "b.*")
+    bits, share = 2 * BITS, differing(similarity)
+    far = round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share)))  # few pairs are farther, and by chance none is as near
+    return star_edges(buckets, ["a", "b"], far)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: doc_id, component_id, the smallest id of its group.
+
+    Documents are linked if their sets of ``size``-word shingles have a Jaccard similarity of
+    ``similarity`` or more, and links make groups. A text of fewer words is one shingle; null and blank
+    texts are one group. Candidates come from SimHash fingerprints, by which ``MISS`` of the pairs at
+    the very bound are missed by the formula and fewer above; what is linked has the similarity. Null
+    ids have a place in a group but never name one, unless it has no other. An empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    found = materialize(sketches(texts, size), "sketches")
+    distinct = materialize(
+        found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct"
+    )
+    loose = components(close_pairs(distinct, similarity))
+    roots = loose.select(F.col("root").alias("node"), "root").distinct()
+    loose = materialize(loose.unionByName(roots).join(distinct.select("node", "rep", "n"), "node"), "candidates")
+    sets = shingle_sets(_of_nodes(texts, loose), size).dropDuplicates(["node"])
+    ids = _lowest(components(linked(loose.select("node", "root", "n"), sets, similarity)), distinct.select("node", "rep"))
+    first = materialize(distinct.join(ids, "node", "left").select("node", F.coalesce("low", "rep").alias("low"), "copies"), "named")
+    return join_counted(found.select("doc_id", "node"), first, "node", "copies").select("doc_id", F.col("low").alias("component_id"))
+
+
+def _of_nodes(texts: DataFrame, loose: DataFrame) -> DataFrame:
+    """Texts of the candidates: one id for each node is enough, null ids are looked at whole."""
+    wanted = loose.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    named = texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi")
+    return named.unionByName(texts.where("doc_id is null"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that name their group in :func:`similar_groups`, with all their columns: one document of each.
 
     Rows without an id can't be told apart afterwards and all stay; rows that repeat an id have the
     same fate.
     """
-    groups = near_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, distance)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = fresh_name(docs, "kept")
+    firsts = similar_groups(named, id_col, text_col, size, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return named.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
+    left = named.join(firsts, F.col(id_col) == F.col(kept), "left_semi")
+    return left.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
