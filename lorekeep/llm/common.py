@@ -38,13 +38,13 @@ def heavy_values(df: DataFrame, column: str, tracked: int) -> DataFrame:
     return top.select(F.explode("_top").alias("_t")).select(F.col("_t.item").alias(column))
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, many: int = 1000, most: int = 50_000) -> DataFrame:
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, many: int = 1000, most: int = 50_000, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``groups`` (one row a key, and how many rows it has), without hot tasks.
 
     Keys with over ``many`` rows, at most ``most`` of them, are joined by broadcast; the bound of the
     broadcast is a number of rows. Where more keys are as frequent, the floor rises until the bound holds,
     and no key below it has more than a ``most``-th of all rows. The others are joined by a shuffle.
-    ``groups`` must be cheap to read again.
+    ``groups`` must be cheap to read again. With ``how="left"`` rows of other keys stay.
     """
     frequent = groups.where(F.col(count) > many)
     found, floor = frequent.count(), many
@@ -53,7 +53,7 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, count: str, many:
         frequent = groups.where(F.col(count) > floor)
         found = frequent.count()
     if not found:
-        return rows.join(groups, key)
+        return rows.join(groups, key, how)
     rare = groups.where(F.col(count) <= floor)
     near = F.broadcast(frequent)
-    return rows.join(near, key).unionByName(rows.join(near, key, "left_anti").join(rare, key))
+    return rows.join(near, key).unionByName(rows.join(near, key, "left_anti").join(rare, key, how))

@@ -3,15 +3,15 @@
 A frequent-items sketch (Misra-Gries family) names the digests that may fill a large share of the
 rows. Their exact sizes and winners are counted with map-side combination, which leaves at most
 ``tracked`` rows, and are broadcast: copies of these texts are settled where they are read. All other
-digests are settled by one ordinary shuffle, in which no group can be large.
+digests are shuffled; their groups are counted with map-side combination, so that no task holds a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import heavy_values, lower_ascii
+from lorekeep.llm.common import fresh_name, heavy_values, join_counted, lower_ascii
 from lorekeep.session import materialize
 
 TRACKED = 1024
@@ -39,10 +39,12 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _groups(rows: DataFrame, winners: DataFrame) -> DataFrame:
     frequent = rows.join(F.broadcast(winners), "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    others = rows.join(F.broadcast(winners), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
+    others = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
+    size = F.count(F.lit(1))
+    groups = others.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), size.alias("group_size")).where("group_size > 1")
+    met = join_counted(others, materialize(groups, "groups"), "text_sha256", "group_size", how="left")
+    single = F.col("group_size").isNull()
+    others = met.select("text_sha256", "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return frequent.select(*columns).unionByName(others.select(*columns))
 
@@ -65,12 +67,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Copies of frequent texts go before any shuffle; the others are found by id and digest. Where
     rows repeat an id and its text, one of them stays.
     """
+    key, sha, best, frequent = (fresh_name(docs, x) for x in ("key", "sha", "best", "frequent"))
     rows = _digests(docs, id_col, text_col)
     winners = _winners(rows, tracked)
-    key = lambda i, sha: F.concat_ws(":", sha, i.cast("string"))
-    kept = _groups(rows, winners).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    marked = docs.withColumn("_sha", text_digest(F.col(text_col))).withColumn("_key", key(F.col(id_col), F.col("_sha")))
-    best = winners.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_best"), F.lit(True).alias("_frequent"))
-    first = marked.join(F.broadcast(best), "_sha", "left").where(F.col("_frequent").isNull() | F.col(id_col).eqNullSafe(F.col("_best")))
-    left = first.select(*[F.col(f"`{c}`") for c in docs.columns], "_key").join(kept, "_key", "left_semi")
-    return left.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = lambda i, digest: F.concat_ws(":", digest, i.cast("string"))
+    kept = _groups(rows, winners).where("kept").select(place(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(sha, text_digest(F.col(text_col))).withColumn(key, place(F.col(id_col), F.col(sha)))
+    first = winners.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(best), F.lit(True).alias(frequent))
+    left = marked.join(F.broadcast(first), sha, "left").where(F.col(frequent).isNull() | F.col(id_col).eqNullSafe(F.col(best)))
+    return left.select(*columns, key).join(kept, key, "left_semi").dropDuplicates([key]).select(*columns)

@@ -96,33 +96,26 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE text IS NOT NULL
-), placed AS (
-  SELECT doc_id, unit, line,
-    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start"
-  FROM lines
-), broken AS (
-  SELECT doc_id, unit, "start" AS line_start, string_split(regexp_replace(line, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS said FROM placed
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS said FROM documents WHERE text IS NOT NULL
 ), parts AS (
-  SELECT doc_id, unit, line_start, unnest(said) AS line, generate_subscripts(said, 1) AS part FROM broken WHERE len(said) > 1
-), sentences AS (
-  SELECT doc_id, unit, part, line, CAST(line_start + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, unit ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start"
+  SELECT doc_id, unnest(said) AS part, generate_subscripts(said, 1) AS place FROM cut
+), placed AS (
+  SELECT doc_id, place, regexp_extract_all(lower(part), '\\S+') AS words, length(part) AS chars,
+    CAST(coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start"
   FROM parts
 ), units AS (
-  SELECT doc_id, unit, part, "start", "start" + length(line) AS "end", regexp_extract_all(lower(line), '\\S+') AS words
-  FROM (SELECT doc_id, unit, 0 AS part, line, "start" FROM placed UNION ALL SELECT doc_id, unit, part, line, "start" FROM sentences)
-), kept AS (
-  SELECT *, array_to_string(words, ' ') AS said FROM units WHERE len(words) >= {substring_dedup.MIN_WORDS}
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS unit, "start", "start" + chars AS "end", len(words) AS n_words, array_to_string(words, ' ') AS said
+  FROM placed WHERE len(words) > 0
 ), ranked AS (
-  SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, first_value(part) OVER w AS keep_part,
-    count(*) OVER (PARTITION BY said) AS copies
-  FROM kept WINDOW w AS (PARTITION BY said ORDER BY doc_id, unit, part)
-), goes AS (
-  SELECT *, min(part) OVER (PARTITION BY doc_id, unit) AS first_part FROM ranked WHERE nth > 1
+  SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, count(*) OVER (PARTITION BY said) AS copies
+  FROM units WINDOW w AS (PARTITION BY said ORDER BY doc_id, unit)
+), runs AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE nth > 1
+), summed AS (
+  SELECT *, CAST(sum(n_words) OVER (PARTITION BY doc_id, run) AS BIGINT) AS run_words FROM runs
 )
-SELECT doc_id, unit, part, "start", "end", len(words) AS n_words, keep_doc_id, keep_unit, keep_part, copies FROM goes WHERE part = 0 OR first_part > 0
+SELECT doc_id, unit, "start", "end", n_words, run_words, keep_doc_id, keep_unit, copies FROM summed WHERE run_words >= {substring_dedup.RUN_WORDS}
 """
 
 

@@ -1,13 +1,12 @@
 """Substring deduplication by line hashing.
 
-Documents are cut into lines, lines are normalised and hashed, and the digests are grouped over the
-whole corpus. The earliest occurrence (smallest id, then smallest line number) of each digest stays; the
-others are removed, and their offsets in the original text are kept. A line of several sentences is
-hashed whole and by sentence, so that a passage is found where its lines were joined or broken anew; the
-sentences count if the line stays. The earliest occurrence of a sentence never stands in a line that
-goes, so nothing is lost from the corpus. Digests are counted with map-side
-combination, so that a line that a third of all documents share is no large group, and occurrences of
-very frequent lines meet their winner by broadcast.
+Documents are cut into lines, and lines at the ends of sentences, so that a passage is found where its
+lines were joined or broken anew. Every unit is normalised and hashed, whatever its length, and the
+digests are grouped over the whole corpus. The earliest occurrence (smallest id, then place) of each
+digest stays. The others repeat; short ones do so by chance in ordinary text, so a repeat goes if the
+stretch of neighbouring repeats in which it stands has a number of words. Offsets in the original text
+are kept. Digests are counted with map-side combination, so that a line that a third of all documents
+share is no large group, and occurrences of very frequent units meet their winner by broadcast.
 """
 
 from __future__ import annotations
@@ -20,85 +19,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import join_counted
+from lorekeep.llm.common import fresh_name, join_counted
 from lorekeep.session import materialize
 
-#: Shorter lines ("Yes.") repeat by chance and are part of ordinary text.
-MIN_WORDS = 8
-#: The space after the end of a sentence.
-BREAK = re.compile(r"(?<=[.!?]) ")
+#: A stretch of repeats with fewer words stays: such lines repeat by chance and are part of ordinary text.
+RUN_WORDS = 20
+#: A line break, or the space after the end of a sentence.
+BREAK = re.compile(r"\n|(?<=[.!?]) ")
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines and sentences of at least ``min_words`` words: doc_id, unit, part, start, end, n_words, digest (16 bytes).
+def units(rows: DataFrame) -> DataFrame:
+    """row, doc_id, unit, start, end, n_words, digest (16 bytes) of ``rows`` (row, doc_id, text).
 
-    unit is the line's number and part that of the sentence from 1 on, 0 for the whole line; lines of
-    one sentence have no parts. start and end are code points of the text. A unit is normalised by
-    lower case and single spaces.
+    unit counts the document's units that have a word, from 0; start and end are code points of the
+    text. A unit is normalised by lower case and single spaces.
     """
-    names = ["doc_id", "unit", "part", "start", "end", "n_words", "digest"]
+    names = ["row", "doc_id", "unit", "start", "end", "n_words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = hashlib.md5
         for batch in batches:
-            rows, of = [], []
-
-            def add(i: int, unit: int, part: int, at: int, said: str, rows: list = rows, of: list = of) -> int:
-                words = said.lower().split()
-                if len(words) >= min_words:
-                    of.append(i)
-                    rows.append((unit, part, at, at + len(said), len(words), hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
-                return len(words)
-
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                at = 0
-                for unit, line in enumerate((text or "").split("\n")):
-                    if add(i, unit, 0, at, line) > min_words:
-                        inner, sentences = at, BREAK.split(line)
-                        for part, sentence in enumerate(sentences if len(sentences) > 1 else (), 1):
-                            add(i, unit, part, inner, sentence)
-                            inner += len(sentence) + 1
-                    at += len(line) + 1
-            *longs, digests = zip(*rows, strict=True) if rows else ([],) * 6
-            ids = batch.column(0).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in longs], pa.array(digests, pa.binary())], names=names)
-
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, unit bigint, part bigint, start bigint, end bigint, n_words bigint, digest binary")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line or sentence that goes: doc_id, unit, part, start, end, n_words, keep_doc_id, keep_unit, keep_part, copies.
-
-    part is 0 for a line; sentences of a line that goes aren't listed. copies counts all occurrences,
-    the one that stays included. Repeats inside a document count too. A null id ranks behind all
-    others. Where rows repeat an id, equal units at equal places are told apart by nothing and share
-    their fate. Null and empty texts have no lines.
-    """
-    found = materialize(units(docs, id_col, text_col, min_words), "units")
-    place = ("doc_id", "unit", "part")
+            found, of = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                at = unit = 0
+                for said in BREAK.split(text or ""):
+                    end = at + len(said)
+                    words = said.lower().split()
+                    if words:
+                        of.append(i)
+                        found.append((unit, at, end, len(words), md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
+                        unit += 1
+                    at = end + 1
+            *longs, digests = zip(*found, strict=True) if found else ([],) * 5
+            at_rows = pa.array(of, pa.int64())
+            ids = [batch.column(k).take(at_rows) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x, pa.int64()) for x in longs], pa.array(digests, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, digest binary")
+
+
+def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
+    """The units of ``rows`` (row, doc_id, text) that go, with their row."""
+    found = materialize(units(rows), "units")
+    place = ("doc_id", "row", "unit")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), *[F.col(c).alias(f"keep_{c}") for c in place])
     groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     groups = materialize(groups.select("digest", *[f"first.keep_{c}" for c in place], "copies"), "groups")
-    met = join_counted(found, groups, "digest", "copies")
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("unit") == F.col("keep_unit")) & (F.col("part") == F.col("keep_part"))
-    whole = F.min("part").over(Window.partitionBy("doc_id", "unit"))
-    goes = met.where(~stays).withColumn("_first", whole).where("part = 0 OR _first > 0")
-    return goes.select(*place, "start", "end", "n_words", *[f"keep_{c}" for c in place], "copies")
+    again = join_counted(found, groups, "digest", "copies").where("row <> keep_row OR unit <> keep_unit")
+    # neighbours have the same difference of their number and their rank among the repeats
+    of_row = Window.partitionBy("row").orderBy("unit")
+    runs = again.withColumn("run", F.col("unit") - F.row_number().over(of_row))
+    return runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run"))).where(F.col("run_words") >= run_words)
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """One row for each unit that goes: doc_id, unit, start, end, n_words, run_words, keep_doc_id, keep_unit, copies.
+
+    run_words counts the words of the stretch that it goes with, copies all occurrences of the unit,
+    the one that stays included. Repeats inside a document count too. Rows are documents of their own,
+    also where their id is null or repeated: null ids rank behind all others, equal ids in the order
+    in which they are read. Null and empty texts have no units, and an empty table gives no rows; other
+    columns are ignored, whatever their names. ``run_words=1`` takes out every repeat.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _repeats(rows, run_words).select("doc_id", "unit", "start", "end", "n_words", "run_words", "keep_doc_id", "keep_unit", "copies")
 
 
-def remove_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with what :func:`repeated_lines` lists cut out, and ``removed`` (array of start, end, in order).
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with what :func:`repeated_lines` finds cut out, and what was removed (array of start, end, in order).
 
-    The break or space behind a removed stretch goes with it.
+    The break or space behind a removed unit goes with it. The array is the last column, ``removed`` or,
+    if there is such a column, that name with as many underscores as make it new.
     """
-    spans = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    row, spans, removed = fresh_name(docs, "row"), fresh_name(docs, "spans"), fresh_name(docs, "removed")
+    text = F.col(f"`{text_col}`")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = _repeats(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), text.cast("string").alias("text")), run_words)
+    of_row = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    met = docs.drop("removed").join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("removed", F.coalesce("_spans", none)).drop("_id", "_spans")
-    text = F.col(text_col)
+    met = numbered.join(of_row, row, "left").withColumn(removed, F.coalesce(spans, none))
     # between the spans: from the end of one, past its line break, to the start of the next
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("removed", lambda s: s["end"] + 1))
-    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.char_length(text).cast("bigint") + 1))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(removed, lambda s: s["end"] + 1))
+    ends = F.concat(F.transform(removed, lambda s: s["start"]), F.array(F.char_length(text).cast("bigint") + 1))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substring(F.concat(text, F.lit("\n")), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
     joined = F.array_join(pieces, "")
     cut = F.when(F.endswith(joined, F.lit("\n")), F.substring(joined, F.lit(1), F.char_length(joined) - 1)).otherwise(joined)
-    return met.withColumn(text_col, F.when(text.isNull() | (F.size("removed") == 0), text).otherwise(cut))
+    left = met.withColumn(text_col, F.when(text.isNull() | (F.size(removed) == 0), text).otherwise(cut))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns], removed)
