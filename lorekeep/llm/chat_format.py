@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.llm.common import fresh_name
+
 TURN = T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
 
 START, END = "<|turn_start|>", "<|turn_end|>\n"
@@ -65,18 +67,26 @@ def record_schema(layouts: tuple[Layout, ...] = LAYOUTS) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in sorted(out.items())])
 
 
-def _present(df: DataFrame, layouts: tuple[Layout, ...]) -> Column:
-    """The paths, among those of the layouts, that a row fills."""
-    known = {path for layout in layouts for path in layout.paths()}
-    parts = []
-    for path in sorted(known):
+def _readable(df: DataFrame, layouts: tuple[Layout, ...]) -> list[tuple[str, str, str]]:
+    """(path, column, leaf) of the paths of the layouts that the table has, with a fitting type."""
+    out = []
+    for path in sorted({path for layout in layouts for path in layout.paths()}):
         top, _, leaf = path.partition("[].")
         kind = df.schema[top].dataType if top in df.columns else None
-        if leaf and not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and leaf in kind.elementType.names):
-            continue
-        if kind is None or not leaf and not isinstance(kind, T.StringType):
-            continue
-        parts.append(F.when(F.col(f"`{top}`").isNotNull(), F.lit(path)))
+        nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and leaf in kind.elementType.names
+        if nested if leaf else isinstance(kind, T.StringType):
+            out.append((path, top, leaf))
+    return out
+
+
+def _present(df: DataFrame, layouts: tuple[Layout, ...]) -> Column:
+    """The paths, among those of the layouts, that a row fills; a nested one counts if any element fills it."""
+    parts = []
+    for path, top, leaf in _readable(df, layouts):
+        column = F.col(f"`{top}`")
+        # an element that fills the leaf, or a list that has no elements to judge by
+        filled = (F.size(column) == 0) | (F.size(F.array_compact(column[leaf])) > 0) if leaf else F.lit(True)
+        parts.append(F.when(column.isNotNull() & filled, F.lit(path)))
     if not parts:
         return F.array().cast("array<string>")
     return F.array_compact(F.array(*parts))
@@ -103,18 +113,19 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
     """Add ``layout`` (string) and ``turns`` (array of role, text) to each record.
 
     A record that fills the fields of no layout, or of several at once, has a null layout and null
-    turns. Null roles and texts become empty; an empty list gives no turns. Further columns pass
-    through; a column named layout or turns is replaced.
+    turns. Null roles and texts become empty, but a list in which every role or every text is null
+    doesn't fill that field; an empty list gives no turns. Further columns pass through, whatever their
+    names; a column named layout or turns is replaced. An empty table gives no rows.
     """
-    have = {path for layout in layouts for path in layout.paths() if path.partition("[].")[0] in df.columns}
+    have = {path for path, _, _ in _readable(df, layouts)}
     usable = [x for x in layouts if set(x.paths()) <= have]
-    mark = fingerprint(df, layouts)
+    held = fresh_name(df, "mark")
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(T.ArrayType(TURN))
     for layout in usable:
-        selected = F.col("_mark") == F.xxhash64(F.lit("|".join(layout.paths())))
+        selected = F.col(held) == F.xxhash64(F.lit("|".join(layout.paths())))
         name = F.when(selected, F.lit(layout.name)).otherwise(name)
         turns = F.when(selected, _turns(layout)).otherwise(turns)
-    return df.withColumn("_mark", mark).withColumns({"layout": name, "turns": turns}).drop("_mark")
+    return df.withColumn(held, fingerprint(df, layouts)).withColumns({"layout": name, "turns": turns}).drop(held)
 
 
 def escape(text: Column) -> Column:
@@ -138,14 +149,16 @@ def format_turns(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
     """Add ``formatted`` (string) and ``loss_mask`` (array of start, length in code points).
 
     The mask covers the escaped text of every turn whose role is in ``learn``, in order. Null turns
-    give a null string and mask; no turns give an empty string.
+    give a null string and mask; no turns give an empty string. Further columns pass through, whatever
+    their names; a column named formatted or loss_mask is replaced.
     """
     head = lambda t: F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))
     written = F.transform(
         F.col("turns"),
         lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), t["role"].isin(*learn).alias("learn")),
     )
-    parts = F.transform(F.col("_written"), lambda w: F.concat(w["head"], w["body"], F.lit(END)))
+    held = fresh_name(df, "written")
+    parts = F.transform(F.col(held), lambda w: F.concat(w["head"], w["body"], F.lit(END)))
     span = "struct<start:bigint,length:bigint>"
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
@@ -156,9 +169,9 @@ def format_turns(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
         return F.struct((start + size + len(END)).alias("at"), F.when(w["learn"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
     return (
-        df.withColumn("_written", written)
-        .withColumns({"formatted": F.array_join(parts, ""), "loss_mask": F.aggregate("_written", zero, step)["spans"]})
-        .drop("_written")
+        df.withColumn(held, written)
+        .withColumns({"formatted": F.array_join(parts, ""), "loss_mask": F.aggregate(held, zero, step)["spans"]})
+        .drop(held)
     )
 
 

@@ -20,7 +20,7 @@ from lorekeep.session import materialize
 
 Q, RATE = 10, 0.08
 #: Characters of items in one index, and of texts that are searched at once.
-INDEX_CHARS, SLICE_CHARS = 2_000_000, 200_000
+INDEX_CHARS, SLICE_CHARS = 8_000_000, 200_000
 _BETWEEN = 0x110000  # stands between texts, is no code point
 _BITS = 22
 
@@ -80,7 +80,7 @@ def _qgrams(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of some items, sorted by hash."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     edits: np.ndarray  # k of each item
     bound: np.ndarray  # q-grams that a band must share
@@ -97,8 +97,8 @@ class Index:
         edits = np.maximum(0, np.minimum((rate * m).astype(np.int64), (m - q) // q))
         grams = [_qgrams(c, q) for c in codes]
         hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+        item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(g), dtype=np.int32) for g in grams]])
         order = np.argsort(hashes, kind="stable")
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -114,7 +114,7 @@ class Index:
         if not len(at):
             return []
         flat = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item = self.item[flat]
+        item = self.item[flat].astype(np.int64)
         # an item with fewer hits than its bound in the whole slice is out; most hits go here
         enough = np.bincount(item, minlength=len(self.ids)) >= self.bound
         some = enough[item]
@@ -189,7 +189,7 @@ def banded(pattern: np.ndarray, codes: np.ndarray, first: int, last: int, at: in
     return first + len(pattern) + best, int(row[best])
 
 
-def _search(texts: list[tuple[int, str]], index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+def _search(texts: list[tuple[int, str]], index: Index) -> Iterator[tuple[int, int | None, int, int, int]]:
     """(row, item id, start, end, edits) for some texts that are searched together."""
     overlap = max((len(c) for c in index.items), default=0) * 2 + 64
     parts: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -229,7 +229,9 @@ def contaminated(
 
     A passage matches if the item (white space trimmed and folded, lower case) becomes the passage by
     at most rate * length edits, or fewer where the q-gram bound would vanish; start and end are code
-    points of the original text. Items of fewer than q characters match nothing, nor do null texts.
+    points of the original text. Items of fewer than q characters match nothing, nor do null texts;
+    an item without an id is found like any other, and items that repeat an id and a passage count once.
+    Null document ids pass through. Other columns are ignored, whatever their names.
     The benchmark is indexed in blocks of ``INDEX_CHARS`` characters, each of which is broadcast and
     held against all documents, so that its size has no limit. An empty side gives no rows.
     """
@@ -241,7 +243,8 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = sorted(set(_search([(i, x.as_py()) for i, x in enumerate(batch.column(1)) if x.is_valid], shared.value)))
+                hits = set(_search([(i, x.as_py()) for i, x in enumerate(batch.column(1)) if x.is_valid], shared.value))
+                hits = sorted(hits, key=lambda h: (h[0], h[1] is None, h[1] or 0, h[2:]))
                 rows, *rest = zip(*hits, strict=True) if hits else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], names=["doc_id", "item_id", "start", "end", "edits"]

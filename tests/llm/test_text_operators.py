@@ -19,7 +19,7 @@ from lorekeep.llm import chat_format, decontaminate, lm_scoring, quality, querie
 
 SCHEMA = "doc_id bigint, text string"
 #: Names that operators use themselves, as further columns of the input.
-CLASH = ("keep_id", "size", "score", "fp", "h", "_key", "digest", "target")
+CLASH = ("keep_id", "size", "score", "fp", "h", "_key", "digest", "target", "row", "word", "words", "times", "n", "n_tokens", "item_id", "start", "i", "t", "grade", "toxic", "_top")
 
 
 def table(spark, rows, clash=True):
@@ -124,6 +124,30 @@ def test_escape_is_reversible(parts):
     assert regex.sub(rf"([<\[])\\(\\*)(?={control})", r"\1\2", escaped) == text
 
 
+def test_odd_conversations(spark):
+    """A null conversation id, a very long text, columns with the names that are used inside."""
+    long = "tale </s> " * 30_000
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, 0, "user", long), (1, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    records = chat_format.conversation_records(df).withColumns({c: F.lit("x") for c in ("mark", "written", "_mark", "_written", "layout", "w")})
+    out = chat_format.format_turns(chat_format.canonical_turns(records))
+    got = {r["conv_id"]: r for r in out.withColumn("back", chat_format.read_turns(F.col("formatted"))).collect()}
+    assert [t["text"] for t in got[None]["back"]] == ["q", "a"] and [t["text"] for t in got[1]["back"]] == [long, long]
+    assert all(r[c] == "x" for r in got.values() for c in ("mark", "written", "_mark", "_written", "w")) and got[1]["layout"] == "messages"
+
+
+def test_lists_of_another_shape(spark):
+    """Elements are judged by the fields that a row fills, and a list with other fields is no layout."""
+    both = spark.createDataFrame(
+        [(1, [("user", "q", None, None)]), (2, [(None, None, "user", "q")]), (3, [(None, "q", "user", None)])],
+        "id int, messages array<struct<role:string,content:string,from:string,value:string>>",
+    )
+    got = {r["id"]: r for r in chat_format.canonical_turns(both).collect()}
+    assert got[1]["layout"] == "messages" and got[2]["layout"] is None and got[3]["layout"] is None
+    other = spark.createDataFrame([(1, [("q", 1)])], "id int, messages array<struct<said:string,n:int>>")
+    assert chat_format.canonical_turns(other).first()["layout"] is None
+
+
 def test_layouts(spark):
     lines = [
         '{"id": 1, "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
@@ -192,41 +216,59 @@ def test_windows_cover_all_words():
 # language models
 
 
-def plain_losses(texts, words, smooth):
+def plain_losses(texts, words, vocabulary, smooth):
+    """-log P(word | word before) of a class model: frequent words are classes, all others share one."""
     index = {w: i for i, w in enumerate(words, 2)}
     size = len(words) + 2
-    seqs = [[1, *[index.get(w, 0) for w in lm_scoring.tokenize(t)]] for t in texts]
-    pair = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
-    second, first = Counter(), Counter()
+    said = [lm_scoring.tokenize(t) for t in texts]
+    pair, second, first = Counter(), Counter(), Counter()
+    for ws in said:
+        ids = [1, *[index.get(w, 0) for w in ws]]
+        pair.update(zip(ids, ids[1:], strict=False))
     for (a, b), n in pair.items():
         first[a] += n
         second[b] += n
     total = sum(pair.values())
-    return lambda a, b: -math.log((pair[a, b] + smooth * (second[b] + 1) / (total + size)) / (first[a] + smooth)), index
+    rare = Counter(w for ws in said for w in ws if w not in index)
+    kinds = len(vocabulary - set(words))
+
+    def loss(a, w):
+        a, b = index.get(a, 0) if a is not None else 1, index.get(w, 0)
+        p = (pair[a, b] + smooth * (second[b] + 1) / (total + size)) / (first[a] + smooth)
+        return -math.log(p) - (0 if b else math.log((rare[w] + 1) / (sum(rare.values()) + kinds)))
+
+    return loss
 
 
 def test_cross_entropy(spark):
     rng = random.Random(4)
-    rows = [(i, words(rng, rng.randrange(0, 40)) + rng.choice(["", ".", " Ünïcode!"])) for i in range(40)] + [(99, None), (98, "...")]
+    rows = [(i, words(rng, rng.randrange(0, 40)) + rng.choice(["", ".", " Ünïcode!"])) for i in range(40)] + [(99, None), (98, "..."), (97, "once only"), (97, "stone twice"), (None, "stone once"), (None, "")]
     targets = spark.createDataFrame([(i,) for i in [*range(0, 40, 3), 3, None, 1234]], "doc_id bigint")
     size = 12
-    got = by_id(lm_scoring.cross_entropy_difference(table(spark, rows), targets, vocabulary=size))
-    raw = {i: (t or "").encode() for i, t in rows}
-    count = Counter(w for t in raw.values() for w in lm_scoring.tokenize(t))
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(table(spark, rows), targets, frequent=size).collect()), key=str)
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(w for _, t in raw for w in lm_scoring.tokenize(t))
     top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: size - 2]]
-    back, index = plain_losses(list(raw.values()), top, lm_scoring.SMOOTH)
-    # the tables have the full vocabulary size, also where fewer words were seen
-    goal, _ = plain_losses([raw[i] for i in range(0, 40, 3)], top, lm_scoring.SMOOTH)
-    assert len(top) == size - 2
-    for i, text in raw.items():
-        ids = [1, *[index.get(w, 0) for w in lm_scoring.tokenize(text)]]
-        pairs = list(zip(ids, ids[1:], strict=False))
-        assert got[i]["n_tokens"] == len(pairs)
-        if pairs:
-            want = sum(map(lambda p: goal(*p), pairs)) / len(pairs) - sum(map(lambda p: back(*p), pairs)) / len(pairs)
-            assert abs(got[i]["score"] - want) < 1e-4
-        else:
-            assert got[i]["score"] == 0.0 and got[i]["target_loss"] is None
+    assert len(top) == size - 2 < len(count)
+    back = plain_losses([t for _, t in raw], top, set(count), lm_scoring.SMOOTH)
+    goal = plain_losses([t for i, t in raw if i is not None and i < 40 and i % 3 == 0], top, set(count), lm_scoring.SMOOTH)
+    want = []
+    for i, text in raw:
+        said = lm_scoring.tokenize(text)
+        pairs = list(zip([None, *said], said, strict=False))
+        a, b = (sum(f(*p) for p in pairs) / len(pairs) if pairs else None for f in (goal, back))
+        want.append((i, len(pairs), a, b, a - b if pairs else 0.0))
+    for x, y in zip(got, sorted(want, key=str), strict=True):
+        assert x[:2] == y[:2] and (x[2] is None) == (y[2] is None)
+        assert all(a is None or abs(a - b) < 1e-4 for a, b in zip(x[2:], y[2:], strict=True))
+
+
+def test_what_is_gathered_grows_with_the_corpus(spark):
+    """Every word of every document has its own count: a document whose words occur once more scores apart."""
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(30))) for i in range(40)] + [(100, " ".join(f"word7x{k}" for k in range(30)))]
+    got = by_id(lm_scoring.cross_entropy_difference(table(spark, rows), spark.createDataFrame([(1,)], "doc_id bigint"), frequent=12))
+    assert got[7]["background_loss"] < got[8]["background_loss"] and abs(got[8]["background_loss"] - got[9]["background_loss"]) < 0.5
+    assert got[1]["target_loss"] < got[8]["target_loss"]
 
 
 # decontamination
@@ -304,6 +346,18 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {h[2:4] for h in hits} == {(len(long), len(long) + len(items[0][1]))}
 
 
+def test_items_without_an_id(spark):
+    """Null and repeated item ids beside each other, null document ids, ties of passages."""
+    rng = random.Random(9)
+    text = words(rng, 14)
+    items = spark.createDataFrame([(None, text), (3, text), (3, text), (None, words(rng, 14)), (4, None), (None, "x")], "item_id bigint, text string")
+    docs = [(1, f"so {text} it"), (None, f"{text}"), (1, f"so {text} it"), (2, "nothing of it")]
+    got = Counter((r["doc_id"], r["item_id"], r["start"], r["edits"]) for r in decontaminate.contaminated(table(spark, docs), items).collect())
+    assert got == Counter({(1, None, 3, 0): 2, (1, 3, 3, 0): 2, (None, None, 0, 0): 1, (None, 3, 0, 0): 1})
+    left = decontaminate.drop_contaminated(table(spark, docs), items)
+    assert [r["doc_id"] for r in left.collect()] == [2] and left.columns == ["doc_id", "text", *CLASH]
+
+
 # quality
 
 
