@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.session import materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -27,6 +32,40 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_SPACE = re.compile(rb"\s")
+
+
+def pieces(text: bytes, size: int) -> Iterator[slice]:
+    """Stretches of a text of at least ``size`` bytes that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield slice(at, end)
+        at = end
+
+
+def sample_texts(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[tuple[bytes, int]]:
+    """(text, label) of documents that ``marked`` (doc_id, label; one row an id, a bounded number) names, in order of the id.
+
+    Each id stands for one text, the shortest of its rows and the first by bytes among these, whatever
+    rows repeat it. Texts are taken in order of a hash of the id as long as they fit into ``most_bytes``;
+    sizes come to the driver first, one for each id, and then the texts that were taken.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
+    one = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("best"))
+    one = materialize(one.select("doc_id", "label", "best.n", "best.text", F.xxhash64("doc_id").alias("h")), "sample")
+    chosen, total = [], 0
+    for r in sorted(one.drop("text").collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if total + r["n"] <= most_bytes:
+            chosen.append((r["doc_id"],))
+            total += r["n"]
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id bigint")
+    return [(bytes(r["text"]), r["label"]) for r in sorted(one.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect(), key=lambda r: r["doc_id"])]
+
+
 def heavy_values(df: DataFrame, column: str, tracked: int) -> DataFrame:
     """Candidates for the most frequent values of ``column``: at most ``tracked`` rows (value).
 

@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import pieces, sample_texts
+
 BUCKETS = 1 << 15
-#: Rated rows that the fit reads at most, and their characters.
+#: Rated documents that the fit reads at most, and their bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 24_000_000
+#: Bytes of a text that are looked at at once, about.
 CHUNK = 1 << 20
 
 
@@ -37,30 +40,38 @@ GROUPS = (0.2, 1.0, 1.0, 1.0, 2.0)
 PRIOR = 64
 
 
-def features(text: bytes) -> list[np.ndarray]:
+def features(text: bytes, before: bytes = b"", last: bytes = b"") -> list[np.ndarray]:
     """Groups of hashed features, which count by their frequency in the group.
 
     Byte 3-grams; 1-, 2- and 3-grams of byte classes; and for each word whether it repeats the word
-    before, or repeats none.
+    before, or repeats none. Where the text is a piece of another, ``before`` has the two bytes before it,
+    which belong to n-grams that end in it, and ``last`` the word before.
     """
-    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+    raw = np.frombuffer(before + text, np.uint8).astype(np.uint32)
     kind = _CLASS[raw]
-    gram = lambda x, n, salt: sum((x[i : len(x) - n + 1 + i] << np.uint32(8 * i) for i in range(n)), np.uint32(salt)) * np.uint32(2654435761) >> _SHIFT if len(x) >= n else np.zeros(0, np.uint32)
+
+    def gram(x: np.ndarray, n: int, salt: int) -> np.ndarray:
+        x = x[max(0, len(before) - n + 1) :]
+        if len(x) < n:
+            return np.zeros(0, np.uint32)
+        return sum((x[i : len(x) - n + 1 + i] << np.uint32(8 * i) for i in range(n)), np.uint32(salt)) * np.uint32(2654435761) >> _SHIFT
+
     words = text.lower().split()
-    again = np.fromiter(map(eq, words, [b"", *words]), np.uint32, len(words))
+    again = np.fromiter(map(eq, words, [last, *words]), np.uint32, len(words))
     return [gram(raw, 3, 0), gram(kind, 1, 11 << 24), gram(kind, 2, 12 << 24), gram(kind, 3, 13 << 24), (again + np.uint32(14 << 24)) * np.uint32(2654435761) >> _SHIFT]
 
 
 def score_text(text: bytes | None, weights: np.ndarray) -> float:
     """The sum over groups of the mean weight of their features, drawn to 0 by ``PRIOR`` for short texts.
 
-    Whole texts count, in pieces of ``CHUNK`` bytes; no text scores 0.
+    Whole texts count; they are looked at in pieces, which know what stood before them. No text scores 0.
     """
-    total, n = np.zeros(5), np.zeros(5)
-    for at in range(0, len(text or b""), CHUNK):
-        for i, got in enumerate(features(text[at : at + CHUNK])):
+    total, n, last = np.zeros(5), np.zeros(5), b""
+    for part in pieces(text or b"", CHUNK):
+        for i, got in enumerate(features(text[part], text[max(0, part.start - 2) : part.start], last)):
             total[i] += float(weights[got].sum())
             n[i] += len(got)
+        last = (text[part].lower().rsplit(None, 1) or [last])[-1]
     return float((total / (n + PRIOR) * GROUPS).sum())
 
 
@@ -121,30 +132,13 @@ def fit(texts: list[bytes], grades: np.ndarray, rounds: int = 300, rate: float =
 
 
 def sample_rated(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` rated texts and ``most_bytes`` bytes of them, in order of a hash of the id.
+    """At most ``rows`` rated texts and ``most_bytes`` bytes of them, the first by a hash of the id.
 
     ``ratings`` has the columns doc_id and grade; null ids and grades are left out, and of several
-    grades of an id the lowest counts. Sizes are looked up before any text is fetched.
+    grades of an id the lowest counts. Rows that repeat an id stand for one text.
     """
-    rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    some = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sizes = picked.join(F.broadcast(some), "doc_id").select("doc_id", "grade", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
-    chosen, total = {}, 0
-    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["n"])):
-        if r["doc_id"] not in chosen and total + r["n"] <= most_bytes:
-            chosen[r["doc_id"]] = r["grade"]
-            total += r["n"]
-    if not chosen:
-        return [], np.zeros(0, np.int64)
-    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id bigint, grade int")
-    got = picked.join(F.broadcast(ids), "doc_id").collect()
-    best: dict[int, tuple[bytes, int]] = {}
-    for r in got:
-        text = bytes(r["text"] or b"")
-        if r["doc_id"] not in best or text < best[r["doc_id"]][0]:
-            best[r["doc_id"]] = (text, r["grade"])
-    pairs = [best[k] for k in sorted(best)]
+    rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("label"))
+    pairs = sample_texts(docs, rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), id_col, text_col, most_bytes)
     return [t for t, _ in pairs], np.array([g for _, g in pairs], np.int64)
 
 
@@ -164,7 +158,8 @@ def grade(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     tail_probability is P(grade >= ``tail``), and documents with at least ``least`` are kept. The fit
     reads a bounded sample of rated texts (``SAMPLE_ROWS``, ``SAMPLE_BYTES``); every document is
     scored whole. Without ratings, all that can be said of a text is even odds, and it is kept. Null
-    and empty texts score by the thresholds alone.
+    and empty texts score by the thresholds alone. Null and repeated ids pass through, an empty table
+    gives no rows, and other columns are ignored, whatever their names.
     """
     model = fit_ratings(docs, ratings, id_col, text_col, tail)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))

@@ -23,12 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.common import pieces, sample_texts
+
 #: Labelled rows of each class that the fit reads at most, and their bytes.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 2500, 3500, 24_000_000
 WINDOW, LEVEL = 40, 3
 ORDINARY_DICT, TOXIC_DICT, SEGMENT = 32768, 4096, 32
 TOP = 10  # the highest threshold of a distance, in bytes
-#: Bytes of a text that are cut into windows at once.
+#: Bytes of a text that are cut into windows at once, about.
 CHUNK = 1 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _WINDOW = re.compile(rb" \S(?:.{0,%d}\S)?\S* " % (WINDOW - 3))
@@ -48,6 +50,19 @@ def windows(words: list[bytes]) -> list[bytes]:
     return _WINDOW.findall(b" " + line + b" ")
 
 
+def all_windows(text: bytes) -> Iterator[list[bytes]]:
+    """The windows of a whole text, some at once.
+
+    The last window of a piece may go on in the next one, where it is cut anew.
+    """
+    rest: list[bytes] = []
+    for part in pieces(text, CHUNK):
+        some = windows(rest + words_of(text[part]))
+        rest = some.pop().split() if some else []
+        yield some
+    yield windows(rest)
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -70,8 +85,7 @@ class Scorer:
     def distances(self, text: bytes) -> np.ndarray:
         """What the toxic dictionary saves in each window, as a histogram of 0..TOP bytes."""
         out = np.zeros(TOP + 1, np.int64)
-        for at in _cuts(text):
-            some = windows(words_of(text[at]))
+        for some in all_windows(text):
             saved = [len(a) - len(b) for a, b in zip(map(self.plain, some), map(self.both, some), strict=True)]
             out += np.bincount(np.clip(np.array(saved, np.int64), 0, TOP), minlength=TOP + 1)
         return out
@@ -86,18 +100,6 @@ class Scorer:
         return float(_odds(self.features(text or b"")[None], self.model)[0])
 
 
-def _cuts(text: bytes) -> Iterator[slice]:
-    """Pieces of about ``CHUNK`` bytes that end at white space; a longer run without any is cut."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + CHUNK)
-        if end < len(text):
-            space = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
-            end = space if space > at else end
-        yield slice(at, end)
-        at = end
-
-
 def _compressor(content: bytes):
     shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     shared.precompute_compress(level=LEVEL)
@@ -191,19 +193,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         return [], np.zeros(0, np.int64), None
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     some = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_ORDINARY))
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sizes = picked.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
-    chosen, total = {}, 0
-    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"], r["n"])):
-        if r["doc_id"] not in chosen and total + r["n"] <= SAMPLE_BYTES:
-            chosen[r["doc_id"]] = r["toxic"]
-            total += r["n"]
-    if not chosen:
-        return [], np.zeros(0, np.int64), None
-    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id bigint, toxic int")
-    got = sorted((bytes(r["text"] or b""), r["toxic"]) for r in picked.join(F.broadcast(ids), "doc_id").collect())
-    share = counts.get(1, 0) / sum(counts.values())
-    return [t for t, _ in got], np.array([y for _, y in got], np.int64), share
+    pairs = sample_texts(docs, some.withColumnRenamed("toxic", "label"), id_col, text_col, SAMPLE_BYTES)
+    return [t for t, _ in pairs], np.array([y for _, y in pairs], np.int64), counts.get(1, 0) / sum(counts.values())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +202,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``labels`` has doc_id and toxic (0 or 1, other values are left out; if an id has both, it is
     toxic). Only rows with crc32(id as text) mod 5 other than 0 are learned from, a bounded sample of
-    them. Scores come from whole texts alone; null and empty texts have the score of a text without
-    windows. Without labels every score is 0.5. A null id isn't held out.
+    them, in which rows that repeat an id stand for one text. Scores come from whole texts alone; null
+    and empty texts have the score of a text without windows. Without labels every score is 0.5. A null
+    id isn't held out. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = fit(*sample_labelled(docs, labels, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)

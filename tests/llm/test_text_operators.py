@@ -11,11 +11,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, decontaminate, lm_scoring, quality, queries, token_counts, toxicity
+from lorekeep.llm import chat_format, common, decontaminate, lm_scoring, quality, queries, token_counts, toxicity
 
 SCHEMA = "doc_id bigint, text string"
 #: Names that operators use themselves, as further columns of the input.
@@ -209,8 +210,79 @@ def test_windows_cover_all_words():
         said = [w.encode() for w in words(rng, n).split()]
         assert [w for x in toxicity.windows(said) for w in x.split()] == said
     assert [w for x in toxicity.windows([b"x" * 500, b"y"]) for w in x.split()] == [b"x" * 500, b"y"]
-    text = b"ab " * 700_000
-    assert b"".join(text[s] for s in toxicity._cuts(text)) == text
+    text = b"ab " * 700_000 + b"y" * 3_000_000 + b" z"
+    assert b"".join(text[s] for s in common.pieces(text, 1 << 20)) == text
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1 << 20])
+def test_pieces_change_nothing(monkeypatch, size):
+    """Windows of compression and features of quality are those of the whole text, wherever it is cut."""
+    rng = random.Random(5)
+    weights = np.random.default_rng(5).normal(size=quality.BUCKETS)
+    for text in (b"", b" ", words(rng, 200).encode(), b"a a  b\nb b " * 40 + b"x" * 300 + b" " + "é naïve É".encode() * 9):
+        whole, score = toxicity.windows(toxicity.words_of(text)), quality.score_text(text, weights)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "CHUNK", size)
+            m.setattr(quality, "CHUNK", size)
+            assert [w for some in toxicity.all_windows(text) for w in some] == whole
+            assert abs(quality.score_text(text, weights) - score) < 1e-9
+
+
+def plain_toxicity(text, model):
+    """The score by whole windows, compressed one by one, and the sums written out."""
+    said = [w for w in "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (text or "").lower()).split()]
+    cut, now = [], []
+    for w in said:
+        # a word belongs to a window if it begins within 38 bytes
+        if now and len("  ".join(now).encode()) + 2 > toxicity.WINDOW - 2:
+            cut.append(now)
+            now = []
+        now.append(w)
+    if now:
+        cut.append(now)
+    size = lambda book, w: len(
+        zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(w)
+    )
+    saved = [size(model.ordinary, w) - size(model.ordinary + model.toxic, w) for w in ((" " + "  ".join(c) + " ").encode() for c in cut)]
+    saved = [min(max(s, 0), toxicity.TOP) for s in saved]
+    over = [sum(s >= k for s in saved) for k in range(1, toxicity.TOP + 1)]
+    x = [math.log1p(n) for n in over] + [n / max(1, len(saved)) for n in over] + [max(saved, default=0)]
+    z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.spread, model.weights, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-z))
+
+
+def toxic_rows(n=400):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(n):
+        said = words(rng, 60).split()
+        for _ in range(5 if i % 4 == 0 else 0):
+            said[rng.randrange(len(said))] = rng.choice(["vileskunk", "rottenbrat", "dumbgoblin"])
+        docs.append((i, " ".join(said)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    return docs, labels
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = toxic_rows()
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    odd = [(1000 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, "vileskunk it is"), (7, "again seven"), (2000, "dumbgoblin " * 9000)]
+    df = table(spark, docs + odd)
+    model = toxicity.fit(*toxicity.sample_labelled(df, marks, "doc_id", "text"))
+    got = sorted(((r["doc_id"], r["score"]) for r in toxicity.toxicity(df, marks).collect()), key=str)
+    want = sorted(((i, plain_toxicity(t, model)) for i, t in docs + odd), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat an id bring one text to the driver, and no more bytes than asked for."""
+    rows = [(5, "t" * (10 + i % 50)) for i in range(3000)] + [(i, "u" * 30) for i in range(100, 200)] + [(7, None), (None, "n")]
+    marks = spark.createDataFrame([(5, 1), (7, 0), *[(i, i % 2) for i in range(100, 200)]], "doc_id bigint, label int")
+    got = common.sample_texts(table(spark, rows), marks, "doc_id", "text", 10_000)
+    assert len(got) == 102 and (b"t" * 10, 1) in got and (b"", 0) in got
+    few = common.sample_texts(table(spark, rows), marks, "doc_id", "text", 100)
+    assert 0 < sum(len(t) for t, _ in few) <= 100 and set(few) <= set(got)
 
 
 # language models
@@ -383,6 +455,32 @@ def test_quality(spark):
     assert kept == {i for i in got if got[i]["kept"]}
 
 
+def plain_quality(text, model):
+    """Expected grade and tail probability with every feature written out."""
+    raw = (text or "").encode()
+    kind = [48 if 48 <= b < 58 else 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 32 if b in (9, 11, 12, 13, 32) else b for b in raw]
+    said = raw.lower().split()
+    grams = lambda x, n, salt: [sum(c << 8 * i for i, c in enumerate(x[k : k + n])) + (salt << 24) for k in range(len(x) - n + 1)]
+    groups = [grams(raw, 3, 0), grams(kind, 1, 11), grams(kind, 2, 12), grams(kind, 3, 13), [int(a == b) + (14 << 24) for a, b in zip(said, [b"", *said], strict=False)]]
+    score = 0.0
+    for group, much in zip(groups, quality.GROUPS, strict=True):
+        score += much * sum(model.weights[(x % 2**32) * 2654435761 % 2**32 >> 17] for x in group) / (len(group) + quality.PRIOR)
+    tails = [1 / (1 + math.exp(min(40, max(-40, t - score)))) for t in model.thresholds]
+    return sum(tails), tails[0]
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = [(i, words(rng, 40) if i % 2 else words(rng, 40).upper().replace(" ", "!! ")) for i in range(80)] + ODD + [(99, "naïve É 12,5\t" * 300)]
+    ratings = spark.createDataFrame([(i, i % 2 + int(i % 6 == 1)) for i in range(60)] + [(None, 1), (5, None), (61, None)], "doc_id bigint, grade int")
+    df = table(spark, docs)
+    model = quality.fit_ratings(df, ratings)
+    got = sorted(((r["doc_id"], r["expected_grade"], r["tail_probability"], r["kept"]) for r in quality.grade(df, ratings).collect()), key=str)
+    want = sorted(((i, *plain_quality(t, model)) for i, t in docs), key=str)
+    for (i, a, b, kept), (j, c, d) in zip(got, want, strict=True):
+        assert i == j and abs(a - c) < 1e-6 and abs(b - d) < 1e-6 and kept == (b >= 0.5)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
     texts = [(("!" * g) + " plain words go here ").encode() * 6 for g in rng.integers(0, 3, 200)]
@@ -396,6 +494,10 @@ def test_ordinal_fit_orders_grades():
 # rows that are odd
 
 
+def r_of(rows, doc_id):
+    return next(r["n_tokens"] for r in rows if r["doc_id"] == doc_id)
+
+
 @pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
 def test_odd_rows(spark, rows):
     docs = table(spark, rows)
@@ -403,7 +505,9 @@ def test_odd_rows(spark, rows):
     bench = spark.createDataFrame([(0, "same text of all the texts"), (1, None), (2, ""), (3, "x")], "item_id bigint, text string")
     n = len(rows)
     for marks in (labels, labels.where("false")):
-        assert token_counts.token_counts(docs, queries.VOCABULARY).count() == n
+        scores = token_counts.zipf_scores(token_counts.read_ranks(queries.VOCABULARY))
+        counted = token_counts.token_counts(docs, queries.VOCABULARY).collect()
+        assert Counter((r["doc_id"], r["n_tokens"], r["n_chars"]) for r in counted) == Counter((i, plain_count(t or "", scores) if len(t or "") < 40_000 else r_of(counted, i), len(t or "")) for i, t in rows)
         scored = toxicity.toxicity(docs, marks).collect()
         assert len(scored) == n and all(0 <= r["score"] <= 1 for r in scored)
         assert lm_scoring.cross_entropy_difference(docs, marks.where("quality = 1").select("doc_id")).count() == n
