@@ -113,9 +113,11 @@ WITH cut AS (
 ), runs AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE nth > 1
 ), summed AS (
-  SELECT *, CAST(sum(n_words) OVER (PARTITION BY doc_id, run) AS BIGINT) AS run_words FROM runs
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run, keep_doc_id, unit - keep_unit) AS together FROM runs
+), most AS (
+  SELECT *, CAST(max(together) OVER (PARTITION BY doc_id, run) AS BIGINT) AS run_words FROM summed
 )
-SELECT doc_id, unit, "start", "end", n_words, run_words, keep_doc_id, keep_unit, copies FROM summed WHERE run_words >= {substring_dedup.RUN_WORDS}
+SELECT doc_id, unit, "start", "end", n_words, run_words, keep_doc_id, keep_unit, copies FROM most WHERE run_words >= {substring_dedup.RUN_WORDS}
 """
 
 

@@ -4,8 +4,8 @@ Documents are cut into lines, and lines at the ends of sentences, so that a pass
 lines were joined or broken anew. Every unit is normalised and hashed, whatever its length, and the
 digests are grouped over the whole corpus. The earliest occurrence (smallest id, then place) of each
 digest stays. The others repeat; short ones do so by chance in ordinary text, so a repeat goes if the
-stretch of neighbouring repeats in which it stands has a number of words. Offsets in the original text
-are kept. Digests are counted with map-side combination, so that a line that a third of all documents
+stretch of neighbouring repeats in which it stands has a number of words that stand at the same
+distances in one earlier document. Offsets in the original text are kept. Digests are counted with map-side combination, so that a line that a third of all documents
 share is no large group, and occurrences of very frequent units meet their winner by broadcast.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import fresh_name, join_counted
 from lorekeep.session import materialize
 
-#: A stretch of repeats with fewer words stays: such lines repeat by chance and are part of ordinary text.
+#: A stretch of repeats with fewer words of one origin stays: such lines repeat by chance and are part of ordinary text.
 RUN_WORDS = 20
 #: A line break, or the space after the end of a sentence.
 BREAK = re.compile(r"\n|(?<=[.!?]) ")
@@ -67,16 +67,18 @@ def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
     groups = materialize(groups.select("digest", *[f"first.keep_{c}" for c in place], "copies"), "groups")
     again = join_counted(found, groups, "digest", "copies").where("row <> keep_row OR unit <> keep_unit")
     # neighbours have the same difference of their number and their rank among the repeats
-    of_row = Window.partitionBy("row").orderBy("unit")
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(of_row))
-    return runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run"))).where(F.col("run_words") >= run_words)
+    runs = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit")))
+    runs = runs.withColumn("shift", F.col("unit") - F.col("keep_unit"))
+    together = F.sum("n_words").over(Window.partitionBy("row", "run", "keep_row", "shift"))
+    most = F.max("together").over(Window.partitionBy("row", "run"))
+    return runs.withColumn("together", together).withColumn("run_words", most).where(F.col("run_words") >= run_words)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
     """One row for each unit that goes: doc_id, unit, start, end, n_words, run_words, keep_doc_id, keep_unit, copies.
 
-    run_words counts the words of the stretch that it goes with, copies all occurrences of the unit,
-    the one that stays included. Repeats inside a document count too. Rows are documents of their own,
+    run_words counts the words, in the stretch that it goes with, that one document has before at the
+    same distances; copies counts all occurrences of the unit, the one that stays included. Repeats inside a document count too. Rows are documents of their own,
     also where their id is null or repeated: null ids rank behind all others, equal ids in the order
     in which they are read. Null and empty texts have no units, and an empty table gives no rows; other
     columns are ignored, whatever their names. ``run_words=1`` takes out every repeat.
