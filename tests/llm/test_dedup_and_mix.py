@@ -135,7 +135,7 @@ def test_large_buckets():
     rng = np.random.default_rng(4)
     center = rng.integers(0, 2**63, 1, dtype=np.uint64)[0]
     group = np.unique(np.array([center ^ sum(np.uint64(1) << np.uint64(b) for b in rng.integers(0, 64, 2)) for _ in range(400)], np.uint64))
-    a, b = simhash_dedup._links(np.zeros(len(group), np.int64), group, group[:, None], 4)
+    a, b = simhash_dedup._links(np.zeros(len(group), np.int64), group, [group], 4)
     assert len(a) == len(group) - 1  # a tree, and not all pairs
     node, root = simhash_dedup._minima(a, b)
     assert set(root) == {group.min()} and len(node) == len(group) - 1
@@ -173,7 +173,7 @@ def plain_units(text):
 
 
 def plain_lines(rows, least):
-    """(row, id, unit, start, end, words, words of the stretch, first id, first unit, copies) of what goes."""
+    """(row, id, unit, start, end, words, words of one origin, first id, first unit, copies) of what goes."""
     seen, count, of = {}, Counter(), {k: plain_units(t) for k, (_, t, *_) in enumerate(rows)}
     for k in sorted(of, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
         for u, (_, _, words) in enumerate(of[k]):
@@ -186,7 +186,11 @@ def plain_lines(rows, least):
             if unit and seen[" ".join(unit[2])] != (k, u):
                 stretch.append((u, unit))
                 continue
-            total = sum(len(x[2]) for _, x in stretch)
+            together = Counter()
+            for v, (_, _, words) in stretch:
+                first, place = seen[" ".join(words)]
+                together[first, v - place] += len(words)
+            total = max(together.values(), default=0)
             for v, (a, b, words) in stretch if total >= least else ():
                 first, place = seen[" ".join(words)]
                 out.append((k, rows[k][0], v, a, b, len(words), total, rows[first][0], place, count[" ".join(words)]))
