@@ -1,25 +1,33 @@
 """Graph analytics: centralities, cores, clusters, sequences, communities, flow, health.
 
 Graphs are DataFrames ``edges`` (source_id, target_id, weight) without parallel edges, and ``nodes`` (id).
-Loops write their state to the shared folder every few rounds.
+Loops write their state to the shared folder and end when nothing changes; there is no bound on rounds.
+What is left of a graph goes to one task once it is small, where the rest of a loop takes no jobs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.errors import InvalidOperation
 from lorekeep.functions.columns import epoch, instant, seconds_between
 from lorekeep.operators.links import attached, degrees
 from lorekeep.session import materialize
 
-#: Edges that betweenness and path lengths broadcast at most.
+#: Edges that betweenness and path lengths broadcast at most; beyond them they go by joins.
 MOST_EDGES = 2_000_000
+#: Edges that one task takes over from a loop.
+MOST_LOCAL = 500_000
+#: Rows of (source, node) that the joins of path lengths hold at once, about.
+MOST_PAIRS = 200_000_000
+
+Pairs = list[tuple[str, str]]
 
 
 def simple_graph(links: DataFrame, memories: DataFrame) -> DataFrame:
@@ -27,6 +35,19 @@ def simple_graph(links: DataFrame, memories: DataFrame) -> DataFrame:
     return attached(links, memories).groupBy("source_id", "target_id").agg(F.max_by("weight", "id").alias("weight"))
 
 
+def _in_one_task(edges: DataFrame, solve: Callable[[Pairs], dict[str, str]], name: str) -> DataFrame:
+    """(id, ``name``) that ``solve`` makes of all edges, which are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Pairs = []
+        for batch in batches:
+            pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        found = solve(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", name])
+
+    return edges.select("source_id", "target_id").repartition(1).mapInArrow(run, f"id string, {name} string")
+
+
 def _count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
@@ -45,6 +66,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: floa
     With ``tolerance`` it ends once the ranks move by less than tolerance * n in all.
     """
     n = max(1, nodes.count())
+    edges = materialize(edges.select("source_id", "target_id", "weight"), "weights")
     out = edges.groupBy(F.col("source_id").alias("id")).agg(F.sum("weight").alias("out"))
     share = materialize(edges.join(out, edges["source_id"] == out["id"]).select("source_id", "target_id", (F.col("weight") / F.col("out")).alias("share")), "shares")
     base = materialize(nodes.select("id").join(out.select("id", F.lit(True).alias("gives")), "id", "left"), "nodes")
@@ -64,11 +86,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 10, damping: floa
     return ranks.select("id", "rank")
 
 
-def _adjacency(edges: DataFrame) -> dict[str, list[tuple[str, float]]]:
-    """All edges on the driver, behind a check of their number."""
+def _adjacency(edges: DataFrame) -> dict[str, list[tuple[str, float]]] | None:
+    """All edges on the driver if there are at most ``MOST_EDGES``."""
     rows = edges.select("source_id", "target_id", F.col("weight").cast("double").alias("weight")).limit(MOST_EDGES + 1).collect()
     if len(rows) > MOST_EDGES:
-        raise InvalidOperation(f"over {MOST_EDGES} edges; reduce the graph or sample its sources")
+        return None
     out: dict[str, list[tuple[str, float]]] = {}
     for r in sorted(rows, key=lambda r: (r[0], r[1])):
         out.setdefault(r[0], []).append((r[1], r[2]))
@@ -105,13 +127,9 @@ def _from_source(adjacency: dict[str, list[tuple[str, float]]], source: str, wei
     return far, depend
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, weighted: bool = False) -> DataFrame:
-    """id, betweenness: the share of shortest paths through each node, over (n - 1)(n - 2).
-
-    With ``weighted`` the weight of an edge is its length. Sources are dealt over the cluster; the
-    adjacency is broadcast after a check of its size.
-    """
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
+def _dependencies(adjacency: dict[str, list[tuple[str, float]]], nodes: DataFrame, weighted: bool) -> DataFrame:
+    """(id, x): for each node the dependencies of all sources on it, from a broadcast adjacency."""
+    shared = nodes.sparkSession.sparkContext.broadcast(adjacency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, float] = {}
@@ -122,7 +140,73 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weighted: bool = False) -> D
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "x"])
 
     parts = nodes.sparkSession.sparkContext.defaultParallelism
-    sums = nodes.select("id").repartition(parts, "id").mapInArrow(run, "id string, x double").groupBy("id").agg(F.sum("x").alias("x"))
+    return nodes.select("id").repartition(parts, "id").mapInArrow(run, "id string, x double").groupBy("id").agg(F.sum("x").alias("x"))
+
+
+def _source_blocks(nodes: DataFrame) -> Iterator[DataFrame]:
+    """The nodes in blocks of so many that a block times all nodes is about ``MOST_PAIRS`` rows."""
+    blocks = max(1, math.ceil(nodes.count() ** 2 / MOST_PAIRS))
+    for k in range(blocks):
+        yield nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select(F.col("id").alias("source"))
+
+
+def _distances(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, far): the length of the shortest path to all that a source reaches, by rounds of joins."""
+    far = materialize(sources.select("source", F.col("source").alias("id"), F.lit(0.0).alias("far"), F.lit(True).alias("new")), "far")
+    while not (front := far.where("new")).isEmpty():
+        there = front.select("source", F.col("id").alias("source_id"), "far").join(steps, "source_id")
+        there = there.groupBy("source", F.col("target_id").alias("id")).agg(F.min(F.col("far") + F.col("length")).alias("there"))
+        met = far.select("source", "id", "far").join(there, ["source", "id"], "full")
+        shorter = F.col("far").isNull() | (F.col("there") < F.col("far"))
+        far = materialize(met.select("source", "id", F.least("far", "there").alias("far"), F.coalesce(shorter, F.lit(False)).alias("new")), "far")
+    return far.select("source", "id", "far")
+
+
+def _steps(edges: DataFrame, weighted: bool) -> DataFrame:
+    length = F.col("weight").cast("double") if weighted else F.lit(1.0)
+    return materialize(edges.where("source_id <> target_id").select("source_id", "target_id", length.alias("length")), "steps")
+
+
+def _sum_along(links: DataFrame, start: DataFrame, at: str, to: str, factor: Column) -> DataFrame:
+    """(source, id, x): x = start + sum of factor * x of the nodes before, over an acyclic graph of links for each source.
+
+    Rounds send on only what came in the round before, so the sums are complete when nothing is sent.
+    """
+    total = sent = materialize(start, "sums")
+    while not sent.isEmpty():
+        met = sent.select("source", F.col("id").alias(at), "x").join(links, ["source", at])
+        sent = materialize(met.groupBy("source", F.col(to).alias("id")).agg(F.sum(F.col("x") * factor).alias("x")), "sent")
+        total = materialize(total.unionByName(sent).groupBy("source", "id").agg(F.sum("x").alias("x")), "sums")
+    return total
+
+
+def _dependencies_by_joins(edges: DataFrame, nodes: DataFrame, weighted: bool) -> DataFrame:
+    """As :func:`_dependencies`, for graphs that are too large to broadcast; blocks of sources one after another."""
+    steps, out = _steps(edges, weighted), None
+    for sources in _source_blocks(nodes):
+        far = _distances(steps, sources)
+        ahead = far.select("source", F.col("id").alias("target_id"), F.col("far").alias("there"))
+        met = far.withColumnRenamed("id", "source_id").join(steps, "source_id").join(ahead, ["source", "target_id"])
+        links = materialize(met.where(F.col("far") + F.col("length") == F.col("there")).select("source", "source_id", "target_id"), "links")
+        ways = _sum_along(links, sources.select("source", F.col("source").alias("id"), F.lit(1.0).alias("x")), "source_id", "target_id", F.lit(1.0))
+        of = lambda end: ways.select("source", F.col("id").alias(end), F.col("x").alias(f"ways_{end}"))  # noqa: B023, E731
+        shared = materialize(links.join(of("source_id"), ["source", "source_id"]).join(of("target_id"), ["source", "target_id"]), "shares")
+        part = F.col("ways_source_id") / F.col("ways_target_id")
+        # depend(v) = sum of share * (1 + depend(w)) over the nodes w behind v
+        first = shared.groupBy("source", F.col("source_id").alias("id")).agg(F.sum(part).alias("x"))
+        depend = _sum_along(shared, first, "target_id", "source_id", part).where("id <> source").groupBy("id").agg(F.sum("x").alias("x"))
+        out = depend if out is None else materialize(out.unionByName(depend).groupBy("id").agg(F.sum("x").alias("x")), "depend")
+    return out
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, weighted: bool = False) -> DataFrame:
+    """id, betweenness: the share of shortest paths through each node, over (n - 1)(n - 2).
+
+    With ``weighted`` the weight of an edge, which is above 0, is its length. Sources are dealt over the cluster with a
+    broadcast adjacency, or, if that has over ``MOST_EDGES`` edges, paths grow by joins.
+    """
+    adjacency = _adjacency(edges)
+    sums = _dependencies_by_joins(edges, nodes, weighted) if adjacency is None else _dependencies(adjacency, nodes, weighted)
     rows = nodes.select("id").join(sums, "id", "left").crossJoin(F.broadcast(_count(nodes)))
     pairs = (F.col("n") - 1) * (F.col("n") - 2)
     return rows.select("id", F.when(pairs > 0, F.coalesce("x", F.lit(0.0)) / pairs).otherwise(0.0).alias("betweenness"))
@@ -130,19 +214,27 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weighted: bool = False) -> D
 
 def path_statistics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs, mean_length, diameter over all ordered pairs that a path joins (unweighted)."""
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = total = most = 0
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                far = _from_source(shared.value, source, False)[0]
-                n, total, most = n + len(far) - 1, total + sum(far.values()), max(most, *far.values())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([float(total)]), pa.array([int(most)], pa.int64())], names=["n", "total", "most"])
-
-    parts = nodes.sparkSession.sparkContext.defaultParallelism
-    found = nodes.select("id").repartition(parts, "id").mapInArrow(run, "n bigint, total double, most bigint")
-    return found.agg(F.sum("n").alias("pairs"), (F.sum("total") / F.sum("n")).alias("mean_length"), F.max("most").alias("diameter"))
+    adjacency = _adjacency(edges)
+    if adjacency is None:
+        steps, found = _steps(edges, False), None
+        for sources in _source_blocks(nodes):
+            one = _distances(steps, sources).where("id <> source").agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("total"), F.max("far").cast("bigint").alias("most"))
+            one = materialize(one, "lengths")
+            found = one if found is None else found.unionByName(one)
+    else:
+        shared = edges.sparkSession.sparkContext.broadcast(adjacency)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = total = most = 0
+            for batch in batches:
+                for source in batch.column(0).to_pylist():
+                    far = _from_source(shared.value, source, False)[0]
+                    n, total, most = n + len(far) - 1, total + sum(far.values()), max(most, max(far.values()))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([float(total)]), pa.array([int(most)], pa.int64())], names=["n", "total", "most"])
+
+        parts = nodes.sparkSession.sparkContext.defaultParallelism
+        found = nodes.select("id").repartition(parts, "id").mapInArrow(run, "n bigint, total double, most bigint")
+    return found.agg(F.sum("n").alias("pairs"), (F.sum("total") / F.sum("n")).alias("mean_length"), F.coalesce(F.max("most"), F.lit(0)).alias("diameter"))
 
 
 def forgetting_scores(memories: DataFrame, links: DataFrame, context_members: DataFrame, now, weights: tuple[float, float, float] = (0.4, 0.3, 0.3), with_betweenness: bool = True, rounds: int = 100) -> DataFrame:
@@ -174,18 +266,34 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("source_id <> target_id").select(pair.alias("p")).select("p.a", "p.b").distinct()
 
 
-def k_core(edges: DataFrame, k: int, most_rounds: int = 200) -> DataFrame:
-    """Ids of the largest subgraph in which every node has at least k neighbours."""
+def _core_of(pairs: Pairs, k: int) -> dict[str, str]:
+    near: dict[str, set[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    weak = [v for v, n in near.items() if len(n) < k]
+    while weak:
+        for w in near.pop(v := weak.pop(), ()):
+            if w in near:
+                near[w].discard(v)
+                if len(near[w]) == k - 1:
+                    weak.append(w)
+    return {v: v for v in near}
+
+
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """Ids of the largest subgraph in which every node has at least k neighbours.
+
+    Weak nodes go round by round until there are none, or until the rest fits one task.
+    """
     left = materialize(undirected(edges), "core")
-    size = left.count()
-    for _ in range(most_rounds):
+    while (size := left.count()) > MOST_LOCAL:
         strong = left.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("a")
         kept = left.join(strong, "a", "left_semi").join(strong.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
         left = materialize(kept, "core")
-        if (now := left.count()) == size:
+        if left.count() == size:
             return left.select(F.col("a").alias("id")).distinct()
-        size = now
-    raise RuntimeError(f"the core did not settle in {most_rounds} rounds")
+    rest = left.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))
+    return _in_one_task(rest, lambda pairs: _core_of(pairs, k), "core").select("id")
 
 
 def core_abstractions(edges: DataFrame, ks: tuple[int, ...] = (3, 4, 5), sizes: tuple[int, int] = (3, 10)) -> DataFrame:
@@ -256,23 +364,67 @@ def temporal_sequences(memories: DataFrame, edges: DataFrame, seconds: int = 360
     return rows.select(F.col("group").alias("start"), "size", "edges", (0.4 + 0.6 * F.col("edges") / F.col("size")).alias("quality"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, community by weighted label propagation; deterministic.
-
-    In each round half of the nodes, by a hash, take the label with the most weight around them, the
-    smallest of equals; so neighbours don't swap labels for ever. Nodes without edges keep their own.
+def _turn(node: str, round_: int) -> str:
+    return hashlib.md5(f"{round_}:{node}".encode()).hexdigest()
+
+
+def _settle(around: list[tuple[str, str, float]], labels: dict[str, str]) -> dict[str, str]:
+    """The rounds of :func:`communities` in one task."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, w in around:
+        near.setdefault(a, []).append((b, w))
+    round_ = 0
+    while True:
+        want = {}
+        for v, ends in near.items():
+            weight: dict[str, float] = {}
+            for w, x in ends:
+                weight[labels[w]] = weight.get(labels[w], 0.0) + x
+            top = max(round(x, 9) for x in weight.values())
+            if top > round(weight.get(labels[v], 0.0), 9):
+                want[v] = min(c for c, x in weight.items() if round(x, 9) == top)
+        if not want:
+            return labels
+        turn = {v: _turn(v, round_) for v in want}
+        first = [v for v in want if all(turn[v] > turn[w] for w, _ in near[v] if w in turn)]
+        for v in first:
+            labels[v] = want[v]
+        round_ += 1
+
+
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, community by weighted label propagation to a fixed point; deterministic.
+
+    A node wants the label with the most weight around it, the smallest of equals, if it has more than
+    its own. Of neighbours that want to change, in each round that goes first whose hash is greater;
+    so no two of them change at once, every change adds weight inside communities, and the rounds come to
+    an end. Nodes without edges keep their own label.
     """
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "weight").unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "weight"))
-    around = materialize(both.where("id <> other").groupBy("id", "other").agg(F.sum("weight").alias("weight")), "around")
+    around = materialize(both.where("id <> other").groupBy("id", "other").agg(F.sum("weight").cast("double").alias("weight")), "around")
     labels = nodes.select("id", F.col("id").alias("community"))
-    for i in range(rounds):
-        near = around.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        best = near.groupBy("id").agg(F.max(F.struct("w", F.col("community"))).alias("m"), F.max("w").alias("w"))
-        least = near.join(best.select("id", F.col("w").alias("top")), "id").where(F.col("w") == F.col("top")).groupBy("id").agg(F.min("community").alias("next"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        after = labels.join(least, "id", "left").select("id", F.when(turn, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"))
-        labels = materialize(after, "labels")
-    return labels
+    if around.count() <= MOST_LOCAL:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            found = _settle(sorted(rows), {v: v for a, b, _ in rows for v in (a, b)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", "found"])
+
+        settled = around.select("id", "other", "weight").repartition(1).mapInArrow(run, "id string, found string")
+        return materialize(labels.join(settled, "id", "left").select("id", F.coalesce("found", "community").alias("community")), "labels")
+    labels, round_ = materialize(labels, "labels"), 0
+    while True:
+        weight = around.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
+        mine = weight.join(labels, ["id", "community"]).select("id", F.col("w").alias("own"))
+        best = weight.groupBy("id").agg(F.max("w").alias("top"))
+        least = weight.join(best, "id").where("w = top").groupBy("id").agg(F.min("community").alias("next"), F.max("w").alias("top"))
+        want = least.join(mine, "id", "left").where(F.col("top") > F.coalesce("own", F.lit(0.0)))
+        want = materialize(want.select("id", "next", F.md5(F.concat(F.lit(f"{round_}:"), "id")).alias("turn")), "want")
+        if want.isEmpty():
+            return labels
+        rival = around.join(want.select(F.col("id").alias("other"), F.col("turn").alias("theirs")), "other").groupBy("id").agg(F.max("theirs").alias("theirs"))
+        first = want.join(rival, "id", "left").where("theirs IS NULL OR turn > theirs").select("id", "next")
+        labels = materialize(labels.join(first, "id", "left").select("id", F.coalesce("next", "community").alias("community")), "labels")
+        round_ += 1
 
 
 def community_stats(members: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
@@ -285,7 +437,10 @@ def community_stats(members: DataFrame, memories: DataFrame, edges: DataFrame) -
 
 
 def community_contexts(members: DataFrame, memories: DataFrame, edges: DataFrame, top: int = 10, rounds: int = 10) -> DataFrame:
-    """For each community its ``top`` memories by PageRank of its own subgraph: community, id, rank, place."""
+    """For each community its ``top`` memories by PageRank of its own subgraph: community, id, rank, place.
+
+    :func:`community_topics` has the topics that a context made of them is about.
+    """
     of = members.select(F.col("id"), "community")
     inner = edges.join(of.select(F.col("id").alias("source_id"), "community"), "source_id").join(of.select(F.col("id").alias("target_id"), F.col("community").alias("other")), "target_id")
     inner = materialize(inner.where(F.col("community") == F.col("other")).select("source_id", "target_id", "weight"), "inner")
@@ -295,74 +450,164 @@ def community_contexts(members: DataFrame, memories: DataFrame, edges: DataFrame
     return ranks.withColumn("place", place).where(F.col("place") <= top).select("community", "id", "rank", "place")
 
 
+def community_topics(members: DataFrame, memories: DataFrame) -> DataFrame:
+    """The distribution of topics in each community of over one member: community, topic, memories, share."""
+    rows = members.join(memories.select("id", topic_of().alias("topic")), "id")
+    counted = rows.groupBy("community", "topic").agg(F.count(F.lit(1)).alias("memories"))
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return counted.join(sizes, "community").select("community", "topic", "memories", (F.col("memories") / F.col("size")).alias("share"))
+
+
+def bridges(edges: DataFrame, nodes: DataFrame, least: float = 0.1) -> DataFrame:
+    """id, betweenness of the nodes that over ``least`` of all shortest paths go through."""
+    return betweenness(edges, nodes).where(F.col("betweenness") > least)
+
+
 def sources_and_sinks(edges: DataFrame) -> DataFrame:
     """id, role: nodes with over two edges, all outgoing (source) or all incoming (sink)."""
     role = F.when((F.col("out_degree") > 2) & (F.col("in_degree") == 0), "source").when((F.col("in_degree") > 2) & (F.col("out_degree") == 0), "sink")
     return degrees(edges).select("id", role.alias("role")).where("role is not null")
 
 
-def _trim(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """The edges that are left when nodes without incoming or outgoing edges go again and again."""
-    left = materialize(edges.select("source_id", "target_id").distinct(), "trim")
-    size = left.count()
-    for _ in range(most_rounds):
-        kept = left.join(left.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
-        kept = kept.join(kept.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id")
-        left = materialize(kept, "trim")
-        if not size or (now := left.count()) == size:
-            return left
-        size = now
-    raise RuntimeError(f"the graph did not settle in {most_rounds} rounds")
+def _components_of(pairs: Pairs) -> dict[str, str]:
+    """For each node the smallest id of its strong component (Tarjan 1972), without recursion."""
+    near: dict[str, list[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, [])
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    out: dict[str, str] = {}
+    stack: list[str] = []
+    for start in near:
+        if start in order:
+            continue
+        walk = [(start, iter(near[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        while walk:
+            v, ends = walk[-1]
+            for w in ends:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    walk.append((w, iter(near[w])))
+                    break
+                if w not in out:
+                    low[v] = min(low[v], order[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == order[v]:
+                    found = [stack.pop()]
+                    while found[-1] != v:
+                        found.append(stack.pop())
+                    out.update(dict.fromkeys(found, min(found)))
+    return out
 
 
-def is_acyclic(edges: DataFrame) -> bool:
-    return _trim(edges).isEmpty()
+def _peel(left: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without incoming or outgoing edges go, once."""
+    kept = left.join(left.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi")
+    return materialize(kept.join(kept.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi").select("source_id", "target_id"), "peeled")
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """id, component (its smallest id) by forward and backward colouring.
+def _shorten(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Draw chains together: the edges between other nodes, and (id, start, end) of the nodes in chains.
 
-    Each round spreads the smallest id forward to a fixed point, takes what reaches that id backward
-    within its colour as a component, and goes on with the rest.
+    A chain is made of nodes with one edge in and one out. Each looks ahead and back twice as far in every
+    round, so a chain of n nodes takes log n rounds. What still looks at chains after that is a cycle of
+    such nodes; its start and end are its smallest node.
+    """
+    inner = left.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("start")).where("n = 1")
+    outer = left.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("end")).where("n = 1")
+    chain = inner.drop("n").join(outer.drop("n"), "id")
+    mark = lambda end: chain.select(F.col("id").alias(end), F.lit(False).alias(f"{end}_done"))
+    done = [F.coalesce(f"{end}_done", F.lit(True)).alias(f"{end}_done") for end in ("start", "end")]
+    rows = materialize(chain.join(mark("start"), "start", "left").join(mark("end"), "end", "left").select("id", "start", "end", *done, F.col("id").alias("low")), "chains")
+    reach, size = 1, rows.count()
+    while reach <= size and not rows.where("NOT start_done OR NOT end_done").isEmpty():
+        back = rows.select(F.col("id").alias("start"), F.col("start").alias("start2"), F.col("start_done").alias("s2"))
+        ahead = rows.select(F.col("id").alias("end"), F.col("end").alias("end2"), F.col("end_done").alias("e2"), F.col("low").alias("low2"))
+        met = rows.join(back, "start", "left").join(ahead, "end", "left")
+        rows = materialize(
+            met.select(
+                "id", F.when(F.col("start_done"), F.col("start")).otherwise(F.col("start2")).alias("start"), F.when(F.col("end_done"), F.col("end")).otherwise(F.col("end2")).alias("end"),
+                (F.col("start_done") | F.col("s2")).alias("start_done"), (F.col("end_done") | F.col("e2")).alias("end_done"), F.least("low", "low2").alias("low"),
+            ),
+            "chains",
+        )
+        reach *= 2
+    cycle = ~F.col("end_done")
+    chains = rows.select("id", F.when(cycle, F.col("low")).otherwise(F.col("start")).alias("start"), F.when(cycle, F.col("low")).otherwise(F.col("end")).alias("end"))
+    other = left.join(chains.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    short = other.join(chains.select(F.col("id").alias("target_id"), "end"), "target_id", "left").select("source_id", F.coalesce("end", "target_id").alias("target_id"))
+    return materialize(short.where("source_id <> target_id").distinct(), "short"), materialize(chains, "chains")
+
+
+def _by_colour(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of a part of the nodes, and the edges among the rest.
+
+    The smallest id spreads forward to a fixed point; what reaches it backward, within its colour, is a
+    component.
     """
-    left = _trim(edges)
-    alone = nodes.select("id").join(left.select(F.col("source_id").alias("id")).distinct(), "id", "left_anti")
-    out = alone.select("id", F.col("id").alias("component"))
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            return out
-        ids = left.select(F.col("source_id").alias("id")).unionByName(left.select(F.col("target_id").alias("id"))).distinct()
-        colour = _spread(left, ids.select("id", F.col("id").alias("colour")))
-        same = left.join(colour.select(F.col("id").alias("source_id"), "colour"), "source_id").join(colour.select(F.col("id").alias("target_id"), F.col("colour").alias("other")), "target_id").where(F.col("colour") == F.col("other"))
-        back = same.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "colour")
-        found = colour.where("id = colour").select("id", "colour")
-        front = found
-        for _ in range(most_rounds):
-            nxt = front.select(F.col("id").alias("source_id"), F.col("colour").alias("c")).join(back, "source_id").where("c = colour").select(F.col("target_id").alias("id"), "colour").distinct()
-            front = materialize(nxt.join(found, ["id", "colour"], "left_anti"), "front")
-            if front.isEmpty():
-                break
-            found = materialize(found.unionByName(front), "found")
-        out = materialize(out.unionByName(found.select("id", F.col("colour").alias("component"))), "components")
-        rest = left
-        for end in ("source_id", "target_id"):
-            rest = rest.join(found.select(F.col("id").alias(end)), end, "left_anti")
-        gone = ids.join(found.select("id"), "id", "left_anti")
-        left = _trim(rest.select("source_id", "target_id"))
-        single = gone.join(left.select(F.col("source_id").alias("id")).unionByName(left.select(F.col("target_id").alias("id"))).distinct(), "id", "left_anti")
-        out = materialize(out.unionByName(single.select("id", F.col("id").alias("component"))), "components")
-    raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
-
-
-def _spread(edges: DataFrame, colours: DataFrame, most_rounds: int = 500) -> DataFrame:
-    now = materialize(colours, "colours")
-    for _ in range(most_rounds):
-        got = edges.join(now.select(F.col("id").alias("source_id"), "colour"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("colour").alias("new"))
-        after = materialize(now.join(got, "id", "left").select("id", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("moved")), "colours")
-        if after.where("moved").isEmpty():
-            return after.select("id", "colour")
-        now = after.select("id", "colour")
-    raise RuntimeError("the colours did not settle")
+    ids = left.select(F.col("source_id").alias("id")).unionByName(left.select(F.col("target_id").alias("id"))).distinct()
+    colour = materialize(ids.select("id", F.col("id").alias("colour"), F.lit(True).alias("new")), "colours")
+    while not (front := colour.where("new")).isEmpty():
+        got = left.join(front.select(F.col("id").alias("source_id"), "colour"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("colour").alias("less"))
+        met = colour.select("id", "colour").join(got, "id", "left")
+        colour = materialize(met.select("id", F.least("colour", "less").alias("colour"), F.coalesce(F.col("less") < F.col("colour"), F.lit(False)).alias("new")), "colours")
+    of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"of_{end}"))
+    same = left.join(of("source_id"), "source_id").join(of("target_id"), "target_id").where("of_source_id = of_target_id")
+    back = materialize(same.select(F.col("target_id").alias("id"), F.col("source_id").alias("before")), "back")
+    found = front = materialize(colour.where("id = colour").select("id", F.col("colour").alias("component")), "found")
+    while not front.isEmpty():
+        more = front.join(back, "id").select(F.col("before").alias("id"), "component").distinct()
+        front = materialize(more.join(found, "id", "left_anti"), "front")
+        found = materialize(found.unionByName(front), "found")
+    for end in ("source_id", "target_id"):
+        left = left.join(found.select(F.col("id").alias(end)), end, "left_anti")
+    return found, materialize(left.select("source_id", "target_id"), "rest")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component (its smallest id).
+
+    While many edges are left, nodes that no cycle can hold are peeled off, chains are drawn together, and
+    where neither helps much components are found by colours. Then one task does the rest. A node of a
+    chain belongs to a component if both ends of the chain do.
+    """
+    left = materialize(edges.where("source_id <> target_id").select("source_id", "target_id").distinct(), "left")
+    chains: list[DataFrame] = []
+    found = nodes.select("id", F.lit(None).cast("string").alias("component")).where("false")
+    while (size := left.count()) > MOST_LOCAL:
+        left, drawn = _shorten(_peel(left))
+        chains.append(drawn)
+        if left.count() > 0.9 * size:
+            some, left = _by_colour(left)
+            found = materialize(found.unionByName(some), "components")
+    if size:
+        found = found.unionByName(_in_one_task(left, _components_of, "component"))
+    found = materialize(found, "components")
+    for drawn in reversed(chains):
+        of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: B023, E731
+        met = drawn.join(of("start"), "start", "left").join(of("end"), "end", "left")
+        # an end that was found alone, or in no component, stands for itself
+        a, b = F.coalesce("of_start", "start"), F.coalesce("of_end", "end")
+        inside = met.where(a == b).select("id", a.alias("component"))
+        heads = inside.select(F.col("component").alias("id"), "component").distinct().join(found, "id", "left_anti").join(inside.select("id"), "id", "left_anti")
+        found = materialize(found.unionByName(inside).unionByName(heads), "components")
+    lowest = found.groupBy("component").agg(F.min("id").alias("least"))
+    named = found.join(lowest, "component").select("id", "least")
+    return nodes.select("id").join(named, "id", "left").select("id", F.coalesce("least", "id").alias("component"))
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    if not edges.where("source_id = target_id").isEmpty():
+        return False
+    ids = edges.select(F.col("source_id").alias("id")).unionByName(edges.select(F.col("target_id").alias("id"))).distinct()
+    return strong_components(edges, ids).where("id <> component").isEmpty()
 
 
 def graph_metrics(memories: DataFrame, links: DataFrame) -> DataFrame:
@@ -392,13 +637,19 @@ def health_score(density: Column, isolated_ratio: Column, n_communities: Column,
 
 
 def health_report(memories: DataFrame, links: DataFrame, now, found: DataFrame | None = None) -> DataFrame:
-    """One row of metrics with score and grade; ``found`` (id, community) saves detecting communities."""
+    """One row of metrics with score and grade; ``found`` (id, community) saves detecting communities.
+
+    components counts the strong ones, and acyclic says that no path of links leads back to its start.
+    """
     edges = materialize(simple_graph(links, memories), "edges")
     found = communities(edges, memories.select("id")) if found is None else found
     groups = found.groupBy("community").agg(F.count(F.lit(1)).alias("size")).where("size > 1").agg(F.count(F.lit(1)).alias("communities"))
     age = seconds_between(F.col("timestamp"), instant(now)) / 86400
     ages = memories.agg(F.max(age).alias("oldest_days"), F.min(age).alias("newest_days"), F.avg(age).alias("mean_days"))
-    row = graph_metrics(memories, links).crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(ages))
+    strong = strong_components(edges, memories.select("id")).agg(F.countDistinct("component").alias("components"), F.coalesce(F.sum((F.col("id") != F.col("component")).cast("int")), F.lit(0)).alias("_inside"))
+    loops = edges.where("source_id = target_id").agg(F.count(F.lit(1)).alias("_loops"))
+    row = graph_metrics(memories, links).crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(ages)).crossJoin(F.broadcast(strong)).crossJoin(F.broadcast(loops))
+    row = row.withColumn("acyclic", (F.col("_inside") == 0) & (F.col("_loops") == 0)).drop("_inside", "_loops")
     ratio = F.when(F.col("nodes") > 0, F.col("isolated") / F.col("nodes")).otherwise(0.0)
     row = row.withColumn("score", health_score(F.col("density"), ratio, F.col("communities"), F.col("reciprocity"), F.col("mean_confidence")))
     grade = F.lit("Critical")
