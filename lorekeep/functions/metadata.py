@@ -14,7 +14,8 @@ def string_value(metadata: Column, key: str) -> Column:
     """The value of a key if it is a JSON string, else null: the number 3 is not the string "3"."""
     path = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
     value = F.variant_get(F.try_parse_json(metadata), path, "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(metadata), path, "string"))
+    # in an array of one, that the text is parsed once
+    return F.transform(F.array(value), lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")))[0]
 
 
 def has_value(metadata: Column, key: str, value: str) -> Column:

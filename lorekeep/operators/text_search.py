@@ -1,11 +1,15 @@
-"""Keyword search. A memory matches a query token if they share a stem, which equal tokens always do."""
+"""Keyword search. A memory matches a query token if they share a stem, which equal tokens always do.
+
+The words that have a stem are few and known beforehand, so texts are searched for them and not cut into
+tokens; a stored index (:func:`postings`) is read by stem.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import stem, stems, tokens
+from lorekeep.functions.text import all_of, any_of, of_literal, says, says_stem, stem, stems, tokens
 
 
 def postings(memories: DataFrame) -> DataFrame:
@@ -14,14 +18,17 @@ def postings(memories: DataFrame) -> DataFrame:
     return rows.withColumn("stem", stem(F.col("token")))
 
 
+def query_stems(query: str) -> list[str]:
+    return of_literal(stems(F.lit(query)))
+
+
 def matches_any(content: Column, query: str) -> Column:
-    return F.coalesce(F.arrays_overlap(stems(content), stems(F.lit(query))), F.lit(False))
+    return F.coalesce(any_of([says_stem(content, s) for s in query_stems(query)]), F.lit(False))
 
 
 def matches_all(content: Column, query: str) -> Column:
     """All tokens of the query; a query without usable tokens matches nothing."""
-    wanted = stems(F.lit(query))
-    return F.coalesce((F.size(wanted) > 0) & (F.size(F.array_except(wanted, stems(content))) == 0), F.lit(False))
+    return F.coalesce(all_of([says_stem(content, s) for s in query_stems(query)]), F.lit(False))
 
 
 def search_any(memories: DataFrame, query: str) -> DataFrame:
@@ -34,23 +41,22 @@ def search_all(memories: DataFrame, query: str) -> DataFrame:
 
 def find_keyword(memories: DataFrame, word: str) -> DataFrame:
     """Memories with the exact token."""
-    return memories.where(F.array_contains(tokens(F.col("content")), word.lower()))
+    low = word.lower()
+    return memories.where(says(F.col("content"), low, [low]) if of_literal(tokens(F.lit(word))) == [low] else F.lit(False))
 
 
 def find_stem(memories: DataFrame, word: str) -> DataFrame:
-    return memories.where(F.exists(tokens(F.col("content")), lambda t: stem(t) == stem(F.lit(word.lower()))))
+    """Memories with a token that has the stem of a word."""
+    return memories.where(says_stem(F.col("content"), of_literal(F.array(stem(F.lit(word.lower()))))[0]))
 
 
 def search_postings(index: DataFrame, query: str, match: str = "any") -> DataFrame:
-    """Ids of matching memories from a stored index; only the rows of the query's stems are read."""
-    wanted = F.explode(stems(F.lit(query))).alias("stem")
-    one = index.sparkSession.range(1).select(wanted)
-    hits = index.join(F.broadcast(one), "stem").select("memory_id", "stem").distinct()
+    """Ids of matching memories from a stored index; the stems of the query reach its scan as a filter."""
+    wanted = query_stems(query)
+    hits = index.where(F.col("stem").isin(wanted) if wanted else F.lit(False))
     if match == "any":
         return hits.select("memory_id").distinct()
-    need = one.agg(F.count(F.lit(1)).alias("need"))
-    counted = hits.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.crossJoin(F.broadcast(need)).where("need > 0 AND n = need").select("memory_id")
+    return hits.groupBy("memory_id").agg(F.countDistinct("stem").alias("n")).where(F.col("n") == len(wanted)).select("memory_id")
 
 
 def remove_from_index(index: DataFrame, ids: DataFrame) -> DataFrame:

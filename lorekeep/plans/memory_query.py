@@ -71,17 +71,14 @@ class MemoryQuery:
 
     def where(self, memories: DataFrame) -> DataFrame:
         """The memories for which all criteria hold, in no order."""
+        # the cheap criteria first: metadata is parsed and text searched only where these hold
         rows = memories
-        if self.text is not None:
-            rows = (text_search.search_all if self.exact else text_search.search_any)(rows, self.text)
         if self.source is not None:
             rows = filters.by_source(rows, self.source)
         if self.min_confidence is not None:
             rows = filters.min_confidence(rows, self.min_confidence, self.bucketed)
         if self.min_importance is not None:
             rows = filters.min_importance(rows, self.min_importance, self.bucketed)
-        if self.key is not None:
-            rows = filters.with_key(rows, self.key) if self.value is None else filters.with_value(rows, self.key, self.value)
         if self.before is not None:
             rows = filters.before(rows, self.before)
         if self.after is not None:
@@ -93,6 +90,10 @@ class MemoryQuery:
                 rows = filters.by_month(rows, self.year, self.month)
             else:
                 rows = filters.by_day(rows, self.year, self.month, self.day)
+        if self.key is not None:
+            rows = filters.with_key(rows, self.key) if self.value is None else filters.with_value(rows, self.key, self.value)
+        if self.text is not None:
+            rows = (text_search.search_all if self.exact else text_search.search_any)(rows, self.text)
         return rows
 
     def apply(self, memories: DataFrame) -> DataFrame:

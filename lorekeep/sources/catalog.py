@@ -29,17 +29,19 @@ CONTEXTS = _struct(id=_S, name=_S, description=_S, metadata=_S)
 CONTEXT_MEMBERS = _struct(context_id=_S, memory_id=_S)
 CONTEXT_AGENTS = _struct(context_id=_S, agent_id=_S)
 VECTORS = _struct(memory_id=_S, vector=T.ArrayType(T.FloatType()), model=_S, dimensions=T.IntegerType(), metadata=T.MapType(_S, _S), reduced=T.BooleanType())
+POSTINGS = _struct(memory_id=_S, token=_S, stem=_S)
 
 SCHEMAS: dict[str, T.StructType] = {
     "memories": MEMORIES, "links": LINKS, "collections": COLLECTIONS, "collection_members": COLLECTION_MEMBERS, "agents": AGENTS,
     "agent_grants": AGENT_GRANTS, "contexts": CONTEXTS, "context_members": CONTEXT_MEMBERS, "context_agents": CONTEXT_AGENTS, "vectors": VECTORS,
+    "postings": POSTINGS,
 }
 
 #: Identity of a row, for upserts and deletes.
 KEYS: dict[str, tuple[str, ...]] = {
     "memories": ("id",), "links": ("id",), "collections": ("id",), "collection_members": ("collection_id", "memory_id"), "agents": ("id",),
     "agent_grants": ("agent_id", "collection_id"), "contexts": ("id",), "context_members": ("context_id", "memory_id"),
-    "context_agents": ("context_id", "agent_id"), "vectors": ("memory_id", "reduced"),
+    "context_agents": ("context_id", "agent_id"), "vectors": ("memory_id", "reduced"), "postings": ("memory_id", "token"),
 }
 
 

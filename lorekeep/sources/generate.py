@@ -66,9 +66,8 @@ def demo(spark: SparkSession) -> Tables:
     )
 
 
-#: The sources and link types of the synthetic graph.
-SOURCES = ("research", "observation", "inference", "user_input", "external_api")
-LINK_TYPES = ("supports", "contradicts", "elaborates", "references", "causes", "follows")
+SOURCES = ("notebook", "interview", "sensor", "archive")
+LINK_TYPES = ("precedes", "explains", "doubts", "quotes", "narrows")
 
 
 def _uniform(salt: int, *columns: str) -> Column:
@@ -104,12 +103,14 @@ def synthetic(spark: SparkSession, memories: int, links_each: int = 2, topics: i
     members = groups.unionByName(sure).unionByName(by_source)
     collections = members.select(F.col("collection_id").alias("id")).distinct().select("id", F.col("id").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("metadata"))
     contexts = made.select(F.col("topic").alias("id")).distinct().select("id", F.concat(F.lit("About "), "id").alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("metadata"))
-    agents = spark.createDataFrame([(r, r.title(), "", ["read"], None) for r in ("researcher", "reviewer", "curator")], "id string, name string, description string, capabilities array<string>, metadata string")
-    grants = agents.select(F.col("id").alias("agent_id")).crossJoin(F.broadcast(collections.select(F.col("id").alias("collection_id")))).where(F.pmod(F.xxhash64("agent_id", "collection_id"), F.lit(2)) == 0)
+    names = ("researcher", "reviewer", "curator")
+    agents = spark.createDataFrame([(r, r.title(), "", ["read"], None) for r in names], "id string, name string, description string, capabilities array<string>, metadata string")
+    each = F.explode(F.array(*map(F.lit, names))).alias("agent_id")
+    grants = collections.select(each, F.col("id").alias("collection_id")).where(F.pmod(F.xxhash64("agent_id", "collection_id"), F.lit(2)) == 0)
     return from_rows(spark).replace(
         memories=made.drop("n", "topic"), links=links, collections=collections, collection_members=members, agents=agents, agent_grants=grants, contexts=contexts,
         context_members=made.select(F.col("topic").alias("context_id"), F.col("id").alias("memory_id")),
-        context_agents=agents.select(F.col("id").alias("agent_id")).crossJoin(F.broadcast(contexts.select(F.col("id").alias("context_id")))).select("context_id", "agent_id"),
+        context_agents=contexts.select(F.col("id").alias("context_id"), each),
     )
 
 

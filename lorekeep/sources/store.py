@@ -1,78 +1,113 @@
 """A store of graph tables as versioned Parquet folders.
 
-``<root>/v<n>/<table>`` holds a table as version n wrote it, ``<root>/manifest-<n>`` says for each table
-which version wrote it last, and the file ``<root>/CURRENT`` names the version that readers see. A batch
-stages puts and deletes, writes the tables that it changes and then swaps the pointer, so readers see all
-of a commit or none of it, and a commit costs as much as the tables it touches. All files go through
-Spark's file systems.
+A commit writes what it changes, and only that, into folders of its own, and then one file
+``<root>/manifest-<n>`` that lists for each table its base and the changes since, in order. The version
+of a store is the highest manifest. A manifest appears whole, by a rename that fails if another
+commit was first, so readers see all of a commit or none of it and two commits at once both count: the
+second one adds its changes to the first one's manifest. Reading merges base and changes; a table with
+``MOST_CHANGES`` of them is written anew by the commit that finds it so. All files go through Spark's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.errors import InvalidOperation
+from lorekeep.operators import text_search
 from lorekeep.sources.catalog import KEYS, SCHEMAS, Tables
 
+#: Changes that a table gathers before a commit writes it anew.
+MOST_CHANGES = 16
+
+#: [kind, folder] for each step: a base first, if there is one, then puts and deletes.
+Steps = list[list[str]]
+
 
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    # the pointer
+    # manifests
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _get(self, name: str) -> str | None:
-        fs, path = self._path(name)
-        if not fs.exists(path):
-            return None
+    def version(self) -> int:
+        """The current version, 0 for a store that nothing was committed to."""
+        fs, path = self._path("manifest-*")
+        found = fs.globStatus(path)
+        return max((int(x.getPath().getName().rpartition("-")[2]) for x in found or ()), default=0)
+
+    def manifest(self, version: int) -> dict[str, Steps]:
+        """For each table the folders that make it up."""
+        if not version:
+            return {}
+        fs, path = self._path(f"manifest-{version}")
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _set(self, name: str, text: str) -> None:
-        fs, path = self._path(name)
-        stream = fs.create(path, True)
-        stream.write(bytearray(text.encode()))
+    def _create(self, version: int, manifest: dict[str, Steps]) -> bool:
+        """Write a manifest whole; False if there is one of that version."""
+        fs, new = self._path(f"new-{uuid.uuid4().hex}")
+        _, path = self._path(f"manifest-{version}")
+        stream = fs.create(new, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
+        try:
+            if fs.getUri().getScheme() == "file":  # a local rename replaces what is there, a link doesn't
+                nio = self.spark.sparkContext._jvm.java.nio.file
+                nio.Files.createLink(nio.Path.of(path.toUri().getPath(), self._none()), nio.Path.of(new.toUri().getPath(), self._none()))
+                return True
+            return not fs.exists(path) and fs.rename(new, path)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        finally:
+            fs.delete(new, False)
 
-    def version(self) -> int:
-        """The current version, 0 for a store that nothing was committed to."""
-        return int(self._get("CURRENT") or 0)
-
-    def manifest(self, version: int) -> dict[str, int]:
-        """For each table the version that wrote it last."""
-        return json.loads(self._get(f"manifest-{version}") or "{}")
-
-    def _point_to(self, version: int, manifest: dict[str, int]) -> None:
-        self._set(f"manifest-{version}", json.dumps(manifest))
-        self._set(f"CURRENT.{version}", str(version))
-        fs, new = self._path(f"CURRENT.{version}")
-        _, path = self._path("CURRENT")
-        fs.delete(path, False)
-        fs.rename(new, path)
+    def _none(self):
+        return self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.java.lang.String, 0)
 
     # reads
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table of the current or a given version; empty if it was never written."""
-        wrote = self.manifest(self.version() if version is None else version).get(name)
-        if wrote is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/v{wrote}/{name}")
+        return self.rows_of(name, self.manifest(self.version() if version is None else version).get(name, []))
+
+    def rows_of(self, name: str, steps: Steps) -> DataFrame:
+        """The rows that some steps leave: the last put of a key, unless a later delete names it."""
+        schema, key = SCHEMAS[name], list(KEYS[name])
+        rows, changed = None, False
+        for step, (kind, folder) in enumerate(steps):
+            if kind == "delete":
+                if rows is not None:
+                    gone = self.spark.read.parquet(f"{self.root}/{folder}")
+                    rows = rows.join(gone, gone.columns, "left_anti")
+                continue
+            put = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").withColumn("_step", F.lit(step))
+            changed |= kind == "put"
+            rows = put if rows is None else rows.unionByName(put)
+        if rows is None:
+            return self.spark.createDataFrame([], schema)
+        if changed:
+            rows = rows.groupBy(*key).agg(F.max_by(F.struct(*schema.names), "_step").alias("_row")).select("_row.*")
+        return rows.select(*schema.names)
 
     def tables(self) -> Tables:
-        return Tables({name: self.read(name) for name in SCHEMAS})
+        now = self.manifest(self.version())
+        return Tables({name: self.rows_of(name, now.get(name, [])) for name in SCHEMAS})
 
     def ids(self, name: str) -> DataFrame:
         return self.read(name).select(*KEYS[name])
@@ -87,6 +122,14 @@ class GraphStore:
     def stats(self) -> DataFrame:
         return table_counts(self.tables())
 
+    def search(self, text: str, match: str = "any") -> DataFrame:
+        """The memories that match a text, by the stored postings; see :meth:`build_index`."""
+        now = self.manifest(self.version())
+        if "postings" not in now:
+            raise InvalidOperation("the store has no text index; build it first")
+        hits = text_search.search_postings(self.rows_of("postings", now["postings"]), text, match)
+        return self.rows_of("memories", now.get("memories", [])).join(hits.withColumnRenamed("memory_id", "id"), "id", "left_semi")
+
     # writes
 
     def batch(self) -> Batch:
@@ -99,39 +142,52 @@ class GraphStore:
         self.batch().delete(name, keys).commit()
 
     def load(self, tables: Tables) -> None:
-        """Put all rows of some tables in one commit."""
+        """Put all rows of some tables in one commit; postings are the store's own affair."""
         batch = self.batch()
         for name, rows in tables.frames.items():
-            batch.put(name, rows)
+            if name != "postings":
+                batch.put(name, rows)
+        batch.commit()
+
+    def build_index(self) -> None:
+        """Store the postings of all memories, sorted by stem; later commits keep them up to date."""
+        batch = self.batch()
+        batch.steps.append(("base", "postings", _sorted("postings", text_search.postings(self.read("memories")))))
         batch.commit()
 
-    def compact(self, files: int = 1) -> None:
-        """Write the current version anew in a few files a table."""
+    def compact(self, files: int | None = 1) -> None:
+        """Write the current version anew, in a few files a table."""
         batch = self.batch()
-        batch.files = files
-        batch.touched |= set(SCHEMAS)
+        for name, steps in self.manifest(self.version()).items():
+            batch.fold(name, steps, files)
         batch.commit()
 
     def vacuum(self) -> None:
-        """Delete all that the current version doesn't read."""
+        """Delete older manifests and the folders that only they name."""
         now = self.version()
-        kept = self.manifest(now)
-        fs, _ = self._path("")
-        for version in range(1, now + 1):
-            for name in SCHEMAS:
-                if kept.get(name) != version:
-                    fs.delete(self._path(f"v{version}/{name}")[1], True)
-            if version != now:
-                fs.delete(self._path(f"manifest-{version}")[1], False)
-            if version not in kept.values():
-                fs.delete(self._path(f"v{version}")[1], True)
+        kept = {folder for steps in self.manifest(now).values() for _, folder in steps}
+        fs, path = self._path("manifest-*")
+        for found in fs.globStatus(path) or ():
+            version = int(found.getPath().getName().rpartition("-")[2])
+            if version >= now:
+                continue
+            for steps in self.manifest(version).values():
+                for _, folder in steps:
+                    if folder not in kept:
+                        fs.delete(self._path(folder)[1], True)
+            fs.delete(found.getPath(), False)
+
+
+def _sorted(name: str, rows: DataFrame) -> DataFrame:
+    """Postings in ranges of stems, so that a search reads few row groups; other tables as they are."""
+    return rows.repartitionByRange("stem").sortWithinPartitions("stem", "memory_id") if name == "postings" else rows
 
 
 class Batch:
     """Staged puts and deletes; nothing shows before ``commit``, and ``abort`` drops them."""
 
     def __init__(self, store: GraphStore):
-        self.store, self.steps, self.touched, self.files, self.open = store, [], set(), None, True
+        self.store, self.steps, self.folded, self.open = store, [], {}, True
 
     def _stage(self, kind: str, name: str, rows: DataFrame) -> Batch:
         if not self.open:
@@ -139,7 +195,6 @@ class Batch:
         if name not in SCHEMAS:
             raise InvalidOperation(f"no table {name}")
         self.steps.append((kind, name, rows))
-        self.touched.add(name)
         return self
 
     def put(self, name: str, rows: DataFrame) -> Batch:
@@ -150,7 +205,10 @@ class Batch:
 
     def delete(self, name: str, keys: DataFrame) -> Batch:
         """Delete the rows whose keys (the key columns, or their first) are in ``keys``."""
-        return self._stage("delete", name, keys)
+        on = [c for c in keys.columns if name in SCHEMAS and c in SCHEMAS[name].names]
+        if not on:
+            raise InvalidOperation(f"no column of {name} to delete by")
+        return self._stage("delete", name, keys.select(*on).distinct())
 
     def delete_memories(self, ids: DataFrame, cascade: bool = True) -> Batch:
         """Delete memories and, with ``cascade``, the links, vectors and memberships that name them."""
@@ -163,38 +221,55 @@ class Batch:
                 self.delete(name, ids.withColumnRenamed("id", "memory_id"))
         return self
 
-    def _apply(self, name: str) -> DataFrame:
-        key = list(KEYS[name])
-        rows = self.store.read(name).withColumn("_step", F.lit(-1))
-        for step, (kind, table, change) in enumerate(self.steps):
-            if table != name:
-                continue
-            if kind == "put":
-                rows = rows.unionByName(change.withColumn("_step", F.lit(step)))
-            else:
-                on = [c for c in change.columns if c in rows.columns and c != "_step"]
-                rows = rows.join(change.select(*on).distinct(), on, "left_anti")
-        names = [f.name for f in SCHEMAS[name]]
-        latest = rows.groupBy(*key).agg(F.max_by(F.struct(*names), "_step").alias("_row")) if self.steps else rows.select(*key, F.struct(*names).alias("_row"))
-        return latest.select("_row.*").select(*names)
+    def fold(self, name: str, steps: Steps, files: int | None = None) -> None:
+        """Write the table that some steps make up as a new base for them."""
+        rows = _sorted(name, self.store.rows_of(name, steps))
+        self.folded[name] = (steps, self._write(rows if files is None else rows.coalesce(files), name))
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        folder = f"data/{uuid.uuid4().hex}/{name}"
+        rows.write.parquet(f"{self.store.root}/{folder}")
+        return folder
+
+    def _indexed(self) -> list[tuple[str, str, DataFrame]]:
+        """The staged steps, with what they mean for the postings if the store has any."""
+        out = []
+        indexed = "postings" in self.store.manifest(self.store.version())
+        for kind, name, rows in self.steps:
+            out.append((kind, name, rows))
+            if name == "memories" and indexed:
+                ids = rows if "id" in rows.columns else self.store.read("memories").join(rows, rows.columns, "left_semi")
+                out.append(("delete", "postings", ids.select(F.col("id").alias("memory_id")).distinct()))
+                if kind == "put":
+                    out.append(("put", "postings", text_search.postings(rows)))
+        return out
 
     def commit(self) -> int:
+        """Write what is staged and make it the next version, after whatever was committed meanwhile."""
         if not self.open:
             raise InvalidOperation("the batch has ended")
-        store, now = self.store, self.store.version()
-        manifest = store.manifest(now)
-        for name in sorted(self.touched):
-            rows = self._apply(name)
-            if self.files:
-                rows = rows.coalesce(self.files)
-            rows.write.mode("overwrite").parquet(f"{store.root}/v{now + 1}/{name}")
-            manifest[name] = now + 1
-        store._point_to(now + 1, manifest)
-        self.open = False
+        store, self.open = self.store, False
+        wrote = [(kind, name, self._write(rows, name)) for kind, name, rows in self._indexed()]
+        while True:
+            now = store.version()
+            manifest = store.manifest(now)
+            for name, (steps, folder) in self.folded.items():
+                if manifest.get(name, [])[: len(steps)] == steps:  # else another commit folded them
+                    manifest[name] = [["base", folder], *manifest.get(name, [])[len(steps) :]]
+            for kind, name, folder in wrote:
+                manifest[name] = [["base", folder]] if kind == "base" else [*manifest.get(name, []), [kind, folder]]
+            if store._create(now + 1, manifest):
+                break
+        long = [name for name, steps in manifest.items() if len(steps) > MOST_CHANGES and name not in self.folded]
+        if long:
+            after = Batch(store)
+            for name in long:
+                after.fold(name, manifest[name])
+            after.commit()
         return now + 1
 
     def abort(self) -> None:
-        self.steps, self.touched, self.open = [], set(), False
+        self.steps, self.folded, self.open = [], {}, False
 
 
 def latest(log: DataFrame, keys: tuple[str, ...] = ("id",), version: str = "version") -> DataFrame:

@@ -27,13 +27,13 @@ def memory(i, content, source="s", confidence=0.5, importance=0.5, count=0, at=N
 @pytest.fixture(scope="module")
 def cities(spark):
     said = [
-        ("g0", "The capital of France is Paris", "geography", 0.95, "cities"),
-        ("g1", "Paris is known for the Eiffel Tower", "landmarks", 0.90, "monuments"),
-        ("g2", "The Eiffel Tower was built in 1889", "history", 0.85, "monuments"),
-        ("g3", "France is a country in Western Europe", "geography", 0.98, "countries"),
-        ("g4", "The European Union was formed in 1993", "history", 0.80, "organizations"),
+        ("g0", "Quillon lies in Veldmark by the sea", "atlas", 0.92, "ports"),
+        ("g1", "The Amber lantern guides boats to Quillon", "guide", 0.91, "lights"),
+        ("g2", "An Amber lantern was lit in 1702", "diary", 0.83, "lights"),
+        ("g3", "Veldmark borders the hills of Northreach", "atlas", 0.97, "regions"),
+        ("g4", "Northreach elected a council in 1840", "diary", 0.81, "councils"),
     ]
-    joined = [("g0", "g1", "contains", 0.9), ("g1", "g2", "has_landmark", 0.85), ("g3", "g4", "is_member_of", 0.9)]
+    joined = [("g0", "g1", "shown_by", 0.7), ("g1", "g2", "older_than", 0.6), ("g3", "g4", "governed_by", 0.8)]
     return from_rows(
         spark,
         memories=[memory(i, c, s, f, metadata=f'{{"category": "{m}"}}', at=NOW + dt.timedelta(days=n)) for n, (i, c, s, f, m) in enumerate(said)],
@@ -47,39 +47,39 @@ def ids(df):
 
 def test_search(cities):
     m = cities.memories
-    assert ids(text_search.search_any(m, "Paris")) == ["g0", "g1"]
-    assert ids(text_search.search_any(m, "Tower")) == ["g1", "g2"]
-    assert ids(text_search.search_all(m, "France Europe")) == ["g3"]
+    assert ids(text_search.search_any(m, "Quillon")) == ["g0", "g1"]
+    assert ids(text_search.search_any(m, "lantern")) == ["g1", "g2"]
+    assert ids(text_search.search_all(m, "Veldmark Northreach")) == ["g3"]
     assert ids(text_search.search_all(m, "")) == ids(text_search.search_any(m, "a .")) == []
-    assert ids(filters.by_source(m, "geography")) == ["g0", "g3"]
+    assert ids(filters.by_source(m, "atlas")) == ["g0", "g3"]
     assert ids(filters.min_confidence(m, 0.9)) == ["g0", "g1", "g3"]
     assert ids(filters.min_confidence(m, 0.89, bucketed=True)) == ["g0", "g1", "g2", "g3", "g4"]
-    assert ids(filters.with_value(m, "category", "monuments")) == ["g1", "g2"]
-    assert ids(text_search.search_required(m, "Paris Tower", ["Eiffel"], ["built"])) == ["g1"]
+    assert ids(filters.with_value(m, "category", "lights")) == ["g1", "g2"]
+    assert ids(text_search.search_required(m, "Quillon lantern", ["Amber"], ["lit"])) == ["g1"]
 
 
 def test_index(cities):
     index = text_search.postings(cities.memories)
     found = lambda q, how="any": sorted(r[0] for r in text_search.search_postings(index, q, how).collect())
-    assert found("Paris") == ["g0", "g1"]
-    assert found("France Europe", "all") == ["g3"]
+    assert found("Quillon") == ["g0", "g1"]
+    assert found("Veldmark Northreach", "all") == ["g3"]
     assert found("", "all") == []
     gone = cities.memories.where("id = 'g0'").select("id")
-    assert found("Paris") != sorted(r[0] for r in text_search.search_postings(text_search.remove_from_index(index, gone), "Paris").collect())
+    assert found("Quillon") != sorted(r[0] for r in text_search.search_postings(text_search.remove_from_index(index, gone), "Quillon").collect())
 
 
 def test_combined(cities):
     m = cities.memories
-    assert ids(search_combined(m, text="Paris", source="landmarks", key="category", value="monuments")) == ["g1"]
+    assert ids(search_combined(m, text="Quillon", source="guide", key="category", value="lights")) == ["g1"]
     assert ids(search_combined(m)) == []
     assert ids(MemoryQuery().apply(m)) == ["g0", "g1", "g2", "g3", "g4"]
     assert [r["id"] for r in MemoryQuery(limit=2).apply(m).collect()] == ["g4", "g3"]
     assert [r["id"] for r in MemoryQuery(order="confidence", limit=2).apply(m).collect()] == ["g3", "g0"]
     assert [r["id"] for r in MemoryQuery(order="oldest", limit=1).apply(m).collect()] == ["g0"]
     assert ids(MemoryQuery().in_period(2024, 3, 2).apply(m)) == ["g1"]
-    assert ids(MemoryQuery().with_text("paris tower", exact=True).apply(m)) == ["g1"]
+    assert ids(MemoryQuery().with_text("quillon lantern", exact=True).apply(m)) == ["g1"]
     assert ids(MemoryQuery().with_time_range(NOW, NOW + dt.timedelta(days=2)).apply(m)) == ["g1"]
-    assert ids(MemoryQuery(text="Nowhere", source="history").apply(m)) == []
+    assert ids(MemoryQuery(text="Nowhere", source="diary").apply(m)) == []
 
 
 def test_links(cities):

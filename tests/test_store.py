@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from lorekeep import cli
 from lorekeep.errors import ImportFormatError, InvalidOperation
-from lorekeep.operators import forgetting
+from lorekeep.operators import forgetting, text_search
 from lorekeep.plans.engine import MemoryEngine
 from lorekeep.plans.memory_query import MemoryQuery
 from lorekeep.sources import exchange
 from lorekeep.sources.catalog import KEYS, SCHEMAS, from_rows
 from lorekeep.sources.generate import demo
-from lorekeep.sources.store import GraphStore, latest, merge_update
+from lorekeep.sources.store import Batch, GraphStore, latest, merge_update
 from lorekeep.streaming import jobs
 
 NOW = dt.datetime(2024, 3, 1)
@@ -58,6 +58,78 @@ def test_batches(spark, store):
     assert counts()["memories"] == 1 and sorted(r["id"] for r in store.ids("memories").collect()) == ["m2"]
 
 
+def test_readers_see_whole_commits(spark, store, monkeypatch):
+    """At every step of a commit a reader sees the version before or the one after."""
+    store.put("memories", from_rows(spark, memories=[memory("m1"), memory("m2")]).memories)
+    seen = []
+    look = lambda: seen.append(sorted(r["id"] for r in GraphStore(spark, store.root).ids("memories").collect()))
+    write, create = Batch._write, GraphStore._create
+    monkeypatch.setattr(Batch, "_write", lambda self, rows, name: (look(), write(self, rows, name), look())[1])
+    monkeypatch.setattr(GraphStore, "_create", lambda self, version, manifest: (look(), create(self, version, manifest), look())[1])
+    store.batch().put("memories", from_rows(spark, memories=[memory("m3")]).memories).delete("memories", spark.createDataFrame([("m1",)], "id string")).commit()
+    assert len(seen) == 6 and seen[:5] == [["m1", "m2"]] * 5 and seen[5] == ["m2", "m3"]
+
+
+def test_two_commits_at_once(spark, store, monkeypatch):
+    """A commit that finds another one in its place goes after it, and neither is lost."""
+    store.put("memories", from_rows(spark, memories=[memory("m1"), memory("m2")]).memories)
+    create, once = GraphStore._create, []
+
+    def late(self, version, manifest):
+        if not once:
+            once.append(True)
+            GraphStore(spark, store.root).put("memories", from_rows(spark, memories=[memory("m1", "theirs"), memory("m4")]).memories)
+        return create(self, version, manifest)
+
+    monkeypatch.setattr(GraphStore, "_create", late)
+    assert store.batch().put("memories", from_rows(spark, memories=[memory("m3"), memory("m1", "ours")]).memories).commit() == 3
+    got = {r["id"]: r["content"] for r in store.read("memories").collect()}
+    assert got == {"m1": "ours", "m2": "x", "m3": "x", "m4": "x"} and store.version() == 3
+    assert not create(store, 3, {})
+
+
+def test_commits_write_changes_only(spark, store, monkeypatch):
+    """A commit adds folders of what it changes; after a number of them the table is written anew, once."""
+    monkeypatch.setattr("lorekeep.sources.store.MOST_CHANGES", 4)
+    store.put("memories", from_rows(spark, memories=[memory(f"m{i}") for i in range(20)]).memories)
+    lengths, want = [], {f"m{i}": "x" for i in range(20)}
+    for i in range(9):
+        batch = store.batch().put("memories", from_rows(spark, memories=[memory(f"m{i}", f"new{i}")]).memories)
+        want[f"m{i}"] = f"new{i}"
+        if i == 6:
+            batch.delete("memories", spark.createDataFrame([("m3",), ("m6",)], "id string"))
+            del want["m3"], want["m6"]
+        batch.commit()
+        steps = store.manifest(store.version())["memories"]
+        lengths.append(len(steps))
+        assert spark.read.parquet(f"{store.root}/{steps[-1][1]}").count() in (1, 2, 20, 19, 18)
+    assert max(lengths) <= 4 and lengths.count(1) >= 2
+    assert {r["id"]: r["content"] for r in store.read("memories").collect()} == want
+    store.compact()
+    store.vacuum()
+    assert {r["id"]: r["content"] for r in store.read("memories").collect()} == want and store.version() > 0
+
+
+def test_stored_text_index(spark, store):
+    """Postings follow the memories through puts and deletes, and find what a scan of the texts finds."""
+    store.load(demo(spark))
+    with pytest.raises(InvalidOperation):
+        store.search("uploads")
+    store.build_index()
+    store.put("memories", from_rows(spark, memories=[memory("req0", "Nothing of the sort"), memory("x", "Uploaded chunks are tested")]).memories)
+    store.batch().delete_memories(spark.createDataFrame([("imp0",)], "id string")).commit()
+    store.batch().delete("memories", spark.createDataFrame([("team",)], "source string")).commit()
+    for text in ("uploads", "chunk tests", "the", "sorts reports", "nowhere", ""):
+        for match, scan in (("any", text_search.search_any), ("all", text_search.search_all)):
+            ids = sorted(r["id"] for r in store.search(text, match).collect())
+            assert ids == sorted(r["id"] for r in scan(store.read("memories"), text).collect()), (text, match)
+    assert sorted(r["id"] for r in store.search("uploads").collect())
+    plan = text_search.search_postings(store.read("postings"), "uploads")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan
+    store.compact()
+    assert store.search("uploads").count() == text_search.search_any(store.read("memories"), "uploads").count()
+
+
 def same(a, b):
     for name in SCHEMAS:
         if name == "vectors":
