@@ -171,11 +171,12 @@ class InvertedFile:
 
     Centroids are fitted on at most ``sample`` rows (the first by a hash of the id); every row is
     indexed. ``index`` adds the column ``cell``; written partitioned by it, a query reads ``probes``
-    cells of ``cells`` only.
+    cells of ``cells`` only. Without ``probes`` so many are read that the ``near`` nearest of the sample
+    are found in a share of ``recall``: few where the vectors form groups, most where they form none.
     """
 
-    def __init__(self, cells: int = 16, probes: int = 6, sample: int = 10_000, rounds: int = 10, seed: int = 1):
-        self.cells, self.probes, self.sample, self.rounds, self.seed = cells, probes, sample, rounds, seed
+    def __init__(self, cells: int = 16, probes: int | None = None, sample: int = 10_000, rounds: int = 10, seed: int = 1, recall: float = 0.95, near: int = 10):
+        self.cells, self.probes, self.sample, self.rounds, self.seed, self.recall, self.near = cells, probes, sample, rounds, seed, recall, near
         self.centers: np.ndarray | None = None
 
     @staticmethod
@@ -196,8 +197,20 @@ class InvertedFile:
             np.add.at(sums, cell, x)
             centers = self._unit(np.where(np.bincount(cell, minlength=len(centers))[:, None] > 0, sums, centers))
         self.centers = centers
+        if self.probes is None:
+            self.probes = self._enough(x)
         return self
 
+    def _enough(self, x: np.ndarray, asked: int = 512) -> int:
+        """The cells to read, by the cells of the nearest rows of the first ``asked`` of a sample."""
+        cell, some = np.argmax(x @ self.centers.T, axis=1), x[:asked]
+        k = min(self.near, len(x))
+        nearest = np.argpartition(-(some @ x.T), k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(some @ self.centers.T), axis=1, kind="stable"), axis=1)
+        needed = np.take_along_axis(place, cell[nearest], axis=1)
+        shares = [(needed < p).mean() for p in range(1, len(self.centers) + 1)]
+        return next((p for p, share in enumerate(shares, 1) if share >= self.recall), len(self.centers))
+
     def _cells(self, vectors: DataFrame, id_col: str, many: int) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast(self.centers)
 

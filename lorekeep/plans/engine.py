@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.errors import InvalidOperation
-from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, links, text_search, traverse, vectors
+from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, links, reduce, text_search, traverse, vectors
 from lorekeep.plans.memory_query import MemoryQuery
 from lorekeep.sources.catalog import CorpusCatalog, Tables
 from lorekeep.sources.store import GraphStore, table_counts
@@ -83,6 +83,16 @@ class MemoryEngine:
     def postings(self) -> DataFrame:
         return text_search.postings(self.tables.memories)
 
+    def reduce_vectors(self, method: str, target: int, seed: int = 1) -> reduce.VectorReducer:
+        """Fit a reducer on all stored original vectors, and store what it makes of them in one commit."""
+        if self.store is None:
+            raise InvalidOperation("only a store can keep reduced vectors")
+        full = self.tables.vectors.where("NOT reduced")
+        reducer = reduce.VectorReducer(method, target, seed).fit(full)
+        self.store.put("vectors", reducer.transform(full))
+        self.refresh()
+        return reducer
+
     # the graph
 
     def relationships(self, node: str, direction: str = "both", kind: str | None = None) -> DataFrame:

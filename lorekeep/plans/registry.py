@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import columns as C
 from lorekeep.functions import vector as V
 from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, links, reduce, text_search, traverse, vectors
+from lorekeep.plans.engine import MemoryEngine
 from lorekeep.plans.memory_query import MemoryQuery
 from lorekeep.session import shared_folder
 from lorekeep.sources import exchange, store
@@ -26,6 +27,7 @@ ORACLE_SQL: dict[str, str] = {}
 ANY_TEXT, ALL_TEXT, WORD = "the stations", "the and", "than"
 SOURCE, AGENT, CONTEXT = "src3", "1", "5"
 NODE, FAR_NODE = "1", "13"
+LINKED = "src19"  # a collection with links inside
 SPAN = ("2024-01-20 00:00:00", "2024-02-20 00:00:00")
 DAMPING, ROUNDS = 0.85, 10
 
@@ -186,7 +188,7 @@ _add("search_all", lambda c: _ids(text_search.search_all(c.memories, ALL_TEXT)),
 _add("search_postings_any", lambda c: text_search.search_postings(text_search.postings(c.memories), ANY_TEXT).withColumnRenamed("memory_id", "id"), _sql("mp", _ANY))
 _add("search_postings_all", lambda c: text_search.search_postings(text_search.postings(c.memories), ALL_TEXT, "all").withColumnRenamed("memory_id", "id"), _sql("mp", _ALL.format(_stems_of(ALL_TEXT))))
 _add("keyword_exact", lambda c: _ids(text_search.find_keyword(c.memories, WORD)), _sql("mp", f"SELECT DISTINCT memory_id AS id FROM postings WHERE token = '{WORD}'"))
-_add("find_stem", lambda c: _ids(text_search.find_stem(c.memories, "heared")), _sql("mp", "SELECT DISTINCT memory_id AS id FROM postings WHERE stem = 'hear'"))
+_add("find_stem", lambda c: _ids(text_search.find_stem(c.memories, f"{WORD}ing")), _sql("mp", f"SELECT DISTINCT memory_id AS id FROM postings WHERE stem = '{WORD}'"))
 _add("token_stats", lambda c: text_search.token_stats(text_search.postings(c.memories)), _sql("mp", "SELECT token, count(*) AS memories FROM postings GROUP BY token"))
 _add(
     "stem_stats",
@@ -529,6 +531,10 @@ _add(
 )
 _add(
     "forgetting_scores",
+    lambda c: analytics.forgetting_scores(c.memories, c.links, c.context_members, C.AS_OF).select("id", "in_degree", "out_degree", "context_references", F.round("score", 7).alias("score")),
+)
+_add(
+    "forgetting_scores_without_betweenness",
     lambda c: analytics.forgetting_scores(c.memories, c.links, c.context_members, C.AS_OF, with_betweenness=False, rounds=ROUNDS).select("id", "in_degree", "out_degree", "context_references", F.round("score", 7).alias("score")),
     _sql("mlgr", f""", {_rank_sql('edges', 'memories', ROUNDS)}, aged AS (SELECT *, date_diff('second', ts, {NOW}) AS age, max(date_diff('second', ts, {NOW})) OVER () AS oldest FROM memories),
       refs AS (SELECT memory_id AS id, count(*) AS refs FROM context_members GROUP BY 1)
@@ -536,9 +542,42 @@ _add(
         round(0.4 * (1 - CASE WHEN oldest > 0 THEN 1 - age / oldest ELSE 1 END) + 0.3 * (1 - confidence) + 0.3 * (1 - (coalesce(in_degree, 0) / (n - 1) + rank) / 3), 7) AS score
       FROM aged m JOIN rank{ROUNDS} p ON p.id = m.id LEFT JOIN degree d ON d.id = m.id LEFT JOIN refs ON refs.id = m.id"""),
 )
-_add("betweenness", lambda c: analytics.betweenness(analytics.simple_graph(c.links, c.memories), c.memories).select("id", F.round("betweenness", 9).alias("betweenness")))
-_add("path_statistics", lambda c: analytics.path_statistics(analytics.simple_graph(c.links, c.memories), c.memories))
-_add("k_core", lambda c: analytics.k_core(analytics.simple_graph(c.links, c.memories), 6))
+_FAR = """steps AS MATERIALIZED (SELECT source_id::BIGINT AS a, target_id::BIGINT AS b FROM edges WHERE source_id <> target_id),
+far(s, id, hop) USING KEY (s, id) AS (SELECT doc_id, doc_id, 0 FROM memories UNION
+  SELECT DISTINCT f.s, b, hop + 1 FROM far f JOIN steps ON a = f.id WHERE NOT EXISTS (SELECT 1 FROM recurring.far r WHERE r.s = f.s AND r.id = b))"""
+
+
+def _betweenness_sql(levels: int) -> str:
+    """Ways from level to level away from each source, and dependencies back."""
+    out = [f", {_FAR}", "w0 AS MATERIALIZED (SELECT s, id, 1.0::DOUBLE AS ways FROM far WHERE hop = 0)"]
+    for k in range(1, levels + 1):
+        out.append(f"w{k} AS MATERIALIZED (SELECT f.s, f.id, sum(ways) AS ways FROM w{k - 1} w JOIN steps ON a = w.id JOIN far f ON f.s = w.s AND f.id = b AND f.hop = {k} GROUP BY ALL)")
+    out.append(f"d{levels} AS MATERIALIZED (SELECT s, id, ways, 0.0::DOUBLE AS x FROM w{levels})")
+    for k in range(levels - 1, 0, -1):
+        out.append(
+            f"d{k} AS MATERIALIZED (SELECT w.s, w.id, w.ways, coalesce(sum(w.ways / n.ways * (1 + n.x)), 0) AS x FROM w{k} w "
+            f"LEFT JOIN (SELECT s, a, ways, x FROM d{k + 1} JOIN steps ON b = id) n ON n.s = w.s AND n.a = w.id GROUP BY ALL)"
+        )
+    total = " UNION ALL ".join(f"SELECT id, x FROM d{k}" for k in range(1, levels + 1))
+    return ", ".join(out) + f", n AS (SELECT count(*) AS n FROM memories) SELECT m.id, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM memories m CROSS JOIN n LEFT JOIN (SELECT id, sum(x) AS x FROM ({total}) GROUP BY id) t ON t.id = m.doc_id"
+
+
+def _core_sql(k: int, rounds: int) -> str:
+    out = [", c0 AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges) WHERE a <> b)"]
+    for i in range(rounds):
+        strong = f"(SELECT a FROM c{i} GROUP BY a HAVING count(*) >= {k})"
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT a, b FROM c{i} WHERE a IN {strong} AND b IN {strong})")
+    return ", ".join(out) + f" SELECT DISTINCT a AS id FROM c{rounds}"
+
+
+_add("betweenness", lambda c: analytics.betweenness(analytics.simple_graph(c.links, c.memories), c.memories).select("id", F.round("betweenness", 9).alias("betweenness")), _sql("mlg", _betweenness_sql(20), True))
+_add(
+    "path_statistics",
+    lambda c: analytics.path_statistics(analytics.simple_graph(c.links, c.memories), c.memories).select("pairs", F.round("mean_length", 9).alias("mean_length"), "diameter"),
+    _sql("mlg", f", {_FAR} SELECT count(*) AS pairs, round(avg(hop), 9) AS mean_length, max(hop)::BIGINT AS diameter FROM far WHERE hop > 0", True),
+)
+_add("k_core", lambda c: analytics.k_core(analytics.simple_graph(c.links, c.memories), 4), _sql("mlg", _core_sql(4, 20)))
+_add("bridges", lambda c: analytics.bridges(analytics.simple_graph(c.links, c.memories), c.memories, 0.01).select("id"), _sql("mlg", _betweenness_sql(20).replace(" SELECT m.id, round(", " SELECT m.id FROM (SELECT m.id, round(") + ") m WHERE betweenness > 0.01", True))
 _SMALL = "small AS (SELECT id, 'g' || CAST(doc_id // 6 AS VARCHAR) AS grp FROM memories)"
 _add(
     "group_density",
@@ -581,7 +620,14 @@ def _communities(c: CorpusCatalog) -> DataFrame:
 _add("communities", _communities)
 _add("community_stats", lambda c: analytics.community_stats(_communities(c), c.memories, analytics.simple_graph(c.links, c.memories)))
 _add("community_contexts", lambda c: analytics.community_contexts(_communities(c), c.memories, analytics.simple_graph(c.links, c.memories)))
-_add("strong_components", lambda c: analytics.strong_components(analytics.simple_graph(c.links, c.memories), c.memories))
+_add("community_topics", lambda c: analytics.community_topics(_communities(c), c.memories))
+_STRONG = 0.55  # weights from here on leave a graph of several components
+_add(
+    "strong_components",
+    lambda c: analytics.strong_components(analytics.simple_graph(c.links.where(F.col("weight") >= _STRONG), c.memories), c.memories),
+    _sql("mlg", f""", reach AS (SELECT source_id AS a, target_id AS b FROM edges WHERE weight >= {_STRONG} UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b WHERE weight >= {_STRONG})
+      SELECT m.id, least(m.id, min(r.b)) AS component FROM memories m LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = m.id GROUP BY m.id""", True),
+)
 _add("health_report", lambda c: analytics.health_report(c.memories, c.links, C.AS_OF))
 _add("recommendations", lambda c: analytics.recommendations(c.memories, c.links))
 _add("optimized_memories", lambda c: analytics.optimized(c.memories, c.links, c.context_members, C.AS_OF)[0].select("id", "source", "confidence"))
@@ -590,8 +636,8 @@ _add("optimized_memories", lambda c: analytics.optimized(c.memories, c.links, c.
 
 _add(
     "export_collection",
-    lambda c: exchange.collection_export(c.tables(), SOURCE).links.select("id"),
-    _sql("ml", f"SELECT id FROM links WHERE source_id IN (SELECT id FROM memories WHERE source = '{SOURCE}') AND target_id IN (SELECT id FROM memories WHERE source = '{SOURCE}')"),
+    lambda c: exchange.collection_export(c.tables(), LINKED).links.select("id"),
+    _sql("ml", f"SELECT id FROM links WHERE source_id IN (SELECT id FROM memories WHERE source = '{LINKED}') AND target_id IN (SELECT id FROM memories WHERE source = '{LINKED}')"),
 )
 _add(
     "latest_version",
@@ -626,3 +672,59 @@ def _stream_windows(c: CorpusCatalog) -> DataFrame:
 def _stream_once_each(c: CorpusCatalog) -> DataFrame:
     twice = _events(c).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return _ended(c, jobs.once_each(twice, ["event_id"], "ts").select("event_id"), "append").agg(F.count(F.lit(1)).alias("events"))
+
+
+@_query("stream_sliding", """SELECT start, key, count(*) AS events FROM (SELECT event_type AS key, unnest([floor(epoch(ts) / 1800) * 1800, floor(epoch(ts) / 1800) * 1800 - 1800])::BIGINT AS start FROM events) GROUP BY ALL""")
+def _stream_sliding(c: CorpusCatalog) -> DataFrame:
+    return _ended(c, jobs.windowed_counts(_events(c), slide="30 minutes")).select(F.unix_seconds("start").alias("start"), "key", "events")
+
+
+@_query("stream_sessions", """WITH s AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 3600000000, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM s)
+  SELECT user_id AS key, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) AS BIGINT) + 3600 AS "end", count(*) AS events FROM n GROUP BY user_id, nth""")
+def _stream_sessions(c: CorpusCatalog) -> DataFrame:
+    return _ended(c, jobs.session_counts(_events(c))).select("key", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "events")
+
+
+@_query("stream_expiries", _sql("m", "SELECT id FROM memories WHERE ttl IS NOT NULL AND ts + to_seconds(ttl) < (SELECT max(ts) FROM memories) - INTERVAL 1 HOUR"))
+def _stream_expiries(c: CorpusCatalog) -> DataFrame:
+    """Timers that ran out by the time that the stream has come to."""
+    docs = jobs.read_log(c.spark, c.folder, c.table("documents").schema, pattern="documents.parquet")
+    memories = docs.selectExpr(
+        "CAST(doc_id AS STRING) AS id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id * 7919) AS timestamp",
+        "CASE WHEN doc_id % 3 = 0 THEN (doc_id % 50 + 1) * 86400 END AS ttl",
+    )
+    return _ended(c, jobs.expiries(memories), "append").select("id")
+
+
+@_query("stream_upserts", "SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, event_id) AS content, max(event_id) AS access_count FROM events GROUP BY user_id")
+def _stream_upserts(c: CorpusCatalog) -> DataFrame:
+    """Events as memories of their users, put into a store by micro-batches: the latest of each user."""
+    mark = uuid.uuid4().hex
+    folder = f"{shared_folder(c.spark)}/lorekeep/streams/{mark}"
+    kept = store.GraphStore(c.spark, f"{folder}/store")
+    rows = _events(c).selectExpr(
+        "CAST(user_id AS STRING) AS id", "event_type AS content", "event_id AS access_count", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id) AS timestamp"
+    )
+    jobs.ingest(rows, kept, f"{folder}/mark").awaitTermination()
+    return kept.read("memories").select("id", "content", "access_count")
+
+
+@_query("stored_index", _sql("mp", _ANY))
+def _stored_index(c: CorpusCatalog) -> DataFrame:
+    """The memories in a store with a text index, searched by it."""
+    kept = store.GraphStore(c.spark, f"{shared_folder(c.spark)}/lorekeep/stores/{uuid.uuid4().hex}")
+    kept.put("memories", c.memories)
+    kept.build_index()
+    return _ids(kept.search(ANY_TEXT))
+
+
+@_query("reduced_and_stored", f"WITH {_VECTORS} SELECT id AS memory_id, round(list_sum(x[1:8]), 5) AS total, 8::BIGINT AS dimensions FROM v")
+def _reduced_and_stored(c: CorpusCatalog) -> DataFrame:
+    """Vectors that one job reads from a store, reduces and stores beside the originals."""
+    kept = store.GraphStore(c.spark, f"{shared_folder(c.spark)}/lorekeep/stores/{uuid.uuid4().hex}")
+    kept.put("vectors", c.vectors)
+    engine = MemoryEngine(kept.tables(), store=kept)
+    engine.reduce_vectors("truncation", 8)
+    small = engine.tables.vectors.where("reduced")
+    return small.select("memory_id", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 5).alias("total"), "dimensions")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.operators import text_search
+
 _S = T.StringType()
 
 
@@ -177,5 +179,9 @@ class CorpusCatalog:
             "CAST(vec_id AS STRING) AS memory_id", "embedding AS vector", "'table' AS model", "size(embedding) AS dimensions", "CAST(map() AS MAP<STRING, STRING>) AS metadata", "false AS reduced"
         )
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return text_search.postings(self.memories)
+
     def tables(self) -> Tables:
         return Tables({name: getattr(self, name) for name in SCHEMAS})

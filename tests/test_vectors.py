@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from lorekeep.errors import ComputationError, InvalidOperation, NotFound
 from lorekeep.functions import vector as V
 from lorekeep.operators import hybrid, reduce, vectors
+from lorekeep.plans.engine import MemoryEngine
 from lorekeep.sources.catalog import from_rows
+from lorekeep.sources.store import GraphStore
 
 NOW = dt.datetime(2024, 3, 1)
 
@@ -109,12 +112,37 @@ def test_exact_against_brute_force_and_recall(spark):
         score = np.round(unit @ unit[int(q[1:])], 6)
         best = sorted(range(len(x)), key=lambda i: (-score[i], f"v{i:03}"))[:5]
         assert [found[k] for k in range(1, 6)] == [f"v{i:03}" for i in best]
-    index = vectors.InvertedFile(cells=12, probes=4).fit(rows)
+    index = vectors.InvertedFile(cells=12).fit(rows)
+    assert index.probes < 12
     near = index.search(index.index(rows), asked, 5).collect()
     hits = sum(r["memory_id"] in exact[r["query_id"]].values() for r in near)
     assert hits / (5 * len(exact)) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata"), reason="the generated tables are not here")
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, folder):
+    """The registered search, whose vectors form no groups, against the exact one."""
+    from lorekeep.plans import registry
+
+    folder = f"/root/testdata/{folder}"
+    found, exact = ({(r["query_id"], r["memory_id"]) for r in registry.QUERIES[name](spark, folder).collect()} for name in ("inverted_file_topk", "cosine_topk"))
+    assert len(found & exact) >= 0.9 * len(exact) > 0
+
+
+def test_reduce_and_store(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "s"))
+    store.put("vectors", table(spark, {f"v{i}": [float((i + j) % 10) for j in range(20)] for i in range(10)}))
+    engine = MemoryEngine(store.tables(), store=store)
+    engine.reduce_vectors("pca", 5)
+    kept = store.read("vectors")
+    assert kept.count() == 20 and {(r["reduced"], len(r["vector"]), r["dimensions"]) for r in kept.collect()} == {(False, 20, 20), (True, 5, 5)}
+    engine.reduce_vectors("truncation", 3)
+    assert {(r["reduced"], len(r["vector"])) for r in store.read("vectors").collect()} == {(False, 20), (True, 3)}
+    with pytest.raises(InvalidOperation):
+        MemoryEngine(store.tables()).reduce_vectors("pca", 5)
+
+
 def test_choice_of_vectors(spark, four):
     made = [("one", "x", "s", 0.5, 0.5, 0, NOW, NOW, None, '{"embedding_vector": [9, 9, 9]}'), ("two", "x", "s", 0.5, 0.5, 0, NOW, NOW, None, "{}"), ("new", "abc", "s", 0.5, 0.5, 0, NOW, NOW, None, None)]
     memories = from_rows(spark, memories=made).memories
