@@ -628,6 +628,73 @@ _add(
     _sql("mlg", f""", reach AS (SELECT source_id AS a, target_id AS b FROM edges WHERE weight >= {_STRONG} UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b WHERE weight >= {_STRONG})
       SELECT m.id, least(m.id, min(r.b)) AS component FROM memories m LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = m.id GROUP BY m.id""", True),
 )
+
+
+def _by_source(c: CorpusCatalog) -> DataFrame:
+    """Given groups in place of found ones, which SQL can follow."""
+    return c.memories.select("id", F.col("source").alias("community"))
+
+
+_add(
+    "group_stats",
+    lambda c: analytics.community_stats(_by_source(c), c.memories, analytics.simple_graph(c.links, c.memories)).select(
+        "community", "size", F.round("density", 9).alias("density"), "dominant_topic", F.round("topic_concentration", 9).alias("topic_concentration"), F.round("mean_confidence", 9).alias("mean_confidence")
+    ),
+    _sql("mlg", """, i AS (SELECT a.source, count(*) AS e FROM edges JOIN memories a ON a.id = source_id JOIN memories b ON b.id = target_id AND a.source = b.source GROUP BY 1),
+      t AS (SELECT source, topic, count(*) AS n, sum(confidence) AS c FROM memories GROUP BY ALL)
+      SELECT source AS community, sum(n)::BIGINT AS size, round(coalesce(any_value(e), 0) / (sum(n) * (sum(n) - 1)), 9) AS density, arg_max(topic, (n, topic)) AS dominant_topic,
+        round(max(n) / sum(n), 9) AS topic_concentration, round(sum(c) / sum(n), 9) AS mean_confidence FROM t LEFT JOIN i USING (source) GROUP BY source HAVING sum(n) > 1"""),
+)
+_add(
+    "group_topics",
+    lambda c: analytics.community_topics(_by_source(c), c.memories).select("community", "topic", "memories", F.round("share", 9).alias("share")),
+    _sql("m", "SELECT source AS community, topic, count(*) AS memories, round(count(*) / any_value(size), 9) AS share FROM memories JOIN (SELECT source, count(*) AS size FROM memories GROUP BY 1) USING (source) WHERE size > 1 GROUP BY source, topic"),
+)
+_add(
+    "group_contexts",
+    lambda c: analytics.community_contexts(_by_source(c), c.memories, analytics.simple_graph(c.links, c.memories)).select("community", "id", F.round("rank", 9).alias("rank")),
+    _sql("mlg", f""", inner_edges AS MATERIALIZED (SELECT source_id, target_id, weight FROM edges JOIN memories a ON a.id = source_id JOIN memories b ON b.id = target_id WHERE a.source = b.source),
+      {_rank_sql('inner_edges', 'memories', ROUNDS)}
+      SELECT community, id, round(rank, 9) AS rank FROM (SELECT m.source AS community, m.id, rank, row_number() OVER (PARTITION BY m.source ORDER BY round(rank, 12) DESC, m.id) AS place FROM rank{ROUNDS} r JOIN memories m ON m.id = r.id) WHERE place <= 10"""),
+)
+_HEALTH = """, e AS (SELECT count(*) AS edges FROM edges), n AS (SELECT count(*) AS nodes, avg(confidence) AS mean_confidence, max(date_diff('second', ts, {now})) / 86400 AS oldest_days,
+    min(date_diff('second', ts, {now})) / 86400 AS newest_days, avg(date_diff('second', ts, {now})) / 86400 AS mean_days FROM memories),
+  mutual AS (SELECT count(*) AS mutual FROM edges a JOIN edges b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id <> a.target_id),
+  isolated AS (SELECT count(*) AS isolated FROM memories WHERE id NOT IN (SELECT id FROM degree)), groups_ AS (SELECT count(*) AS communities FROM (SELECT source FROM memories GROUP BY 1 HAVING count(*) > 1)),
+  base AS (SELECT *, edges / (nodes * (nodes - 1)) AS density, mutual / edges AS reciprocity FROM n, e, mutual, isolated, groups_)""".format(now=NOW)
+_add(
+    "health_of_groups",
+    lambda c: analytics.health_report(c.memories, c.links.where(F.col("weight") >= _STRONG), C.AS_OF, _by_source(c)).select(
+        "nodes", "edges", "isolated", "communities", "components", "acyclic", *[F.round(x, 7).alias(x) for x in ("density", "reciprocity", "mean_confidence", "oldest_days", "newest_days", "mean_days", "score")], "grade"
+    ),
+    _sql("mlg", _HEALTH.replace(", e AS", f""", reach AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b),
+      strong AS (SELECT count(DISTINCT component) AS components, bool_and(alone) AS acyclic FROM (SELECT m.id, least(m.id, min(r.b)) AS component, min(r.b) IS NULL AS alone FROM memories m
+        LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = m.id GROUP BY m.id)), e AS""", 1) + """
+      , scored AS (SELECT *, greatest(0, least(100, density * 20 - isolated / nodes * 15 + CASE WHEN communities BETWEEN 3 AND 10 THEN 10 WHEN communities > 10 THEN 5 ELSE 0 END + reciprocity * 10
+        + CASE WHEN mean_confidence > 0.8 THEN 10 WHEN mean_confidence > 0.6 THEN 5 ELSE 0 END)) AS score FROM base, strong)
+      SELECT nodes, edges, isolated, communities, components, acyclic, round(density, 7) AS density, round(reciprocity, 7) AS reciprocity, round(mean_confidence, 7) AS mean_confidence, round(oldest_days, 7) AS oldest_days,
+        round(newest_days, 7) AS newest_days, round(mean_days, 7) AS mean_days, round(score, 7) AS score,
+        CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' WHEN score >= 20 THEN 'Poor' ELSE 'Critical' END AS grade FROM scored""", True).replace(_LINKS, _LINKS.replace("links AS (\n  SELECT", "links AS (SELECT * FROM (\n  SELECT").rstrip(")") + f")) WHERE weight >= {_STRONG})"),
+)
+_add(
+    "advice_on_groups",
+    lambda c: analytics.recommendations(c.memories, c.links, _by_source(c)).select("kind", "issue", "severity", F.round("evidence", 9).alias("evidence")),
+    _sql("mlg", _HEALTH + """, more AS (SELECT (SELECT count(*) FROM memories WHERE confidence < 0.6) AS low, (SELECT max(in_degree) FROM degree) AS hub,
+        (SELECT count(*) FROM memories, (SELECT max(epoch(ts)) AS last, min(epoch(ts)) AS first FROM memories) WHERE last - epoch(ts) < (last - first) * 0.1) AS fresh),
+      steps AS (SELECT source_id AS a, target_id AS b FROM edges),
+      cycles AS (SELECT (SELECT count(*) FROM steps WHERE a = b) + (SELECT count(*) FROM steps x JOIN steps y ON x.b = y.a AND y.b = x.a WHERE x.b > x.a)
+        + (SELECT count(*) FROM steps x JOIN steps y ON x.b = y.a JOIN steps z ON y.b = z.a AND z.b = x.a WHERE x.b > x.a AND y.b > x.a AND y.b <> x.b) AS cycles),
+      r AS (SELECT unnest([
+        CASE WHEN density < 0.05 THEN {'kind': 'connectivity', 'issue': 'low density', 'severity': 'medium', 'evidence': density} END,
+        CASE WHEN isolated > nodes * 0.1 THEN {'kind': 'connectivity', 'issue': 'isolated memories', 'severity': 'high', 'evidence': isolated::DOUBLE} END,
+        CASE WHEN cycles > 0 THEN {'kind': 'structure', 'issue': 'cycles', 'severity': 'low', 'evidence': cycles::DOUBLE} END,
+        CASE WHEN low > nodes * 0.2 THEN {'kind': 'quality', 'issue': 'low confidence', 'severity': 'medium', 'evidence': low::DOUBLE} END,
+        CASE WHEN communities < 2 THEN {'kind': 'structure', 'issue': 'few communities', 'severity': 'low', 'evidence': communities::DOUBLE} END,
+        CASE WHEN communities >= 2 AND communities > nodes * 0.4 THEN {'kind': 'structure', 'issue': 'fragmented communities', 'severity': 'medium', 'evidence': communities::DOUBLE} END,
+        CASE WHEN fresh < nodes * 0.05 THEN {'kind': 'recency', 'issue': 'stale', 'severity': 'medium', 'evidence': fresh::DOUBLE} END,
+        CASE WHEN hub > nodes * 0.3 THEN {'kind': 'structure', 'issue': 'bottleneck', 'severity': 'medium', 'evidence': hub::DOUBLE} END]) AS x FROM base, more, cycles)
+      SELECT x.kind AS kind, x.issue AS issue, x.severity AS severity, round(x.evidence, 9) AS evidence FROM r WHERE x IS NOT NULL"""),
+)
 _add("health_report", lambda c: analytics.health_report(c.memories, c.links, C.AS_OF))
 _add("recommendations", lambda c: analytics.recommendations(c.memories, c.links))
 _add("optimized_memories", lambda c: analytics.optimized(c.memories, c.links, c.context_members, C.AS_OF)[0].select("id", "source", "confidence"))
