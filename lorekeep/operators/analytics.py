@@ -24,6 +24,8 @@ from lorekeep.session import materialize
 MOST_EDGES = 2_000_000
 #: Edges that one task takes over from a loop.
 MOST_LOCAL = 500_000
+#: Distinct seconds of an island that one task folds.
+MOST_SECONDS = 100_000
 #: Rows of (source, node) that the joins of path lengths hold at once, about.
 MOST_PAIRS = 200_000_000
 
@@ -336,27 +338,60 @@ def sequence_windows(memories: DataFrame, seconds: int = 3600) -> DataFrame:
     """id, start: the window of each memory in time order.
 
     A window begins at the first memory after the one before it and takes all within ``seconds``. Times
-    are first cut where a whole stretch of ``seconds`` is empty, which always begins a window; within
-    such an island distinct seconds are folded, whose number time bounds and not the rows.
+    are first cut where a whole stretch of ``seconds`` is empty, which always begins a window. Within such
+    an island distinct seconds are folded; an island with over ``MOST_SECONDS`` of them goes by joins.
     """
     rows = memories.where("timestamp is not null").select("id", epoch(F.col("timestamp")).alias("s")).withColumn("bucket", F.floor(F.col("s") / seconds))
     order = Window.orderBy("bucket")
     buckets = rows.select("bucket").distinct().withColumn("new", F.when(F.col("bucket") - F.lag("bucket").over(order) > 1, 1).otherwise(0))
     islands = buckets.select("bucket", F.sum("new").over(order).alias("island"))
-    placed = rows.join(islands, "bucket")
-    times = placed.groupBy("island").agg(F.sort_array(F.collect_set("s")).alias("all"))
+    times = materialize(rows.select("s", "bucket").distinct().join(islands, "bucket").select("island", "s"), "times")
+    sizes = times.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.where(F.col("n") > MOST_SECONDS).select("island"), "islands")
     none = F.array().cast("array<bigint>")
 
     def fold(starts: Column, s: Column) -> Column:
         return F.when((F.size(starts) == 0) | (s - F.element_at(starts, -1) > seconds), F.concat(starts, F.array(s))).otherwise(starts)
 
-    starts = times.select("island", F.explode(F.aggregate("all", none, fold)).alias("start"))
+    small = times.join(large, "island", "left_anti").groupBy("island").agg(F.sort_array(F.collect_list("s")).alias("all"))
+    starts = small.select(F.explode(F.aggregate("all", none, fold)).alias("start"))
+    if not large.isEmpty():
+        starts = starts.unionByName(_window_starts(times.join(large, "island", "left_semi"), seconds))
     # a window's rows stand in its own bucket or the next
     wide = starts.select("start", F.explode(F.array(F.floor(F.col("start") / seconds), F.floor(F.col("start") / seconds) + 1)).alias("bucket"))
     met = rows.join(wide, "bucket").where((F.col("s") >= F.col("start")) & (F.col("s") <= F.col("start") + seconds))
     return met.groupBy("id").agg(F.max("start").alias("start"))
 
 
+def _window_starts(times: DataFrame, seconds: int) -> DataFrame:
+    """start of all windows of some islands (island, s).
+
+    Each second knows where the next window would begin if one began there. From the first second of an
+    island as many starts again are found in every round, by steps that are twice as long.
+    """
+    bucket = lambda s: F.floor(s / seconds).alias("bucket")
+    ends = times.select("island", bucket(F.col("s") + seconds), (F.col("s") + seconds).alias("x"), F.lit(1).alias("asks"))
+    both = times.select("island", bucket(F.col("s")), F.col("s").alias("x"), F.lit(0).alias("asks")).unionByName(ends)
+    # from the latest on, an end sees the earliest second after it in its own stretch
+    after = Window.partitionBy("island", "bucket").orderBy(F.desc("x"), F.desc("asks"))
+    seen = F.last(F.when(F.col("asks") == 0, F.col("x")), ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, 0))
+    asked = both.withColumn("next", seen).where("asks = 1")
+    firsts = times.groupBy("island", bucket(F.col("s"))).agg(F.min("s").alias("first"))
+    later = firsts.select("island", (F.col("bucket") - 1).alias("bucket"), F.col("first").alias("later"))
+    # islands have no empty stretch, so the next one after an end's is there unless the island ends
+    steps = asked.join(later, ["island", "bucket"], "left").select(F.col("x") - seconds, F.coalesce("next", "later")).toDF("s", "to").where("`to` IS NOT NULL")
+    steps = materialize(steps, "steps")
+    starts = materialize(times.groupBy("island").agg(F.min("s").alias("start")).select("start"), "starts")
+    size, before = starts.count(), 0
+    while size > before:
+        more = starts.join(steps, F.col("start") == F.col("s")).select(F.col("to").alias("start"))
+        starts = materialize(starts.unionByName(more).distinct(), "starts")
+        size, before = starts.count(), size
+        there = steps.select(F.col("s").alias("to"), F.col("to").alias("far"))
+        steps = materialize(steps.join(there, "to").select("s", F.col("far").alias("to")), "steps")
+    return starts
+
+
 def temporal_sequences(memories: DataFrame, edges: DataFrame, seconds: int = 3600, sizes: tuple[int, int] = (3, 10)) -> DataFrame:
     """Windows of a fitting size with at least one edge inside: start, size, edges, quality."""
     members = sequence_windows(memories, seconds).withColumnRenamed("start", "group")

@@ -217,7 +217,7 @@ def test_cores_and_clusters(spark):
     assert stats.where("size >= 4").first()["topic_concentration"] == 1.0
 
 
-def test_sequences(spark):
+def test_sequences(spark, monkeypatch):
     rng = random.Random(5)
     times = sorted(rng.randrange(200_000) for _ in range(120))
     made = [memory(f"m{i}", at=dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for i, s in enumerate(times)]
@@ -229,6 +229,8 @@ def test_sequences(spark):
             start = s
         want[f"m{i}"] = base + start
     assert {r["id"]: r["start"] for r in analytics.sequence_windows(m).collect()} == want
+    monkeypatch.setattr(analytics, "MOST_SECONDS", 3)
+    assert {r["id"]: r["start"] for r in analytics.sequence_windows(m).collect()} == want
     g = from_rows(spark, memories=made, links=[(f"l{i}", f"m{i}", f"m{i + 1}", "next", 1.0, None) for i in range(119)])
     found = analytics.temporal_sequences(g.memories, analytics.simple_graph(g.links, g.memories))
     sizes = [list(want.values()).count(s) for s in set(want.values())]
