@@ -45,10 +45,20 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    It cuts the lineage and outlives a lost executor. The files belong to the checkpoint folder and
-    go with it.
+    It cuts the lineage and outlives a lost executor. The files stay until :func:`clear_materialized`
+    or whoever owns the checkpoint folder deletes them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lorekeep/{uuid.uuid4().hex}/{name}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lorekeep/{spark.sparkContext.applicationId}"
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete what :func:`materialize` wrote in this application; no DataFrame from before can be read then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
