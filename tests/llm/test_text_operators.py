@@ -67,23 +67,35 @@ def test_trie_agrees_with_a_unigram_model():
 
     pieces = {"a": -3.1, "b": -3.3, "c": -3.7, "ab": -4.2, "bc": -4.9, "abc": -6.4, "ca": -5.3, "cab": -7.9}
     model = Tokenizer(models.Unigram([("<unk>", -99.0), *pieces.items()], 0, False))
-    trie = token_counts.PrefixTrie({k.encode(): v for k, v in pieces.items()})
+    trie = token_counts.Pieces({k.encode(): v for k, v in pieces.items()})
     rng = random.Random(1)
-    for _ in range(200):
-        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
-        assert trie.tokens(word.encode()) == len(model.encode(word).ids), word
-
-
-def test_bounded_memory_changes_nothing(spark, monkeypatch):
-    rows = [(i, " ".join(f"w{i}{j}" for j in range(30))) for i in range(20)]
-    trie = token_counts.PrefixTrie(token_counts.zipf_scores(token_counts.read_ranks(queries.VOCABULARY)))
-    words = [w.encode() for _, t in rows for w in t.split()]
-    once = [trie.tokens(w) for w in words]
-    again = []
-    for w in words:
-        trie.clear()
-        again.append(trie.tokens(w))
-    assert once == again
+    said = list({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(300)})
+    for word, n in zip(said, trie.count([w.encode() for w in said]), strict=True):
+        assert n == len(model.encode(word).ids), word
+
+
+def test_tries_agree(spark, monkeypatch):
+    """One trie of all pre-tokens, one of each, and the plain recursion: bytes that no piece has, ties, long words."""
+    rng = random.Random(2)
+    scores = {bytes(k): -float(rng.randrange(2, 9)) for k in {tuple(rng.choice(b"abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)}}
+    said = list({bytes(rng.choice(b"abcx") for _ in range(rng.randrange(0, 14))) for _ in range(500)} | {b"ab" * 200, b"ab" * 199 + b"c", b"x" * 90})
+    trie = token_counts.Pieces(scores)
+
+    def plain(raw):
+        best = [(0.0, 0)]
+        for end in range(1, len(raw) + 1):
+            options = [(scores[raw[at:end]] + best[at][0], -(best[at][1] + 1)) for at in range(end) if raw[at:end] in scores]
+            s, n = max(options) if options else (best[-1][0] - 100.0, -(best[-1][1] + 1))
+            best.append((s, -n))
+        return best[-1][1]
+
+    whole = trie.count(said)
+    assert whole == [plain(w) for w in said] == [trie.count([w])[0] for w in said] and trie.count([]) == []
+    rows = [(i, " ".join(f"w{i}{j}é" * (j % 3) for j in range(30))) for i in range(20)]
+    once = by_id(token_counts.token_counts(table(spark, rows), queries.VOCABULARY))
+    monkeypatch.setattr(token_counts, "TRIE_CHARS", 50)
+    monkeypatch.setattr(token_counts, "MOST_CHUNKS", 7)
+    assert by_id(token_counts.token_counts(table(spark, rows), queries.VOCABULARY)) == once
 
 
 # chat
