@@ -562,12 +562,13 @@ def _betweenness_sql(levels: int) -> str:
     return ", ".join(out) + f", n AS (SELECT count(*) AS n FROM memories) SELECT m.id, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM memories m CROSS JOIN n LEFT JOIN (SELECT id, sum(x) AS x FROM ({total}) GROUP BY id) t ON t.id = m.doc_id"
 
 
-def _core_sql(k: int, rounds: int) -> str:
-    out = [", c0 AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges) WHERE a <> b)"]
+def _core_sql(k: int, rounds: int, name: str = "c") -> str:
+    """Weak nodes go round by round; ends with the view <name><rounds> (a, b)."""
+    out = [f", {name}0 AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM edges UNION ALL SELECT target_id, source_id FROM edges) WHERE a <> b)"]
     for i in range(rounds):
-        strong = f"(SELECT a FROM c{i} GROUP BY a HAVING count(*) >= {k})"
-        out.append(f"c{i + 1} AS MATERIALIZED (SELECT a, b FROM c{i} WHERE a IN {strong} AND b IN {strong})")
-    return ", ".join(out) + f" SELECT DISTINCT a AS id FROM c{rounds}"
+        strong = f"(SELECT a FROM {name}{i} GROUP BY a HAVING count(*) >= {k})"
+        out.append(f"{name}{i + 1} AS MATERIALIZED (SELECT a, b FROM {name}{i} WHERE a IN {strong} AND b IN {strong})")
+    return ", ".join(out)
 
 
 _add("betweenness", lambda c: analytics.betweenness(analytics.simple_graph(c.links, c.memories), c.memories).select("id", F.round("betweenness", 9).alias("betweenness")), _sql("mlg", _betweenness_sql(20), True))
@@ -576,7 +577,7 @@ _add(
     lambda c: analytics.path_statistics(analytics.simple_graph(c.links, c.memories), c.memories).select("pairs", F.round("mean_length", 9).alias("mean_length"), "diameter"),
     _sql("mlg", f", {_FAR} SELECT count(*) AS pairs, round(avg(hop), 9) AS mean_length, max(hop)::BIGINT AS diameter FROM far WHERE hop > 0", True),
 )
-_add("k_core", lambda c: analytics.k_core(analytics.simple_graph(c.links, c.memories), 4), _sql("mlg", _core_sql(4, 20)))
+_add("k_core", lambda c: analytics.k_core(analytics.simple_graph(c.links, c.memories), 4), _sql("mlg", _core_sql(4, 20) + " SELECT DISTINCT a AS id FROM c20"))
 _add("bridges", lambda c: analytics.bridges(analytics.simple_graph(c.links, c.memories), c.memories, 0.01).select("id"), _sql("mlg", _betweenness_sql(20).replace(" SELECT m.id, round(", " SELECT m.id FROM (SELECT m.id, round(") + ") m WHERE betweenness > 0.01", True))
 _SMALL = "small AS (SELECT id, 'g' || CAST(doc_id // 6 AS VARCHAR) AS grp FROM memories)"
 _add(
@@ -795,3 +796,6 @@ def _reduced_and_stored(c: CorpusCatalog) -> DataFrame:
     engine.reduce_vectors("truncation", 8)
     small = engine.tables.vectors.where("reduced")
     return small.select("memory_id", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 5).alias("total"), "dimensions")
+
+
+from lorekeep.plans import store_queries  # noqa: E402, F401  (adds its queries to those above)
