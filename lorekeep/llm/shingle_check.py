@@ -83,8 +83,9 @@ def linked(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     dealt = candidates.join(sizes, "root").withColumn("pair", F.explode(pairs)).select("root", "pair", "node").join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        rows = [np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64) for s in table.column("shingles").combine_chunks()]
+        # rows that repeat an id bring their nodes more than once
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        rows = [np.asarray(s.values.to_numpy(zero_copy_only=False), np.int64) for s in table.column("shingles").take(pa.array(first)).combine_chunks()]
         found = similar_pairs(rows, similarity)
         a, b = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"node": pa.array(a, pa.int64()), "root": pa.array(b, pa.int64())})

@@ -36,12 +36,16 @@ BITS = 64
 CHUNK = 1 << 16
 #: A bucket with more rows is compared in blocks of about this many.
 BLOCK = 20_000
+#: Links that one task joins to components.
+MOST_LOCAL = 1_000_000
 #: Heavy buckets that are broadcast at most; more are joined by a shuffle.
 MOST_HEAVY = 50_000
 #: Words of the fingerprint for similarity search, and the share of pairs at the bound that may be missed.
 WORDS, MISS = 16, 0.002
 #: Costs of a row that is dealt to a bucket and of a comparison, in microseconds.
 ROW_COST, PAIR_COST = 2.0, 0.004
+#: The same for similarity search, whose rows are wider.
+WIDE_COSTS = (5.0, 0.01)
 
 
 def _bit_counts(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
@@ -144,7 +148,7 @@ def _within(bits: list[int], p: np.ndarray, most: int) -> list[float]:
     return list(np.cumsum(chances))
 
 
-def allocate(both: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple[list[int], int]]]:
+def allocate(both: np.ndarray, n: int, distance: int, costs: tuple[float, float] = (ROW_COST, PAIR_COST)) -> tuple[float, list[tuple[list[int], int]]]:
     """The cheapest (cost, parts with their thresholds), over all numbers of parts."""
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] = (math.inf, [])
@@ -159,7 +163,7 @@ def allocate(both: np.ndarray, n: int, distance: int) -> tuple[float, list[tuple
             for (done, (cost, chosen)), t in itertools.product(states.items(), range(-1, min(distance, len(bits)) + 1)):
                 rows = 0 if t < 0 else sum(math.comb(len(bits), j) for j in range(t + 1))
                 pairs = 0 if t < 0 else n * n / 2 * chance[t]
-                new = cost + rows * n * ROW_COST + pairs * PAIR_COST
+                new = cost + rows * n * costs[0] + pairs * costs[1]
                 if new < after.get(done + t, (math.inf,))[0]:
                     after[done + t] = (new, (*chosen, t))
             states = after
@@ -212,7 +216,15 @@ def _minima(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _large_bucket(ids: np.ndarray, codes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _near(codes: list[np.ndarray], a, b, distance: int) -> np.ndarray:
+    """Whether the rows ``a`` and ``b`` of some words differ in at most ``distance`` bits."""
+    differ = np.bitwise_count(codes[0][a] ^ codes[0][b])
+    for word in codes[1:]:
+        differ += np.bitwise_count(word[a] ^ word[b])
+    return differ <= distance
+
+
+def _large_bucket(ids: np.ndarray, codes: list[np.ndarray], distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links of one bucket, each node linked once: a search that removes what it reaches."""
     _, first = np.unique(ids, return_index=True)
     left, a, b = first, [], []
@@ -220,7 +232,7 @@ def _large_bucket(ids: np.ndarray, codes: np.ndarray, distance: int) -> tuple[li
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(codes[left] ^ codes[x]).sum(axis=1) <= distance
+            near = _near(codes, left, x, distance)
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -230,13 +242,13 @@ def _large_bucket(ids: np.ndarray, codes: np.ndarray, distance: int) -> tuple[li
     return a, b
 
 
-def _links(group: np.ndarray, ids: np.ndarray, codes: np.ndarray, distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows of the same group; ``group`` is sorted, ``codes`` has a row of words for each id."""
+def _links(group: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], distance: int, small: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows of the same group; ``group`` is sorted, ``codes`` has the words of each id."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        x, y = _large_bucket(ids[s : s + n], codes[s : s + n], distance)
+        x, y = _large_bucket(ids[s : s + n], [c[s : s + n] for c in codes], distance)
         a += x
         b += y
     rest = np.repeat(sizes <= small, sizes)
@@ -245,9 +257,10 @@ def _links(group: np.ndarray, ids: np.ndarray, codes: np.ndarray, distance: int,
         at = np.flatnonzero(rest & (left_in > step))
         if not len(at):
             break
-        near = (np.bitwise_count(codes[at] ^ codes[at + step]).sum(axis=1) <= distance) & (ids[at] != ids[at + step])
-        a.append(ids[at][near])
-        b.append(ids[at + step][near])
+        hit = at[_near(codes, at, at + step, distance)]
+        hit = hit[ids[hit] != ids[hit + step]]
+        a.append(ids[hit])
+        b.append(ids[hit + step])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -281,7 +294,7 @@ def star_edges(buckets: DataFrame, codes: list[str], distance: int) -> DataFrame
             _, at = np.unique(group, return_inverse=True)
             real = (np.bincount(at, own) > 0) & (np.bincount(at) > 1)
             use = real[at]
-            node, root = _minima(*_links(group[use], ids[use], np.stack(words, axis=1)[use], distance))
+            node, root = _minima(*_links(group[use], ids[use], [w[use] for w in words], distance))
             return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(root.view(np.int64))], names=["node", "root"])
 
         for batch in batches:
@@ -311,31 +324,43 @@ def heavy_buckets(buckets: DataFrame) -> DataFrame:
     return materialize(counted.select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")), "heavy_buckets")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (node, root) with the smallest that it is connected to.
 
-    Rounds of large-star and small-star until the edges stay the same; each round is written to the
-    shared folder. Nothing is collected but counts. Roots themselves are not among the nodes.
+    Up to ``MOST_LOCAL`` edges go to one task. More go through rounds of large-star and small-star until
+    the edges stay the same; each round is written to the shared folder, and the rows of a hub meet what
+    belongs to it by broadcast. Nothing is collected but counts. Roots themselves are not among the nodes.
     """
     now = materialize(edges.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct(), "edges")
-    for _ in range(most_rounds):
+    if now.count() <= MOST_LOCAL:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+            ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * 2
+            node, root = _minima(*ends)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+        return materialize(now.select("node", "root").repartition(1).mapInArrow(run, "node bigint, root bigint"), "components")
+    total = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first())
+    lowest = lambda df: materialize(df.groupBy("node").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("n")), "lowest")
+    before = total(now)
+    while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
+        least = lowest(both).select("node", F.least("node", "low").alias("low"), "n")
+        large = join_counted(both, least, "node", "n").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
+        large = materialize(large, "large")
         small = (
-            large.join(low, "node")
+            join_counted(large, lowest(large), "node", "n")
             .select(F.explode(F.array(F.struct(F.col("root").alias("node"), F.col("low").alias("root")), F.struct("node", F.col("low").alias("root")))).alias("e"))
             .select("e.node", "e.root")
             .where("node <> root")
             .distinct()
         )
-        after = materialize(small, "edges")
-        total = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(20,0)"))).first()
-        if tuple(total(now)) == tuple(total(after)):
-            return after
-        now = after
-    raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
+        now = materialize(small, "edges")
+        after = total(now)
+        if after == before:
+            return now
+        before = after
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
@@ -427,12 +452,12 @@ def plan_search(both: np.ndarray, n: int, similarity: float, miss: float = MISS)
     """
     share, best = differing(similarity), (math.inf, 0, 1)
     for distance in range(2, 9):
-        cost, parts = allocate(both[0], n, distance)
+        cost, parts = allocate(both[0], n, distance, WIDE_COSTS)
         words = math.ceil(math.log(miss) / math.log(missed(parts, share)))
         if words <= len(both):
             best = min(best, (cost * words, distance, words))
     _, distance, words = best
-    return [allocate(both[k], n, distance)[1] for k in range(words)]
+    return [allocate(both[k], n, distance, WIDE_COSTS)[1] for k in range(words)]
 
 
 def close_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -467,7 +492,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     loose = components(close_pairs(distinct, similarity))
     roots = loose.select(F.col("root").alias("node"), "root").distinct()
     loose = materialize(loose.unionByName(roots).join(distinct.select("node", "rep", "n"), "node"), "candidates")
-    sets = shingle_sets(_of_nodes(texts, loose), size).dropDuplicates(["node"])
+    sets = shingle_sets(_of_nodes(texts, loose), size)
     ids = _lowest(components(linked(loose.select("node", "root", "n"), sets, similarity)), distinct.select("node", "rep"))
     first = materialize(distinct.join(ids, "node", "left").select("node", F.coalesce("low", "rep").alias("low"), "copies"), "named")
     return join_counted(found.select("doc_id", "node"), first, "node", "copies").select("doc_id", F.col("low").alias("component_id"))
@@ -476,7 +501,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _of_nodes(texts: DataFrame, loose: DataFrame) -> DataFrame:
     """Texts of the candidates: one id for each node is enough, null ids are looked at whole."""
     wanted = loose.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    named = texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi")
+    named = texts.where("doc_id is not null").join(wanted.hint("merge"), "doc_id", "left_semi")
     return named.unionByName(texts.where("doc_id is null"))
 
 
@@ -484,11 +509,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that name their group in :func:`similar_groups`, with all their columns: one document of each.
 
     Rows without an id can't be told apart afterwards and all stay; rows that repeat an id have the
-    same fate.
+    same fate, and stay if any of them names its group.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = fresh_name(docs, "kept")
-    firsts = similar_groups(named, id_col, text_col, size, similarity).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    left = named.join(firsts, F.col(id_col) == F.col(kept), "left_semi")
-    return left.select(*columns).unionByName(docs.where(F.col(id_col).isNull()).select(*columns))
+    column, gone = F.col(f"`{id_col}`"), fresh_name(docs, "gone")
+    groups = similar_groups(docs.where(column.isNotNull()), id_col, text_col, size, similarity)
+    # joins with the texts are by a shuffle at every size, as what goes grows with the input
+    fate = groups.groupBy(F.col("doc_id").alias(gone)).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"))
+    losers = materialize(fate.where("NOT names").select(gone), "gone")
+    return docs.join(losers.hint("merge"), column == F.col(gone), "left_anti")

@@ -141,9 +141,12 @@ def test_large_buckets():
     assert set(root) == {group.min()} and len(node) == len(group) - 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash_dedup, "MOST_LOCAL", local)
     rng = random.Random(5)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
+    assert simhash_dedup.components(spark.createDataFrame([], "node bigint, root bigint")).isEmpty()
+    edges = [(i, i + 1) for i in range(0, 60)] + [(-5, i) for i in range(400, 1700)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     got = {r["node"]: r["root"] for r in simhash_dedup.components(spark.createDataFrame(edges, "node bigint, root bigint")).collect()}
     parent = {x: x for e in edges for x in e}
 
