@@ -57,6 +57,26 @@ def test_stage_finds_planted_pairs(spark, monkeypatch, block):
     assert any(5000 + i not in want for i in range(120)) and any(5000 + i in want for i in range(120))
 
 
+@pytest.mark.parametrize("block, rounds", [(1_000_000, 8), (400, 30), (400, 2)])
+def test_chains_and_crowds_in_blocks(spark, monkeypatch, block, rounds):
+    """Chains of copies whose ends are unlike, a crowd around one text, and two crowds that one copy joins."""
+    monkeypatch.setattr(shingle_check, "BLOCK", block)
+    monkeypatch.setattr(shingle_check, "ROUNDS", rounds)
+    rng, rows = random.Random(14), []
+    said = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    chain = said(260)
+    rows += [(100 + i, " ".join(chain[6 * i : 6 * i + 120])) for i in range(20)]
+    crowd = said(150)
+    for i in range(60):
+        words = list(crowd)
+        words[rng.randrange(150)] = f"new{i}"
+        rows.append((300 + i, " ".join(words)))
+    rows += [(500 + i, " ".join(crowd[:110] + said(40))) for i in range(10)] + [(600, " ".join(crowd[:138] + said(12)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_copies(docs).collect()}
+    assert kept == plain_kept(rows)
+
+
 def test_large_components_need_no_hub():
     sets = [shingle_check.shingles(" ".join(f"w{i + k}" for k in range(100)).encode()) for i in range(60)]
     found = shingle_check.similar_pairs(sets, 0.8)
