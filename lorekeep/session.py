@@ -49,16 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     or whoever owns the checkpoint folder deletes them.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes in the shared folder."""
     return f"{shared_folder(spark)}/lorekeep/{spark.sparkContext.applicationId}"
 
 
 def clear_materialized(spark: SparkSession) -> None:
     """Delete what :func:`materialize` wrote in this application; no DataFrame from before can be read then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
