@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import materialize
+from lorekeep.session import materialize, own_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; ``clear_materialized`` deletes it too."""
+    return f"{own_folder(spark)}/{name}"
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat_format, decontaminate, exact_dedup, lm_scoring, mixing, quality, simhash_dedup, substring_dedup, token_counts, toxicity
+from lorekeep.llm import (
+    centroids, chat_format, decontaminate, exact_dedup, lm_scoring, mixing, quality, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, token_counts, toxicity,
+)
 from lorekeep.llm.common import table
 
 
 #: Where the public vocabularies are installed.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY_A, VOCABULARY_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +133,83 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """CTEs d0, a0, c1, d1, ...: distances, assignments and centroids of each round; c0 is there."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""d{i} AS (
+  SELECT x.r, c.cluster, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS distance FROM parts x JOIN c{i} c ON x.i = c.i GROUP BY x.r, c.cluster
+), a{i} AS MATERIALIZED (
+  SELECT r, cluster, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1
+)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (
+  SELECT a.cluster, x.i, CAST(sum(x.x) AS HUGEINT) AS s, count(*) AS n FROM a{i} a JOIN parts x ON a.r = x.r GROUP BY a.cluster, x.i
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.i, CAST(CASE WHEN s.n IS NULL THEN c.x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS BIGINT) AS x
+  FROM c{i} c LEFT JOIN s{i} s ON c.cluster = s.cluster AND c.i = s.i
+)""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}
+), parts AS MATERIALIZED (
+  SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept
+), first AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, r FROM kept QUALIFY cluster < {centroids.CENTROIDS}
+), c0 AS MATERIALIZED (
+  SELECT f.cluster, p.i, p.x FROM first f JOIN parts p ON f.r = p.r
+), {_rounds_sql(centroids.ROUNDS)}, digests AS (
+  SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{centroids.ROUNDS} GROUP BY cluster
+)
+SELECT k.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, d.centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN kept k ON a.r = k.r JOIN digests d ON a.cluster = d.cluster
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), VOCABULARY_A, VOCABULARY_B)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of each document, and the digest of the rest."""
+    out = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {suffix_dedup.NO_ID}) AS rank, hex(encode(coalesce(text, ''))) AS said FROM documents
+), windows AS (
+  SELECT r, rank, p, substring(said, 2 * p + 1, {2 * suffix_dedup.LENGTH}) AS s
+  FROM (SELECT r, rank, said, unnest(range(0, greatest(0, length(said) // 2 - {suffix_dedup.LENGTH - 1}))) AS p FROM texts)
+), starts AS (
+  SELECT r, p FROM (SELECT r, p, rank, min(rank) OVER (PARTITION BY s) AS least FROM windows) WHERE least < rank
+), spans AS MATERIALIZED (
+  SELECT r, min(p) AS b, max(p) + {suffix_dedup.LENGTH} AS e
+  FROM (SELECT *, sum(gap) OVER (PARTITION BY r ORDER BY p) AS span FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS gap FROM starts))
+  GROUP BY r, span
+), between AS (
+  SELECT r, b, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS a FROM spans
+  UNION ALL SELECT t.r, length(t.said) // 2, coalesce((SELECT max(e) FROM spans s WHERE s.r = t.r), 0) FROM texts t
+), kept AS (
+  SELECT t.r, string_agg(substring(t.said, 2 * a + 1, 2 * (b - a)), '' ORDER BY b, a) AS said FROM between JOIN texts t ON between.r = t.r GROUP BY t.r
+)
+SELECT t.doc_id, CAST(length(t.said) // 2 AS BIGINT) AS n_bytes, CAST(length(t.said) // 2 - length(k.said) // 2 AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM spans s WHERE s.r = t.r) AS n_spans, sha256(unhex(k.said)) AS kept_sha256
+FROM texts t JOIN kept k ON t.r = k.r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -141,10 +221,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_centroids": OP11_SQL,
+    "op13_suffix_dedup": OP13_SQL,
 }
