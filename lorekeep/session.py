@@ -42,15 +42,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Whether Spark deletes the shuffle files of a job when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage and outlives a lost executor. The files stay until :func:`clear_materialized`
-    or whoever owns the checkpoint folder deletes them.
+    or whoever owns the checkpoint folder deletes them. With ``free_shuffles`` the shuffle files behind ``df`` go
+    once it is written, and not when the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    if free_shuffles:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
