@@ -52,6 +52,7 @@ class Tokenizers:
             self.a_bytes[i] = bytes(of_char[c] for c in word) if all(c in of_char for c in word) else word.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_names, self.b_names = Names(self.a_bytes), Names(self.b_bytes)
         self.seams = not any(re.search("[^▁]▁", p) for p in pieces)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -85,40 +86,60 @@ def parts(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
+def _ids(tok: Tokenizers, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids of A and B for each text, which are encoded about ``AT_ONCE`` characters at a time."""
+    a, b = [], []
+    at = waiting = 0
+    for i, text in enumerate(texts):
+        waiting += len(text) + 1
+        if waiting >= AT_ONCE or i + 1 == len(texts):
+            for out, ids in zip((a, b), tok.encode(texts[at : i + 1]), strict=True):
+                out += [np.array(x, np.int32) for x in ids]
+            at, waiting = i + 1, 0
+    return a, b
+
+
 def _encoded(tok: Tokenizers, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of A and B for each text; none where the bytes of either differ from space + text."""
-    ids: list[tuple[np.ndarray, np.ndarray]] = []
-    todo: list[tuple[int, list[str]]] = []
-    waiting = 0
-    of: list[tuple[list[list[int]], list[list[int]]]] = [([], []) for _ in texts]
-
-    def flush() -> None:
-        said = [p for _, ps in todo for p in ps]
-        if said:
-            a, b = tok.encode(said)
-            k = 0
-            for i, ps in todo:
-                of[i][0].extend(a[k : k + len(ps)])
-                of[i][1].extend(b[k : k + len(ps)])
-                k += len(ps)
-        todo.clear()
-
-    for i, raw in enumerate(texts):
-        text = raw.decode("utf-8", "replace")
-        for p in (parts(text, AT_ONCE) if tok.seams else [text]) if raw else []:
-            todo.append((i, [p]))
-            waiting += len(p)
-            if waiting >= AT_ONCE:
-                flush()
-                waiting = 0
-    flush()
-    none = np.zeros(0, np.int64)
-    for raw, (a, b) in zip(texts, of, strict=True):
-        a_ids, b_ids = [x for p in a for x in p], [x for p in b for x in p]
-        want = b" " + raw
-        whole = raw and b"".join(map(tok.a_bytes.__getitem__, a_ids)) == want and b"".join(map(tok.b_bytes.__getitem__, b_ids)) == want
-        ids.append((np.array(a_ids, np.int64), np.array(b_ids, np.int64)) if whole else (none, none))
-    return [x for x, _ in ids], [x for _, x in ids]
+    cut = [parts(t.decode("utf-8", "replace"), AT_ONCE) if tok.seams else [t.decode("utf-8", "replace")] for t in texts]
+    a, b = _ids(tok, [p for ps in cut for p in ps])
+    if len(a) > len(texts):  # the parts of long texts belong together
+        limits = np.concatenate([[0], np.cumsum([len(ps) for ps in cut])]).tolist()
+        a, b = ([np.concatenate(x[p:q]) for p, q in zip(limits, limits[1:], strict=False)] for x in (a, b))
+    whole = np.array([bool(t) for t in texts])
+    for ids, names in ((a, tok.a_names), (b, tok.b_names)):
+        whole &= names.spell(ids, texts)
+    none = np.zeros(0, np.int32)
+    return tuple([x if w else none for x, w in zip(ids, whole.tolist(), strict=True)] for ids in (a, b))
+
+
+class Names:
+    """Byte strings by number, joined at once for many numbers."""
+
+    def __init__(self, names: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(names), np.uint8)
+        self.size = np.array([len(x) for x in names], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after another, and where each ends."""
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        shift = self.start[ids] - (ends - size)
+        at = np.repeat(shift, size)
+        at += np.arange(len(at))
+        return self.bytes[at], ends
+
+    def spell(self, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+        """For each text whether its ids join to space + text."""
+        spelled = np.array([int(self.size[x].sum()) for x in ids]) == np.array([len(t) + 1 for t in texts])
+        long = np.flatnonzero(spelled)
+        if len(long):
+            want = np.frombuffer(b" " + b" ".join([texts[i] for i in long.tolist()]), np.uint8)
+            got, _ = self.join(np.concatenate([ids[i] for i in long.tolist()]))
+            begins = np.concatenate([[0], np.cumsum([len(texts[i]) + 1 for i in long.tolist()])[:-1]])
+            spelled[long] = np.logical_and.reduceat(got == want, begins)
+        return spelled
 
 
 def _per_document(at_bytes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -133,9 +154,8 @@ class Aligned:
     def __init__(self, tok: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]):
         self.tok, self.docs = tok, len(a)
         self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *ids]) for ids in (a, b))
-        a_len, b_len = (np.array([len(x) for x in t], np.int64) for t in (tok.a_bytes, tok.b_bytes))
-        a_ends, b_ends = np.cumsum(a_len[self.a]), np.cumsum(b_len[self.b])
+        self.a, self.b = (np.concatenate([np.zeros(0, np.int32), *ids]) for ids in (a, b))
+        a_ends, b_ends = np.cumsum(tok.a_names.size[self.a], dtype=np.int64), np.cumsum(tok.b_names.size[self.b], dtype=np.int64)
         of_a = np.concatenate([[0], np.cumsum(self.n_a)])
         limits = np.concatenate([[0], a_ends])[of_a]  # where documents end on the axis
         size = int(limits[-1]) + 1
@@ -145,36 +165,32 @@ class Aligned:
         self.n_groups, self.n_links = (_per_document(x[1:], limits) for x in (cut, a_at * b_at))
         self.a_last, self.b_last = cut[a_ends], cut[b_ends]  # the last token of its group
         self.a_group, self.b_group = (np.cumsum(last) - last for last in (self.a_last, self.b_last))
-        self.a_ends, self.b_ends = a_ends, b_ends
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, pair number) of every link: token occurrences of A and B that end together."""
         # tokens have one byte at least, so one of each kind ends at a cut
         doc = np.repeat(np.arange(self.docs), self.n_groups)
-        return doc, (self.a[self.a_last] << B_BITS) | self.b[self.b_last]
+        return doc, (self.a[self.a_last].astype(np.int64) << B_BITS) | self.b[self.b_last]
 
     def group_digests(self) -> list[str]:
         """sha256 of ``a1,a2|b1;a3|b2,b3`` for each document; '' without tokens."""
         # A token's place among both: those of its kind before it, and those of the other kind in earlier groups (B: also in its own)
-        b_until = np.searchsorted(self.b_group, self.a_group, "left")
-        a_until = np.searchsorted(self.a_group, self.b_group, "right")
-        n = len(self.a) + len(self.b)
-        codes = np.empty(n, np.int64)
+        b_ended, a_ended = (np.concatenate([[0], np.flatnonzero(last) + 1]) for last in (self.b_last, self.a_last))
+        b_until, a_until = b_ended[self.a_group], a_ended[self.b_group + 1]
+        codes = np.empty(len(self.a) + len(self.b), np.int32)
         # separators: 0 comma, 1 bar behind the A tokens of a group, 2 semicolon behind a group
         codes[np.arange(len(self.a)) + b_until] = self.a * 3 + self.a_last
         codes[np.arange(len(self.b)) + a_until] = self.b * 3 + 2 * self.b_last
-        said = _written(max(len(self.tok.a_bytes), len(self.tok.b_bytes)))
-        out, at = [], 0
-        for k in (self.n_a + self.n_b).tolist():
-            text = b"".join(map(said.__getitem__, codes[at : at + k].tolist()))
-            out.append(hashlib.sha256(text[:-1]).hexdigest() if k else "")
-            at += k
-        return out
+        text, ends = _written(max(len(self.tok.a_bytes), len(self.tok.b_bytes))).join(codes)
+        limits = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
+        said = memoryview(text)
+        return [hashlib.sha256(said[p : q - 1]).hexdigest() if q > p else "" for p, q in zip(limits, limits[1:], strict=False)]
 
 
 @functools.cache
-def _written(ids: int) -> list[bytes]:
-    return [b"%d%c" % (i, sep) for i in range(ids) for sep in b",|;"]
+def _written(ids: int) -> Names:
+    """Every id in decimal with each separator."""
+    return Names([b"%d%c" % (i, sep) for i in range(ids) for sep in b",|;"])
 
 
 def _chunks(lengths: list[int], size: int) -> Iterator[slice]:
