@@ -153,7 +153,9 @@ def _anchors(length: int):
                 runs = Runs(part.column("text").to_pylist(), length)
                 order = np.lexsort((runs.document, runs.anchor))
                 anchor, document = runs.anchor[order], runs.document[order]
-                first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+                if not len(anchor):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
                 last = np.append(first[1:], len(anchor)) - 1
                 several = document[first] != document[last]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(np.full(len(first), part.column("chunk")[0].as_py())), pa.array(((last - first + 1) << 1 | several).astype(np.int32))], names=["anchor", "chunk", "seen"])
@@ -205,7 +207,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # segments
 
-SEGMENTS = "chunk bigint, sid binary, route bigint, anchor bigint, hot boolean, segment binary, size int, low bigint, high bigint"
+#: A hot anchor is negative, and its segments are single windows.
+SEGMENTS = "chunk bigint, anchor bigint, segment binary, low bigint, high bigint"
 
 
 def _digest(said: bytes) -> bytes:
@@ -232,17 +235,14 @@ def _segments(length: int):
                 said = runs.segment(i)
                 for piece in [said[j : j + length] for j in range(len(said) - length + 1)] if is_hot else [said]:
                     if (had := found.get(piece)) is None:
-                        found[piece] = [anchor, is_hot, d, d]
-                    elif d < had[2]:
+                        found[piece] = [-anchor if is_hot else anchor, d, d]
+                    elif d < had[1]:
+                        had[1] = d
+                    elif d > had[2]:
                         had[2] = d
-                    elif d > had[3]:
-                        had[3] = d
-        chunk = documents.column("chunk")[0].as_py() if documents.num_rows else 0
-        sid = [_digest(x) for x in found]
-        anchor, hots, low, high = zip(*found.values(), strict=True) if found else ([],) * 4
-        route = [int.from_bytes(s[:6], "big") if h else a for s, h, a in zip(sid, hots, anchor, strict=True)]
-        columns = [pa.array([chunk] * len(sid), pa.int64()), pa.array(sid, pa.binary()), pa.array(route, pa.int64()), pa.array(anchor, pa.int64()), pa.array(hots, pa.bool_()), pa.array(list(found), pa.binary()), pa.array([len(x) for x in found], pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
-        return pa.Table.from_arrays(columns, names=["chunk", "sid", "route", "anchor", "hot", "segment", "size", "low", "high"])
+        anchor, low, high = zip(*found.values(), strict=True) if found else ([],) * 3
+        columns = [pa.array([documents.column("chunk")[0].as_py()] * len(found), pa.int64()), pa.array(anchor, pa.int64()), pa.array(list(found), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+        return pa.Table.from_arrays(columns, names=["chunk", "anchor", "segment", "low", "high"])
 
     return run
 
@@ -323,7 +323,7 @@ def least_documents(segments: list[bytes], low: np.ndarray, length: int) -> tupl
     return at[windows], np.concatenate([[0], np.cumsum(sizes - length + 1)])
 
 
-FOUND = "sid binary, anchor bigint, hot boolean, least array<bigint>"
+FOUND = "sid binary, anchor bigint, least array<bigint>"
 
 
 def _compare(length: int):
@@ -337,19 +337,20 @@ def _compare(length: int):
         n = np.where(lowest == highest, 1, np.diff(limits))[wanted]  # one value stands for all windows
         at = np.repeat(limits[:-1][wanted], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(least[at], pa.int64()))
-        taken = rows.select(["sid", "anchor", "hot"]).take(pa.array(wanted))
-        return taken.append_column("least", lists)
+        sid = pa.array([_digest(x) for x in rows.column("segment").take(pa.array(wanted)).to_pylist()], pa.binary())
+        return pa.Table.from_arrays([sid, rows.column("anchor").take(pa.array(wanted)), lists], names=["sid", "anchor", "least"])
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("route")
-        route, size = rows.column("route").to_numpy(), rows.column("size").to_numpy()
+        rows = rows.sort_by("anchor")
+        anchor = rows.column("anchor").to_numpy()
         # a segment that is alone with its anchor and in one document has no equal
-        begins = np.concatenate([[True], route[1:] != route[:-1]])
+        begins = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         alone = begins & np.append(begins[1:], True) & (rows.column("low").to_numpy() == rows.column("high").to_numpy())
         kept = np.flatnonzero(~alone)
-        rows, begins, size = rows.take(pa.array(kept)), begins[kept], size[kept]
+        rows, begins = rows.take(pa.array(kept)), begins[kept]
         if not len(kept):
-            return pa.schema([("sid", pa.binary()), ("anchor", pa.int64()), ("hot", pa.bool_()), ("least", pa.list_(pa.int64()))]).empty_table()
+            return pa.schema([("sid", pa.binary()), ("anchor", pa.int64()), ("least", pa.list_(pa.int64()))]).empty_table()
+        size = pa.compute.binary_length(rows.column("segment")).to_numpy()
         # blocks begin with an anchor, so that all of it is in one
         held = np.cumsum(size)
         cuts, done = [0], 0
@@ -373,7 +374,7 @@ def _cut(length: int):
     def run(documents: pa.Table, found: pa.Table) -> pa.Table:
         runs, rank = Runs(documents.column("text").to_pylist(), length), _ranks(documents)
         least_of = dict(zip(found.column("sid").to_pylist(), found.column("least").to_pylist(), strict=True))
-        hot_of = dict(zip(found.column("anchor").to_pylist(), found.column("hot").to_pylist(), strict=True))
+        hot_of = {abs(x): x < 0 for x in found.column("anchor").to_pylist()}
         starts = np.zeros(len(runs.joined) + 1, np.int32)
         chosen = np.flatnonzero(np.isin(runs.anchor, np.array(list(hot_of), np.int64)))
         for i, d in zip(chosen.tolist(), rank[runs.document[chosen]].tolist(), strict=True):
@@ -426,12 +427,13 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents = spark.table(name)
     seen = documents.select("chunk", "text").mapInArrow(_anchors(length), "anchor bigint, chunk bigint, seen int")
     shared = seen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "chunk bigint, anchor bigint, hot boolean")
-    shared = materialize(shared, "shared")
-    segments = materialize(documents.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length), SEGMENTS), "segments")
-    groups = (segments.agg(F.sum("size")).first()[0] or 0) // GROUP + 1
-    grouped = segments.withColumn("group", F.pmod("route", F.lit(groups))).repartition("group")
-    facts = [F.first(c).alias(c) for c in ("route", "anchor", "hot", "segment", "size")]
-    distinct = grouped.groupBy("group", "sid").agg(*facts, F.min("low").alias("low"), F.max("high").alias("high"))
-    found = materialize(distinct.groupBy("group").applyInArrow(_compare(length), FOUND), "found")
-    told = segments.select("chunk", "sid").join(found, "sid").select("chunk", "sid", "anchor", "hot", "least")
+    shared = materialize(shared, "shared", free_shuffles=True)
+    segments = documents.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length), SEGMENTS)
+    segments = materialize(segments, "segments", free_shuffles=True)
+    groups = (segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // GROUP + 1
+    group = F.pmod(F.when(F.col("anchor") > 0, F.col("anchor")).otherwise(F.xxhash64("segment")), F.lit(groups))
+    grouped = segments.select("anchor", "segment", "low", "high", group.alias("group")).repartition("group")
+    distinct = grouped.groupBy("group", "anchor", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = materialize(distinct.groupBy("group").applyInArrow(_compare(length), FOUND), "found", free_shuffles=True)
+    told = segments.select("chunk", F.unhex(F.md5("segment")).alias("sid")).join(found, "sid").select("chunk", "sid", "anchor", "least")
     return documents.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(length), RESULT)
