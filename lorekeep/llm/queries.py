@@ -110,17 +110,18 @@ WITH cut AS (
 ), units AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS unit, "start", "start" + chars AS "end", len(words) AS n_words, array_to_string(words, ' ') AS said
   FROM placed WHERE len(words) > 0
-), ranked AS (
-  SELECT *, row_number() OVER w AS nth, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, count(*) OVER (PARTITION BY said) AS copies
-  FROM units WINDOW w AS (PARTITION BY said ORDER BY doc_id, unit)
-), runs AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM ranked WHERE nth > 1
+), pairs AS (
+  SELECT b.doc_id, b.unit, b.n_words, a.doc_id AS keep_doc_id, a.unit AS keep_unit
+  FROM units b JOIN units a ON a.said = b.said AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.unit < b.unit)
+), lines AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, keep_doc_id, unit - keep_unit ORDER BY unit) AS run FROM pairs
 ), summed AS (
-  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run, keep_doc_id, unit - keep_unit) AS together FROM runs
-), most AS (
-  SELECT *, CAST(max(together) OVER (PARTITION BY doc_id, run) AS BIGINT) AS run_words FROM summed
+  SELECT *, sum(n_words) OVER (PARTITION BY doc_id, keep_doc_id, unit - keep_unit, run) AS together FROM lines
+), gone AS (
+  SELECT doc_id, unit, min((keep_doc_id, keep_unit)) AS kept FROM summed WHERE together >= {substring_dedup.RUN_WORDS} GROUP BY doc_id, unit
 )
-SELECT doc_id, unit, "start", "end", n_words, run_words, keep_doc_id, keep_unit, copies FROM most WHERE run_words >= {substring_dedup.RUN_WORDS}
+SELECT u.doc_id, u.unit, u."start", u."end", u.n_words, kept[1] AS keep_doc_id, kept[2] AS keep_unit
+FROM gone g JOIN units u ON g.doc_id = u.doc_id AND g.unit = u.unit
 """
 
 

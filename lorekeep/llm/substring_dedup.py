@@ -1,12 +1,16 @@
 """Substring deduplication by line hashing.
 
 Documents are cut into lines, and lines at the ends of sentences, so that a passage is found where its
-lines were joined or broken anew. Every unit is normalised and hashed, whatever its length, and the
-digests are grouped over the whole corpus. The earliest occurrence (smallest id, then place) of each
-digest stays. The others repeat; short ones do so by chance in ordinary text, so a repeat goes if the
-stretch of neighbouring repeats in which it stands has a number of words that stand at the same
-distances in one earlier document. Offsets in the original text are kept. Digests are counted with map-side combination, so that a line that a third of all documents
-share is no large group, and occurrences of very frequent units meet their winner by broadcast.
+lines were joined or broken anew. Every unit is normalised and hashed, whatever its length. Short units repeat by
+chance in ordinary text, so what is grouped over the whole corpus are stretches of neighbouring units: for
+each unit the shortest stretch with enough words that begins there, and the shortest that ends there. The
+earliest occurrence (smallest id, then place) of each stretch stays, and units of the others go. Any longer
+repeat is made of such stretches: a unit of it lies in the one that begins there, or, near the end of
+the repeat, in the one that ends with it. So a unit goes if it lies in neighbouring units with enough
+words that an earlier place has in the same order, whatever else its single lines have appeared in before.
+
+Offsets in the original text are kept. Digests are counted with map-side combination, so that a line that a
+third of all documents share is no large group, and occurrences of very frequent stretches meet their winner by broadcast.
 """
 
 from __future__ import annotations
@@ -16,75 +20,111 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import fresh_name, join_counted
 from lorekeep.session import materialize
 
-#: A stretch of repeats with fewer words of one origin stays: such lines repeat by chance and are part of ordinary text.
+#: Repeats of fewer words stay: such lines repeat by chance and are part of ordinary text.
 RUN_WORDS = 20
 #: A line break, or the space after the end of a sentence.
 BREAK = re.compile(r"\n|(?<=[.!?]) ")
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """row, doc_id, unit, start, end, n_words, digest (16 bytes) of ``rows`` (row, doc_id, text).
+def stretches(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest stretches with ``least`` words or more from each unit on, and up to each unit; each once, in order.
+
+    ``words`` has the words of each unit, one at least.
+    """
+    found = set()
+    last, total = -1, 0
+    for first in range(len(words)):
+        while total < least and last + 1 < len(words):
+            last += 1
+            total += words[last]
+        if total < least:
+            break
+        found.add((first, last))
+        total -= words[first]
+    first = total = 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= least:
+            total -= words[first]
+            first += 1
+        if total >= least:
+            found.add((first, last))
+    return sorted(found)
+
+
+def units(rows: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """row, doc_id, unit, start, end, n_words, stretches (n, digest of 16 bytes) of ``rows`` (row, doc_id, text).
 
     unit counts the document's units that have a word, from 0; start and end are code points of the
-    text. A unit is normalised by lower case and single spaces.
+    text. A unit is normalised by lower case and single spaces. stretches has those that begin with the unit, and their n of units.
     """
-    names = ["row", "doc_id", "unit", "start", "end", "n_words", "digest"]
+    names = ["row", "doc_id", "unit", "start", "end", "n_words", "stretches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         md5 = hashlib.md5
         for batch in batches:
-            found, of = [], []
+            found, of, sizes, digests, limits = [], [], [], [], [0]
             for i, text in enumerate(batch.column(2).to_pylist()):
-                at = unit = 0
-                for said in BREAK.split(text or ""):
-                    end = at + len(said)
-                    words = said.lower().split()
+                at, said, n_words = 0, [], []
+                for part in BREAK.split(text or ""):
+                    end = at + len(part)
+                    words = part.lower().split()
                     if words:
-                        of.append(i)
-                        found.append((unit, at, end, len(words), md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()))
-                        unit += 1
+                        found.append((len(said), at, end, len(words)))
+                        said.append(md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
+                        n_words.append(len(words))
                     at = end + 1
-            *longs, digests = zip(*found, strict=True) if found else ([],) * 5
+                of += [i] * len(said)
+                k = 0
+                here = stretches(n_words, run_words)
+                for unit in range(len(said)):
+                    while k < len(here) and here[k][0] == unit:
+                        sizes.append(here[k][1] - unit + 1)
+                        digests.append(said[unit] if here[k][1] == unit else md5(b"".join(said[unit : here[k][1] + 1])).digest())
+                        k += 1
+                    limits.append(len(sizes))
+            longs = zip(*found, strict=True) if found else ([],) * 4
             at_rows = pa.array(of, pa.int64())
             ids = [batch.column(k).take(at_rows) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x, pa.int64()) for x in longs], pa.array(digests, pa.binary())], names=names)
+            both = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["n", "digest"])
+            yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x, pa.int64()) for x in longs], pa.ListArray.from_arrays(pa.array(limits, pa.int32()), both)], names=names)
 
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, digest binary")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, stretches array<struct<n:bigint,digest:binary>>")
 
 
 def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
     """The units of ``rows`` (row, doc_id, text) that go, with their row."""
-    found = materialize(units(rows), "units")
+    found = materialize(units(rows, run_words), "units")
     place = ("doc_id", "row", "unit")
+    begun = found.select(*place, F.explode("stretches").alias("s")).select(*place, "s.n", "s.digest")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), *[F.col(c).alias(f"keep_{c}") for c in place])
-    groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    groups = materialize(groups.select("digest", *[f"first.keep_{c}" for c in place], "copies"), "groups")
-    again = join_counted(found, groups, "digest", "copies").where("row <> keep_row OR unit <> keep_unit")
-    # neighbours have the same difference of their number and their rank among the repeats
-    runs = again.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit")))
-    runs = runs.withColumn("shift", F.col("unit") - F.col("keep_unit"))
-    together = F.sum("n_words").over(Window.partitionBy("row", "run", "keep_row", "shift"))
-    most = F.max("together").over(Window.partitionBy("row", "run"))
-    return runs.withColumn("together", together).withColumn("run_words", most).where(F.col("run_words") >= run_words)
+    groups = begun.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    groups = materialize(groups, "groups", free_shuffles=True)
+    again = join_counted(begun, groups, "digest", "copies").where("row <> first.keep_row OR unit <> first.keep_unit")
+    each = again.select("row", "unit", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("nth"))
+    origin = F.struct("first.last", "first.keep_doc_id", "first.keep_row", (F.col("first.keep_unit") + F.col("nth")).alias("keep_unit"))
+    gone = each.groupBy("row", (F.col("unit") + F.col("nth")).alias("unit")).agg(F.min(origin).alias("origin"))
+    return found.drop("stretches").join(gone, ["row", "unit"]).select("*", "origin.keep_doc_id", "origin.keep_unit")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """One row for each unit that goes: doc_id, unit, start, end, n_words, run_words, keep_doc_id, keep_unit, copies.
+    """One row for each unit that goes: doc_id, unit, start, end, n_words, keep_doc_id, keep_unit.
 
-    run_words counts the words, in the stretch that it goes with, that one document has before at the
-    same distances; copies counts all occurrences of the unit, the one that stays included. Repeats inside a document count too. Rows are documents of their own,
+    A unit goes if neighbouring units of ``run_words`` words or more, itself among them, are in an earlier place
+    in the same order; keep_doc_id and keep_unit name the earliest place of the unit in such company. Repeats inside a
+    document count too, and the first occurrence of a unit never goes. Rows are documents of their own,
     also where their id is null or repeated: null ids rank behind all others, equal ids in the order
     in which they are read. Null and empty texts have no units, and an empty table gives no rows; other
     columns are ignored, whatever their names. ``run_words=1`` takes out every repeat.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _repeats(rows, run_words).select("doc_id", "unit", "start", "end", "n_words", "run_words", "keep_doc_id", "keep_unit", "copies")
+    return _repeats(rows, run_words).select("doc_id", "unit", "start", "end", "n_words", "keep_doc_id", "keep_unit")
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:

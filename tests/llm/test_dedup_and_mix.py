@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.llm import exact_dedup, mixing, simhash_dedup, substring_dedup
@@ -176,29 +178,27 @@ def plain_units(text):
 
 
 def plain_lines(rows, least):
-    """(row, id, unit, start, end, words, words of one origin, first id, first unit, copies) of what goes."""
-    seen, count, of = {}, Counter(), {k: plain_units(t) for k, (_, t, *_) in enumerate(rows)}
-    for k in sorted(of, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)):
-        for u, (_, _, words) in enumerate(of[k]):
-            seen.setdefault(" ".join(words), (k, u))
-            count[" ".join(words)] += 1
-    out = []
-    for k, found in of.items():
-        stretch = []
-        for u, unit in enumerate([*found, None]):
-            if unit and seen[" ".join(unit[2])] != (k, u):
-                stretch.append((u, unit))
-                continue
-            together = Counter()
-            for v, (_, _, words) in stretch:
-                first, place = seen[" ".join(words)]
-                together[first, v - place] += len(words)
-            total = max(together.values(), default=0)
-            for v, (a, b, words) in stretch if total >= least else ():
-                first, place = seen[" ".join(words)]
-                out.append((k, rows[k][0], v, a, b, len(words), total, rows[first][0], place, count[" ".join(words)]))
-            stretch = []
-    return out
+    """(row, id, unit, start, end, words, first id, first unit) of what goes: every place is held against every earlier one."""
+    of = {k: plain_units(t) for k, (_, t, *_) in enumerate(rows)}
+    rank = {k: (rows[k][0] is None, rows[k][0] or 0, k) for k in of}
+    said = {k: [" ".join(words) for _, _, words in found] for k, found in of.items()}
+    places = {}
+    for k, lines in said.items():
+        for u, line in enumerate(lines):
+            places.setdefault(line, []).append((k, u))
+    best = {}
+    for k, lines in said.items():
+        for u, line in enumerate(lines):
+            for j, v in places[line]:
+                if (rank[j], v) >= (rank[k], u) or u and v and lines[u - 1] == said[j][v - 1]:
+                    continue  # not earlier, or not where a common stretch begins
+                n = 0
+                while u + n < len(lines) and v + n < len(said[j]) and lines[u + n] == said[j][v + n]:
+                    n += 1
+                if sum(len(of[k][u + i][2]) for i in range(n)) >= least:
+                    for i in range(n):
+                        best[k, u + i] = min(best.get((k, u + i), (rank[j], v + i)), (rank[j], v + i))
+    return [(k, rows[k][0], u, *of[k][u][:2], len(of[k][u][2]), rows[r[2]][0], v) for (k, u), (r, v) in best.items()]
 
 
 def cut_out(text, spans):
@@ -242,6 +242,30 @@ def test_lines(spark, least):
     assert substring_dedup.repeated_lines(docs.where("false")).count() == 0 and substring_dedup.remove_lines(docs.where("false")).count() == 0
 
 
+def test_passage_of_lines_that_others_had_first(spark):
+    """Each line of a copied passage was in a document of its own before; the copy goes all the same."""
+    rng = random.Random(12)
+    lines = [said(rng, 15) for _ in range(10)]
+    rows = [*((i, line, "s") for i, line in enumerate(lines)), (100, "\n".join(lines), "s"), (101, "\n".join(lines), "s")]
+    found = substring_dedup.repeated_lines(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["unit"], r["keep_doc_id"], r["keep_unit"]) for r in found) == [(101, u, 100, u) for u in range(10)]
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_lines(table(spark, rows)).collect()}
+    assert left[101] == "" and left[100] == rows[10][1]
+
+
+@given(st.lists(st.integers(1, 30), max_size=30), st.integers(1, 40))
+@settings(max_examples=200, deadline=None)
+def test_stretches(words, least):
+    """Every stretch with enough words is covered by those that are hashed and lie in it, and these are the shortest."""
+    found = substring_dedup.stretches(words, least)
+    assert found == sorted(set(found)) and all(sum(words[a : b + 1]) >= least for a, b in found)
+    for a in range(len(words)):
+        for b in range(a, len(words)):
+            if sum(words[a : b + 1]) >= least:
+                assert set(range(a, b + 1)) == {u for p, q in found if a <= p and q <= b for u in range(p, q + 1)}
+    assert len(found) <= 2 * len(words)
+
+
 # mixing
 
 
