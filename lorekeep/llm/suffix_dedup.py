@@ -117,10 +117,6 @@ class Runs:
         self.start, self.count, self.anchor = first, count, least[first]
         self.document = np.searchsorted(self.limits, first, "right") - 1
 
-    def segment(self, i: int) -> bytes:
-        start = self.start[i]
-        return self.joined[start : start + self.count[i] + self.length - 1]
-
 
 def _chunk_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk that lie together."""
@@ -132,16 +128,17 @@ def _chunk_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the number of their chunk, which has about ``CHUNK`` bytes, one document at least."""
-    chunk, held = TaskContext.get().partitionId() << 40, 0
+    """Documents with the number of their chunk, which has about ``CHUNK`` bytes, one document at least, and of their row in it."""
+    chunk, held, row = TaskContext.get().partitionId() << 40, 0, 0
     for batch in batches:
-        out = []
+        out, rows = [], []
         for n in pa.compute.binary_length(batch.column(1)).to_pylist():
             if held and held + n > CHUNK:
-                chunk, held = chunk + 1, 0
+                chunk, held, row = chunk + 1, 0, 0
             out.append(chunk)
-            held += n
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], names=["chunk", "doc_id", "text"])
+            rows.append(row)
+            held, row = held + n, row + 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(rows, pa.int32()), *batch.columns], names=["chunk", "row", "doc_id", "text"])
 
 
 def _anchors(length: int):
@@ -207,42 +204,50 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # segments
 
-#: A hot anchor is negative, and its segments are single windows.
-SEGMENTS = "chunk bigint, anchor bigint, segment binary, low bigint, high bigint"
+#: A hot anchor is negative, and its segments are single windows. places: where a segment starts in the joined documents of its chunk.
+SEGMENTS = "chunk bigint, anchor bigint, segment binary, low bigint, high bigint, place int, places array<int>"
 
 
 def _digest(said: bytes) -> bytes:
     return hashlib.md5(said, usedforsecurity=False).digest()
 
 
-def _ranks(documents: pa.Table) -> np.ndarray:
-    return documents.column("doc_id").fill_null(NO_ID).to_numpy()
+def _in_order(documents: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The documents of a chunk by row, and the ranks of their ids."""
+    documents = documents.sort_by("row")
+    return documents, documents.column("doc_id").fill_null(NO_ID).to_numpy()
 
 
 def _segments(length: int):
     """The segments of a chunk's documents that have a shared anchor, equal ones once, with the least and the greatest document."""
 
     def run(documents: pa.Table, anchors: pa.Table) -> pa.Table:
-        runs, rank = Runs(documents.column("text").to_pylist(), length), _ranks(documents)
+        documents, rank = _in_order(documents)
+        runs = Runs(documents.column("text").to_pylist(), length)
         known, hot = anchors.column("anchor").to_numpy(), anchors.column("hot").to_numpy(zero_copy_only=False)
         found: dict[bytes, list] = {}
+        more: dict[bytes, list[int]] = {}
         if len(known):
             order = np.argsort(known)
             known, hot = known[order], hot[order]
             at = np.minimum(np.searchsorted(known, runs.anchor), len(known) - 1)
             chosen = np.flatnonzero(known[at] == runs.anchor)
-            for i, anchor, is_hot, d in zip(chosen.tolist(), runs.anchor[chosen].tolist(), hot[at[chosen]].tolist(), rank[runs.document[chosen]].tolist(), strict=True):
-                said = runs.segment(i)
-                for piece in [said[j : j + length] for j in range(len(said) - length + 1)] if is_hot else [said]:
+            joined, tail = runs.joined, length - 1
+            of = zip(runs.start[chosen].tolist(), runs.count[chosen].tolist(), runs.anchor[chosen].tolist(), hot[at[chosen]].tolist(), rank[runs.document[chosen]].tolist(), strict=True)
+            for start, count, anchor, is_hot, d in of:
+                for place, n in [(start + j, 1) for j in range(count)] if is_hot else [(start, count)]:
+                    piece = joined[place : place + n + tail]
                     if (had := found.get(piece)) is None:
-                        found[piece] = [-anchor if is_hot else anchor, d, d]
-                    elif d < had[1]:
+                        found[piece] = [-anchor if is_hot else anchor, d, d, place]
+                        continue
+                    more.setdefault(piece, []).append(place)
+                    if d < had[1]:
                         had[1] = d
                     elif d > had[2]:
                         had[2] = d
-        anchor, low, high = zip(*found.values(), strict=True) if found else ([],) * 3
-        columns = [pa.array([documents.column("chunk")[0].as_py()] * len(found), pa.int64()), pa.array(anchor, pa.int64()), pa.array(list(found), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
-        return pa.Table.from_arrays(columns, names=["chunk", "anchor", "segment", "low", "high"])
+        anchor, low, high, place = zip(*found.values(), strict=True) if found else ([],) * 4
+        columns = [pa.array([documents.column("chunk")[0].as_py()] * len(found), pa.int64()), pa.array(anchor, pa.int64()), pa.array(list(found), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(place, pa.int32()), pa.array([more.get(x) for x in found] if more else [None] * len(found), pa.list_(pa.int32()))]
+        return pa.Table.from_arrays(columns, names=["chunk", "anchor", "segment", "low", "high", "place", "places"])
 
     return run
 
@@ -294,13 +299,18 @@ def prefix_groups(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
     divided[column == 0] = True
     undivided = np.flatnonzero(~divided)
     here, before = source[undivided], source[undivided - 1]
+    already = 0  # boundaries that are set but still among the undivided
     for _ in range(1, length):
         group = np.cumsum(divided, dtype=np.int32)
         apart = group[here] != group[before]  # their sources share one character less, which is known by now
-        if not apart.any():
+        n = np.count_nonzero(apart)
+        if n == already:
             break
         divided[undivided[apart]] = True
-        undivided, here, before = undivided[~apart], here[~apart], before[~apart]
+        already = n
+        if 8 * n > len(undivided):
+            undivided, here, before = undivided[~apart], here[~apart], before[~apart]
+            already = 0
     return divided
 
 
@@ -323,42 +333,46 @@ def least_documents(segments: list[bytes], low: np.ndarray, length: int) -> tupl
     return at[windows], np.concatenate([[0], np.cumsum(sizes - length + 1)])
 
 
-FOUND = "sid binary, anchor bigint, least array<bigint>"
+#: One value stands for all windows of a segment, or leasts has one for each.
+FOUND = "sid binary, least bigint, leasts array<bigint>"
 
 
 def _compare(length: int):
     """What a group of distinct segments finds out: the least document of each window, for segments in which that matters."""
 
+    def told(segments: list[bytes], least: np.ndarray, leasts: pa.Array) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([_digest(x) for x in segments], pa.binary()), pa.array(least, pa.int64()), leasts], names=["sid", "least", "leasts"])
+
     def block(rows: pa.Table) -> pa.Table:
         low, high = rows.column("low").to_numpy(), rows.column("high").to_numpy()
-        least, limits = least_documents(rows.column("segment").to_pylist(), low, length)
+        segments = rows.column("segment").to_pylist()
+        least, limits = least_documents(segments, low, length)
         lowest, highest = np.minimum.reduceat(least, limits[:-1]), np.maximum.reduceat(least, limits[:-1])
         wanted = np.flatnonzero(lowest < high)
-        n = np.where(lowest == highest, 1, np.diff(limits))[wanted]  # one value stands for all windows
+        n = np.where(lowest == highest, 0, np.diff(limits))[wanted]
         at = np.repeat(limits[:-1][wanted], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(least[at], pa.int64()))
-        sid = pa.array([_digest(x) for x in rows.column("segment").take(pa.array(wanted)).to_pylist()], pa.binary())
-        return pa.Table.from_arrays([sid, rows.column("anchor").take(pa.array(wanted)), lists], names=["sid", "anchor", "least"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(least[at], pa.int64()), mask=pa.array(n == 0))
+        return told([segments[i] for i in wanted.tolist()], lowest[wanted], lists)
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("anchor")
-        anchor = rows.column("anchor").to_numpy()
-        # a segment that is alone with its anchor and in one document has no equal
+        anchor, low, high = (rows.column(c).to_numpy() for c in ("anchor", "low", "high"))
         begins = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        alone = begins & np.append(begins[1:], True) & (rows.column("low").to_numpy() == rows.column("high").to_numpy())
-        kept = np.flatnonzero(~alone)
-        rows, begins = rows.take(pa.array(kept)), begins[kept]
-        if not len(kept):
-            return pa.schema([("sid", pa.binary()), ("anchor", pa.int64()), ("least", pa.list_(pa.int64()))]).empty_table()
-        size = pa.compute.binary_length(rows.column("segment")).to_numpy()
-        # blocks begin with an anchor, so that all of it is in one
-        held = np.cumsum(size)
-        cuts, done = [0], 0
-        for i in np.flatnonzero(begins).tolist():
-            if i > cuts[-1] and held[i - 1] - done >= BLOCK:
-                cuts.append(i)
-                done = held[i - 1]
-        return pa.concat_tables([block(rows.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(kept)], strict=True)])
+        # with an anchor of its own a segment has no other to be compared with: its windows are its own documents'
+        alone = begins & np.append(begins[1:], True)
+        copied = rows.filter(pa.array(alone & (low < high)))
+        out = [told(copied.column("segment").to_pylist(), copied.column("low").to_numpy(), pa.nulls(len(copied), pa.list_(pa.int64())))]
+        rows, begins = rows.filter(pa.array(~alone)), begins[~alone]
+        if len(rows):
+            # blocks begin with an anchor, so that all of it is in one
+            held = np.cumsum(pa.compute.binary_length(rows.column("segment")).to_numpy())
+            cuts, done = [0], 0
+            for i in np.flatnonzero(begins).tolist():
+                if i > cuts[-1] and held[i - 1] - done >= BLOCK:
+                    cuts.append(i)
+                    done = held[i - 1]
+            out += [block(rows.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
+        return pa.concat_tables(out)
 
     return run
 
@@ -371,37 +385,45 @@ RESULT = "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:b
 def _cut(length: int):
     """The documents of a chunk without the windows that smaller documents have."""
 
-    def run(documents: pa.Table, found: pa.Table) -> pa.Table:
-        runs, rank = Runs(documents.column("text").to_pylist(), length), _ranks(documents)
-        least_of = dict(zip(found.column("sid").to_pylist(), found.column("least").to_pylist(), strict=True))
-        hot_of = {abs(x): x < 0 for x in found.column("anchor").to_pylist()}
-        starts = np.zeros(len(runs.joined) + 1, np.int32)
-        chosen = np.flatnonzero(np.isin(runs.anchor, np.array(list(hot_of), np.int64)))
-        for i, d in zip(chosen.tolist(), rank[runs.document[chosen]].tolist(), strict=True):
-            said, at = runs.segment(i), int(runs.start[i])
-            if hot_of[int(runs.anchor[i])]:
-                for j in range(len(said) - length + 1):
-                    least = least_of.get(_digest(said[j : j + length]))
-                    starts[at + j] = least is not None and least[0] < d
-            elif (least := least_of.get(_digest(said))) is not None:
-                if len(least) == 1:
-                    starts[at : at + len(said) - length + 1] = least[0] < d
-                else:
-                    starts[at : at + len(least)] = np.array(least) < d
+    def windows(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(place, least document) of all windows that segments tell of."""
+        place, n, least = (told.column(c).to_numpy() for c in ("place", "n", "least"))
+        # further places of the same segments
+        places, leasts = told.column("places").combine_chunks(), told.column("leasts").combine_chunks()
+        others = np.repeat(np.arange(len(place)), pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy(zero_copy_only=False))
+        of = np.concatenate([np.arange(len(place)), others])
+        place = np.concatenate([place, places.flatten().to_numpy(zero_copy_only=False)])
+        size = pa.compute.fill_null(pa.compute.list_value_length(leasts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, values = np.cumsum(size) - size, leasts.flatten().to_numpy(zero_copy_only=False)
+        # 0, 1, ... along each segment
+        along = np.arange(n[of].sum()) - np.repeat(np.cumsum(n[of]) - n[of], n[of])
+        each = np.repeat(of, n[of])
+        known = least[each].copy()
+        listed = size[each] > 0
+        known[listed] = values[begin[each[listed]] + along[listed]]
+        return np.repeat(place, n[of]) + along, known
+
+    def run(documents: pa.Table, told: pa.Table) -> pa.Table:
+        documents, rank = _in_order(documents)
+        texts = documents.column("text").to_pylist()
+        joined, limits = b"".join(texts), np.concatenate([[0], np.cumsum(np.array([len(x) for x in texts], np.int64))]).astype(np.int64)
+        starts = np.zeros(len(joined) + 1, np.int32)
+        if told.num_rows:
+            place, least = windows(told)
+            starts[place[least < rank[np.searchsorted(limits, place, "right") - 1]]] = 1
         sums = np.concatenate([[0], np.cumsum(starts[:-1])])
-        byte = np.arange(len(runs.joined))
-        gone = sums[byte + 1] > sums[np.maximum(0, byte - length + 1)]
+        gone = sums[1:] > np.concatenate([np.zeros(min(length, len(joined)), sums.dtype), sums[1 : max(1, len(joined) - length + 1)]])
         edge = np.zeros(len(gone) + 1, bool)
-        edge[runs.limits] = True
+        edge[limits] = True
         begins = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
         ends = np.flatnonzero(gone & (edge[1:] | ~np.append(gone[1:], False))) + 1
-        of = np.searchsorted(begins, runs.limits)
-        base = np.repeat(runs.limits[:-1], np.diff(of))
+        of = np.searchsorted(begins, limits)
+        base = np.repeat(limits[:-1], np.diff(of))
         spans = pa.StructArray.from_arrays([pa.array(begins - base, pa.int64()), pa.array(ends - base, pa.int64())], names=["start", "end"])
-        left = np.frombuffer(runs.joined, np.uint8)[~gone].tobytes()
-        cut = np.concatenate([[0], np.cumsum(~gone)])[runs.limits]
+        left = np.frombuffer(joined, np.uint8)[~gone].tobytes()
+        cut = np.concatenate([[0], np.cumsum(~gone)])[limits]
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rank), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(left)]).cast(pa.binary())
-        return pa.Table.from_arrays([documents.column("doc_id"), pa.array(np.diff(runs.limits)), pa.ListArray.from_arrays(pa.array(of, pa.int32()), spans), kept], names=["doc_id", "n_bytes", "removed", "kept"])
+        return pa.Table.from_arrays([documents.column("doc_id"), pa.array(np.diff(limits)), pa.ListArray.from_arrays(pa.array(of, pa.int32()), spans), kept], names=["doc_id", "n_bytes", "removed", "kept"])
 
     return run
 
@@ -421,7 +443,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # written in parts by chunk, so that both later readings find the documents of a chunk together without a shuffle of texts
     name = f"lorekeep_documents_{uuid.uuid4().hex}"
-    chunked = texts.mapInArrow(_chunked, "chunk bigint, doc_id bigint, text binary")
+    chunked = texts.mapInArrow(_chunked, "chunk bigint, row int, doc_id bigint, text binary")
     parts = min(MOST_PARTS, total // PART + 1)
     chunked.write.bucketBy(parts, "chunk").option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(name)
     documents = spark.table(name)
@@ -435,5 +457,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = segments.select("anchor", "segment", "low", "high", group.alias("group")).repartition("group")
     distinct = grouped.groupBy("group", "anchor", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     found = materialize(distinct.groupBy("group").applyInArrow(_compare(length), FOUND), "found", free_shuffles=True)
-    told = segments.select("chunk", F.unhex(F.md5("segment")).alias("sid")).join(found, "sid").select("chunk", "sid", "anchor", "least")
+    n = (F.octet_length("segment") - (length - 1)).alias("n")
+    told = segments.select("chunk", F.unhex(F.md5("segment")).alias("sid"), n, "place", "places").join(found, "sid").drop("sid")
+    told = materialize(told, "told", free_shuffles=True)
     return documents.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(length), RESULT)
