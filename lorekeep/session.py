@@ -46,12 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, free_shuffles: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage and outlives a lost executor. The files stay until :func:`clear_materialized`
     or whoever owns the checkpoint folder deletes them. With ``free_shuffles`` the shuffle files behind ``df`` go
-    once it is written, and not when the driver collects garbage.
+    once it is written, and not when the driver collects garbage. ``codec`` is the compression of the files.
     """
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{uuid.uuid4().hex}/{name}"
@@ -59,13 +59,25 @@ def materialize(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFr
     if free_shuffles:
         spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     finally:
         if free_shuffles:
             spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote and nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_folder(spark: SparkSession) -> str:
     """Where this application writes in the shared folder."""
     return f"{shared_folder(spark)}/lorekeep/{spark.sparkContext.applicationId}"
@@ -73,5 +85,4 @@ def own_folder(spark: SparkSession) -> str:
 
 def clear_materialized(spark: SparkSession) -> None:
     """Delete what :func:`materialize` wrote in this application; no DataFrame from before can be read then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_folder(spark))
