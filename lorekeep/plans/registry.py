@@ -722,7 +722,7 @@ def _events(c: CorpusCatalog) -> DataFrame:
 
 def _ended(c: CorpusCatalog, stream: DataFrame, mode: str = "complete") -> DataFrame:
     mark = uuid.uuid4().hex
-    return jobs.run_to_end(stream, f"stream_{mark}", f"{shared_folder(c.spark)}/lorekeep/streams/{mark}", mode)
+    return jobs.run_to_end(stream, f"{shared_folder(c.spark)}/lorekeep/streams/{mark}", mode)
 
 
 @_query("stream_access_counts", "SELECT CAST(user_id AS VARCHAR) AS memory_id, count(*) AS access_count, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY 1")

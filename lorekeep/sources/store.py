@@ -1,11 +1,17 @@
 """A store of graph tables as versioned Parquet folders.
 
 A commit writes what it changes, and only that, into folders of its own, and then one file
-``<root>/manifest-<n>`` that lists for each table its base and the changes since, in order. The version
-of a store is the highest manifest. A manifest appears whole, by a rename that fails if another
-commit was first, so readers see all of a commit or none of it and two commits at once both count: the
-second one adds its changes to the first one's manifest. Reading merges base and changes; a table with
-``MOST_CHANGES`` of them is written anew by the commit that finds it so. All files go through Spark's file systems.
+``<root>/manifest-<n>`` that lists for each table its base and the changes since, in order, and for each
+application the last batch it applied. The version of a store is the highest manifest. A manifest appears whole, by a
+rename that fails if another commit was first, so readers see all of a commit or none of it and two
+commits at once both count: the second one adds its changes to the first one's manifest. On object stores a rename is
+no exclusive create; there a store takes one writer at a time.
+
+Reading merges base and changes. Keys stay columns of the merge, so conditions on them reach the scan of each
+step; files are sorted by key and have Bloom filters of it, so a lookup reads the row groups that may hold it.
+Tables in ``APPENDED`` have no second row of a key without a delete between, so conditions on all their columns
+reach the scans. A table with ``MOST_CHANGES`` steps is written anew by the commit that finds it so. All files go
+through Spark's file systems.
 """
 
 from __future__ import annotations
@@ -25,6 +31,14 @@ from lorekeep.sources.catalog import KEYS, SCHEMAS, Tables
 #: Changes that a table gathers before a commit writes it anew.
 MOST_CHANGES = 16
 
+#: Tables whose puts come behind deletes of the same keys: rows that no later delete names are what is there.
+APPENDED = ("postings", "codes")
+#: The columns by which files are sorted, and that have Bloom filters; the key if a table isn't named.
+SORTED = {"postings": ("stem", "memory_id"), "links": ("id",), "codes": ("memory_id",)}
+
+#: Columns by whose values the files of a table lie in folders.
+PARTITIONED = {"codes": ("cell",)}
+
 #: [kind, folder] for each step: a base first, if there is one, then puts and deletes.
 Steps = list[list[str]]
 
@@ -48,8 +62,15 @@ class GraphStore:
 
     def manifest(self, version: int) -> dict[str, Steps]:
         """For each table the folders that make it up."""
+        return self._whole(version)["tables"]
+
+    def applied(self, application: str) -> int:
+        """The last batch that an application committed, -1 if none."""
+        return self._whole(self.version())["applied"].get(application, -1)
+
+    def _whole(self, version: int) -> dict[str, dict]:
         if not version:
-            return {}
+            return {"tables": {}, "applied": {}}
         fs, path = self._path(f"manifest-{version}")
         stream = fs.open(path)
         try:
@@ -57,7 +78,7 @@ class GraphStore:
         finally:
             stream.close()
 
-    def _create(self, version: int, manifest: dict[str, Steps]) -> bool:
+    def _create(self, version: int, manifest: dict[str, dict]) -> bool:
         """Write a manifest whole; False if there is one of that version."""
         fs, new = self._path(f"new-{uuid.uuid4().hex}")
         _, path = self._path(f"manifest-{version}")
@@ -97,12 +118,13 @@ class GraphStore:
                     rows = rows.join(gone, gone.columns, "left_anti")
                 continue
             put = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").withColumn("_step", F.lit(step))
-            changed |= kind == "put"
+            changed |= kind == "put" and name not in APPENDED
             rows = put if rows is None else rows.unionByName(put)
         if rows is None:
             return self.spark.createDataFrame([], schema)
         if changed:
-            rows = rows.groupBy(*key).agg(F.max_by(F.struct(*schema.names), "_step").alias("_row")).select("_row.*")
+            others = [c for c in schema.names if c not in key] or [F.lit(0).alias("_none")]
+            rows = rows.groupBy(*key).agg(F.max_by(F.struct(*others), "_step").alias("_row")).select(*key, "_row.*")
         return rows.select(*schema.names)
 
     def tables(self) -> Tables:
@@ -150,13 +172,13 @@ class GraphStore:
         batch.commit()
 
     def build_index(self) -> None:
-        """Store the postings of all memories, sorted by stem; later commits keep them up to date."""
+        """Store the postings of all memories, sorted by stem; later commits, and those made meanwhile, keep them up to date."""
         batch = self.batch()
-        batch.steps.append(("base", "postings", _sorted("postings", text_search.postings(self.read("memories")))))
+        batch.index_of = self.manifest(self.version()).get("memories", [])
         batch.commit()
 
-    def compact(self, files: int | None = 1) -> None:
-        """Write the current version anew, in a few files a table."""
+    def compact(self, files: int | None = None) -> None:
+        """Write the current version anew, in files of the size of a shuffle partition, or in so many a table."""
         batch = self.batch()
         for name, steps in self.manifest(self.version()).items():
             batch.fold(name, steps, files)
@@ -178,9 +200,8 @@ class GraphStore:
             fs.delete(found.getPath(), False)
 
 
-def _sorted(name: str, rows: DataFrame) -> DataFrame:
-    """Postings in ranges of stems, so that a search reads few row groups; other tables as they are."""
-    return rows.repartitionByRange("stem").sortWithinPartitions("stem", "memory_id") if name == "postings" else rows
+def _by_key(name: str) -> list[str]:
+    return list(SORTED.get(name, KEYS[name]))
 
 
 class Batch:
@@ -188,6 +209,8 @@ class Batch:
 
     def __init__(self, store: GraphStore):
         self.store, self.steps, self.folded, self.open = store, [], {}, True
+        #: The steps of the memories that a new text index is made of, if one is.
+        self.index_of: Steps | None = None
 
     def _stage(self, kind: str, name: str, rows: DataFrame) -> Batch:
         if not self.open:
@@ -222,44 +245,80 @@ class Batch:
         return self
 
     def fold(self, name: str, steps: Steps, files: int | None = None) -> None:
-        """Write the table that some steps make up as a new base for them."""
-        rows = _sorted(name, self.store.rows_of(name, steps))
-        self.folded[name] = (steps, self._write(rows if files is None else rows.coalesce(files), name))
+        """Write the table that some steps make up as a new base for them, in ranges of its key."""
+        rows = self.store.rows_of(name, steps)
+        ranged = rows.repartitionByRange(files, *_by_key(name)) if files else rows.repartitionByRange(*_by_key(name))
+        self.folded[name] = (steps, self._write(ranged, name))
 
-    def _write(self, rows: DataFrame, name: str) -> str:
+    def _write(self, rows: DataFrame, name: str, kind: str = "base") -> str:
         folder = f"data/{uuid.uuid4().hex}/{name}"
-        rows.write.parquet(f"{self.store.root}/{folder}")
+        writer = rows.write
+        if kind != "delete":
+            first = _by_key(name)[0]
+            inner = [c for c in PARTITIONED.get(name, ()) if c in rows.columns]
+            writer = rows.sortWithinPartitions(*inner, *_by_key(name)).write.option(f"parquet.bloom.filter.enabled#{first}", "true")
+            if inner:
+                writer = writer.partitionBy(*inner)
+        writer.parquet(f"{self.store.root}/{folder}")
         return folder
 
-    def _indexed(self) -> list[tuple[str, str, DataFrame]]:
-        """The staged steps, with what they mean for the postings if the store has any."""
-        out = []
-        indexed = "postings" in self.store.manifest(self.store.version())
-        for kind, name, rows in self.steps:
-            out.append((kind, name, rows))
-            if name == "memories" and indexed:
-                ids = rows if "id" in rows.columns else self.store.read("memories").join(rows, rows.columns, "left_semi")
-                out.append(("delete", "postings", ids.select(F.col("id").alias("memory_id")).distinct()))
-                if kind == "put":
-                    out.append(("put", "postings", text_search.postings(rows)))
+    def _postings(self, kind: str, folder: str) -> list[tuple[str, str, str]]:
+        """What a written step of the memories means for the postings, written too."""
+        store = self.store
+        if kind == "delete":
+            rows = store.spark.read.parquet(f"{store.root}/{folder}")
+            ids = rows if "id" in rows.columns else store.read("memories").join(rows, rows.columns, "left_semi")
+        else:
+            rows = ids = store.spark.read.schema(SCHEMAS["memories"]).parquet(f"{store.root}/{folder}")
+        out = [("delete", "postings", self._write(ids.select(F.col("id").alias("memory_id")).distinct(), "postings", "delete"))]
+        if kind != "delete":
+            out.append(("put", "postings", self._write(text_search.postings(rows), "postings", "put")))
         return out
 
-    def commit(self) -> int:
-        """Write what is staged and make it the next version, after whatever was committed meanwhile."""
+    def _index(self, steps: Steps) -> str:
+        made = text_search.postings(self.store.rows_of("memories", steps))
+        return self._write(made.repartitionByRange(*_by_key("postings")), "postings")
+
+    def commit(self, application: str | None = None, batch_id: int = 0) -> int:
+        """Write what is staged and make it the next version, after whatever was committed meanwhile.
+
+        With an ``application`` the manifest keeps the number of its batch, and a batch whose number, or a later one, is
+        there adds nothing: a batch that is run again after a crash counts once.
+        """
         if not self.open:
             raise InvalidOperation("the batch has ended")
         store, self.open = self.store, False
-        wrote = [(kind, name, self._write(rows, name)) for kind, name, rows in self._indexed()]
+        if application is not None and store.applied(application) >= batch_id:
+            return store.version()
+        wrote = [(kind, name, self._write(rows, name, kind)) for kind, name, rows in self.steps]
+        indexed: list[tuple[str, str, str]] | None = None
+        base, of = None, self.index_of
+        if of is not None:
+            base = self._index(of)
         while True:
             now = store.version()
-            manifest = store.manifest(now)
+            whole = store._whole(now)
+            if application is not None and whole["applied"].get(application, -1) >= batch_id:
+                return now
+            manifest = whole["tables"]
+            if of is not None:
+                memories = manifest.get("memories", [])
+                if memories[: len(of)] != of:  # written anew meanwhile
+                    base, of = self._index(memories), memories
+                late = [x for kind, folder in memories[len(of) :] for x in self._postings(kind, folder)]
+                manifest["postings"] = [["base", base], *[[kind, folder] for kind, _, folder in late]]
             for name, (steps, folder) in self.folded.items():
                 if manifest.get(name, [])[: len(steps)] == steps:  # else another commit folded them
                     manifest[name] = [["base", folder], *manifest.get(name, [])[len(steps) :]]
-            for kind, name, folder in wrote:
-                manifest[name] = [["base", folder]] if kind == "base" else [*manifest.get(name, []), [kind, folder]]
-            if store._create(now + 1, manifest):
+            if indexed is None and "postings" in manifest:  # an index may have come since the batch began
+                indexed = [x for kind, name, folder in wrote if name == "memories" for x in self._postings(kind, folder)]
+            for kind, name, folder in [*wrote, *(indexed or ())]:
+                manifest[name] = [*manifest.get(name, []), [kind, folder]]
+            if application is not None:
+                whole["applied"][application] = batch_id
+            if store._create(now + 1, whole):
                 break
+            indexed = None
         long = [name for name, steps in manifest.items() if len(steps) > MOST_CHANGES and name not in self.folded]
         if long:
             after = Batch(store)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lorekeep.sources.store import GraphStore
 
@@ -47,53 +49,104 @@ def once_each(events: DataFrame, keys: list[str], ts: str, late: str = "2 hours"
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
+#: Keyed state with timers needs this store of states.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Expiry(StatefulProcessor):
+    """The latest row of an id, and a timer: at the end of its time to live, or, if it has none, when older rows are late anyway."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "at bigint, due bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, due = self.latest.get() if self.latest.exists() else (None, None)
+        mark = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            for stamp, ttl in zip(part["moment"], part["ttl"], strict=True):
+                own = int(stamp.value // 1_000_000)
+                ends = None if pd.isna(ttl) else own + int(ttl) * 1000
+                if own < mark:  # too late, also where Spark's own filter is a batch behind
+                    continue
+                # of rows at the same time the one that lives longest counts, without a ttl for ever
+                if at is None or own > at or own == at and due is not None and (ends is None or ends > due):
+                    at, due = own, ends
+        if at is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.latest.update((at, due))
+            self.handle.registerTimer(max(at + 1 if due is None else due, mark + 1))
+        yield pd.DataFrame({"id": pd.Series([], dtype=str), "expired_at": pd.Series([], dtype="datetime64[ns]")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, due = self.latest.get()
+        self.latest.clear()
+        ended = [] if due is None else [pd.Timestamp(due, unit="ms")]
+        yield pd.DataFrame({"id": pd.Series([key[0]] * len(ended), dtype=str), "expired_at": pd.Series(ended, dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
 def expiries(memories: DataFrame, late: str = "1 hour") -> DataFrame:
     """id, expired_at: memories whose time to live ran out, by a timer for each id.
 
-    ``memories`` streams id, timestamp and ttl; a later row of an id sets its timer anew. It ends when
-    the watermark passes the time.
+    ``memories`` streams id, timestamp and ttl (seconds). The latest row of an id by its timestamp counts, in
+    whatever order rows come: it moves the timer, forward or back, or clears it if it has no ttl. A timer ends
+    when the watermark passes its time. Rows later than ``late`` are dropped, so nothing is kept of an id once its timer has ended.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (due,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "expired_at": [pd.Timestamp(due, unit="ms")]})
-            return
-        due = None
-        for part in parts:
-            some = part.dropna(subset=["ttl"])
-            if len(some):
-                last = some.sort_values("_ts").iloc[-1]
-                due = int(last["_ts"].timestamp() * 1000) + int(last["ttl"]) * 1000
-        if due is not None:
-            state.update((due,))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    rows = memories.select("id", "ttl", F.col("timestamp").cast("timestamp").alias("_ts")).withWatermark("_ts", late)
-    return rows.groupBy("id").applyInPandasWithState(run, "id string, expired_at timestamp", "due bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def upsert_into(store: GraphStore, table: str = "memories") -> Callable[[DataFrame, int], None]:
+    memories.sparkSession.conf.set(*STATE_STORE)
+    rows = memories.select("id", "ttl", F.col("timestamp").cast("timestamp").alias("moment")).withWatermark("moment", late)
+    return rows.groupBy("id").transformWithStateInPandas(Expiry(), "id string, expired_at timestamp", "append", "EventTime")
+
+
+def upsert_into(store: GraphStore, table: str = "memories", application: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: the rows of a batch replace those of the same id.
 
-    Within a batch the row with the latest timestamp wins, and rerunning a batch changes nothing.
+    Within a batch the row with the latest timestamp wins. With an ``application`` the store keeps the number of
+    its last batch, so that a batch that is run again after a crash commits nothing.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), "timestamp").alias("r")).select("id", "r.*")
-        store.put(table, latest)
+        store.batch().put(table, latest).commit(application, number)
 
     return write
 
 
-def ingest(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(upsert_into(store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to; a new checkpoint has another one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def ingest(stream: DataFrame, store: GraphStore, checkpoint: str, application: str | None = None) -> StreamingQuery:
+    """Upsert a stream into a store, each batch once; the stream is known by the id in its checkpoint unless it has a name."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        upsert_into(store, application=application or _stream_id(store.spark, checkpoint))(batch, number)
 
-def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has to say about the files that are there now, as a batch table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """All that a stream has to say about the files that are there now, as a batch table of Parquet files beside the checkpoint.
+
+    In append mode rows go to a file sink, each once; in complete mode each batch writes the whole result into
+    a folder of its own, and the last one counts. Nothing passes through the driver.
+    """
+    spark, folder = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    written: list[int] = []
+    if mode == "append":
+        out = stream.writeStream.format("parquet").option("path", folder).outputMode("append")
+    else:
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+            written.append(number)
+
+        out = stream.writeStream.foreachBatch(write).outputMode(mode)
+    out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(folder)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch-{written[-1]}") if written else spark.createDataFrame([], stream.schema)

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
+import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from lorekeep.sources.catalog import KEYS, SCHEMAS, from_rows
 from lorekeep.sources.generate import demo
 from lorekeep.sources.store import Batch, GraphStore, latest, merge_update
 from lorekeep.streaming import jobs
+from lorekeep.streaming.jobs import upsert_into
 
 NOW = dt.datetime(2024, 3, 1)
 
@@ -64,7 +69,7 @@ def test_readers_see_whole_commits(spark, store, monkeypatch):
     seen = []
     look = lambda: seen.append(sorted(r["id"] for r in GraphStore(spark, store.root).ids("memories").collect()))
     write, create = Batch._write, GraphStore._create
-    monkeypatch.setattr(Batch, "_write", lambda self, rows, name: (look(), write(self, rows, name), look())[1])
+    monkeypatch.setattr(Batch, "_write", lambda self, rows, name, kind: (look(), write(self, rows, name, kind), look())[1])
     monkeypatch.setattr(GraphStore, "_create", lambda self, version, manifest: (look(), create(self, version, manifest), look())[1])
     store.batch().put("memories", from_rows(spark, memories=[memory("m3")]).memories).delete("memories", spark.createDataFrame([("m1",)], "id string")).commit()
     assert len(seen) == 6 and seen[:5] == [["m1", "m2"]] * 5 and seen[5] == ["m2", "m3"]
@@ -85,7 +90,7 @@ def test_two_commits_at_once(spark, store, monkeypatch):
     assert store.batch().put("memories", from_rows(spark, memories=[memory("m3"), memory("m1", "ours")]).memories).commit() == 3
     got = {r["id"]: r["content"] for r in store.read("memories").collect()}
     assert got == {"m1": "ours", "m2": "x", "m3": "x", "m4": "x"} and store.version() == 3
-    assert not create(store, 3, {})
+    assert not create(store, 3, {"tables": {}, "applied": {}})
 
 
 def test_commits_write_changes_only(spark, store, monkeypatch):
@@ -124,12 +129,112 @@ def test_stored_text_index(spark, store):
             ids = sorted(r["id"] for r in store.search(text, match).collect())
             assert ids == sorted(r["id"] for r in scan(store.read("memories"), text).collect()), (text, match)
     assert sorted(r["id"] for r in store.search("uploads").collect())
-    plan = text_search.search_postings(store.read("postings"), "uploads")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan
     store.compact()
     assert store.search("uploads").count() == text_search.search_any(store.read("memories"), "uploads").count()
 
 
+def pushed(df) -> list[str]:
+    """The filters that each scan of a plan is handed."""
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    return re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan)
+
+
+def test_conditions_reach_every_step(spark, store):
+    """After several commits a lookup hands its key, and a search its stems, to each scan of rows."""
+    store.put("memories", from_rows(spark, memories=[memory(f"m{i}", f"word{i} common") for i in range(50)]).memories)
+    store.build_index()
+    store.put("memories", from_rows(spark, memories=[memory("m1", "changed"), memory("m60", "word60")]).memories)
+    store.batch().delete("memories", spark.createDataFrame([("m2",)], "id string")).commit()
+    store.put("memories", from_rows(spark, memories=[memory("m3", "again"), memory("m2", "back")]).memories)
+    found = store.get("memories", "m1")
+    assert [(r["id"], r["content"]) for r in found.collect()] == [("m1", "changed")]
+    rows = [f for f in pushed(found) if "EqualTo(id,m1)" in f]
+    steps = store.manifest(store.version())["memories"]
+    assert len(rows) == sum(kind != "delete" for kind, _ in steps) == 3
+    hits = text_search.search_postings(store.read("postings"), "word60")
+    assert [r["memory_id"] for r in hits.collect()] == ["m60"]
+    puts = [f for f in pushed(hits) if "stem" in f]
+    assert len(puts) == sum(kind != "delete" for kind, _ in store.manifest(store.version())["postings"]) and all("word60" in f for f in puts)
+    links = from_rows(spark, links=[("e1", "m1", "m3", "supports", 0.5, None)]).links
+    store.put("links", links)
+    assert any("EqualTo(id,e1)" in f for f in pushed(store.get("links", "e1")))
+
+
+def test_lookups_skip_row_groups(spark, store):
+    """A table written anew lies in ranges of its key, so that a lookup reads one of them."""
+    store.put("memories", from_rows(spark, memories=[memory(f"m{i:05}") for i in range(4000)]).memories)
+    store.compact(files=4)
+    ((_, folder),) = store.manifest(store.version())["memories"]
+    ranges = []
+    for path in glob.glob(f"{store.root}/{folder}/*.parquet"):
+        meta = pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            ids = meta.row_group(g).column(0)
+            ranges.append((ids.statistics.min, ids.statistics.max))
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:], strict=False))
+    assert store.get("memories", "m00007").count() == 1 and store.get("memories", "m99999").count() == 0
+
+
+def test_index_and_commits_at_once(spark, store, monkeypatch):
+    """Memories that are put, deleted or written anew while an index is built are found all the same."""
+    store.put("memories", from_rows(spark, memories=[memory("m1", "first text"), memory("m2", "second text")]).memories)
+    create = GraphStore._create
+    meanwhile = [
+        lambda: GraphStore(spark, store.root).put("memories", from_rows(spark, memories=[memory("m3", "third text"), memory("m1", "nothing")]).memories),
+        lambda: GraphStore(spark, store.root).batch().delete("memories", spark.createDataFrame([("m2",)], "id string")).commit(),
+        lambda: GraphStore(spark, store.root).compact(),
+    ]
+
+    def late(self, version, manifest):
+        if meanwhile:
+            meanwhile.pop(0)()
+        return create(self, version, manifest)
+
+    monkeypatch.setattr(GraphStore, "_create", late)
+    store.build_index()
+    assert not meanwhile
+    assert sorted(r["id"] for r in store.search("text").collect()) == ["m3"] and store.search("nothing").count() == 1
+
+
+def test_put_that_began_before_the_index(spark, store, monkeypatch):
+    store.put("memories", from_rows(spark, memories=[memory("m1", "first text")]).memories)
+    write, once = Batch._write, []
+
+    def late(self, rows, name, kind="base"):
+        if kind == "put" and name == "memories" and not once:
+            once.append(True)
+            GraphStore(spark, store.root).build_index()
+        return write(self, rows, name, kind)
+
+    monkeypatch.setattr(Batch, "_write", late)
+    store.put("memories", from_rows(spark, memories=[memory("m2", "second text")]).memories)
+    assert sorted(r["id"] for r in store.search("text").collect()) == ["m1", "m2"]
+
+
+def test_batches_count_once(spark, store, monkeypatch):
+    """A batch that crashed behind its commit, and is run again, adds nothing; one that crashed before it is applied."""
+    write = upsert_into(store, application="feed")
+    write(from_rows(spark, memories=[memory("m1", "one")]).memories, 0)
+    create = GraphStore._create
+
+    def crash(self, version, manifest):
+        raise RuntimeError("lost before the manifest")
+
+    monkeypatch.setattr(GraphStore, "_create", crash)
+    with pytest.raises(RuntimeError):
+        write(from_rows(spark, memories=[memory("m1", "two")]).memories, 1)
+    monkeypatch.setattr(GraphStore, "_create", create)
+    assert store.version() == 1 and store.applied("feed") == 0
+    write(from_rows(spark, memories=[memory("m1", "two")]).memories, 1)
+    after = store.version()
+    write(from_rows(spark, memories=[memory("m1", "two")]).memories, 1)
+    write(from_rows(spark, memories=[memory("m1", "one")]).memories, 0)
+    assert store.version() == after == 2 and store.applied("feed") == 1 and store.applied("other") == -1
+    assert [r["content"] for r in store.read("memories").collect()] == ["two"]
+    store.put("memories", from_rows(spark, memories=[memory("m2")]).memories)
+    assert store.applied("feed") == 1
+
+
 def same(a, b):
     for name in SCHEMAS:
         if name == "vectors":
@@ -200,13 +305,13 @@ def test_streams(spark, tmp_path, store):
     rows.repartition(4).write.parquet(str(tmp_path / "log"))
     log = jobs.read_log(spark, str(tmp_path / "log"), rows.schema, files_per_trigger=1)
     counted = jobs.access_counts(log.select(F.col("user_id").alias("memory_id"), F.col("ts").alias("accessed_at")))
-    got = jobs.run_to_end(counted, "counts", str(tmp_path / "c1"))
+    got = jobs.run_to_end(counted, str(tmp_path / "c1"))
     assert sorted(tuple(r) for r in got.collect()) == [(u, 20, max(e[1] for e in events if e[2] == u)) for u in range(3)]
-    windows = jobs.run_to_end(jobs.windowed_counts(log), "windows", str(tmp_path / "c2"))
+    windows = jobs.run_to_end(jobs.windowed_counts(log), str(tmp_path / "c2"))
     assert windows.agg(F.sum("events")).first()[0] == 60
-    slid = jobs.run_to_end(jobs.windowed_counts(log, slide="30 minutes"), "slid", str(tmp_path / "c3"))
+    slid = jobs.run_to_end(jobs.windowed_counts(log, slide="30 minutes"), str(tmp_path / "c3"))
     assert slid.agg(F.sum("events")).first()[0] == 120
-    sessions = jobs.run_to_end(jobs.session_counts(jobs.read_log(spark, str(tmp_path / "log"), rows.schema), gap="30 minutes"), "sessions", str(tmp_path / "c4"))
+    sessions = jobs.run_to_end(jobs.session_counts(jobs.read_log(spark, str(tmp_path / "log"), rows.schema), gap="30 minutes"), str(tmp_path / "c4"))
     assert sessions.count() == 3
 
 
@@ -220,5 +325,49 @@ def test_ingest_and_expiry(spark, tmp_path, store):
     jobs.ingest(jobs.read_log(spark, source, SCHEMAS["memories"]), store, str(tmp_path / "ck")).awaitTermination()
     got = {r["id"]: r["content"] for r in store.read("memories").collect()}
     assert got == {"m1": "new", "m2": "x", "m3": "x"}
-    expired = jobs.run_to_end(jobs.expiries(jobs.read_log(spark, source, SCHEMAS["memories"], files_per_trigger=1)), "expired", str(tmp_path / "ck2"), "append")
-    assert [r["id"] for r in expired.collect()] in (["m2"], [])
+
+
+def plain_expiries(batches, late):
+    """What the timers say: batch by batch, with the watermark that the batches before have set."""
+    state, mark, out = {}, None, []
+    for batch in [*batches, []]:
+        for i, at, ttl in batch:
+            if mark is not None and at < mark:
+                continue
+            due = dt.datetime.max if ttl is None else at + dt.timedelta(seconds=ttl)
+            if i not in state or (at, due) > state[i]:
+                state[i] = (at, due)
+        for i, (_, due) in sorted(state.items()):
+            if mark is not None and due <= mark and due < dt.datetime.max:
+                out.append((i, due))
+                del state[i]
+        if batch:
+            newest = max(at for _, at, _ in batch) - late
+            mark = newest if mark is None else max(mark, newest)
+    return sorted(out)
+
+
+def test_timers_follow_the_latest_row(spark, tmp_path):
+    """A ttl that is cleared, shortened, lengthened or set by an older row, in rows out of order."""
+    day = lambda d, h=0: NOW + dt.timedelta(days=d, hours=h)
+    batches = [
+        [("cleared", day(0), 3600), ("short", day(0), 10 * 86400), ("long", day(0), 86400), ("plain", day(0), 7200), ("again", day(0), 3600), ("never", day(0), None)],
+        [("cleared", day(0, 0.5), None), ("short", day(0, 1), 3600), ("long", day(0, 1), 20 * 86400), ("tie", day(0, 1), 60), ("tie", day(0, 1), None)],
+        [("new", day(1), 2 * 86400), ("new", day(0, 23), 60), ("edge", day(1), 86400)],
+        [("clock", day(2), None), ("late", day(0), 5)],
+        [("again", day(3), 3600), ("clock", day(3, 12), None)],
+        [("clock", day(5), None)],
+    ]
+    source = tmp_path / "memories"
+    for k, batch in enumerate(batches):
+        rows = spark.createDataFrame(batch, "id string, timestamp timestamp_ntz, ttl bigint").coalesce(1)
+        rows.write.parquet(str(tmp_path / f"part{k}"))
+        (name,) = glob.glob(str(tmp_path / f"part{k}" / "*.parquet"))
+        source.mkdir(exist_ok=True)
+        os.rename(name, source / f"{k}.parquet")
+        os.utime(source / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))  # read in this order
+    stream = jobs.read_log(spark, str(source), "id string, timestamp timestamp_ntz, ttl bigint", files_per_trigger=1)
+    got = jobs.run_to_end(jobs.expiries(stream, "2 hours"), str(tmp_path / "ck"), "append").collect()
+    want = plain_expiries(batches, dt.timedelta(hours=2))
+    assert sorted((r["id"], r["expired_at"]) for r in got) == want
+    assert {"plain", "short", "again", "new", "edge"} == {i for i, _ in want}
