@@ -107,6 +107,7 @@ def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
     groups = begun.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     groups = materialize(groups, "groups", free_shuffles=True)
     again = join_counted(begun, groups, "digest", "copies").where("row <> first.keep_row OR unit <> first.keep_unit")
+    again = materialize(again.select("row", "unit", "n", "first"), "again", free_shuffles=True)
     each = again.select("row", "unit", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("nth"))
     origin = F.struct("first.last", "first.keep_doc_id", "first.keep_row", (F.col("first.keep_unit") + F.col("nth")).alias("keep_unit"))
     gone = each.groupBy("row", (F.col("unit") + F.col("nth")).alias("unit")).agg(F.min(origin).alias("origin"))
