@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import shared_path
-from lorekeep.session import materialize
+from lorekeep.session import discard, materialize
 
 #: Bytes that two documents must share.
 LENGTH = 50
@@ -449,9 +449,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents = spark.table(name)
     seen = documents.select("chunk", "text").mapInArrow(_anchors(length), "anchor bigint, chunk bigint, seen int")
     shared = seen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "chunk bigint, anchor bigint, hot boolean")
-    shared = materialize(shared, "shared", free_shuffles=True)
+    shared = materialize(shared, "shared", free_shuffles=True, codec="zstd")
     segments = documents.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length), SEGMENTS)
-    segments = materialize(segments, "segments", free_shuffles=True)
+    segments = materialize(segments, "segments", free_shuffles=True, codec="zstd")
+    discard(shared)
     groups = (segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // GROUP + 1
     group = F.pmod(F.when(F.col("anchor") > 0, F.col("anchor")).otherwise(F.xxhash64("segment")), F.lit(groups))
     grouped = segments.select("anchor", "segment", "low", "high", group.alias("group")).repartition("group")
@@ -459,5 +460,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(distinct.groupBy("group").applyInArrow(_compare(length), FOUND), "found", free_shuffles=True)
     n = (F.octet_length("segment") - (length - 1)).alias("n")
     told = segments.select("chunk", F.unhex(F.md5("segment")).alias("sid"), n, "place", "places").join(found, "sid").drop("sid")
-    told = materialize(told, "told", free_shuffles=True)
+    told = materialize(told, "told", free_shuffles=True, codec="zstd")
+    discard(segments)
+    discard(found)
     return documents.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(length), RESULT)
