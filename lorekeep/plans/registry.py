@@ -14,7 +14,7 @@ from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, l
 from lorekeep.plans.engine import MemoryEngine
 from lorekeep.plans.memory_query import MemoryQuery
 from lorekeep.session import shared_folder
-from lorekeep.sources import exchange, store
+from lorekeep.sources import exchange, store, vector_index
 from lorekeep.sources.catalog import CorpusCatalog
 from lorekeep.streaming import jobs
 
@@ -437,6 +437,31 @@ def _inverted(c: CorpusCatalog) -> DataFrame:
     return index.search(index.index(c.vectors), _asked(c), 10)
 
 
+def _indexed_vectors(c: CorpusCatalog, **how) -> vector_index.VectorIndex:
+    """An index over all vectors, from which one in seven was removed and one in fourteen put anew with twice its length."""
+    index = vector_index.VectorIndex(store.GraphStore(c.spark, f"{shared_folder(c.spark)}/lorekeep/stores/{uuid.uuid4().hex}"), **how)
+    rows = c.vectors.select("memory_id", "vector")
+    index.build(rows)
+    index.remove(rows.where("CAST(memory_id AS BIGINT) % 7 = 0").select("memory_id"))
+    index.put(rows.where("CAST(memory_id AS BIGINT) % 14 = 0").withColumn("vector", F.transform("vector", lambda x: x * 2)))
+    return index
+
+
+_LEFT = "CAST({0} AS BIGINT) % 7 <> 0 OR CAST({0} AS BIGINT) % 14 = 0"
+
+
+@_query("vector_index_rows", f"WITH {_VECTORS} SELECT id AS memory_id, round(list_sum(x) * CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN 2 ELSE 1 END, 4) AS total FROM v WHERE {_LEFT.format('id')}")
+def _vector_index_rows(c: CorpusCatalog) -> DataFrame:
+    rows = _indexed_vectors(c, cell_rows=256).store.read("codes")
+    return rows.select("memory_id", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@_query("vector_index_topk", f"WITH {_VECTORS}, s AS (SELECT q.id AS query_id, v.id AS memory_id, round(list_cosine_similarity(v.x, q.x), 6) + 0.0 AS score FROM v, v q WHERE CAST(q.id AS BIGINT) % 100 = 0 AND ({_LEFT.format('v.id')})) {_RANKED.format(10)}")
+def _vector_index_topk(c: CorpusCatalog) -> DataFrame:
+    """Every cell is probed and ten candidates a row are compared, which finds the nearest of these tables."""
+    return _indexed_vectors(c, cell_rows=256, probes=1.0, candidates=10).search(_asked(c), 10)
+
+
 # hybrid
 
 

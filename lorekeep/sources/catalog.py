@@ -47,6 +47,15 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: What a store keeps besides: an approximate vector index.
+INDEX_SCHEMAS: dict[str, T.StructType] = {
+    "cells": _struct(cell=T.IntegerType(), center=T.ArrayType(T.DoubleType())),
+    "codebook": _struct(part=T.IntegerType(), words=T.ArrayType(T.ArrayType(T.DoubleType()))),
+    "codes": _struct(memory_id=_S, vector=T.ArrayType(T.FloatType()), cell=T.IntegerType(), code=T.BinaryType()),
+}
+INDEX_KEYS: dict[str, tuple[str, ...]] = {"cells": ("cell",), "codebook": ("part",), "codes": ("memory_id",)}
+
+
 @dataclass(frozen=True)
 class Tables:
     """All tables of a graph, by name; each a lazy DataFrame."""

@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.errors import InvalidOperation
 from lorekeep.operators import text_search
-from lorekeep.sources.catalog import KEYS, SCHEMAS, Tables
+from lorekeep.sources import catalog
+from lorekeep.sources.catalog import Tables
 
+#: The tables of a graph, and what is stored for searches.
+SCHEMAS, KEYS = catalog.SCHEMAS | catalog.INDEX_SCHEMAS, catalog.KEYS | catalog.INDEX_KEYS
 #: Changes that a table gathers before a commit writes it anew.
 MOST_CHANGES = 16
 
@@ -129,7 +132,7 @@ class GraphStore:
 
     def tables(self) -> Tables:
         now = self.manifest(self.version())
-        return Tables({name: self.rows_of(name, now.get(name, [])) for name in SCHEMAS})
+        return Tables({name: self.rows_of(name, now.get(name, [])) for name in catalog.SCHEMAS})
 
     def ids(self, name: str) -> DataFrame:
         return self.read(name).select(*KEYS[name])
@@ -247,7 +250,8 @@ class Batch:
     def fold(self, name: str, steps: Steps, files: int | None = None) -> None:
         """Write the table that some steps make up as a new base for them, in ranges of its key."""
         rows = self.store.rows_of(name, steps)
-        ranged = rows.repartitionByRange(files, *_by_key(name)) if files else rows.repartitionByRange(*_by_key(name))
+        order = [*PARTITIONED.get(name, ()), *_by_key(name)]
+        ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
         self.folded[name] = (steps, self._write(ranged, name))
 
     def _write(self, rows: DataFrame, name: str, kind: str = "base") -> str:
@@ -255,7 +259,9 @@ class Batch:
         writer = rows.write
         if kind != "delete":
             first = _by_key(name)[0]
-            inner = [c for c in PARTITIONED.get(name, ()) if c in rows.columns]
+            inner = list(PARTITIONED.get(name, ()))
+            if inner and kind == "put":  # few files a folder
+                rows = rows.repartition(*inner)
             writer = rows.sortWithinPartitions(*inner, *_by_key(name)).write.option(f"parquet.bloom.filter.enabled#{first}", "true")
             if inner:
                 writer = writer.partitionBy(*inner)
