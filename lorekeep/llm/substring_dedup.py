@@ -28,6 +28,8 @@ from lorekeep.session import materialize
 
 #: Repeats of fewer words stay: such lines repeat by chance and are part of ordinary text.
 RUN_WORDS = 20
+#: Texts that are cut at once.
+ROWS = 256
 #: A line break, or the space after the end of a sentence.
 BREAK = re.compile(r"\n|(?<=[.!?]) ")
 
@@ -68,7 +70,7 @@ def units(rows: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         md5 = hashlib.md5
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             found, of, sizes, digests, limits = [], [], [], [], [0]
             for i, text in enumerate(batch.column(2).to_pylist()):
                 at, said, n_words = 0, [], []
