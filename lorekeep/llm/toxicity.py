@@ -145,7 +145,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float | None = None) -> Mo
     pick = lambda k, c: [said[i] for i in np.flatnonzero((part == k) & (y == c))]
     bad, good = pick(True, 1), pick(True, 0)
     special = _distinctive(bad, good)
-    ordinary = _train(ORDINARY_DICT, [w for t in good for w in windows(t)][:100_000])
+    ordinary = _train(ORDINARY_DICT, [w for t in good for w in windows(t)])
     marked = [w for t in bad for w in windows([x for x in t if x in special])]
     model = Model(ordinary, _train(TOXIC_DICT, marked), np.zeros(2 * TOP + 1), np.ones(2 * TOP + 1), np.zeros(2 * TOP + 2))
     base = share if share is not None else float(y.mean()) if len(y) else 0.5
