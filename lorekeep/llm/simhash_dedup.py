@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.errors import ComputationError
 from lorekeep.llm.common import fresh_name, join_counted
 from lorekeep.llm.shingle_check import linked, node_of, shingle_sets, shingles
 from lorekeep.session import materialize
@@ -389,8 +390,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _lowest(linked_: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, low): every node of some components (node, root), roots included, with the smallest ``rep`` of its component."""
     roots = linked_.select(F.col("root").alias("node"), "root").distinct()
-    member = linked_.unionByName(roots).join(reps, "node")
-    return member.join(member.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", "low")
+    member = materialize(linked_.unionByName(roots).join(reps, "node"), "members")
+    lows = materialize(member.groupBy("root").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")), "lows")
+    return join_counted(member, lows, "root", "members").select("node", "low")
 
 
 # pairs of a shingle similarity
@@ -448,15 +450,19 @@ def plan_search(both: np.ndarray, n: int, similarity: float, miss: float = MISS)
     """The parts and thresholds of each word that is searched, cheapest for a predicted share of ``miss``.
 
     The bound of a word and the number of words go together: a low bound has few candidates and needs
-    more words. Each word has the parts that its own bits ask for.
+    more words. Each word has the parts that its own bits ask for. If no plan for the words that there are
+    misses so few, it is an error.
     """
-    share, best = differing(similarity), (math.inf, 0, 1)
+    share, plans = differing(similarity), []
     for distance in range(2, 9):
         cost, parts = allocate(both[0], n, distance, WIDE_COSTS)
-        words = math.ceil(math.log(miss) / math.log(missed(parts, share)))
+        chance = missed(parts, share)
+        words = math.ceil(math.log(miss) / math.log(chance)) if 0 < chance < 1 else 1 if chance <= 0 else len(both) + 1
         if words <= len(both):
-            best = min(best, (cost * words, distance, words))
-    _, distance, words = best
+            plans.append((cost * words, distance, words))
+    if not plans:
+        raise ComputationError(f"{len(both)} words don't show pairs of similarity {similarity} among {n} fingerprints; ask for a higher one")
+    _, distance, words = min(plans)
     return [allocate(both[k], n, distance, WIDE_COSTS)[1] for k in range(words)]
 
 

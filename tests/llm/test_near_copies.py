@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from lorekeep.errors import ComputationError
 from lorekeep.llm import shingle_check, simhash_dedup
 
 
@@ -146,3 +148,13 @@ def test_short_texts_and_odd_rows(spark):
     groups = simhash_dedup.similar_groups(docs).collect()
     assert len(groups) == len(rows) + 2 and {r["component_id"] for r in groups} - {None} == kept
     assert simhash_dedup.similar_groups(docs.where("false")).count() == 0
+
+
+def test_a_search_that_would_miss_is_an_error():
+    """No plan shows pairs of a low similarity among very many fingerprints; the pipeline's own is shown up to 10^10."""
+    even = np.full((simhash_dedup.WORDS, simhash_dedup.BITS, simhash_dedup.BITS), 0.25)
+    even[:, np.arange(simhash_dedup.BITS), np.arange(simhash_dedup.BITS)] = 0.5
+    assert simhash_dedup.plan_search(even * 10**9, 10**9, 0.8)
+    for n, similarity in ((10**9, 0.6), (10**8, 0.5)):
+        with pytest.raises(ComputationError):
+            simhash_dedup.plan_search(even * n, n, similarity)
