@@ -4,6 +4,8 @@ An alignment of a benchmark item of m characters with at most k edits keeps at l
 m - q + 1 - k * q of the item's q-grams, on diagonals (place in the text less place in the item) that
 lie within k of each other. Shared q-grams are counted in diagonal bands that overlap by k, so that
 one band holds all of them; bands that reach the bound are kept, and a banded alignment verifies each.
+Items so short that the bound would vanish are searched by shorter q-grams, down to whole items of
+one character.
 """
 
 from __future__ import annotations
@@ -90,11 +92,21 @@ class Index:
     bitmap: np.ndarray
     q: int
 
+    @staticmethod
+    def all(rows: list[tuple[int, str]], q: int, rate: float) -> list[Index]:
+        """An index for each length of q-grams that some items need: the longest, ``q`` at most, whose bound is 1 or more."""
+        by_q: dict[int, list[tuple[int, str]]] = {}
+        for i, text in rows:
+            m = len(normalize((text or "").strip())[0])
+            if m:
+                by_q.setdefault(min(q, m // (int(rate * m) + 1)), []).append((i, text))
+        return [Index.build(some, length, rate) for length, some in sorted(by_q.items())]
+
     @staticmethod
     def build(rows: list[tuple[int, str]], q: int, rate: float) -> Index:
         codes = [normalize((text or "").strip())[0] for _, text in rows]
         m = np.array([len(c) for c in codes], np.int64)
-        edits = np.maximum(0, np.minimum((rate * m).astype(np.int64), (m - q) // q))
+        edits = (rate * m).astype(np.int64)
         grams = [_qgrams(c, q) for c in codes]
         hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in grams])
@@ -228,10 +240,9 @@ def contaminated(
     """One row for each passage of a document that is a benchmark item: doc_id, item_id, start, end, edits.
 
     A passage matches if the item (white space trimmed and folded, lower case) becomes the passage by
-    at most rate * length edits, or fewer where the q-gram bound would vanish; start and end are code
-    points of the original text. Items of fewer than q characters match nothing, nor do null texts;
-    an item without an id is found like any other, and items that repeat an id and a passage count once.
-    Null document ids pass through. Other columns are ignored, whatever their names.
+    at most rate * length edits; start and end are code points of the original text. Blank items and null texts
+    match nothing; an item without an id is found like any other, and items that repeat an id and a passage count once.
+    Rows are documents of their own, also where they repeat an id, and null document ids pass through. Other columns are ignored, whatever their names.
     The benchmark is indexed in blocks of ``INDEX_CHARS`` characters, each of which is broadcast and
     held against all documents, so that its size has no limit. An empty side gives no rows.
     """
@@ -239,11 +250,12 @@ def contaminated(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Index.build(block, q, rate))
+        shared = spark.sparkContext.broadcast(Index.all(block, q, rate))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = set(_search([(i, x.as_py()) for i, x in enumerate(batch.column(1)) if x.is_valid], shared.value))
+                rows = [(i, x.as_py()) for i, x in enumerate(batch.column(1)) if x.is_valid]
+                hits = {hit for index in shared.value for hit in _search(rows, index)}
                 hits = sorted(hits, key=lambda h: (h[0], h[1] is None, h[1] or 0, h[2:]))
                 rows, *rest = zip(*hits, strict=True) if hits else ([],) * 5
                 yield pa.RecordBatch.from_arrays(
@@ -277,11 +289,12 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` without a passage of the benchmark, with all their columns; no shuffle.
 
-    Rows are judged by their text alone, so ids may be null or repeated.
+    Rows are judged by their text alone, so ids may be null or repeated. Null and empty texts have no passage and stay;
+    an empty table gives no rows, and without a benchmark all rows stay.
     """
     place = docs.columns.index(text_col)
     for block, last in _blocks(benchmark, item_col, item_text):
-        docs = _without(docs, place, docs.sparkSession.sparkContext.broadcast(Index.build(block, q, rate)))
+        docs = _without(docs, place, docs.sparkSession.sparkContext.broadcast(Index.all(block, q, rate)))
         if not last:
             docs = materialize(docs, "clean")
     return docs
@@ -291,7 +304,8 @@ def _without(docs: DataFrame, place: int, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            for hit in _search([(i, str(x.as_py())) for i, x in enumerate(batch.column(place)) if x.is_valid], shared.value):
+            rows = [(i, str(x.as_py())) for i, x in enumerate(batch.column(place)) if x.is_valid]
+            for hit in (hit for index in shared.value for hit in _search(rows, index)):
                 clean[hit[0]] = False
             yield batch.filter(pa.array(clean))
 

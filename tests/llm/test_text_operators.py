@@ -415,6 +415,22 @@ def test_decontamination_against_brute_force(spark):
     assert {r["doc_id"] for r in left.collect()} == set(texts) - {i for i, _ in want}
 
 
+def test_short_items(spark):
+    """Items of every length up to 60: found verbatim, and with as many edits as the rate allows."""
+    rng = random.Random(16)
+    said = words(rng, 40)
+    items = [(m, said[7 * m % 80 :][:m]) for m in range(1, 61)] + [(100, "42 is it"), (101, "  "), (102, None)]
+    docs = [(0, "so 42 is it, they said")]
+    for m, item in items[:60]:
+        k = int(decontaminate.RATE * len(plain_fold(item.strip())))
+        docs += [(m, f"0123 {item} 4567"), (1000 + m, "98" + edited(rng, item, k) + "76"), (2000 + m, "98" + edited(rng, item, k + 3) + "76")]
+    found = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {(i, k) for i, text in docs for k, item in items if item and item.strip() and distance(plain_fold(item.strip()), plain_fold(text)) <= int(decontaminate.RATE * len(plain_fold(item.strip())))}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert {(m, m) for m, item in items[:60] if item.strip()} | {(0, 100)} <= want
+    assert decontaminate.drop_contaminated(table(spark, docs), spark.createDataFrame(items[-3:], "item_id bigint, text string")).count() == len(docs) - 1
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, words(rng, 12)) for i in range(8)]
@@ -434,7 +450,7 @@ def test_items_without_an_id(spark):
     """Null and repeated item ids beside each other, null document ids, ties of passages."""
     rng = random.Random(9)
     text = words(rng, 14)
-    items = spark.createDataFrame([(None, text), (3, text), (3, text), (None, words(rng, 14)), (4, None), (None, "x")], "item_id bigint, text string")
+    items = spark.createDataFrame([(None, text), (3, text), (3, text), (None, words(rng, 14)), (4, None), (None, "  ")], "item_id bigint, text string")
     docs = [(1, f"so {text} it"), (None, f"{text}"), (1, f"so {text} it"), (2, "nothing of it")]
     got = Counter((r["doc_id"], r["item_id"], r["start"], r["edits"]) for r in decontaminate.contaminated(table(spark, docs), items).collect())
     assert got == Counter({(1, None, 3, 0): 2, (1, 3, 3, 0): 2, (None, None, 0, 0): 1, (None, 3, 0, 0): 1})
