@@ -31,26 +31,38 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.fixture(scope="module")
-def three(spark):
-    return from_rows(
-        spark,
-        memories=[memory(f"e{i}") for i in range(1, 5)],
-        links=[("up", "e1", "e2", "feeds", 0.55, None), ("left", "e1", "e3", "shades", 0.65, None), ("down", "e2", "e4", "feeds", 0.35, None)],
-    )
+KINDS = ["blocks", "quotes", "renames"]
+
+
+def wheel():
+    """A hub and nine places on a rim: (id, from, to, type, weight), some of them twice."""
+    out = [(f"spoke{n}", "hub", f"rim{n}", KINDS[n % 3], (n * 4 % 9 + 1) / 10) for n in range(9)]
+    out += [(f"arc{n}", f"rim{n}", f"rim{(n + 2) % 9}", KINDS[n % 2], (n * 5 % 7 + 1) / 8) for n in range(9)]
+    return [*out, ("back", "rim3", "hub", "quotes", 0.95), ("again", "hub", "rim3", "renames", 0.2)]
 
 
-def test_lookup(three):
+def test_lookup(spark):
+    """Links by end, type and weight, against the list that they were made of."""
+    made = wheel()
+    g = from_rows(spark, memories=[memory(i) for i in ["hub", *[f"rim{n}" for n in range(9)]]], links=[(*r, None) for r in made])
     ids = lambda df: sorted(r["id"] for r in df.collect())
-    assert ids(links.outgoing(three.links, "e1")) == ["left", "up"]
-    assert ids(links.incoming(three.links, "e3")) == ["left"]
-    assert ids(links.by_type(three.links, "feeds")) == ["down", "up"]
-    assert ids(links.by_type(three.links, "feeds", source="e1")) == ["up"]
-    assert [r["id"] for r in links.strongest_first(links.touching(three.links, "e1")).collect()] == ["left", "up"]
-    assert [r["path"] for r in traverse.paths(three.links, "e1", "e4", 3).collect()] == [["e1", "e2", "e4"]]
-    assert ids(links.outgoing(three.links.where("id <> 'up'"), "e1")) == ["left"]
+    plain = lambda keep: sorted(r[0] for r in made if keep(r))
+    for node in ("hub", "rim3", "rim8"):
+        assert ids(links.outgoing(g.links, node)) == plain(lambda r: r[1] == node)  # noqa: B023
+        assert ids(links.incoming(g.links, node)) == plain(lambda r: r[2] == node)  # noqa: B023
+        strongest = [r["id"] for r in links.strongest_first(links.touching(g.links, node)).collect()]
+        touching = [r for r in made if node in r[1:3]]
+        assert sorted(strongest) == sorted(r[0] for r in touching)
+        weight = {r[0]: r[4] for r in made}
+        assert [weight[i] for i in strongest] == sorted((r[4] for r in touching), reverse=True)
+        for kind in KINDS:
+            assert ids(links.by_type(g.links, kind, source=node)) == plain(lambda r: r[3] == kind and r[1] == node)  # noqa: B023
+    for kind in KINDS:
+        assert ids(links.by_type(g.links, kind)) == plain(lambda r: r[3] == kind)  # noqa: B023
+    pairs = [r[1:3] for r in made]
+    assert sorted(tuple(r["path"]) for r in traverse.paths(g.links, "rim3", "rim0", 4).collect()) == plain_paths(pairs, "rim3", "rim0", 4)
     with pytest.raises(NotFound):
-        links.between_nodes(three.links, "e1", "nobody", three.memories)
+        links.between_nodes(g.links, "hub", "axle", g.memories)
 
 
 #: A diamond with a tail, a cycle, a parallel link, a loop, an orphan end and a node apart.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -24,67 +25,105 @@ def memory(i, content, source="s", confidence=0.5, importance=0.5, count=0, at=N
     return (i, content, source, confidence, importance, count, at, last or at, ttl, metadata)
 
 
+WORDS = ["kettle", "kettles", "oboe", "plum", "ravine", "sorted", "sorting", "umbra", "of", "to", "vexed"]
+SOURCES, KINDS = ["bench", "field", "log", "mail"], ["draft", "final", "note"]
+
+
+def notes():
+    """37 generated notes: (id, text, source, confidence, kind, day)."""
+    rng = random.Random(20)
+    out = []
+    for n in range(37):
+        text = " ".join(rng.choice(WORDS).title() if rng.random() < 0.3 else rng.choice(WORDS) for _ in range(rng.randrange(1, 7)))
+        out.append((f"n{n:02}", text, rng.choice(SOURCES), rng.randrange(21) / 20, rng.choice(KINDS), rng.randrange(50)))
+    return out
+
+
+NOTES = notes()
+
+
 @pytest.fixture(scope="module")
-def cities(spark):
-    said = [
-        ("g0", "Quillon lies in Veldmark by the sea", "atlas", 0.92, "ports"),
-        ("g1", "The Amber lantern guides boats to Quillon", "guide", 0.91, "lights"),
-        ("g2", "An Amber lantern was lit in 1702", "diary", 0.83, "lights"),
-        ("g3", "Veldmark borders the hills of Northreach", "atlas", 0.97, "regions"),
-        ("g4", "Northreach elected a council in 1840", "diary", 0.81, "councils"),
-    ]
-    joined = [("g0", "g1", "shown_by", 0.7), ("g1", "g2", "older_than", 0.6), ("g3", "g4", "governed_by", 0.8)]
+def noted(spark):
     return from_rows(
         spark,
-        memories=[memory(i, c, s, f, metadata=f'{{"category": "{m}"}}', at=NOW + dt.timedelta(days=n)) for n, (i, c, s, f, m) in enumerate(said)],
-        links=[(f"c{n}", a, b, k, w, None) for n, (a, b, k, w) in enumerate(joined)],
+        memories=[memory(i, text, source, sure, metadata=f'{{"kind": "{kind}"}}', at=NOW + dt.timedelta(days=day, minutes=int(i[1:]))) for i, text, source, sure, kind, day in NOTES],
+        links=[(f"k{n}", f"n{n:02}", f"n{n * 7 % 37:02}", "cites", 0.5, None) for n in range(0, 37, 2)],
     )
 
 
+def plain_stems(text):
+    out = set()
+    for w in plain_tokens(text):
+        cut = 1 if w.endswith("s") and len(w) > 3 else 3 if w.endswith("ing") and len(w) > 5 else 2 if w.endswith("ed") and len(w) > 4 else 0
+        out.add(w[: len(w) - cut])
+    return out
+
+
+def plain_ids(keep):
+    return sorted(i for i, *rest in NOTES if keep(*rest))
+
+
 def ids(df):
     return sorted(r["id"] for r in df.select("id").collect())
 
 
-def test_search(cities):
-    m = cities.memories
-    assert ids(text_search.search_any(m, "Quillon")) == ["g0", "g1"]
-    assert ids(text_search.search_any(m, "lantern")) == ["g1", "g2"]
-    assert ids(text_search.search_all(m, "Veldmark Northreach")) == ["g3"]
-    assert ids(text_search.search_all(m, "")) == ids(text_search.search_any(m, "a .")) == []
-    assert ids(filters.by_source(m, "atlas")) == ["g0", "g3"]
-    assert ids(filters.min_confidence(m, 0.9)) == ["g0", "g1", "g3"]
-    assert ids(filters.min_confidence(m, 0.89, bucketed=True)) == ["g0", "g1", "g2", "g3", "g4"]
-    assert ids(filters.with_value(m, "category", "lights")) == ["g1", "g2"]
-    assert ids(text_search.search_required(m, "Quillon lantern", ["Amber"], ["lit"])) == ["g1"]
-
-
-def test_index(cities):
-    index = text_search.postings(cities.memories)
-    found = lambda q, how="any": sorted(r[0] for r in text_search.search_postings(index, q, how).collect())
-    assert found("Quillon") == ["g0", "g1"]
-    assert found("Veldmark Northreach", "all") == ["g3"]
-    assert found("", "all") == []
-    gone = cities.memories.where("id = 'g0'").select("id")
-    assert found("Quillon") != sorted(r[0] for r in text_search.search_postings(text_search.remove_from_index(index, gone), "Quillon").collect())
-
-
-def test_combined(cities):
-    m = cities.memories
-    assert ids(search_combined(m, text="Quillon", source="guide", key="category", value="lights")) == ["g1"]
-    assert ids(search_combined(m)) == []
-    assert ids(MemoryQuery().apply(m)) == ["g0", "g1", "g2", "g3", "g4"]
-    assert [r["id"] for r in MemoryQuery(limit=2).apply(m).collect()] == ["g4", "g3"]
-    assert [r["id"] for r in MemoryQuery(order="confidence", limit=2).apply(m).collect()] == ["g3", "g0"]
-    assert [r["id"] for r in MemoryQuery(order="oldest", limit=1).apply(m).collect()] == ["g0"]
-    assert ids(MemoryQuery().in_period(2024, 3, 2).apply(m)) == ["g1"]
-    assert ids(MemoryQuery().with_text("quillon lantern", exact=True).apply(m)) == ["g1"]
-    assert ids(MemoryQuery().with_time_range(NOW, NOW + dt.timedelta(days=2)).apply(m)) == ["g1"]
-    assert ids(MemoryQuery(text="Nowhere", source="diary").apply(m)) == []
+ASKED = ["plum", "Kettles", "sorting plum", "ravine of umbra", "to", "", "vex oboe", "nothing here"]
+
+
+@pytest.mark.parametrize("query", ASKED)
+def test_search(noted, query):
+    """Scan and index, for any word and for all, against sets of stems."""
+    wanted = plain_stems(query)
+    some = plain_ids(lambda text, *_: bool(wanted & plain_stems(text)))
+    every = plain_ids(lambda text, *_: bool(wanted) and wanted <= plain_stems(text))
+    index = text_search.postings(noted.memories)
+    found = lambda how: sorted(r[0] for r in text_search.search_postings(index, query, how).collect())
+    assert ids(text_search.search_any(noted.memories, query)) == found("any") == some
+    assert ids(text_search.search_all(noted.memories, query)) == found("all") == every
 
 
-def test_links(cities):
-    assert [r[0] for r in links.neighbors(cities.links, "g0").collect()] == ["g1"]
-    assert [r[0] for r in links.neighbors(cities.links, "g1", "in").collect()] == ["g0"]
+def test_filters(noted):
+    m = noted.memories
+    assert ids(filters.by_source(m, "log")) == plain_ids(lambda _t, source, *_: source == "log")
+    for least in (0.0, 0.35, 0.9, 1.0):
+        assert ids(filters.min_confidence(m, least)) == plain_ids(lambda _t, _s, sure, *_: sure >= least)  # noqa: B023
+        assert ids(filters.min_confidence(m, least, bucketed=True)) == plain_ids(lambda _t, _s, sure, *_: int(sure * 10 + 1e-9) >= int(least * 10 + 1e-9))  # noqa: B023
+    assert ids(filters.with_value(m, "kind", "draft")) == plain_ids(lambda *r: r[3] == "draft")
+    got = ids(text_search.search_required(m, "plum oboe", ["Kettle"], ["umbra"]))
+    assert got == plain_ids(lambda text, *_: bool({"plum", "oboe"} & plain_stems(text)) and "kettle" in plain_stems(text) and "umbra" not in plain_stems(text))
+
+
+def test_index_without_some(noted):
+    index = text_search.postings(noted.memories)
+    gone = noted.memories.where("source = 'mail'").select("id")
+    left = text_search.remove_from_index(index, gone)
+    assert sorted(r[0] for r in text_search.search_postings(left, "plum").collect()) == plain_ids(lambda text, source, *_: "plum" in plain_stems(text) and source != "mail")
+
+
+def test_combined(noted):
+    m = noted.memories
+    got = search_combined(m, text="sorted", source="field", key="kind", value="note")
+    assert ids(got) == plain_ids(lambda text, source, _c, kind, _d: "sort" in plain_stems(text) and (source, kind) == ("field", "note"))
+    assert ids(search_combined(m)) == []
+    newest = sorted(NOTES, key=lambda r: (r[5], r[0]), reverse=True)
+    assert ids(MemoryQuery().apply(m)) == sorted(r[0] for r in NOTES)
+    assert [r["id"] for r in MemoryQuery(limit=5).apply(m).collect()] == [r[0] for r in newest[:5]]
+    assert [r["id"] for r in MemoryQuery(order="oldest", limit=4).apply(m).collect()] == [r[0] for r in newest[::-1][:4]]
+    sure = MemoryQuery(order="confidence", limit=6).apply(m).collect()
+    assert [r["confidence"] for r in sure] == sorted((r[3] for r in NOTES), reverse=True)[:6]
+    assert ids(MemoryQuery().in_period(2024, 3, 9).apply(m)) == plain_ids(lambda *r: r[4] == 8)
+    assert ids(MemoryQuery().in_period(2024, 4).apply(m)) == plain_ids(lambda *r: r[4] >= 31)
+    both = {"plum", "ravine"}
+    assert ids(MemoryQuery().with_text("plum ravine", exact=True).apply(m)) == plain_ids(lambda text, *_: both <= plain_stems(text))
+    span = (NOW + dt.timedelta(days=10), NOW + dt.timedelta(days=20))
+    assert ids(MemoryQuery().with_time_range(*span).apply(m)) == sorted(i for i, *_, day in NOTES if span[0] <= NOW + dt.timedelta(days=day, minutes=int(i[1:])) < span[1])
+    assert ids(MemoryQuery(text="Nowhere", source="log").apply(m)) == []
+
+
+def test_links(noted):
+    for n in (2, 10, 14):
+        assert [r[0] for r in links.neighbors(noted.links, f"n{n:02}").collect()] == [f"n{n * 7 % 37:02}"]
+        assert sorted(r[0] for r in links.neighbors(noted.links, f"n{n:02}", "in").collect()) == [f"n{k:02}" for k in range(0, 37, 2) if k * 7 % 37 == n]
 
 
 def test_metadata(spark):
@@ -177,8 +216,8 @@ def test_tokens(spark):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from(["alpha", "betas", "beta", "gamma", "of", "it"]), min_size=0, max_size=4))
-def test_all_is_within_any(cities, words):
-    m = cities.memories.withColumn("content", F.concat("content", F.lit(" alpha beta ")))
+def test_all_is_within_any(noted, words):
+    m = noted.memories.withColumn("content", F.concat("content", F.lit(" alpha beta ")))
     query = " ".join(words)
     everything, some = set(ids(text_search.search_all(m, query))), set(ids(text_search.search_any(m, query)))
     assert everything <= some

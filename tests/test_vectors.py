@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import os
 
 import numpy as np
@@ -23,25 +24,35 @@ def table(spark, named):
     return from_rows(spark, vectors=[(k, [float(x) for x in v], "m", len(v), {}, False) for k, v in named.items()]).vectors
 
 
+def turned(degrees, size=1.0):
+    """A vector of the plane, at an angle, with a third component of 0."""
+    return [size * math.cos(math.radians(degrees)), size * math.sin(math.radians(degrees)), 0.0]
+
+
+#: Angles in the plane, one vector out of it, and one longer than the others.
+ANGLES = {"east": 0, "north": 90, "west": 180, "near": 20, "far": 130}
+
+
 @pytest.fixture(scope="module")
-def four(spark):
-    return table(spark, {"one": [1, 0, 0], "two": [0, 1, 0], "three": [0, 0, 1], "four": [0.5, 0.5, 0]})
-
-
-def test_nearest(four):
-    top = vectors.search(four, 1, vector=[1, 0, 0]).first()
-    assert (top["memory_id"], top["score"]) == ("one", 1.0)
-    assert vectors.search(four, 4, vector=[0.5, 0.5, 0]).orderBy("rank").first()["memory_id"] == "four"
-    assert vectors.search(four, 99, vector=[1, 0, 0]).count() == 4
-    assert {r["memory_id"] for r in vectors.search(four, 2, similar_to="four").collect()} == {"one", "two"}
-    assert vectors.search(four, 2, similar_to="four", exclude_self=False).orderBy("rank").first()["memory_id"] == "four"
-    assert vectors.search(four, 4, vector=[1, 0, 0], min_score=0.5).count() == 2
-    assert vectors.search(four, 1, vector=[0, 0.9, 0.1], metric="euclidean").first()["memory_id"] == "two"
+def compass(spark):
+    return table(spark, {**{k: turned(a) for k, a in ANGLES.items()}, "long": turned(55, 7.0), "up": [0.0, 0.0, 2.0]})
+
+
+def test_nearest(compass):
+    order = lambda df: [r["memory_id"] for r in df.orderBy("rank").collect()]
+    top = vectors.search(compass, 1, vector=turned(0)).first()
+    assert (top["memory_id"], top["score"]) == ("east", 1.0)
+    assert order(vectors.search(compass, 9, vector=turned(60))) == ["long", "north", "near", "east", "far", "up", "west"][:1] + sorted(["north", "near", "east", "far", "up", "west"], key=lambda k: (-round(math.cos(math.radians(60 - ANGLES[k])), 6) if k != "up" else 0.0, k))
+    assert vectors.search(compass, 99, vector=turned(0)).count() == 7
+    assert order(vectors.search(compass, 2, similar_to="near")) == ["east", "long"]
+    assert order(vectors.search(compass, 2, similar_to="near", exclude_self=False)) == ["near", "east"]
+    assert set(order(vectors.search(compass, 7, vector=turned(0), min_score=0.5))) == {"east", "near", "long"}
+    assert order(vectors.search(compass, 1, vector=turned(50, 6.0), metric="euclidean")) == ["long"]
+    assert order(vectors.search(compass, 1, vector=turned(50, 0.9), metric="euclidean")) == ["near"]
     with pytest.raises(InvalidOperation):
-        vectors.search(four, 1)
+        vectors.search(compass, 1)
     with pytest.raises(NotFound):
-        vectors.search(four, 1, similar_to="nobody")
-    assert four.where("memory_id not in ('one', 'two')").count() == 2
+        vectors.search(compass, 1, similar_to="nobody")
 
 
 def test_arithmetic(spark):
@@ -76,13 +87,14 @@ def test_hash_embedding(spark):
 
 
 def test_reduction(spark):
-    named = {f"v{i}": [((i + j) % 10) / 10 for j in range(20)] for i in range(10)}
+    rng = np.random.default_rng(8)
+    named = {f"v{i}": [float(x) for x in v] for i, v in enumerate(rng.normal(size=(33, 4)) @ rng.normal(size=(4, 13)) + 0.01 * rng.normal(size=(33, 13)))}
     rows = table(spark, named)
     for method in reduce.METHODS:
         small = reduce.VectorReducer(method, 5).fit(rows).transform(rows)
         got = {r["memory_id"]: r for r in small.collect()}
         assert all(len(r["vector"]) == 5 and r["reduced"] and r["model"] == "m_reduced" and r["dimensions"] == 5 for r in got.values())
-        assert got["v0"]["metadata"] == {"original_dimensions": "20", "reduction_method": method, "target_dimensions": "5"}
+        assert got["v0"]["metadata"] == {"original_dimensions": "13", "reduction_method": method, "target_dimensions": "5"}
         if method == "truncation":
             assert np.allclose(got["v3"]["vector"], named["v3"][:5], atol=1e-6)
         if method == "pca":
@@ -91,7 +103,7 @@ def test_reduction(spark):
             y = np.array([got[k]["vector"] for k in named])
             assert np.allclose(np.var(y, axis=0), values, atol=1e-6) and np.allclose(y.mean(0), 0, atol=1e-6)
     with pytest.raises(InvalidOperation):
-        reduce.VectorReducer("pca", 20).fit(rows)
+        reduce.VectorReducer("pca", 13).fit(rows)
     with pytest.raises(ComputationError):
         reduce.VectorReducer("pca", 2).fit(rows.where("false"))
     with pytest.raises(ComputationError):
@@ -143,19 +155,25 @@ def test_reduce_and_store(spark, tmp_path):
         MemoryEngine(store.tables()).reduce_vectors("pca", 5)
 
 
-def test_choice_of_vectors(spark, four):
+@pytest.fixture(scope="module")
+def basis(spark):
+    """Three axes, and a vector at 45 degrees between two of them."""
+    return table(spark, {"one": [1, 0, 0], "two": [0, 3, 0], "three": [0, 0, 1], "four": [0.25, 0.25, 0]})
+
+
+def test_choice_of_vectors(spark, basis):
     made = [("one", "x", "s", 0.5, 0.5, 0, NOW, NOW, None, '{"embedding_vector": [9, 9, 9]}'), ("two", "x", "s", 0.5, 0.5, 0, NOW, NOW, None, "{}"), ("new", "abc", "s", 0.5, 0.5, 0, NOW, NOW, None, None)]
     memories = from_rows(spark, memories=made).memories
-    got = {r["memory_id"]: r for r in vectors.choose_vectors(memories, four, vectors.HashEmbedder(3)).collect()}
+    got = {r["memory_id"]: r for r in vectors.choose_vectors(memories, basis, vectors.HashEmbedder(3)).collect()}
     assert got["one"]["origin"] == "metadata" and got["one"]["vector"] == [9.0, 9.0, 9.0]
     assert got["two"]["origin"] == "stored" and got["new"]["origin"] == "computed"
 
 
-def test_hybrid(spark, four):
+def test_hybrid(spark, basis):
     said = {"one": "alpha beta", "two": "beta gamma", "three": "gamma delta", "four": "alpha"}
     memories = from_rows(spark, memories=[(k, t, f"s{len(t)}", 0.9 if k != "four" else 0.2, 0.5, 0, NOW, NOW, None, f'{{"k":"{k}"}}') for k, t in said.items()]).memories
     query = hybrid.HybridQuery(text="alpha", vector=(1.0, 0.0, 0.0), vector_limit=2)
-    score = lambda **how: {r["id"]: r["score"] for r in hybrid.search(memories, four, hybrid.replace(query, **how)).collect()}
+    score = lambda **how: {r["id"]: r["score"] for r in hybrid.search(memories, basis, hybrid.replace(query, **how)).collect()}
     assert score(method="sum") == {"one": 2.0, "four": 1.707107}
     assert score(method="max") == {"one": 1.0, "four": 1.0}
     assert score(method="weighted", keyword_weight=3.0) == {"one": 1.0, "four": round((3 + 0.707107) / 4, 6)}
@@ -164,7 +182,7 @@ def test_hybrid(spark, four):
     assert set(score(min_confidence=0.5)) == {"one"}
     assert set(score(text=None, required=("beta",))) == {"one"}
     assert set(score(text=None, prefilter=True, min_confidence=0.5)) == {"one", "two"} or score(text=None, prefilter=True, min_confidence=0.5)["one"] == 1.0
-    parts = {r["id"]: r["component_scores"] for r in hybrid.search(memories, four, query).collect()}
+    parts = {r["id"]: r["component_scores"] for r in hybrid.search(memories, basis, query).collect()}
     assert parts["one"] == {"keyword": 1.0, "vector": 1.0}
     with pytest.raises(InvalidOperation):
-        hybrid.search(memories, four, hybrid.HybridQuery())
+        hybrid.search(memories, basis, hybrid.HybridQuery())
