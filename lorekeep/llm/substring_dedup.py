@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import fresh_name, join_counted
+from lorekeep.llm.common import arrow_rows, fresh_name, join_counted
 from lorekeep.session import materialize
 
 #: Repeats of fewer words stay: such lines repeat by chance and are part of ordinary text.
 RUN_WORDS = 20
 #: Texts that are cut at once.
-ROWS = 256
+ROWS = 512
 #: A line break, or the space after the end of a sentence.
 BREAK = re.compile(r"\n|(?<=[.!?]) ")
 
@@ -70,7 +70,7 @@ def units(rows: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         md5 = hashlib.md5
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        for batch in batches:
             found, of, sizes, digests, limits = [], [], [], [], [0]
             for i, text in enumerate(batch.column(2).to_pylist()):
                 at, said, n_words = 0, [], []
@@ -102,7 +102,8 @@ def units(rows: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
 def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
     """The units of ``rows`` (row, doc_id, text) that go, with their row."""
-    found = materialize(units(rows, run_words), "units")
+    with arrow_rows(rows.sparkSession, ROWS):
+        found = materialize(units(rows, run_words), "units")
     place = ("doc_id", "row", "unit")
     begun = found.select(*place, F.explode("stretches").alias("s")).select(*place, "s.n", "s.digest")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), *[F.col(c).alias(f"keep_{c}") for c in place])
