@@ -7,7 +7,6 @@ What is left of a graph goes to one task once it is small, where the rest of a l
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -22,8 +21,10 @@ from lorekeep.session import materialize
 
 #: Edges that betweenness and path lengths broadcast at most; beyond them they go by joins.
 MOST_EDGES = 2_000_000
+#: The shortest that an edge is taken for.
+LEAST_LENGTH = 1e-9
 #: Edges that one task takes over from a loop.
-MOST_LOCAL = 500_000
+MOST_LOCAL = 1_000
 #: Distinct seconds of an island that one task folds.
 MOST_SECONDS = 100_000
 #: Rows of (source, node) that the joins of path lengths hold at once, about.
@@ -204,9 +205,12 @@ def _dependencies_by_joins(edges: DataFrame, nodes: DataFrame, weighted: bool) -
 def betweenness(edges: DataFrame, nodes: DataFrame, weighted: bool = False) -> DataFrame:
     """id, betweenness: the share of shortest paths through each node, over (n - 1)(n - 2).
 
-    With ``weighted`` the weight of an edge, which is above 0, is its length. Sources are dealt over the cluster with a
+    With ``weighted`` the weight of an edge is its length, and one of ``LEAST_LENGTH`` or less counts as so long, lest
+    paths go round for nothing. Sources are dealt over the cluster with a
     broadcast adjacency, or, if that has over ``MOST_EDGES`` edges, paths grow by joins.
     """
+    if weighted:
+        edges = edges.withColumn("weight", F.greatest(F.col("weight").cast("double"), F.lit(LEAST_LENGTH)))
     adjacency = _adjacency(edges)
     sums = _dependencies_by_joins(edges, nodes, weighted) if adjacency is None else _dependencies(adjacency, nodes, weighted)
     rows = nodes.select("id").join(sums, "id", "left").crossJoin(F.broadcast(_count(nodes)))
@@ -399,35 +403,20 @@ def temporal_sequences(memories: DataFrame, edges: DataFrame, seconds: int = 360
     return rows.select(F.col("group").alias("start"), "size", "edges", (0.4 + 0.6 * F.col("edges") / F.col("size")).alias("quality"))
 
 
-def _turn(node: str, round_: int) -> str:
-    return hashlib.md5(f"{round_}:{node}".encode()).hexdigest()
+def _around(edges: DataFrame) -> DataFrame:
+    """(id, other, weight) in both directions, the weight of a pair summed up; no loops."""
+    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "weight").unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "weight"))
+    return materialize(both.where("id <> other").groupBy("id", "other").agg(F.sum("weight").cast("double").alias("weight")), "around")
 
 
-def _settle(around: list[tuple[str, str, float]], labels: dict[str, str]) -> dict[str, str]:
-    """The rounds of :func:`communities` in one task."""
-    near: dict[str, list[tuple[str, float]]] = {}
-    for a, b, w in around:
-        near.setdefault(a, []).append((b, w))
-    round_ = 0
-    while True:
-        want = {}
-        for v, ends in near.items():
-            weight: dict[str, float] = {}
-            for w, x in ends:
-                weight[labels[w]] = weight.get(labels[w], 0.0) + x
-            top = max(round(x, 9) for x in weight.values())
-            if top > round(weight.get(labels[v], 0.0), 9):
-                want[v] = min(c for c, x in weight.items() if round(x, 9) == top)
-        if not want:
-            return labels
-        turn = {v: _turn(v, round_) for v in want}
-        first = [v for v in want if all(turn[v] > turn[w] for w, _ in near[v] if w in turn)]
-        for v in first:
-            labels[v] = want[v]
-        round_ += 1
+def _first_of_neighbours(want: DataFrame, around: DataFrame, round_: int) -> DataFrame:
+    """Of neighbours among ``want`` (id, ...) those whose hash in this round is the greatest, so no two of them are neighbours."""
+    turns = want.withColumn("turn", F.md5(F.concat(F.lit(f"{round_}:"), "id")))
+    rival = around.join(turns.select(F.col("id").alias("other"), F.col("turn").alias("theirs")), "other").groupBy("id").agg(F.max("theirs").alias("theirs"))
+    return turns.join(rival, "id", "left").where("theirs IS NULL OR turn > theirs").drop("turn", "theirs")
 
 
-def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def label_propagation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, community by weighted label propagation to a fixed point; deterministic.
 
     A node wants the label with the most weight around it, the smallest of equals, if it has more than
@@ -435,33 +424,123 @@ def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     so no two of them change at once, every change adds weight inside communities, and the rounds come to
     an end. Nodes without edges keep their own label.
     """
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "weight").unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "weight"))
-    around = materialize(both.where("id <> other").groupBy("id", "other").agg(F.sum("weight").cast("double").alias("weight")), "around")
-    labels = nodes.select("id", F.col("id").alias("community"))
-    if around.count() <= MOST_LOCAL:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            found = _settle(sorted(rows), {v: v for a, b, _ in rows for v in (a, b)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["id", "found"])
-
-        settled = around.select("id", "other", "weight").repartition(1).mapInArrow(run, "id string, found string")
-        return materialize(labels.join(settled, "id", "left").select("id", F.coalesce("found", "community").alias("community")), "labels")
-    labels, round_ = materialize(labels, "labels"), 0
+    around = _around(edges)
+    labels, round_ = materialize(nodes.select("id", F.col("id").alias("community")), "labels"), 0
     while True:
         weight = around.join(labels.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         mine = weight.join(labels, ["id", "community"]).select("id", F.col("w").alias("own"))
-        best = weight.groupBy("id").agg(F.max("w").alias("top"))
-        least = weight.join(best, "id").where("w = top").groupBy("id").agg(F.min("community").alias("next"), F.max("w").alias("top"))
-        want = least.join(mine, "id", "left").where(F.col("top") > F.coalesce("own", F.lit(0.0)))
-        want = materialize(want.select("id", "next", F.md5(F.concat(F.lit(f"{round_}:"), "id")).alias("turn")), "want")
+        best = weight.groupBy("id").agg(F.min(F.struct(-F.col("w"), "community")).alias("best")).select("id", F.col("best.community").alias("next"), (-F.col("best.col1")).alias("top"))
+        want = materialize(best.join(mine, "id", "left").where(F.col("top") > F.coalesce("own", F.lit(0.0))).select("id", "next"), "want")
         if want.isEmpty():
             return labels
-        rival = around.join(want.select(F.col("id").alias("other"), F.col("turn").alias("theirs")), "other").groupBy("id").agg(F.max("theirs").alias("theirs"))
-        first = want.join(rival, "id", "left").where("theirs IS NULL OR turn > theirs").select("id", "next")
+        first = _first_of_neighbours(want, around, round_).select("id", "next")
         labels = materialize(labels.join(first, "id", "left").select("id", F.coalesce("next", "community").alias("community")), "labels")
         round_ += 1
 
 
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """id, community (its smallest id) by modularity, level by level (Blondel et al. 2008); deterministic.
+
+    On each level nodes move to the community that gains the most modularity, and then the communities are the
+    nodes of the next level, until nothing moves. A greater ``resolution`` makes more communities. Weights, of both
+    directions together, are 0 or more; nodes without edges are alone.
+    """
+    around = _around(edges)
+    loops = edges.where("source_id = target_id").groupBy(F.col("source_id").alias("id")).agg((2 * F.sum("weight")).cast("double").alias("loop"))
+    strength = around.groupBy("id").agg(F.sum("weight").alias("weight"))
+    sizes = nodes.select("id").join(strength, "id", "left").join(loops, "id", "left")
+    sizes = materialize(sizes.select("id", (F.coalesce("weight", F.lit(0.0)) + F.coalesce("loop", F.lit(0.0))).alias("k")), "strength")
+    total = sizes.agg(F.sum("k")).first()[0] or 0.0
+    members = nodes.select("id", F.col("id").alias("community"))
+    while total > 0:
+        moved = _local_moves(around, sizes, total, resolution)
+        if moved is None:
+            break
+        to = moved.select(F.col("id").alias("community"), F.col("community").alias("next"))
+        members = materialize(members.join(to, "community").select("id", F.col("next").alias("community")), "members")
+        of = lambda end: moved.select(F.col("id").alias(end), F.col("community").alias(f"of_{end}"))  # noqa: B023, E731
+        coarse = around.join(of("id"), "id").join(of("other"), "other").where("of_id <> of_other")
+        around = materialize(coarse.groupBy(F.col("of_id").alias("id"), F.col("of_other").alias("other")).agg(F.sum("weight").alias("weight")), "around")
+        sizes = materialize(moved.groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), "strength")
+    names = members.groupBy("community").agg(F.min("id").alias("least"))
+    return members.join(names, "community").select("id", F.col("least").alias("community"))
+
+
+def _local_moves(around: DataFrame, sizes: DataFrame, total: float, resolution: float) -> DataFrame | None:
+    """(id, community, k) when no node gains modularity by a move, or None if none does to begin with.
+
+    Nodes that move at once may gain less than each alone would. Rounds try a half of all moves, by a hash; a round
+    that doesn't raise the modularity is taken back, and from there on no two neighbours move at once; if that doesn't either,
+    of all moves that leave or enter a community only one is made, whose gain is then what it was computed as. So the modularity
+    rises with every round that counts.
+    """
+    labels = materialize(sizes.select("id", F.col("id").alias("community"), "k"), "labels")
+    last: tuple[float, DataFrame] | None = None
+    moved, way, round_ = False, 0, 0
+    while True:
+        known = _scored(around, labels, total, resolution)
+        now = _modularity(known, total, resolution)
+        if last is None or now > last[0]:
+            moved, last = last is not None, (now, known)
+        else:
+            known, way = last[1], way + 1
+        want = known.where("next <> own").select("id", "own", "next")
+        first = None
+        while way < 3:
+            if way == 0:
+                some = want.where(F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(2)) == 0)
+            else:
+                some = _first_of_neighbours(want, around, round_) if way == 1 else _one_a_community(want, round_)
+            first = materialize(some.select("id", F.col("next").alias("to")), "moves")
+            if not first.isEmpty():
+                break
+            way = 3 if want.isEmpty() else way + 1
+        if way == 3:  # nothing is to gain, or less than the rounding of sums
+            return known.select("id", F.col("own").alias("community"), "k") if moved else None
+        labels = materialize(known.join(first, "id", "left").select("id", F.coalesce("to", "own").alias("community"), "k"), "labels")
+        round_ += 1
+
+
+def _scored(around: DataFrame, labels: DataFrame, total: float, resolution: float) -> DataFrame:
+    """id, own, k, next (the best community, its own among equals, else the smallest), inside (weight to its own)."""
+    met = around.join(labels.select(F.col("id").alias("other"), "community"), "other").select("id", "community", "weight")
+    weight = met.unionByName(labels.select("id", "community", F.lit(0.0).alias("weight"))).groupBy("id", "community").agg(F.sum("weight").alias("w"))
+    totals = labels.groupBy("community").agg(F.sum("k").alias("all"))
+    rows = weight.join(totals, "community").join(labels.select("id", F.col("community").alias("own"), "k"), "id")
+    others = F.col("all") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+    loss = F.round(resolution * F.col("k") * others / total - F.col("w"), 9)
+    best = F.min(F.struct(loss.alias("loss"), (F.col("community") != F.col("own")).alias("elsewhere"), "community"))
+    inside = F.max(F.when(F.col("community") == F.col("own"), F.col("w")))
+    return materialize(rows.groupBy("id", "own", "k").agg(best.alias("best"), inside.alias("inside")).select("id", "own", "k", F.col("best.community").alias("next"), "inside"), "scored")
+
+
+def _modularity(known: DataFrame, total: float, resolution: float) -> float:
+    """The modularity of a level's labels, less what its nodes have inside themselves."""
+    sums = known.groupBy("own").agg(F.sum("inside").alias("inside"), F.sum("k").alias("all"))
+    r = sums.agg(F.sum("inside").alias("inside"), F.sum(F.col("all") * F.col("all")).alias("squares")).first()
+    return (r["inside"] or 0.0) / total - resolution * (r["squares"] or 0.0) / total**2
+
+
+def _one_a_community(want: DataFrame, round_: int) -> DataFrame:
+    """Of the moves (id, own, next) those that are first by a hash among all that leave or enter either community."""
+    turns = want.withColumn("turn", F.md5(F.concat(F.lit(f"{round_}:"), "id")))
+    each = turns.select(F.explode(F.array("own", "next")).alias("community"), "turn").groupBy("community").agg(F.max("turn").alias("first"))
+    of = lambda end: each.select(F.col("community").alias(end), F.col("first").alias(f"first_{end}"))
+    return turns.join(of("own"), "own").join(of("next"), "next").where("turn = first_own AND turn = first_next")
+
+
+def modularity(members: DataFrame, edges: DataFrame, resolution: float = 1.0) -> float:
+    """The modularity of communities (id, community), by weights of both directions."""
+    of = lambda end: members.select(F.col("id").alias(end), F.col("community").alias(f"of_{end}"))
+    met = edges.join(of("source_id"), "source_id").join(of("target_id"), "target_id").select("of_source_id", "of_target_id", F.col("weight").cast("double").alias("weight"))
+    total = (met.agg(F.sum("weight")).first()[0] or 0.0) * 2
+    if not total:
+        return 0.0
+    inside = met.where("of_source_id = of_target_id").agg(F.sum("weight")).first()[0] or 0.0
+    ends = met.select(F.explode(F.array("of_source_id", "of_target_id")).alias("community"), "weight").groupBy("community").agg(F.sum("weight").alias("all"))
+    return 2 * inside / total - resolution * (ends.agg(F.sum(F.col("all") * F.col("all"))).first()[0] or 0.0) / total**2
+
+
 def community_stats(members: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
     """Of members (id, community): size, density, main topic and its share, mean confidence; no singles."""
     rows = members.join(memories.select("id", "confidence", topic_of().alias("topic")), "id")

@@ -647,11 +647,10 @@ _add("communities", _communities)
 _add("community_stats", lambda c: analytics.community_stats(_communities(c), c.memories, analytics.simple_graph(c.links, c.memories)))
 _add("community_contexts", lambda c: analytics.community_contexts(_communities(c), c.memories, analytics.simple_graph(c.links, c.memories)))
 _add("community_topics", lambda c: analytics.community_topics(_communities(c), c.memories))
-_STRONG = 0.55  # weights from here on leave a graph of several components
 _add(
     "strong_components",
-    lambda c: analytics.strong_components(analytics.simple_graph(c.links.where(F.col("weight") >= _STRONG), c.memories), c.memories),
-    _sql("mlg", f""", reach AS (SELECT source_id AS a, target_id AS b FROM edges WHERE weight >= {_STRONG} UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b WHERE weight >= {_STRONG})
+    lambda c: analytics.strong_components(analytics.simple_graph(c.links, c.memories), c.memories),
+    _sql("mlg", """, reach AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b)
       SELECT m.id, least(m.id, min(r.b)) AS component FROM memories m LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) r ON r.a = m.id GROUP BY m.id""", True),
 )
 
@@ -690,7 +689,7 @@ _HEALTH = """, e AS (SELECT count(*) AS edges FROM edges), n AS (SELECT count(*)
   base AS (SELECT *, edges / (nodes * (nodes - 1)) AS density, mutual / edges AS reciprocity FROM n, e, mutual, isolated, groups_)""".format(now=NOW)
 _add(
     "health_of_groups",
-    lambda c: analytics.health_report(c.memories, c.links.where(F.col("weight") >= _STRONG), C.AS_OF, _by_source(c)).select(
+    lambda c: analytics.health_report(c.memories, c.links, C.AS_OF, _by_source(c)).select(
         "nodes", "edges", "isolated", "communities", "components", "acyclic", *[F.round(x, 7).alias(x) for x in ("density", "reciprocity", "mean_confidence", "oldest_days", "newest_days", "mean_days", "score")], "grade"
     ),
     _sql("mlg", _HEALTH.replace(", e AS", f""", reach AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT a, target_id FROM reach JOIN edges ON source_id = b),
@@ -700,7 +699,7 @@ _add(
         + CASE WHEN mean_confidence > 0.8 THEN 10 WHEN mean_confidence > 0.6 THEN 5 ELSE 0 END)) AS score FROM base, strong)
       SELECT nodes, edges, isolated, communities, components, acyclic, round(density, 7) AS density, round(reciprocity, 7) AS reciprocity, round(mean_confidence, 7) AS mean_confidence, round(oldest_days, 7) AS oldest_days,
         round(newest_days, 7) AS newest_days, round(mean_days, 7) AS mean_days, round(score, 7) AS score,
-        CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' WHEN score >= 20 THEN 'Poor' ELSE 'Critical' END AS grade FROM scored""", True).replace(_LINKS, _LINKS.replace("links AS (\n  SELECT", "links AS (SELECT * FROM (\n  SELECT").rstrip(")") + f")) WHERE weight >= {_STRONG})"),
+        CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' WHEN score >= 20 THEN 'Poor' ELSE 'Critical' END AS grade FROM scored""", True),
 )
 _add(
     "advice_on_groups",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from lorekeep.operators import analytics
+from lorekeep.sources.catalog import CorpusCatalog
 
 
 def tables(spark, pairs, nodes=()):
@@ -47,7 +49,7 @@ def shapes():
     return {"ring": ring, "chain": chain, "lasso": lasso, "mixed": mixed, "two": two, "ring and chain": ring + chain + [("c0500", "r100")], "none": []}
 
 
-@pytest.mark.parametrize("local", [500_000, 0])
+@pytest.mark.parametrize("local", [analytics.MOST_LOCAL, 0])
 @pytest.mark.parametrize("name", list(shapes()))
 def test_strong_components(spark, monkeypatch, name, local):
     monkeypatch.setattr(analytics, "MOST_LOCAL", local)
@@ -84,14 +86,33 @@ def test_k_core(spark, monkeypatch):
             assert {r["id"] for r in analytics.k_core(edges, k).collect()} == plain_core(pairs, k)
 
 
-def test_communities_settle_alike(spark, monkeypatch):
-    rng = random.Random(3)
-    pairs = {(f"g{g}n{a}", f"g{g}n{b}"): rng.random() for g in range(4) for a, b in itertools.permutations(range(6), 2) if rng.random() < 0.6}
-    pairs |= {(f"g{g}n0", f"g{(g + 1) % 4}n1"): 0.05 for g in range(4)} | {("g0n2", "g0n2"): 1.0}
+def grouped(seed, groups, each, inside=0.6, between=2):
+    """Pairs with weights inside groups, and a few weak ones between them."""
+    rng = random.Random(seed)
+    out = {(f"g{g}n{a}", f"g{g}n{b}"): rng.random() for g in range(groups) for a, b in itertools.permutations(range(each), 2) if rng.random() < inside}
+    for g in range(groups):
+        for _ in range(between):
+            out[f"g{g}n{rng.randrange(each)}", f"g{(g + 1) % groups}n{rng.randrange(each)}"] = 0.05
+    return out | {("g0n2", "g0n2"): 1.0}
+
+
+def plain_modularity(of, pairs, resolution=1.0):
+    total = 2 * sum(pairs.values())
+    strength = Counter()
+    for (a, b), w in pairs.items():
+        strength[of[a]] += w
+        strength[of[b]] += w
+    return 2 * sum(w for (a, b), w in pairs.items() if of[a] == of[b]) / total - resolution * sum(x * x for x in strength.values()) / total**2
+
+
+def of_rows(df):
+    return {r["id"]: r["community"] for r in df.collect()}
+
+
+def test_labels_settle(spark):
+    pairs = grouped(3, 4, 6)
     edges, nodes = tables(spark, pairs, ["alone"])
-    once = {r["id"]: r["community"] for r in analytics.communities(edges, nodes).collect()}
-    monkeypatch.setattr(analytics, "MOST_LOCAL", 0)
-    assert once == {r["id"]: r["community"] for r in analytics.communities(edges, nodes).collect()}
+    once = of_rows(analytics.label_propagation(edges, nodes))
     assert once["alone"] == "alone" and set(once) == {r["id"] for r in nodes.collect()}
     # a fixed point: no node has more weight around it under another label
     for v in once:
@@ -102,6 +123,30 @@ def test_communities_settle_alike(spark, monkeypatch):
         assert not weight or max(weight.values()) <= weight[once[v]] + 1e-8
 
 
+def test_communities_are_the_planted_groups(spark):
+    pairs = grouped(5, 5, 8)
+    edges, nodes = tables(spark, pairs, ["alone"])
+    found = analytics.communities(edges, nodes)
+    of = of_rows(found)
+    assert of == {v: v if v == "alone" else f"{v[:2]}n0" for v in of} and len(of) == 41
+    assert abs(analytics.modularity(found, edges) - plain_modularity(of, pairs)) < 1e-9
+    # nothing is gained by moving one node, and the order of rows doesn't matter
+    for v in of:
+        for c in set(of.values()):
+            assert plain_modularity(of | {v: c}, pairs) <= plain_modularity(of, pairs) + 1e-9
+    assert of_rows(analytics.communities(edges.repartition(7), nodes.repartition(3))) == of
+    assert len(set(of_rows(analytics.communities(edges, nodes, resolution=12.0)).values())) > 6
+    assert of_rows(analytics.communities(edges.limit(0), nodes)) == {v: v for v in of}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata"), reason="the generated tables are not here")
+def test_modularity_on_the_tables(spark):
+    c = CorpusCatalog(spark, "/root/testdata/sf0.001")
+    edges = analytics.materialize(analytics.simple_graph(c.links, c.memories), "edges")
+    ours, theirs = (analytics.modularity(f(edges, c.memories), edges) for f in (analytics.communities, analytics.label_propagation))
+    assert ours >= theirs and ours > 0.4, (ours, theirs)
+
+
 def plain_betweenness(pairs, nodes):
     """Shares of shortest paths, by listing every path."""
     near = defaultdict(list)
@@ -145,6 +190,17 @@ def test_betweenness_by_joins(spark, monkeypatch, weighted):
         assert {r["id"] for r in analytics.bridges(edges, nodes).collect()} == {v for v, b in plain_betweenness(dict.fromkeys(pairs, 1.0), list(want)).items() if b > 0.1}
 
 
+def test_edges_without_length(spark, monkeypatch):
+    """Weights of 0, and cycles of them, end alike in both ways, and as if they were very short."""
+    pairs = {("a", "b"): 0.0, ("b", "a"): 0.0, ("b", "c"): 1.0, ("a", "c"): 1.5, ("c", "d"): 0.0, ("d", "c"): -2.0, ("d", "e"): 1.0, ("c", "e"): 0.5}
+    edges, nodes = tables(spark, pairs)
+    want = plain_betweenness({k: max(w, analytics.LEAST_LENGTH) for k, w in pairs.items()}, [r["id"] for r in nodes.collect()])
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(analytics, "MOST_EDGES", most)
+        got = {r["id"]: r["betweenness"] for r in analytics.betweenness(edges, nodes, True).collect()}
+        assert all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
 def test_topics_of_communities(spark):
     members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "d")], "id string, community string")
     memories = spark.createDataFrame([("a", '{"topic": "t"}'), ("b", '{"topic": "t"}'), ("c", None), ("d", '{"topic": "u"}')], "id string, metadata string")
