@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from lorekeep.session import materialize
 
 #: Repeats of fewer words stay: such lines repeat by chance and are part of ordinary text.
 RUN_WORDS = 20
-#: Texts that are cut at once.
-ROWS = 512
+#: Texts that are cut at once, and the power of two of documents whose stretches are laid over their units at once.
+ROWS, TOGETHER = 512, 9
 #: A line break, or the space after the end of a sentence.
 BREAK = re.compile(r"\n|(?<=[.!?]) ")
 
@@ -111,10 +112,33 @@ def _repeats(rows: DataFrame, run_words: int) -> DataFrame:
     groups = materialize(groups, "groups", free_shuffles=True)
     again = join_counted(begun, groups, "digest", "copies").where("row <> first.keep_row OR unit <> first.keep_unit")
     again = materialize(again.select("row", "unit", "n", "first"), "again", free_shuffles=True)
-    each = again.select("row", "unit", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("nth"))
-    origin = F.struct("first.last", "first.keep_doc_id", "first.keep_row", (F.col("first.keep_unit") + F.col("nth")).alias("keep_unit"))
-    gone = each.groupBy("row", (F.col("unit") + F.col("nth")).alias("unit")).agg(F.min(origin).alias("origin"))
-    return found.drop("stretches").join(gone, ["row", "unit"]).select("*", "origin.keep_doc_id", "origin.keep_unit")
+    block = F.shiftright("row", TOGETHER).alias("block")
+    rows = found.select(block, "row", "doc_id", "unit", "start", "end", "n_words")
+    covers = again.select(block.alias("of"), "row", "unit", "n", "first.*")
+    return rows.groupBy("block").cogroup(covers.groupBy("of")).applyInArrow(_covered, GONE)
+
+
+GONE = "row bigint, doc_id bigint, unit bigint, start bigint, end bigint, n_words bigint, keep_doc_id bigint, keep_unit bigint"
+
+
+def _covered(rows: pa.Table, again: pa.Table) -> pa.Table:
+    """The units of some documents that lie in a repeated stretch, each with its earliest place in one."""
+    row, unit = rows.column("row").to_numpy(), rows.column("unit").to_numpy()
+    order = np.lexsort((unit, row))
+    ids, begin = np.unique(row[order], return_index=True)
+    # units are numbered from 0 in each row, so a stretch begins at its row's begin and covers the places from there
+    n = again.column("n").to_numpy()
+    at = begin[np.searchsorted(ids, again.column("row").to_numpy())] + again.column("unit").to_numpy()
+    of, nth = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = at[of] + nth
+    last = again.column("last").to_numpy(zero_copy_only=False)[of]
+    keep = again.column("keep_doc_id")
+    doc = keep.fill_null(0).to_numpy()[of]
+    keep_unit = again.column("keep_unit").to_numpy()[of] + nth
+    best = np.lexsort((keep_unit, again.column("keep_row").to_numpy()[of], doc, last, place))
+    best = best[np.concatenate([[True], place[best][1:] != place[best][:-1]])] if len(best) else best
+    taken = rows.select(["row", "doc_id", "unit", "start", "end", "n_words"]).take(pa.array(order[place[best]]))
+    return taken.append_column("keep_doc_id", keep.take(pa.array(of[best]))).append_column("keep_unit", pa.array(keep_unit[best], pa.int64()))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
