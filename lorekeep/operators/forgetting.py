@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.columns import clamp_unit, instant, seconds_between, shift_seconds
@@ -111,3 +111,33 @@ def set_ttl(memories: DataFrame, values: DataFrame) -> DataFrame:
     new = values.select("id", F.col("ttl").alias("_new"), F.lit(True).alias("_set"))
     rows = memories.join(new, "id", "left")
     return rows.withColumn("ttl", F.when(F.col("_set"), F.col("_new")).otherwise(F.col("ttl"))).select(*memories.columns)
+
+
+def access_history(log: DataFrame) -> DataFrame:
+    """The log (memory_id, accessed_at) with running figures: nth, first_access, since (seconds since the one before).
+
+    Accesses of a memory at the same time are told apart by nothing, so each has its own nth, in any order. Rows without an id or a
+    time are left out.
+    """
+    order = Window.partitionBy("memory_id").orderBy("accessed_at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = log.where("memory_id IS NOT NULL AND accessed_at IS NOT NULL").select("memory_id", "accessed_at")
+    since = seconds_between(F.lag("accessed_at").over(order), F.col("accessed_at"))
+    return rows.select("memory_id", "accessed_at", F.count(F.lit(1)).over(so_far).alias("nth"), F.min("accessed_at").over(so_far).alias("first_access"), since.alias("since"))
+
+
+def accesses_as_of(memories: DataFrame, log: DataFrame, times: DataFrame) -> DataFrame:
+    """id, at, access_count, last_accessed: what was known of each memory at each of ``times`` (at), which are few.
+
+    Counts begin with those that a memory has, and last_accessed with its own. Each access falls to the first of the
+    times that is not before it, so the log is summed up once, by memory and time, and the sums run over the
+    times; an access at the very time counts. Memories without accesses have a row for each time too.
+    """
+    marks = times.select("at").where("at IS NOT NULL").distinct()
+    spans = F.broadcast(marks.withColumn("after", F.lag("at").over(Window.orderBy("at"))))  # the given times
+    due = (F.col("accessed_at") <= F.col("at")) & (F.col("after").isNull() | (F.col("accessed_at") > F.col("after")))
+    counted = log.where("memory_id IS NOT NULL").join(spans, due).groupBy(F.col("memory_id").alias("id"), "at").agg(F.count(F.lit(1)).alias("n"), F.max("accessed_at").alias("latest"))
+    rows = memories.select("id", "access_count", "last_accessed").crossJoin(F.broadcast(marks)).join(counted, ["id", "at"], "left")
+    so_far = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = F.col("access_count") + F.sum(F.coalesce("n", F.lit(0))).over(so_far)
+    return rows.select("id", "at", count.alias("access_count"), F.greatest("last_accessed", F.max("latest").over(so_far)).alias("last_accessed"))

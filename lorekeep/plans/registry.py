@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import columns as C
 from lorekeep.functions import vector as V
-from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, links, reduce, text_search, traverse, vectors
+from lorekeep.operators import analytics, filters, forgetting, groups, hybrid, links, ranking, reduce, text_search, traverse, vectors
 from lorekeep.plans.engine import MemoryEngine
 from lorekeep.plans.memory_query import MemoryQuery
 from lorekeep.session import shared_folder
@@ -183,6 +183,21 @@ def _stems_of(text: str) -> str:
 
 _ANY = f"SELECT DISTINCT memory_id AS id FROM postings WHERE stem IN {_stems_of(ANY_TEXT)}"
 _ALL = "SELECT memory_id AS id FROM postings WHERE stem IN {0} GROUP BY memory_id HAVING count(DISTINCT stem) = (SELECT count(*) FROM {0} q)"
+_BM25 = f"""words AS (SELECT id AS memory_id, unnest(string_split_regex(lower(content), '{_SPLIT}')) AS token FROM memories),
+  stemmed AS (SELECT memory_id, {_STEM.format("token")} AS stem FROM words WHERE strlen(token) >= 3),
+  lengths AS (SELECT memory_id, count(*) AS length FROM stemmed GROUP BY 1), corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
+  hits AS (SELECT memory_id, stem, count(*) AS tf FROM stemmed WHERE stem IN WANTED GROUP BY ALL), rarity AS (SELECT stem, count(*) AS df FROM hits GROUP BY 1),
+  scored AS (SELECT memory_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+    FROM hits JOIN rarity USING (stem) JOIN lengths USING (memory_id) CROSS JOIN corpus GROUP BY memory_id)"""
+RANKED_TEXT = f"{WORD} {ANY_TEXT}"
+_add("bm25_scores", lambda c: ranking.RankedIndex.build(c.memories).scores(ANY_TEXT), _sql("m", f", {_BM25.replace('WANTED', _stems_of(ANY_TEXT))} SELECT memory_id, score FROM scored"))
+_add(
+    "bm25_topk",
+    lambda c: ranking.RankedIndex.build(c.memories).search(RANKED_TEXT, 25),
+    _sql("m", f", {_BM25.replace('WANTED', _stems_of(RANKED_TEXT))} SELECT memory_id, score, row_number() OVER (ORDER BY score DESC, memory_id) AS rank FROM scored QUALIFY rank <= 25"),
+)
+
+
 _add("search_any", lambda c: _ids(text_search.search_any(c.memories, ANY_TEXT)), _sql("mp", _ANY))
 _add("search_all", lambda c: _ids(text_search.search_all(c.memories, ALL_TEXT)), _sql("mp", _ALL.format(_stems_of(ALL_TEXT))))
 _add("search_postings_any", lambda c: text_search.search_postings(text_search.postings(c.memories), ANY_TEXT).withColumnRenamed("memory_id", "id"), _sql("mp", _ANY))
@@ -737,6 +752,28 @@ _add(
     "SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS version, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
 )
 
+_TIMES = ("2024-01-15 00:00:00", "2024-02-10 12:00:00", "2024-06-01 00:00:00")
+_AT = ", ".join(f"TIMESTAMP '{t}'" for t in _TIMES)
+
+
+@_query("access_history", """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS memory_id, ts FROM events) SELECT memory_id, max(nth) AS accesses, CAST(sum(since) AS BIGINT) AS span, count(DISTINCT first) AS firsts FROM (
+  SELECT memory_id, row_number() OVER w AS nth, floor(epoch(ts) - epoch(lag(ts) OVER w)) AS since, min(ts) OVER (PARTITION BY memory_id) AS first FROM a WINDOW w AS (PARTITION BY memory_id ORDER BY ts)) GROUP BY memory_id""")
+def _access_history(c: CorpusCatalog) -> DataFrame:
+    log = c.table("events").select(F.col("user_id").cast("string").alias("memory_id"), F.col("ts").cast("timestamp_ntz").alias("accessed_at"))
+    rows = forgetting.access_history(log)
+    return rows.groupBy("memory_id").agg(F.max("nth").alias("accesses"), F.sum("since").cast("bigint").alias("span"), F.countDistinct("first_access").alias("firsts"))
+
+
+@_query("accesses_as_of", _sql("m", f"""SELECT id, CAST(epoch("at") AS BIGINT) AS "at", access_count + count(user_id) AS access_count, CAST(floor(epoch(greatest(last_accessed, max(e.ts)))) AS BIGINT) AS last
+  FROM memories CROSS JOIN (SELECT unnest([{_AT}]) AS "at") LEFT JOIN events e ON CAST(user_id AS VARCHAR) = id AND e.ts <= "at" GROUP BY id, "at", access_count, last_accessed"""))
+def _accesses_as_of(c: CorpusCatalog) -> DataFrame:
+    """The state of all memories at three times, by the events as a log of accesses."""
+    log = c.table("events").select(F.col("user_id").cast("string").alias("memory_id"), F.col("ts").cast("timestamp_ntz").alias("accessed_at"))
+    times = c.spark.createDataFrame([(t,) for t in _TIMES], "t string").select(F.col("t").cast("timestamp_ntz").alias("at"))
+    rows = forgetting.accesses_as_of(c.memories, log, times)
+    return rows.select("id", C.epoch(F.col("at")).alias("at"), "access_count", C.epoch(F.col("last_accessed")).alias("last"))
+
+
 # streams, run to the end of what is there
 
 
