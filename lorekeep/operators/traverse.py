@@ -22,28 +22,42 @@ def _pairs(links: DataFrame) -> DataFrame:
     return links.select("source_id", "target_id").distinct()
 
 
+def half_paths(steps: DataFrame, start: str, avoid: str, depth: int, back: bool = False) -> list[DataFrame]:
+    """(path, end) of all simple paths of 0, 1, ... ``depth`` steps from a node, or into it; none goes on from ``avoid``."""
+    near, far = ("target_id", "source_id") if back else ("source_id", "target_id")
+    steps = steps.where(F.col(far) != start)
+    fronts = [steps.sparkSession.range(1).select(F.array(F.lit(start)).alias("path"), F.lit(start).alias("end"))]
+    for d in range(1, depth + 1):
+        here = fronts[-1].where(F.col("end") != avoid).withColumnRenamed("end", near).join(steps, near).where(~F.array_contains("path", F.col(far)))
+        grown = F.concat(F.array(far), "path") if back else F.concat("path", F.array(far))
+        front = here.select(grown.alias("path"), F.col(far).alias("end"))
+        fronts.append(materialize(front, "frontier") if d % CUT == 0 or d == depth else front)
+    return fronts
+
+
 def paths(links: DataFrame, source: str, target: str, max_depth: int, memories: DataFrame | None = None) -> DataFrame:
     """Every directed path of at most ``max_depth`` links that visits no node twice: path (array), length.
 
-    Parallel links are one step, a path ends when it reaches the target, and a node reaches itself by
+    Half paths grow from both ends and meet in the node in the middle, so the frontiers are those of half the depth. Parallel
+    links are one step, a path ends when it reaches the target, and a node reaches itself by
     the path of itself alone. With ``memories`` both ends must exist.
     """
     if memories is not None:
         require(memories, source, target)
     spark = links.sparkSession
-    start = spark.range(1).select(F.array(F.lit(source)).alias("path"))
+    start = spark.range(1).select(F.array(F.lit(source)).alias("path"), F.lit(0).alias("length"))
     if source == target:
-        return start.withColumn("length", F.lit(0))
-    steps, found, front = _pairs(links).where(F.col("source_id") != target), [], start
-    for depth in range(1, max_depth + 1):
-        here = front.withColumn("source_id", F.element_at("path", -1))
-        front = here.join(steps, "source_id").where(~F.array_contains("path", F.col("target_id"))).select(F.concat("path", F.array("target_id")).alias("path"))
-        if depth % CUT == 0:
-            front = materialize(front, "frontier")
-        found.append(front.where(F.element_at("path", -1) == target).withColumn("length", F.lit(depth)))
-        front = front.where(F.element_at("path", -1) != target)
-    if not found:
-        return start.withColumn("length", F.lit(0)).where("false")
+        return start
+    if max_depth < 1:
+        return start.where("false")
+    steps = _pairs(links)
+    ahead = half_paths(steps, source, target, (max_depth + 1) // 2)
+    back = half_paths(steps, target, source, max_depth // 2, back=True)
+    found = []
+    for length in range(1, max_depth + 1):
+        here, there = ahead[(length + 1) // 2], back[length // 2].select(F.col("path").alias("rest"), "end")
+        apart = F.size(F.array_intersect("path", "rest")) == 1  # the node where they meet
+        found.append(here.join(there, "end").where(apart).select(F.concat("path", F.slice("rest", F.lit(2), F.size("rest"))).alias("path"), F.lit(length).alias("length")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -99,6 +99,23 @@ def test_paths(spark):
     assert traverse.shortest_path(g.links, "a", "a", 5).first()["path"] == ["a"]
 
 
+def test_paths_from_both_ends(spark):
+    """At depth 8 the same paths as by walking from one end, with a fraction of the frontier."""
+    rng = random.Random(40)
+    nodes = [f"n{i:02}" for i in range(60)]
+    pairs = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(150)})
+    g = graph(spark, pairs, nodes)
+    steps = g.links.select("source_id", "target_id").distinct()
+    ends = [(a, b) for a, b in [("n00", "n41"), ("n07", "n30"), ("n12", "n03")]]
+    for s, t in ends:
+        found = sorted(tuple(r["path"]) for r in traverse.paths(g.links, s, t, 8).collect())
+        assert found == plain_paths(pairs, s, t, 8)
+    s, t = ends[0]
+    both = sum(f.count() for f in [*traverse.half_paths(steps, s, t, 4), *traverse.half_paths(steps, t, s, 4, back=True)])
+    one = sum(f.count() for f in traverse.half_paths(steps, s, t, 8))
+    assert both < one / 4, (both, one)
+
+
 def test_hops(spark):
     g = graph(spark, PAIRS, ["a", "b", "c", "d", "e", "z"])
     seeds = spark.createDataFrame([("a",), ("z",)], "seed string")

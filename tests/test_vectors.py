@@ -8,11 +8,12 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from lorekeep.errors import ComputationError, InvalidOperation, NotFound
 from lorekeep.functions import vector as V
-from lorekeep.operators import hybrid, reduce, vectors
+from lorekeep.operators import hybrid, ml, reduce, vectors
 from lorekeep.plans.engine import MemoryEngine
 from lorekeep.sources.catalog import from_rows
 from lorekeep.sources.store import GraphStore
@@ -110,6 +111,34 @@ def test_reduction(spark):
         reduce.VectorReducer("pca", 2).fit(table(spark, {"a": [1, 2, 3], "b": [1, 2, 3, 4]}))
 
 
+@pytest.mark.parametrize("method", reduce.METHODS)
+def test_reduction_as_a_pipeline_stage(spark, tmp_path, method):
+    """Fitted, saved and loaded, in a pipeline and alone: the reducer's own vectors, and null where there is none."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 9)).astype(np.float32).astype(float)
+    named = {f"v{i:02}": list(v) for i, v in enumerate(x)}
+    rows = table(spark, named)
+    want = {r["memory_id"]: r["vector"] for r in reduce.VectorReducer(method, 3, 7).fit(rows).transform(rows).collect()}
+    made = rows.select("memory_id", F.col("vector").alias("x y")).unionByName(spark.createDataFrame([("none", None)], "memory_id string, `x y` array<float>"))
+    stage = ml.VectorReduction(inputCol="x y", outputCol="small", method=method, target=3, seed=7)
+    Pipeline(stages=[stage]).write().save(str(tmp_path / "unfitted"))
+    fitted = Pipeline.load(str(tmp_path / "unfitted")).fit(made)
+    fitted.write().save(str(tmp_path / "fitted"))
+    stage.fit(made).write().save(str(tmp_path / "alone"))
+    again = [PipelineModel.load(str(tmp_path / "fitted")), ml.VectorReductionModel.load(str(tmp_path / "alone"))]
+    for model in (fitted, *again):
+        got = {r["memory_id"]: r["small"] for r in model.transform(made).collect()}
+        assert got.pop("none") is None and got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert (again[1].getMethod(), again[1].getTarget(), again[1].getSeed()) == (method, 3, 7)
+    if method == "pca":  # axes are orthogonal, and components uncorrelated around 0
+        y = np.array([got[k] for k in sorted(got)])
+        cov = np.cov(y.T, bias=True)
+        assert np.allclose(again[1].basis.T @ again[1].basis, np.eye(3)) and np.allclose(cov, np.diag(np.diag(cov)), atol=1e-9)
+    with pytest.raises(Exception, match="unlike dimensions"):
+        again[1].transform(table(spark, {"a": [1.0, 2.0]}).withColumnRenamed("vector", "x y")).collect()
+
+
 def test_exact_against_brute_force_and_recall(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(8, 16))
