@@ -42,7 +42,7 @@ CHUNK = 4 << 20
 #: Bytes of text in a part of the table of documents, and such parts at most.
 PART, MOST_PARTS = 16 << 20, 50_000
 #: Windows of a segment at most, bytes of segments that one group gets, and that are sorted at once.
-RUN, GROUP, BLOCK = 512, 4 << 20, 1 << 19
+RUN, GROUP, BLOCK = 512, 1 << 20, 1 << 19
 #: Occurrences of an anchor beyond which its windows go one by one.
 HOT = 10_000
 #: Windows that are hashed at once, so that arrays stay in the cache.
