@@ -114,11 +114,6 @@ _add(
     _sql("ml", 'SELECT \'memories\' AS "table", count(*) AS "rows" FROM memories UNION ALL SELECT \'links\', count(*) FROM links UNION ALL SELECT \'collections\', count(DISTINCT source) FROM memories UNION ALL SELECT \'agents\', 0 UNION ALL SELECT \'contexts\', 0'),
 )
 _add("without_dangling", lambda c: exchange.without_dangling(c.tables()).links.select(*_LINK), _sql("ml", f"SELECT {_LINK_SQL} FROM links WHERE source_id IN (SELECT id FROM memories) AND target_id IN (SELECT id FROM memories)"))
-_add(
-    "demo_counts",
-    lambda c: store.table_counts(generate.demo(c.spark)),
-    'SELECT * FROM (VALUES (\'memories\', 27::BIGINT), (\'links\', 25), (\'collections\', 5), (\'agents\', 4), (\'contexts\', 1)) t("table", "rows")',
-)
 _add(
     "group_memories",
     lambda c: generate.group_memories(c.memories, analytics.topic_of()).select("collection_id", F.array_join("memory_ids", ",").alias("memory_ids")),
