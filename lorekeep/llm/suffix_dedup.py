@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import shared_path
+from lorekeep.llm.common import arrow_rows, shared_path
 from lorekeep.session import discard, materialize
 
 #: Bytes that two documents must share.
@@ -38,7 +38,9 @@ LENGTH = 50
 #: Bytes of the strings whose hashes are compared for an anchor; windows are no shorter than these.
 ANCHOR = 20
 #: Bytes of documents that are searched at once, and whose equal segments merge.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Rows that are handed to Python at once, so that batches of whole texts stay small.
+ROWS = 4096
 #: Bytes of text in a part of the table of documents, and such parts at most.
 PART, MOST_PARTS = 16 << 20, 50_000
 #: Windows of a segment at most, bytes of segments that one group gets, and that are sorted at once.
@@ -445,11 +447,13 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = f"lorekeep_documents_{uuid.uuid4().hex}"
     chunked = texts.mapInArrow(_chunked, "chunk bigint, row int, doc_id bigint, text binary")
     parts = min(MOST_PARTS, total // PART + 1)
-    chunked.write.bucketBy(parts, "chunk").option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(name)
+    with arrow_rows(spark, ROWS):
+        chunked.write.bucketBy(parts, "chunk").option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(name)
     documents = spark.table(name)
     seen = documents.select("chunk", "text").mapInArrow(_anchors(length), "anchor bigint, chunk bigint, seen int")
     shared = seen.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "chunk bigint, anchor bigint, hot boolean")
-    shared = materialize(shared, "shared", free_shuffles=True, codec="zstd")
+    with arrow_rows(spark, ROWS):
+        shared = materialize(shared, "shared", free_shuffles=True, codec="zstd")
     segments = documents.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_segments(length), SEGMENTS)
     segments = materialize(segments, "segments", free_shuffles=True, codec="zstd")
     discard(shared)
