@@ -4,8 +4,8 @@ An alignment of a benchmark item of m characters with at most k edits keeps at l
 m - q + 1 - k * q of the item's q-grams, on diagonals (place in the text less place in the item) that
 lie within k of each other. Shared q-grams are counted in diagonal bands that overlap by k, so that
 one band holds all of them; bands that reach the bound are kept, and a banded alignment verifies each.
-Items so short that the bound would vanish are searched by shorter q-grams, down to whole items of
-one character.
+Items so short that the bound would vanish are searched by shorter q-grams; items of fewer than q
+characters, which allow no edit, are one q-gram and match where they stand as whole words.
 """
 
 from __future__ import annotations
@@ -91,6 +91,7 @@ class Index:
     place: np.ndarray
     bitmap: np.ndarray
     q: int
+    words: np.ndarray  # items that are one q-gram and match as whole words
 
     @staticmethod
     def all(rows: list[tuple[int, str]], q: int, rate: float) -> list[Index]:
@@ -100,10 +101,10 @@ class Index:
             m = len(normalize((text or "").strip())[0])
             if m:
                 by_q.setdefault(min(q, m // (int(rate * m) + 1)), []).append((i, text))
-        return [Index.build(some, length, rate) for length, some in sorted(by_q.items())]
+        return [Index.build(some, length, rate, q) for length, some in sorted(by_q.items())]
 
     @staticmethod
-    def build(rows: list[tuple[int, str]], q: int, rate: float) -> Index:
+    def build(rows: list[tuple[int, str]], q: int, rate: float, most: int = 0) -> Index:
         codes = [normalize((text or "").strip())[0] for _, text in rows]
         m = np.array([len(c) for c in codes], np.int64)
         edits = (rate * m).astype(np.int64)
@@ -114,7 +115,21 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return Index([i for i, _ in rows], codes, edits, m - q + 1 - edits * q, hashes[order], item[order], place[order], bitmap, q)
+        words = (m == q) & (edits == 0) & (m < most)
+        bound = np.where(words, np.iinfo(np.int64).max, m - q + 1 - edits * q)  # no band reaches it
+        return Index([i for i, _ in rows], codes, edits, bound, hashes[order], item[order], place[order], bitmap, q, words)
+
+    def whole_words(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(item, start) of the short items that stand in a text with no letter or digit beside them."""
+        if not self.words.any():
+            return []
+        grams = _qgrams(codes, self.q)
+        kinds, of = np.unique(codes, return_inverse=True)
+        joined = np.array([c < _BETWEEN and chr(c).isalnum() for c in kinds.tolist()], bool)[of]
+        beside = np.concatenate([[False], joined, [False]])
+        at = np.flatnonzero(self.bitmap[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] & ~beside[: len(grams)] & ~beside[self.q + 1 :][: len(grams)])
+        low, high = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
+        return [(int(i), p) for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True) for i in self.item[a:b] if self.words[i] and (self.items[i] == codes[p : p + self.q]).all()]
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) of the bands that reach their item's bound."""
@@ -204,28 +219,31 @@ def banded(pattern: np.ndarray, codes: np.ndarray, first: int, last: int, at: in
 def _search(texts: list[tuple[int, str]], index: Index) -> Iterator[tuple[int, int | None, int, int, int]]:
     """(row, item id, start, end, edits) for some texts that are searched together."""
     overlap = max((len(c) for c in index.items), default=0) * 2 + 64
-    parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[int, np.ndarray, np.ndarray, bool, bool]] = []
     held = 0
 
     def flush() -> Iterator[tuple[int, int, int, int, int]]:
         gap = np.full(1 + int(index.edits.max(initial=0)), _BETWEEN, np.uint32)  # no alignment gets across
-        codes = np.concatenate([x for _, c, _ in parts for x in (c, gap)])
-        starts = np.cumsum([0, *[len(c) + len(gap) for _, c, _ in parts]])
+        codes = np.concatenate([x for _, c, *_ in parts for x in (c, gap)])
+        starts = np.cumsum([0, *[len(c) + len(gap) for _, c, *_ in parts]])
         seen = set()
-        for item, first, last in index.regions(codes):
-            for start, end, edits in index.verify(codes, item, first, last):
-                p = int(np.searchsorted(starts, start, "right")) - 1
-                row, own, offsets = parts[p]
-                a, b = start - int(starts[p]), end - int(starts[p])
-                if b <= len(own) and (hit := (row, index.ids[item], int(offsets[a]), int(offsets[b - 1]) + 1, edits)) not in seen:
-                    seen.add(hit)
-                    yield hit
+        short = [(item, start, start + index.q, 0) for item, start in index.whole_words(codes)]
+        long = ((item, *hit) for item, first, last in index.regions(codes) for hit in index.verify(codes, item, first, last))
+        for item, start, end, edits in (hit for hits in (short, long) for hit in hits):
+            p = int(np.searchsorted(starts, start, "right")) - 1
+            row, own, offsets, before, after = parts[p]
+            a, b = start - int(starts[p]), end - int(starts[p])
+            if index.words[item] and (before and a == 0 or after and b == len(own)):
+                continue  # what stands beside it is in the next slice, which has it too
+            if b <= len(own) and (hit := (row, index.ids[item], int(offsets[a]), int(offsets[b - 1]) + 1, edits)) not in seen:
+                seen.add(hit)
+                yield hit
 
     for row, text in texts:
         codes, offsets = normalize(text or "")
         for at in range(0, max(1, len(codes)), SLICE_CHARS):
             end = at + SLICE_CHARS + overlap
-            parts.append((row, codes[at:end], offsets[at:end]))
+            parts.append((row, codes[at:end], offsets[at:end], at > 0, end < len(codes)))
             held += len(parts[-1][1])
             if held >= SLICE_CHARS:
                 yield from flush()
@@ -240,7 +258,8 @@ def contaminated(
     """One row for each passage of a document that is a benchmark item: doc_id, item_id, start, end, edits.
 
     A passage matches if the item (white space trimmed and folded, lower case) becomes the passage by
-    at most rate * length edits; start and end are code points of the original text. Blank items and null texts
+    at most rate * length edits; start and end are code points of the original text. An item of fewer than ``q``
+    characters has no letter or digit beside it. Blank items and null texts
     match nothing; an item without an id is found like any other, and items that repeat an id and a passage count once.
     Rows are documents of their own, also where they repeat an id, and null document ids pass through. Other columns are ignored, whatever their names.
     The benchmark is indexed in blocks of ``INDEX_CHARS`` characters, each of which is broadcast and

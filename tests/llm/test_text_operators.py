@@ -425,9 +425,18 @@ def test_short_items(spark):
         k = int(decontaminate.RATE * len(plain_fold(item.strip())))
         docs += [(m, f"0123 {item} 4567"), (1000 + m, "98" + edited(rng, item, k) + "76"), (2000 + m, "98" + edited(rng, item, k + 3) + "76")]
     found = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    want = {(i, k) for i, text in docs for k, item in items if item and item.strip() and distance(plain_fold(item.strip()), plain_fold(text)) <= int(decontaminate.RATE * len(plain_fold(item.strip())))}
+    want = set()
+    for i, text in docs:
+        for k, item in items:
+            fold, whole = plain_fold((item or "").strip()), plain_fold(text)
+            if 0 < len(fold) < decontaminate.Q:  # whole words
+                hit = regex.search(rf"(?<![^\W_]){regex.escape(fold)}(?![^\W_])", whole) is not None
+            else:
+                hit = bool(fold) and distance(fold, whole) <= int(decontaminate.RATE * len(fold))
+            if hit:
+                want.add((i, k))
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
-    assert {(m, m) for m, item in items[:60] if item.strip()} | {(0, 100)} <= want
+    assert {(m, m) for m, item in items[:60] if item.strip()} | {(0, 100)} <= want and (0, 2) not in want
     assert decontaminate.drop_contaminated(table(spark, docs), spark.createDataFrame(items[-3:], "item_id bigint, text string")).count() == len(docs) - 1
 
 
@@ -444,6 +453,11 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     text = long + items[0][1] + long
     hits = list(decontaminate._search([(0, text)], decontaminate.Index.build(items[:1], decontaminate.Q, decontaminate.RATE)))
     assert {h[2:4] for h in hits} == {(len(long), len(long) + len(items[0][1]))}
+    # a short item at the end of a slice and in the middle of words that slices cut
+    size = decontaminate.SLICE_CHARS
+    text = "y" * (size - 1) + "xab" + "y" * 500 + " xab " + "z" * (2 * size - 500) + "xab"
+    hits = list(decontaminate._search([(0, text)], decontaminate.Index.all([(1, "xab"), (2, "ab")], decontaminate.Q, decontaminate.RATE)[-1]))
+    assert [h[1:] for h in hits] == [(1, size + 503, size + 506, 0)]
 
 
 def test_items_without_an_id(spark):
