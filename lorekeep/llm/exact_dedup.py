@@ -65,7 +65,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns, each text once.
 
     Copies of frequent texts go before any shuffle; the others are found by id and digest. Where
-    rows repeat an id and its text, one of them stays.
+    rows repeat an id and its text, one of them stays; if their other columns differ, which one is open. A null text is an empty
+    one. A null id loses against any other, and of a text that has null ids only one row stays. An empty table gives no rows; columns
+    keep their names, whatever these are.
     """
     key, sha, best, frequent = (fresh_name(docs, x) for x in ("key", "sha", "best", "frequent"))
     rows = _digests(docs, id_col, text_col)

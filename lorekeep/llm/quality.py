@@ -177,7 +177,11 @@ def grade(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: int = 1, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`grade` keeps, with all their columns; no shuffle."""
+    """The rows of ``docs`` that :func:`grade` keeps, with all their columns; no shuffle.
+
+    Rows are judged by their text alone, so ids may be null or repeated. Null and empty texts have the score of a text without
+    features and stay or go all alike. Without ratings the model is the one that :func:`grade` has then; an empty table gives no rows.
+    """
     model = fit_ratings(docs, ratings, id_col, text_col, tail)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     place = docs.columns.index(text_col)
