@@ -7,6 +7,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lorekeep.operators import analytics
@@ -206,3 +207,30 @@ def test_topics_of_communities(spark):
     memories = spark.createDataFrame([("a", '{"topic": "t"}'), ("b", '{"topic": "t"}'), ("c", None), ("d", '{"topic": "u"}')], "id string, metadata string")
     got = {(r["community"], r["topic"]): (r["memories"], round(r["share"], 6)) for r in analytics.community_topics(members, memories).collect()}
     assert got == {("x", "t"): (2, 0.666667), ("x", "unknown"): (1, 0.333333)}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_searches_of_many_sources_at_once(weighted):
+    """A block of sources gives what its sources give one by one, with lengths from 1e-9 to 1000."""
+    rng = np.random.default_rng(3)
+    n, m = 400, 1200
+    source, target = rng.integers(0, n, m), rng.integers(0, n, m)
+    _, once = np.unique(source * n + target, return_index=True)
+    source, target = source[once], target[once]
+    length = rng.integers(1, 4, len(source)) / 101.0 if weighted else np.ones(len(source))
+    if weighted:
+        length[::50], length[7::50] = 1e3, analytics.LEAST_LENGTH
+    graph = analytics._Graph([str(i) for i in range(n)], source, target, length)
+    want = np.zeros(n)
+    for s in range(n):
+        for v, x in analytics._from_source(graph, s).items():
+            want[v] += x
+    got = sum(analytics._depend_on(graph, np.arange(at, min(at + 90, n)), weighted) for at in range(0, n, 90))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_links_that_go_round_are_searched_one_by_one():
+    """From 0 a length of 1e9 leads to 1 and 2, which edges of 1e-9 join in both directions."""
+    graph = analytics._Graph(list("0123"), np.array([0, 1, 2, 2]), np.array([1, 2, 1, 3]), np.array([1e9, 1e-9, 1e-9, 1.0]))
+    assert analytics._levels_by_length(graph, np.array([0]))[1].tolist() == [0]
+    assert analytics._depend_on(graph, np.array([0, 1]), True).tolist() == [0.0, 2.0, 1.0 + 1.0, 0.0]
