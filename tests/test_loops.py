@@ -234,3 +234,16 @@ def test_links_that_go_round_are_searched_one_by_one():
     graph = analytics._Graph(list("0123"), np.array([0, 1, 2, 2]), np.array([1, 2, 1, 3]), np.array([1e9, 1e-9, 1e-9, 1.0]))
     assert analytics._levels_by_length(graph, np.array([0]))[1].tolist() == [0]
     assert analytics._depend_on(graph, np.array([0, 1]), True).tolist() == [0.0, 2.0, 1.0 + 1.0, 0.0]
+
+
+def test_a_round_of_halves_writes_one_table(spark, monkeypatch):
+    """Communities of two triangles: the moves of a round are no table of their own."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "d"), ("c", "d")]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "source_id string, target_id string, weight double")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    written = []
+    keep = analytics.materialize
+    monkeypatch.setattr(analytics, "materialize", lambda df, name, **more: written.append(name) or keep(df, name, **more))
+    found = of_rows(analytics.communities(edges, nodes))
+    assert found == dict(zip("abcdef", "aaaddd", strict=True))
+    assert "moves" not in written and written.count("scored") > written.count("labels")
