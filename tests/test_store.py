@@ -371,3 +371,15 @@ def test_timers_follow_the_latest_row(spark, tmp_path):
     want = plain_expiries(batches, dt.timedelta(hours=2))
     assert sorted((r["id"], r["expired_at"]) for r in got) == want
     assert {"plain", "short", "again", "new", "edge"} == {i for i, _ in want}
+
+
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.range(50)
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (name,) = glob.glob(str(tmp_path / "part" / "*.parquet"))
+    os.makedirs(tmp_path / "one")
+    os.rename(name, tmp_path / "one" / "events.parquet")
+    for kind in ("many", "one"):
+        stream = jobs.read_table(spark, str(tmp_path / kind), "events", "id bigint")
+        assert jobs.run_to_end(stream, str(tmp_path / f"ck-{kind}"), "append").count() == 50
