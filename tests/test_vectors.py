@@ -215,3 +215,36 @@ def test_hybrid(spark, basis):
     assert parts["one"] == {"keyword": 1.0, "vector": 1.0}
     with pytest.raises(InvalidOperation):
         hybrid.search(memories, basis, hybrid.HybridQuery())
+
+
+def test_the_best_rows_so_far_are_few_and_right():
+    """Many blocks of rows with ties and equal scores: what is held stays bounded, and ties go by id."""
+    rng, best, rows = np.random.default_rng(5), vectors.Best(6, 4), []
+    for block in range(200):
+        scores = np.round(rng.random((6, 50)), 2) if block % 2 else np.full((6, 50), 0.99)
+        ids = np.array([str(x) for x in rng.permutation(50) + 50 * block], object)
+        best.add(np.arange(6), scores, ids)
+        assert best.held <= 4 * 4 * 6
+        rows.append((scores, ids))
+    scores, ids = np.concatenate([s for s, _ in rows], 1), np.concatenate([i for _, i in rows])
+    got = list(zip(*best.shrink(), strict=True))
+    want = [(q, *x) for q in range(6) for x in sorted(zip(-scores[q], ids, strict=True))[:4]]
+    assert [(q, -s, i) for q, s, i in got] == want
+
+
+def test_an_inverted_file_gives_each_query_its_best_of_the_cells_it_reads(spark):
+    """Whatever the block of queries; the same as by comparing each query with each row of its cells."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(str(i), rng.normal(size=8).tolist()) for i in range(700)], "memory_id string, vector array<double>")
+    asked = rows.where("CAST(memory_id AS INT) % 10 = 0").withColumnRenamed("memory_id", "query_id")
+    file = vectors.InvertedFile(cells=8, probes=3).fit(rows)
+    index = file.index(rows)
+    got = {(r["query_id"], r["memory_id"]): r["rank"] for r in file.search(index, asked, 5).collect()}
+    x = {r["memory_id"]: (np.array(r["vector"]), r["cell"]) for r in index.collect()}
+    want = {}
+    for q in (r["query_id"] for r in asked.collect()):
+        v = x[q][0]
+        cells = set(np.argsort(-(v @ file.centers.T), kind="stable")[:3])
+        near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), i) for i, (w, c) in x.items() if c in cells)[:5]
+        want |= {(q, i): n for n, (_, i) in enumerate(near, 1)}
+    assert got == want
