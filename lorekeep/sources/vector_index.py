@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from lorekeep.errors import ComputationError, InvalidOperation
 from lorekeep.operators.vectors import QUERY_BLOCK, _matrix, similarities
+from lorekeep.session import materialize
 from lorekeep.sources.store import GraphStore
 
 #: Words of a part of the codebook: a code is a byte.
 WORDS = 256
+#: What sums of table entries and rounded scores may be off by.
+SLACK = 1e-5
 #: Codes that are held against queries at once.
 ROWS = 2048
 
@@ -68,10 +71,16 @@ class Codes:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, code) of each row."""
+        return self.encode_with_error(x)[:2]
+
+    def encode_with_error(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, code, error) of each row; error is the distance of its unit vector from what cell and code stand for."""
         x = unit(x)
         of = nearest(x, self.centers)
         rest = x - self.centers[of]
-        return self.cells[of], np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.limits, self.limits[1:], self.words, strict=False)], 1).astype(np.uint8)
+        code = np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.limits, self.limits[1:], self.words, strict=False)], 1)
+        said = np.concatenate([w[code[:, j]] for j, w in enumerate(self.words)], 1)
+        return self.cells[of], code.astype(np.uint8), np.linalg.norm(rest - said, axis=1)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(part, query, word): what a word adds to the product of a query with a vector."""
@@ -98,7 +107,7 @@ class VectorIndex:
 
     ``parts`` bytes stand for a vector; ``cell_rows`` is how many rows a cell has before it is split;
     a query probes a share of ``probes`` of all cells, or so many if it is an int, and ``candidates`` rows for each
-    row asked for are compared in full.
+    row asked for are compared in full. With ``probes=1.0`` every row is compared that its code, by its error, doesn't rule out, so a search is exact.
     """
 
     def __init__(self, store: GraphStore, parts: int = 32, cell_rows: int = 65_536, probes: float | int = 0.25, candidates: int = 2, sample: int = 10_000, seed: int = 1):
@@ -183,12 +192,12 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell, code = shared.value.encode(_matrix(batch.column(1), shared.value.dimensions))
+                cell, code, error = shared.value.encode_with_error(_matrix(batch.column(1), shared.value.dimensions))
                 said = pa.array([row.tobytes() for row in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), said], names=["memory_id", "vector", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), said, pa.array(error)], names=["memory_id", "vector", "cell", "code", "error"])
 
         rows = vectors.select("memory_id", F.col("vector").cast("array<float>").alias("vector"))
-        return rows.mapInArrow(run, "memory_id string, vector array<float>, cell int, code binary")
+        return rows.mapInArrow(run, "memory_id string, vector array<float>, cell int, code binary, error double")
 
     # search
 
@@ -234,7 +243,38 @@ class VectorIndex:
 
     def _search(self, codes: Codes, block: list[tuple[str, list[float]]], k: int) -> DataFrame:
         # a block of queries times the candidates of each: the bound of this broadcast
-        near = F.broadcast(self.candidates_of(codes, block, k))
+        best = self._scored(F.broadcast(self.candidates_of(codes, block, k)), block, k)
+        if isinstance(self.probes, int) or self.probes < 1.0:
+            return best
+        # every cell is probed, so the nearest of all are asked for: compare whatever the codes can't rule out
+        best = materialize(best, "best")
+        least = {r["query_id"]: r["least"] for r in best.where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("least")).collect()}  # one row a query
+        return self._scored(self._not_ruled_out(codes, block, np.array([least.get(i, -np.inf) for i, _ in block])), block, k)
+
+    def _not_ruled_out(self, codes: Codes, block: list[tuple[str, list[float]]], least: np.ndarray) -> DataFrame:
+        """query, memory_id, cell: the rows whose codes, with their errors, allow a score of ``least`` of the query or more."""
+        queries = unit(np.array([v for _, v in block], np.float64).reshape(len(block), codes.dimensions))
+        base = {int(c): queries @ codes.centers[j] for j, c in enumerate(codes.cells)}
+        shared = self.store.spark.sparkContext.broadcast((base, codes.tables(queries), least - SLACK))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base, tables, least = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    cell = batch.column(1).to_numpy()
+                    code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    most = np.stack([base[c] for c in cell.tolist()], 1) + batch.column(3).to_numpy(zero_copy_only=False)
+                    for j in range(code.shape[1]):
+                        most += tables[j][:, code[:, j]]
+                    query, found = np.nonzero(~(most < least[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), batch.column(0).take(pa.array(found)), pa.array(cell[found], pa.int32())], names=["query", "memory_id", "cell"])
+
+        # a row without an error is ruled out by nothing
+        rows = self.store.read("codes").select("memory_id", "cell", "code", F.coalesce("error", F.lit(2.0)).alias("error"))
+        return rows.mapInArrow(run, "query int, memory_id string, cell int")
+
+    def _scored(self, near: DataFrame, block: list[tuple[str, list[float]]], k: int) -> DataFrame:
         met = self.store.read("codes").select("memory_id", "cell", "vector").join(near, ["memory_id", "cell"])
         shared = self.store.spark.sparkContext.broadcast(([i for i, _ in block], np.array([v for _, v in block], np.float64)))
 

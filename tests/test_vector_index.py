@@ -148,3 +148,14 @@ def test_a_search_reads_the_codes_of_its_cells(spark, tmp_path):
     assert scans and all("vector" not in line for line in scans)
     assert all(len(re.findall(r"\d+", re.search(r"cell#\d+ IN \(([^)]*)\)", line)[1])) == 2 for line in scans if "PartitionFilters" in line and " IN (" in line)
     assert any(" IN (" in line for line in scans)
+
+
+def test_a_search_that_probes_all_cells_is_exact(spark, tmp_path):
+    """Codes of two bytes and one candidate a row: what they rank too low is compared all the same."""
+    x = np.random.default_rng(9).normal(size=(500, 16))
+    index = VectorIndex(GraphStore(spark, str(tmp_path / "s")), parts=2, cell_rows=120, probes=1.0, candidates=1)
+    rows = table(spark, x)
+    index.build(rows)
+    asked = rows.limit(12).withColumnRenamed("memory_id", "query_id")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["memory_id"]) for r in df.collect())
+    assert key(index.search(asked, 7)) == key(vectors.top_k(rows, asked, 7))
