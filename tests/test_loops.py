@@ -247,3 +247,20 @@ def test_a_round_of_halves_writes_one_table(spark, monkeypatch):
     found = of_rows(analytics.communities(edges, nodes))
     assert found == dict(zip("abcdef", "aaaddd", strict=True))
     assert "moves" not in written and written.count("scored") > written.count("labels")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata"), reason="the generated tables are not here")
+def test_communities_need_few_rounds(spark, monkeypatch):
+    """3,000 links: the end of the first level and all coarser levels take no round of joins each."""
+    c = CorpusCatalog(spark, "/root/testdata/sf0.01")
+    edges = analytics.materialize(analytics.simple_graph(c.links, c.memories), "edges")
+    written = []
+    keep = analytics.materialize
+    monkeypatch.setattr(analytics, "materialize", lambda df, name, **more: written.append(name) or keep(df, name, **more))
+    found = keep(analytics.communities(edges, c.memories), "found")
+    assert written.count("scored") <= 8, written
+    assert found.count() == c.memories.count() and analytics.modularity(found, edges) > 0.5
+    # levels by rounds alone come out as good
+    monkeypatch.setattr(analytics, "MOST_IN_TURN", 100)
+    monkeypatch.setattr(analytics, "MOST_COARSE", 100)
+    assert analytics.modularity(analytics.communities(edges, c.memories), edges) > 0.5
