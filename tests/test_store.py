@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import glob
+import json
 import os
 import re
 
@@ -261,6 +262,28 @@ def test_export_and_import(spark, tmp_path):
     assert exchange.proto_metadata('{"a": 1, "b": true, "c": ["x", 2]}') == '{"a": 1.0, "b": true, "c": ["x", 2.0]}'
 
 
+def test_a_document_has_a_line_for_each_record(spark, tmp_path):
+    """Many files, none of whose lines grows with the graph, are one JSON document; one in a single string is read too."""
+    t = demo(spark)
+    odd = from_rows(spark, memories=[memory('a"\\\n\u2028', 'two\nlines "x"'), memory(None, None)]).memories
+    t = t.replace(memories=t.memories.unionByName(odd))
+    exchange.export_json(t, str(tmp_path / "lines"))
+    files = sorted((tmp_path / "lines").rglob("*.txt"))
+    whole = json.loads("".join(f.read_text() for f in files))
+    ids = lambda rows: {r["id"] or "" for r in rows.collect()}
+    assert set(whole["memories"]) == ids(t.memories) and set(whole["links"]) == ids(t.links) and whole["version"] == exchange.VERSION
+    assert len(whole["collection_members"]) == t.collection_members.count()
+    assert max(len(line) for f in files for line in f.read_text().split("\n")) < 1_000
+    same(t, exchange.import_json(spark, str(tmp_path / "lines")))
+    with pytest.raises(ValueError):
+        exchange.export_json(t.replace(memories=t.memories.union(t.memories)), str(tmp_path / "twice"))
+    kept = demo(spark)
+    maps = {n: {r["id"]: {k: v for k, v in json.loads(j).items()} for r, j in zip(rows.collect(), rows.toJSON().collect(), strict=True)} for n, rows in exchange.records(kept).items()}
+    (tmp_path / "single").mkdir()
+    (tmp_path / "single" / "x.json").write_text(json.dumps({"version": "1.0"} | maps))
+    same(kept, exchange.import_json(spark, str(tmp_path / "single")))
+
+
 def test_versions_and_updates(spark):
     log = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("b", 2, "y"), ("a", 2, "w")], "id string, version int, v string")
     assert sorted(map(tuple, latest(log).collect())) == [("a", 3, "z"), ("b", 2, "y")]
