@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 from lorekeep.functions.text import _stem_of
-from lorekeep.operators import forgetting
+from lorekeep.operators import forgetting, ranking
 from lorekeep.operators.ranking import RankedIndex
 from lorekeep.sources.catalog import from_rows
 
@@ -94,3 +94,24 @@ def test_accesses_as_of(spark):
         at = sorted(t for i, t in log if i == m and t)
         assert [r["accessed_at"] for r in own] == at and [r["nth"] for r in own] == list(range(1, len(at) + 1))
         assert {r["first_access"] for r in own} == {at[0]} and [r["since"] for r in own] == [None, *[(b - a).total_seconds() for a, b in zip(at, at[1:], strict=False)]]
+
+
+def test_scores_without_an_index(spark, texts, index, monkeypatch):
+    """One reading of the texts gives the index's scores and writes the postings of the query only; rows that share an id are one memory."""
+    row = lambda i, t: (i, t, "s", 0.5, 0.5, 0, NOW, NOW, None, "{}")
+    whole = from_rows(spark, memories=[row(i, t) for i, t in texts.items()] + [row("none", None)]).memories
+    words = {i: t.split() for i, t in texts.items()}
+    halves = from_rows(spark, memories=[row(i, " ".join(w[k::2])) for i, w in words.items() for k in (0, 1)]).memories
+    written, keep = {}, ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name, **more: written.setdefault(name, keep(df, name, **more)))
+    for query in ("agzz bhzz wbx", "nowhere", ""):
+        want = plain_scores(texts, query)
+        for memories in (whole, halves):
+            written.clear()
+            got = {r["memory_id"]: r["score"] for r in ranking.scan_scores(memories, query).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+            stems = {r["stem"] for r in written["said"].selectExpr("inline(counts)").collect()}
+            assert "counted" not in written and stems <= {_stem_of(w) for w in query.split()}
+    written.clear()
+    built = RankedIndex.build(halves)
+    assert "counted" not in written and built.postings.select("stem", "memory_id", "tf", "length").exceptAll(index.postings.select("stem", "memory_id", "tf", "length")).isEmpty()
