@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -264,3 +265,10 @@ def test_communities_need_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(analytics, "MOST_IN_TURN", 100)
     monkeypatch.setattr(analytics, "MOST_COARSE", 100)
     assert analytics.modularity(analytics.communities(edges, c.memories), edges) > 0.5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata"), reason="the generated tables are not here")
+def test_order_lines_are_dealt_out_by_order_alone(spark):
+    """The pairs of suppliers that share orders: no shuffle by order and supplier in front of those by order."""
+    plan = CorpusCatalog(spark, "/root/testdata/sf0.001").supplier_links._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", plan), plan
