@@ -396,6 +396,16 @@ def test_timers_follow_the_latest_row(spark, tmp_path):
     assert {"plain", "short", "again", "new", "edge"} == {i for i, _ in want}
 
 
+def test_timers_beyond_the_times_of_pandas(spark, tmp_path):
+    """Nanoseconds end in 2262; rows and timers may be later, and rows without a time or an id don't matter."""
+    far = lambda d: dt.datetime(2777, 5, 1) + dt.timedelta(days=d)
+    rows = [("early", NOW, 60), ("far", far(0), 86400), ("later", far(4), 10**9), ("clock", far(5), None), ("none", None, 60)]
+    spark.createDataFrame(rows, "id string, timestamp timestamp_ntz, ttl bigint").coalesce(1).write.parquet(str(tmp_path / "memories"))
+    stream = jobs.read_log(spark, str(tmp_path / "memories"), "id string, timestamp timestamp_ntz, ttl bigint")
+    got = jobs.run_to_end(jobs.expiries(stream, "2 hours"), str(tmp_path / "ck"), "append").collect()
+    assert sorted((r["id"], r["expired_at"]) for r in got) == [("early", NOW + dt.timedelta(seconds=60)), ("far", far(1))]
+
+
 def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path):
     rows = spark.range(50)
     rows.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
