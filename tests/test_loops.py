@@ -149,6 +149,22 @@ def test_modularity_on_the_tables(spark):
     assert ours >= theirs and ours > 0.4, (ours, theirs)
 
 
+@pytest.mark.parametrize(("room", "single"), [(1 << 23, 8), (1, 1)])
+def test_path_lengths_by_bits_of_many_searches(monkeypatch, room, single):
+    """A hub, a long chain, a loop, a start twice and more than 64 starts; a block of searches visits each edge once a hop."""
+    monkeypatch.setattr(analytics._Reach, "ROOM", room)
+    monkeypatch.setattr(analytics._Reach, "SINGLE", single)
+    some = random.Random(3)
+    pairs = {(some.randrange(90), some.randrange(90)) for _ in range(150)} | {(i, 90) for i in range(0, 60, 2)} | {(90, 91)} | {(i, i + 1) for i in range(91, 140)} | {(5, 5)}
+    source, target = map(np.array, zip(*sorted(pairs), strict=True))
+    graph = analytics._Graph([str(i) for i in range(141)], source, target, np.ones(len(source)))
+    reach = analytics._Reach(graph)
+    assert reach.words == (16 if room > 1 else 1)
+    starts = np.array([*range(0, 141, 2), 4] if room > 1 else [*range(60), 4], np.int64)
+    far = analytics._hops(graph, starts)[0]
+    assert list(reach.hops(starts)) == np.bincount(far[far > 0])[1:].tolist()
+
+
 def plain_betweenness(pairs, nodes):
     """Shares of shortest paths, by listing every path."""
     near = defaultdict(list)
