@@ -12,7 +12,7 @@ small-star rounds (Kiveris et al. 2014).
 Pairs of a given shingle similarity differ in too many of 64 bits for any such bound: at a Jaccard
 similarity of 0.8 in 15 of 100. For them the fingerprint has several words of 64 bits. In each word the
 search runs as before, with the bound and the number of words at which the predicted share of missed
-pairs is small at the least cost; candidates are verified on two words and then on whole shingle sets.
+pairs is small at the least cost; candidates are verified on two words, on four, and then on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BITS = 64
 CHUNK = 1 << 16
 #: A bucket with more rows is compared in blocks of about this many.
 BLOCK = 20_000
+#: Comparisons of a bucket that are made at once.
+CELLS = 1 << 17
 #: Links that one task joins to components.
 MOST_LOCAL = 1_000_000
 #: Heavy buckets that are broadcast at most; more are joined by a shuffle.
@@ -47,6 +49,12 @@ WORDS, MISS = 16, 0.002
 ROW_COST, PAIR_COST = 2.0, 0.004
 #: The same for similarity search, whose rows are wider.
 WIDE_COSTS = (5.0, 0.01)
+#: Names of the words of a row in a bucket. A pair is compared on the first two, and if near by these on all: among millions of
+#: texts some are near on two words by chance, and their links would draw all groups together.
+CODES = "abcd"
+
+#: (words, bits): how many bits of the first words may differ.
+Bounds = list[tuple[int, int]]
 
 
 def _bit_counts(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
@@ -193,7 +201,7 @@ def bucket_rows(parts: list[tuple[list[int], int]], word: str = "fp", first: int
 
 
 def _probes(part: int, base: Column, flips: Column, word: str, more: tuple[str, ...]) -> Column:
-    codes = [F.expr(x).alias(name) for x, name in zip((word, *more), "ab", strict=False)]
+    codes = [F.expr(x).alias(name) for x, name in zip((word, *more), CODES, strict=False)]
     return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), base.bitwiseXOR(f).alias("key"), (f == 0).alias("own"), *codes))
 
 
@@ -217,23 +225,59 @@ def _minima(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _near(codes: list[np.ndarray], a, b, distance: int) -> np.ndarray:
-    """Whether the rows ``a`` and ``b`` of some words differ in at most ``distance`` bits."""
-    differ = np.bitwise_count(codes[0][a] ^ codes[0][b])
-    for word in codes[1:]:
+def _differing(words: list[np.ndarray], a, b) -> np.ndarray:
+    """In how many bits the rows ``a`` and ``b`` of some words differ."""
+    differ = np.bitwise_count(words[0][a] ^ words[0][b])
+    if len(words) * BITS > 255:
+        differ = differ.astype(np.uint16)
+    for word in words[1:]:
         differ += np.bitwise_count(word[a] ^ word[b])
-    return differ <= distance
+    return differ
 
 
-def _large_bucket(ids: np.ndarray, codes: list[np.ndarray], distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links of one bucket, each node linked once: a search that removes what it reaches."""
+def _near(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray | np.integer, bounds: Bounds) -> np.ndarray:
+    """Whether the rows ``a`` and ``b`` differ in at most so many bits of the first words as each bound says."""
+    (words, most), *more = bounds
+    near = _differing(codes[:words], a, b) <= most
+    for words, most in more:
+        at = np.flatnonzero(near)  # the first bound leaves few
+        if not len(at):
+            break
+        near[at] = _differing(codes[:words], a[at], b if np.ndim(b) == 0 else b[at]) <= most
+    return near
+
+
+def _all_near(codes: list[np.ndarray], bounds: Bounds) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of rows that are near, by blocks of comparisons; None where these are so many that a search is better."""
+    (words, most), *more = bounds
+    n, x, y = len(codes[0]), [], []
+    step = max(1, min(CELLS // n, -(-n // 4)))
+    for at in range(0, n, step):
+        near = _differing(codes[:words], (slice(at, at + step), None), (None, slice(at, None))) <= most
+        if at + step < n and np.count_nonzero(near) > near.size // 8:
+            return None
+        i, j = np.divmod(np.flatnonzero(near), n - at)
+        i, j = i[i < j] + at, j[i < j] + at
+        if more and len(i):
+            hit = _near(codes, i, j, more)
+            i, j = i[hit], j[hit]
+        x.append(i)
+        y.append(j)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _large_bucket(ids: np.ndarray, codes: list[np.ndarray], bounds: Bounds) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of one bucket: all of them where they are few, else each node linked once by a search that removes what it reaches."""
     _, first = np.unique(ids, return_index=True)
+    pairs = _all_near([c[first] for c in codes], bounds)
+    if pairs is not None:
+        return [ids[first[pairs[0]]]], [ids[first[pairs[1]]]]
     left, a, b = first, [], []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = _near(codes, left, x, distance)
+            near = _near(codes, left, x, bounds)
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -243,13 +287,14 @@ def _large_bucket(ids: np.ndarray, codes: list[np.ndarray], distance: int) -> tu
     return a, b
 
 
-def _links(group: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], distance: int, small: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows of the same group; ``group`` is sorted, ``codes`` has the words of each id."""
+def _links(group: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], bounds: Bounds | int, small: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows of the same group; ``group`` is sorted, ``codes`` has the words of each id. A number bounds all words."""
+    bounds = [(len(codes), bounds)] if isinstance(bounds, int) else bounds
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     a, b = [np.zeros(0, ids.dtype)], [np.zeros(0, ids.dtype)]
     for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        x, y = _large_bucket(ids[s : s + n], [c[s : s + n] for c in codes], distance)
+        x, y = _large_bucket(ids[s : s + n], [c[s : s + n] for c in codes], bounds)
         a += x
         b += y
     rest = np.repeat(sizes <= small, sizes)
@@ -258,19 +303,19 @@ def _links(group: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], distance
         at = np.flatnonzero(rest & (left_in > step))
         if not len(at):
             break
-        hit = at[_near(codes, at, at + step, distance)]
+        hit = at[_near(codes, at, at + step, bounds)]
         hit = hit[ids[hit] != ids[hit + step]]
         a.append(ids[hit])
         b.append(ids[hit + step])
     return np.concatenate(a), np.concatenate(b)
 
 
-def star_edges(buckets: DataFrame, codes: list[str], distance: int) -> DataFrame:
+def star_edges(buckets: DataFrame, codes: list[str], bounds: Bounds) -> DataFrame:
     """(node, root): in each bucket, every linked node with the smallest that it reaches there.
 
     ``buckets`` has part, key, own, node and the words ``codes``. Buckets stream through the tasks in
     sorted order, so a task holds one batch and the bucket at its end. Rows of the same bucket are
-    compared on all words; a link is a link whichever of its buckets shows it, so own and probing rows
+    compared by ``bounds``; a link is a link whichever of its buckets shows it, so own and probing rows
     needn't be told apart but for buckets that no node owns. A bucket of over ``BLOCK`` rows is dealt
     into blocks, each pair of which is a bucket of its own.
     """
@@ -295,7 +340,7 @@ def star_edges(buckets: DataFrame, codes: list[str], distance: int) -> DataFrame
             _, at = np.unique(group, return_inverse=True)
             real = (np.bincount(at, own) > 0) & (np.bincount(at) > 1)
             use = real[at]
-            node, root = _minima(*_links(group[use], ids[use], [w[use] for w in words], distance))
+            node, root = _minima(*_links(group[use], ids[use], [w[use] for w in words], bounds))
             return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(root.view(np.int64))], names=["node", "root"])
 
         for batch in batches:
@@ -380,7 +425,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         _, parts = allocate(both[0], n, distance)
         buckets = distinct.select(F.col("fp").alias("node"), F.explode(bucket_rows(parts)).alias("b")).select("node", "b.*")
-        ids = _lowest(components(star_edges(buckets, ["a"], distance)), distinct.select(F.col("fp").alias("node"), "rep"))
+        ids = _lowest(components(star_edges(buckets, ["a"], [(1, distance)])), distinct.select(F.col("fp").alias("node"), "rep"))
         named = distinct.join(ids.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "copies")
     named = materialize(named, "named")
     met = join_counted(fps, named, "fp", "copies")
@@ -473,12 +518,13 @@ def close_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
         return distinct.select("node", F.col("node").alias("root")).where("false")
     arrays, first = [], 0
     for k, parts in enumerate(plan_search(both, n, similarity)):
-        arrays.append(bucket_rows(parts, f"fp[{k}]", first, (f"fp[{(k + 1) % WORDS}]",)))
+        arrays.append(bucket_rows(parts, f"fp[{k}]", first, tuple(f"fp[{(k + j) % WORDS}]" for j in range(1, len(CODES)))))
         first += len(parts)
     buckets = distinct.select("node", F.explode(F.concat(*arrays)).alias("b")).select("node", "b.*")
-    bits, share = 2 * BITS, differing(similarity)
-    far = round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share)))  # few pairs are farther, and by chance none is as near
-    return star_edges(buckets, ["a", "b"], far)
+    share = differing(similarity)
+    # few pairs are farther: 3.5 deviations of two words, and 4 of all, where by chance none is as near
+    bounds = [(words, round(bits * share + spread * math.sqrt(bits * share * (1 - share)))) for words, spread in ((2, 3.5), (len(CODES), 4.0)) for bits in (words * BITS,)]
+    return star_edges(buckets, list(CODES), bounds)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:

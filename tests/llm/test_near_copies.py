@@ -158,3 +158,15 @@ def test_a_search_that_would_miss_is_an_error():
     for n, similarity in ((10**9, 0.6), (10**8, 0.5)):
         with pytest.raises(ComputationError):
             simhash_dedup.plan_search(even * n, n, similarity)
+
+
+def test_rows_near_by_two_words_alone_are_no_candidates(spark):
+    """Among millions of texts some are near on two words by chance; such links would join all groups to one."""
+    some = np.random.default_rng(5)
+    fps = some.integers(0, 2**64, (60, simhash_dedup.WORDS), np.uint64)
+    fps[1, :2] = fps[0, :2] ^ np.uint64((1 << 14) - 1)  # near on two words, 28 of 128 bits, and nowhere else
+    flips = np.uint64(1) << some.integers(0, 64, (6, simhash_dedup.WORDS), np.uint64)
+    fps[3] = fps[2] ^ np.bitwise_or.reduce(flips, axis=0)  # some 6 of 64 bits differ in each word
+    rows = [(i, [int(x) for x in row.view(np.int64)]) for i, row in enumerate(fps)]
+    found = simhash_dedup.close_pairs(spark.createDataFrame(rows, "node bigint, fp array<bigint>"), 0.8).collect()
+    assert {frozenset((r["node"], r["root"])) for r in found} == {frozenset((2, 3))}
